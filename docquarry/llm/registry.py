@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, packing, runtime, token_files
+from docquarry.llm import bpe, cross_entropy, language_id, packing, quality, runtime, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_docs(spark, sf_dir).select("doc_id", "text", "lang")).drop("text", "lang")
+
+
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
@@ -29,8 +33,21 @@ def op9_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, out).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of high quality and not toxic."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
+    return cross_entropy.score(docs, docs.join(good, "doc_id", "left_semi")).drop("text")
+
+
+def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language_id.is_held_out(F.col("doc_id")))
+    filters = language_id.learn(docs.filter("not held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), filters).drop("text")
+
+
 def queries() -> dict:
-    return {"op5_prefix_bpe": op5_prefix_bpe, "op8_online_packing": op8_online_packing, "op9_simple8b_files": op9_simple8b_files}
+    return {f.__name__: f for f in (op2_perplexity_bands, op5_prefix_bpe, op6_cross_entropy, op8_online_packing, op9_simple8b_files, op10_language_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
