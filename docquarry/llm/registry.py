@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, cross_entropy, language_id, packing, quality, runtime, token_files
+from docquarry.llm import bpe, cross_entropy, language_id, near_duplicates, packing, quality, runtime, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_docs(spark, sf_dir).select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(_docs(spark, sf_dir), near_duplicates.Settings(shingle=2))
+
+
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
@@ -47,8 +51,30 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_perplexity_bands, op5_prefix_bpe, op6_cross_entropy, op8_online_packing, op9_simple8b_files, op10_language_filters)}
+    return {f.__name__: f for f in (op2_perplexity_bands, op3_tensored_minhash, op5_prefix_bpe, op6_cross_entropy, op8_online_packing, op9_simple8b_files, op10_language_filters)}
+
+
+OP3 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+                      WHEN len(w) = 1 THEN w ELSE [] END AS s FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY 1, 2
+), links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (n + m - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(node, root) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION SELECT e.b, r.root FROM reached r JOIN both_ways e ON e.a = r.node WHERE r.root < e.b
+), least_root AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.root AS component_id, s.doc_id = r.root AS kept
+FROM sets s JOIN least_root r ON r.node = s.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_tensored_minhash": OP3}
