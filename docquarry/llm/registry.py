@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, cross_entropy, language_id, near_duplicates, packing, quality, runtime, token_files
+from docquarry.llm import bpe, cross_entropy, language_id, near_duplicates, packing, quality, runtime, substrings, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(_docs(spark, sf_dir).select("doc_id", "text"), digest=True).drop("text")
+
+
 def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, keep_ids=False).drop("ids")
 
@@ -51,7 +55,7 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_perplexity_bands, op3_tensored_minhash, op5_prefix_bpe, op6_cross_entropy, op8_online_packing, op9_simple8b_files, op10_language_filters)}
+    return {f.__name__: f for f in (op2_perplexity_bands, op3_tensored_minhash, op5_prefix_bpe, op6_cross_entropy, op7_cover_anchors, op8_online_packing, op9_simple8b_files, op10_language_filters)}
 
 
 OP3 = r"""
@@ -76,5 +80,22 @@ FROM sets s JOIN least_root r ON r.node = s.doc_id
 """
 
 
+OP7 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM words WHERE len(w) >= 20)
+), repeats AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS r FROM windows) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p + o AS q FROM repeats, range(0, 20) t(o)
+), gone_of AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, len(coalesce(g.qs, []))::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN g.qs IS NULL THEN w.w ELSE list_transform(list_filter(range(1, len(w.w) + 1), lambda i: NOT list_contains(g.qs, i)), lambda i: w.w[i]) END, ' ')) AS kept_sha256
+FROM words w LEFT JOIN gone_of g ON g.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tensored_minhash": OP3}
+    return {"op3_tensored_minhash": OP3, "op7_cover_anchors": OP7}
