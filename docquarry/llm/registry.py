@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, cross_entropy, language_id, near_duplicates, packing, quality, runtime, substrings, token_files
+from docquarry.llm import bpe, cross_entropy, fingerprints, language_id, near_duplicates, packing, quality, runtime, substrings, surrogates, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Surrogates are drawn with this key; a deployment sets its own secret.
+SURROGATE_KEY = "docquarry"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(_docs(spark, sf_dir).select("doc_id", "text"), SURROGATE_KEY, count="n_entities")
+
+
 def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_docs(spark, sf_dir).select("doc_id", "text", "lang")).drop("text", "lang")
 
@@ -21,6 +29,10 @@ def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(_docs(spark, sf_dir), near_duplicates.Settings(shingle=2))
 
 
+def op4_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
@@ -55,7 +67,7 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_perplexity_bands, op3_tensored_minhash, op5_prefix_bpe, op6_cross_entropy, op7_cover_anchors, op8_online_packing, op9_simple8b_files, op10_language_filters)}
+    return {f.__name__: f for f in (op1_surrogates, op2_perplexity_bands, op3_tensored_minhash, op4_scaled_sketches, op5_prefix_bpe, op6_cross_entropy, op7_cover_anchors, op8_online_packing, op9_simple8b_files, op10_language_filters)}
 
 
 OP3 = r"""
