@@ -1 +1,51 @@
+"""Readers and writers of the engine's file formats."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CHUNK = "chunk_id string, document_id string, page_number int, section string, text string, token_count int, chunk_type string, label string, image_path string"
+PAPER = f"document_id string, title string, authors array<string>, year int, source string, filename string, num_pages int, status string, uploaded_at timestamp, chunks array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>, _corrupt_record string"
+
+
+def read_papers(spark: SparkSession, path: str) -> DataFrame:
+    """Processed papers, one JSON file each; unreadable files and papers without chunks are left out."""
+    papers = spark.read.schema(PAPER).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
+    return papers.filter(F.col("_corrupt_record").isNull() & (F.size("chunks") > 0)).drop("_corrupt_record")
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks to index: not of scanned papers, and no running text of reference lists. The title comes with each."""
+    rows = read_papers(spark, path).filter("status is null or status <> 'scanned_needs_ocr'")
+    rows = rows.select(F.coalesce("title", "document_id").alias("title"), F.explode("chunks").alias("c")).select("title", "c.*")
+    return rows.filter(~((F.col("section") == "References") & (F.coalesce("chunk_type", F.lit("text")) == "text")))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of JSON; blank and malformed ones are left out."""
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
+def read_pages(spark: SparkSession, path: str, parse) -> DataFrame:
+    """Files of a folder, in order of name, as pages (document_id, page_number, text, parse_error). parse: bytes -> list
+    of page texts, a plug-in; a file on which it fails gives one row with the error."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows += [(name, i + 1, page.replace("\0", "").strip(), None) for i, page in enumerate(parse(bytes(content)))]
+                except Exception as e:  # one bad file must not end the scan
+                    rows.append((name, None, None, repr(e)))
+            yield pd.DataFrame(rows, columns=["document_id", "page_number", "text", "parse_error"]).astype({"page_number": "Int32"})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "document_id string, page_number int, text string, parse_error string")
+
+
+def write_json(df: DataFrame, path: str, *by: str) -> None:
+    df.write.mode("overwrite").partitionBy(*by).json(path)

@@ -1 +1,38 @@
+"""Resumable work as file streams: what was done is known from the checkpoint, and a restart goes on behind it."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def append_new(spark: SparkSession, source: str, schema, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str, files: int = 4) -> None:
+    """Process the files that came since the last run in small batches and append the results. A batch that is run
+    again after a failure adds no key twice: keys that the output has are left out."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = transform(batch)
+        try:
+            done = spark.read.parquet(out).select(key)
+            rows = rows.join(done, key, "left_anti")
+        except Exception as e:  # no output yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        rows.write.mode("append").parquet(out)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: Document states, in the order in which one replaces another at the same time.
+STATES = ["uploaded", "parsing", "indexing", "scanned_needs_ocr", "failed", "indexed"]
+
+
+def latest_states(changes: DataFrame) -> DataFrame:
+    """(document_id, status, at) from changes (document_id, status, at): the latest, and of simultaneous ones the
+    furthest."""
+    far = F.array_position(F.array(*map(F.lit, STATES)), F.col("status"))
+    last = F.max(F.struct("at", far.alias("far"), "status")).alias("s")
+    return changes.groupBy("document_id").agg(last).select("document_id", "s.status", "s.at")
