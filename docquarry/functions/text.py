@@ -71,9 +71,12 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Distinct runs of n words; none if there are fewer."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n words; none if there are fewer. Shifted copies are zipped, so each word is copied n times."""
+    many = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    grams = F.slice(words, F.lit(1), many)
+    for shift in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, F.lit(shift + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(grams)
 
 
 def citation_ids(text: Column) -> Column:

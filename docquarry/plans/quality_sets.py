@@ -1,2 +1,251 @@
-SQL: dict = {}
+"""Queries of chunking, data sets, sampling, audits and the catalogue, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docquarry.functions import text as tx
+from docquarry.operators import answers as an
+from docquarry.operators import catalogue as ca
+from docquarry.operators import claims as cl
+from docquarry.operators import documents as dc
+from docquarry.operators import sampling as sa
+from docquarry.plans import scoring
+from docquarry.plans import views as v
+
+SQL: dict[str, str] = {}
 RUN: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        RUN[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {v.CORPUS}, s AS (SELECT chunk_id, {v.SENTENCES.format('text')} AS x FROM corpus) SELECT chunk_id, unnest(range(0, len(x))) AS pos, unnest(x) AS sentence FROM s")
+def sentence_split(spark, sf):
+    return v.corpus(spark, sf).select("chunk_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(rf"WITH {v.CORPUS}, w AS (SELECT chunk_id, regexp_extract_all(text, '[^\s\x0B]+') AS x FROM corpus), p AS (SELECT chunk_id, x, unnest(range(0, (len(x) + 49) // 50)) AS part FROM w) SELECT chunk_id, part, array_to_string(x[part * 50 + 1 : part * 50 + 50], ' ') AS text FROM p")
+def hard_split(spark, sf):
+    return v.corpus(spark, sf).select("chunk_id", F.posexplode(dc.hard_split(F.col("text"), 50)).alias("part", "text"))
+
+
+@query()
+def chunk_fixed(spark, sf):
+    return dc.chunks(v.corpus(spark, sf).select(F.col("chunk_id").alias("document_id"), "text"))
+
+
+_HEADINGS = ["Abstract", "1. Introduction", "Methods:", "RESULTS", "2) Discussion", "limitation", "IV. Conclusions", "Not a heading", "References"]
+_HEADED = "[" + ", ".join(f"'{h}'" for h in _HEADINGS) + "]"
+
+
+@query(rf"""WITH {v.CORPUS}, pages AS (SELECT chunk_id // 3 AS document_id, chunk_id % 3 AS page_number, {_HEADED}[chunk_id % 9 + 1] || chr(10) || text AS text FROM corpus),
+lines AS (SELECT document_id, page_number, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT *, string_split_regex(text, '\r?\n') AS x FROM pages)),
+named AS (SELECT *, CASE regexp_replace(regexp_replace(lower(trim(line)), '(?i)^\s*(?:[ivxlc]+[.)]|\d+[.)]?)\s*', ''), '^[ :.\-]+|[ :.\-]+$', '', 'g') WHEN 'abstract' THEN 'Abstract' WHEN 'introduction' THEN 'Introduction' WHEN 'methods' THEN 'Methods'
+  WHEN 'results' THEN 'Results' WHEN 'discussion' THEN 'Discussion' WHEN 'limitation' THEN 'Limitations' WHEN 'conclusions' THEN 'Conclusion' WHEN 'references' THEN 'References' END AS opens FROM lines),
+placed AS (SELECT *, coalesce(last_value(opens IGNORE NULLS) OVER d, 'Unknown') AS s, max((coalesce(opens, '') = 'References')::INT) OVER d AS pinned, sum((opens IS NOT NULL)::INT) OVER p AS run FROM named
+  WINDOW d AS (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY document_id, page_number ORDER BY line_no ROWS UNBOUNDED PRECEDING))
+SELECT document_id, page_number, run::BIGINT AS run, CASE WHEN pinned = 1 THEN 'References' ELSE s END AS section, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM placed WHERE opens IS NULL AND trim(line) <> '' GROUP BY ALL""")
+def section_runs(spark, sf):
+    """Documents as pages of three, each under a heading."""
+    heads = F.element_at(F.array(*map(F.lit, _HEADINGS)), (F.col("chunk_id") % 9 + 1).cast("int"))
+    pages = v.corpus(spark, sf).select(F.floor(F.col("chunk_id") / 3).alias("document_id"), (F.col("chunk_id") % 3).alias("page_number"), F.concat(heads, F.lit("\n"), "text").alias("text"))
+    return dc.section_runs(pages)
+
+
+@query()
+def reference_score(spark, sf):
+    """Documents with made-up entries put behind: every third document becomes a reference list."""
+    entry = F.concat(F.lit(" ["), F.col("chunk_id").cast("string"), F.lit("] A. Miller, vol. 3, 12(3): 45, 1999. B. Jones, pp. 4, 2004."))
+    text = F.when(F.col("chunk_id") % 3 == 0, F.concat("text", F.repeat(entry, 4))).otherwise(F.col("text"))
+    score = dc.reference_score(text)
+    return v.corpus(spark, sf).select("chunk_id", F.round(score, 6).alias("score"), (score >= 1).alias("is_references"))
+
+
+@query(f"""WITH p AS (SELECT vec_id // 50 AS document_id, vec_id % 50 AS pos, embedding::DOUBLE[] AS e, lead(embedding::DOUBLE[]) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id % 50) AS n FROM embeddings),
+d AS (SELECT document_id, pos, round(1 - list_dot_product(e, n) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(n, n)) + 1e-8), 6) AS distance FROM p),
+t AS (SELECT document_id, round(quantile_cont(distance, 0.8), 6) AS threshold FROM d GROUP BY 1) SELECT document_id, pos, distance, threshold, distance > threshold AS ends FROM d JOIN t USING (document_id)""")
+def topic_breaks(spark, sf):
+    rows = v.vectors(spark, sf).select(F.floor(F.col("chunk_id") / 50).alias("document_id"), (F.col("chunk_id") % 50).alias("pos"), "embedding")
+    return dc.topic_breaks(rows)
+
+
+_GRAMS = "list_distinct(list_transform(range(1, greatest(len({0}) - 3, 1)), lambda i: array_to_string({0}[i : i + 4], ' ')))"
+
+
+@query(f"""WITH {v.CORPUS}, {'questions AS (SELECT item_id, ' + v.TOKENS.format('text') + ' AS t FROM benchmark)'}, q AS (SELECT item_id, unnest(g) AS gram, len(g) AS n FROM (SELECT item_id, {_GRAMS.format('t')} AS g FROM questions)),
+d AS (SELECT chunk_id, unnest({_GRAMS.format('t')}) AS gram FROM (SELECT chunk_id, {v.TOKENS.format('text')} AS t FROM corpus))
+SELECT item_id, chunk_id AS doc_id, count(*) AS shared, round(count(*) / any_value(n), 6) AS containment FROM q JOIN d USING (gram) GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.8""")
+def ngram_copy(spark, sf):
+    """Passages whose 5-grams a document has, at 0.8 or more."""
+    # tokens and grams are columns of their own: an expression inside a lambda or above an explode is evaluated each time
+    grams = lambda df, key: df.select(key, tx.tokens(F.col("text")).alias("t")).select(key, tx.ngrams(F.col("t"), 5).alias("g")).select(key, "g", F.size("g").alias("n")).select(key, "n", F.explode("g").alias("gram"))
+    q = grams(v.questions(spark, sf), "query_id")
+    d = grams(v.corpus(spark, sf), "chunk_id").drop("n")
+    got = d.join(q, "gram").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    return got.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment")).filter(F.col("shared") / F.col("n") >= 0.8)
+
+
+_BAGS = r"""cand AS (SELECT b.item_id AS left_id, d.doc_id AS right_id, b.text AS lt, d.text AS rt, d.lang = 'en' AS same_page FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20)),
+lb AS (SELECT left_id, t, count(*) AS l FROM (SELECT item_id AS left_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS t FROM benchmark) GROUP BY 1, 2),
+rb AS (SELECT right_id, t, count(*) AS r FROM (SELECT doc_id AS right_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS t FROM documents) GROUP BY 1, 2),
+ln AS (SELECT left_id, sum(l) AS nl FROM lb GROUP BY 1), rn AS (SELECT right_id, sum(r) AS nr FROM rb GROUP BY 1),
+i AS (SELECT left_id, right_id, sum(least(l, r)) AS i FROM cand JOIN lb USING (left_id) JOIN rb USING (right_id, t) GROUP BY 1, 2),
+bags AS (SELECT left_id, right_id, same_page, round(coalesce(i, 0) / least(nl, nr), 6) AS containment, round(coalesce(i, 0) / (nl + nr - coalesce(i, 0)), 6) AS jaccard FROM cand JOIN ln USING (left_id) JOIN rn USING (right_id) LEFT JOIN i USING (left_id, right_id))"""
+
+
+def _bag_pairs(spark, sf):
+    docs = v.corpus(spark, sf).select(F.col("chunk_id").alias("right_id"), F.col("text").alias("right_text"), "source", (F.col("lang") == "en").alias("same_page"))
+    items = v.questions(spark, sf).select(F.col("query_id").alias("left_id"), F.col("text").alias("left_text"), F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("source"))
+    return items.join(docs, "source")
+
+
+@query(f"WITH {_BAGS} SELECT left_id, right_id, containment, jaccard FROM bags")
+def bag_overlap(spark, sf):
+    return an.bag_overlap(_bag_pairs(spark, sf))
+
+
+@query(f"""WITH {_BAGS}, g AS (SELECT *, max(same_page::INT) OVER (PARTITION BY left_id) AS any_same FROM bags WHERE containment >= 0.8),
+k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY containment DESC, jaccard DESC, right_id) AS place FROM g WHERE any_same = 0 OR same_page),
+m AS (SELECT left_id, count(*) AS n_matches, min(CASE WHEN place = 1 THEN right_id END) AS best FROM k GROUP BY 1)
+SELECT left_id, coalesce(n_matches, 0) AS n_matches, coalesce(best, -1) AS best, CASE WHEN n_matches IS NULL THEN 'failed' WHEN n_matches = 1 THEN 'confident' ELSE 'ambiguous' END AS status FROM (SELECT DISTINCT left_id FROM bags) LEFT JOIN m USING (left_id)""")
+def containment_remap(spark, sf):
+    pairs = _bag_pairs(spark, sf)
+    scored = an.bag_overlap(pairs).join(pairs.select("left_id", "right_id", "same_page"), ["left_id", "right_id"])
+    return an.remapped(scored).withColumn("best", F.coalesce("best", F.lit(-1)))
+
+
+@query()
+def answer_filter(spark, sf):
+    rows = scoring._answers(spark, sf)
+    got = an.checked(rows.select("conv_id", "turn", an.normalized(F.col("answer")).alias("answer"), "evidence"))
+    return got.select("conv_id", "turn", F.split_part("reason", F.lit(":"), F.lit(1)).alias("reason"))
+
+
+@query()
+def rejection_reasons(spark, sf):
+    return answer_filter(spark, sf).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def abstentions(spark, sf):
+    rows = scoring._answers(spark, sf)
+    return rows.select("conv_id", "turn", cl.is_abstention(F.col("answer")).alias("abstains"), cl.has_substance(F.col("answer")).alias("substance"), F.length(cl.without_scaffold(F.col("answer"))).alias("chars"))
+
+
+_SHARES = {"en": 0.5, "fr": 0.25, "de": 0.15, "es": 0.1}
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {v.DRAW.format("'7|' || doc_id::VARCHAR")}, doc_id) AS place FROM documents)
+SELECT doc_id, lang, place FROM d WHERE place <= CASE lang WHEN 'en' THEN 50 WHEN 'fr' THEN 25 WHEN 'de' THEN 15 WHEN 'es' THEN 10 ELSE 0 END""")
+def stratified_sample(spark, sf):
+    return sa.stratified(v.corpus(spark, sf).select(F.col("chunk_id").alias("doc_id"), "lang"), "lang", "doc_id", _SHARES, 100)
+
+
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents")
+def round_robin(spark, sf):
+    return sa.round_robin(v.table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+@query(f"""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY {v.DRAW.format("'42|' || doc_id::VARCHAR")}, doc_id) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM documents))
+SELECT doc_id, CASE WHEN place <= round_even(n * 0.1, 0) THEN 'val' WHEN place <= 2 * round_even(n * 0.1, 0) THEN 'test' ELSE 'train' END AS split FROM p""")
+def paper_split(spark, sf):
+    return sa.split_papers(v.table(spark, sf, "documents"), "doc_id")
+
+
+@query(f"""WITH p AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY {v.DRAW.format("'42|' || doc_id::VARCHAR")}, doc_id) - 1) // 4 AS group_no FROM documents),
+g AS (SELECT *, count(*) OVER (PARTITION BY source, group_no) AS group_size FROM p) SELECT doc_id, source, group_no, group_size FROM g WHERE group_size >= 3 AND group_no < 10""")
+def group_pools(spark, sf):
+    return sa.groups_of(v.table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 4, 3, 10)
+
+
+@query()
+def pair_pools(spark, sf):
+    return sa.pairs_of(v.table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 30)
+
+
+@query("""WITH p AS (SELECT lang AS task, count(*) AS pool, CASE lang WHEN 'en' THEN 0.3::DOUBLE WHEN 'fr' THEN 0.2 WHEN 'de' THEN 0.15 ELSE 0.1 END AS ratio FROM documents GROUP BY 1)
+SELECT task, pool, ratio, least(pool, round_even((SELECT min(pool / ratio) FROM p) * ratio, 0))::BIGINT AS count FROM p""")
+def allocate(spark, sf):
+    pools = v.corpus(spark, sf).groupBy(F.col("lang").alias("task")).agg(F.count("*").alias("pool"))
+    ratio = F.when(F.col("task") == "en", 0.3).when(F.col("task") == "fr", 0.2).when(F.col("task") == "de", 0.15).otherwise(0.1)
+    return sa.allocated(pools.withColumn("ratio", ratio))
+
+
+@query("""WITH t AS (SELECT doc_id, source AS title, lang AS status, n_chars AS uploaded_at FROM documents WHERE doc_id % 3 <> 0),
+c AS (SELECT doc_id, 'new ' || source AS title, 'indexed' AS status, 0::BIGINT AS uploaded_at FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, coalesce(c.title, t.title) AS title, coalesce(c.status, t.status) AS status, coalesce(t.uploaded_at, c.uploaded_at) AS uploaded_at FROM t FULL JOIN c USING (doc_id)""")
+def catalog_upsert(spark, sf):
+    docs = v.table(spark, sf, "documents")
+    old = docs.filter("doc_id % 3 <> 0").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("status"), F.col("n_chars").alias("uploaded_at"))
+    new = docs.filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("new "), "source").alias("title"), F.lit("indexed").alias("status"), F.lit(0).cast("long").alias("uploaded_at"))
+    return ca.upsert(old, new, "doc_id", keep=("uploaded_at",))
+
+
+@query("SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS documents, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS labels")
+def cascade_delete(spark, sf):
+    docs, labels = v.table(spark, sf, "documents"), v.table(spark, sf, "labels")
+    left = ca.cascade({"documents": docs, "labels": labels}, labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id")
+    return left["documents"].agg(F.count("*").alias("documents")).crossJoin(F.broadcast(left["labels"].agg(F.count("*").alias("labels"))))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti(spark, sf):
+    return ca.remaining(v.table(spark, sf, "documents").select("doc_id", "lang"), v.table(spark, sf, "labels"), "doc_id")
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def latest_record(spark, sf):
+    rows = v.table(spark, sf, "events").select("user_id", "ts", "event_type", F.struct("ts", "event_id").alias("o"))
+    return ca.latest(rows, "user_id", "o").drop("o")
+
+
+def _grids(spark, sf):
+    """A grid for each region: its nations with their keys."""
+    nations = v.table(spark, sf, "nation")
+    row = F.struct("n_nationkey", F.array("n_name", F.col("n_nationkey").cast("string"), (F.col("n_nationkey") * 7).cast("string")).alias("r"))
+    grids = nations.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("body"))
+    return grids.select("n_regionkey", F.concat(F.array(F.array(*map(F.lit, ("name", "k|ey", "seven")))), "body").alias("grid"))
+
+
+@query(r"""SELECT n_regionkey::BIGINT AS n_regionkey, '| name | k\|ey | seven |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' | ' || n_nationkey * 7 || ' |', chr(10) ORDER BY n_nationkey) AS markdown, (count(*) + 1) AS n_rows FROM nation GROUP BY 1""")
+def table_markdown(spark, sf):
+    md = dc.grid_to_markdown(F.col("grid"))
+    return _grids(spark, sf).select("n_regionkey", md.alias("markdown"), F.size(dc.markdown_to_grid(md)).alias("n_rows"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_regionkey::BIGINT AS n_regionkey, (n_nationkey * 7)::VARCHAR AS cell, true AS tabular FROM nation")
+def table_cell(spark, sf):
+    nations = v.table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    got = nations.join(_grids(spark, sf), "n_regionkey")
+    return got.select("n_nationkey", "n_regionkey", dc.table_cell(F.col("grid"), F.col("n_name"), F.lit("seven")).alias("cell"), dc.looks_tabular(F.col("grid"), F.lit(True)).alias("tabular"))
+
+
+@query(r"""SELECT doc_id, substr(sha1(text), 1, 8) || '_' || regexp_replace(regexp_replace(lower(source || ' (' || lang || ')'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS document_id,
+coalesce(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '')[1], 'Untitled') AS title FROM documents WHERE text IS NOT NULL""")
+def document_keys(spark, sf):
+    docs = v.table(spark, sf, "documents").filter("text is not null")
+    return docs.select("doc_id", dc.document_key(F.col("text"), F.concat("source", F.lit(" ("), "lang", F.lit(")"))).alias("document_id"), dc.title_of(F.col("text")).alias("title"))
+
+
+@query()
+def response_invariants(spark, sf):
+    """Checks on the engine's own output, and how many rows break each: none should."""
+    found = scoring._cited_rows(spark, sf)
+    graded = cl.grounded(found)
+    checks = {
+        "score_in_range": (F.col("grounding_score") < 0) | (F.col("grounding_score") > 1),
+        "uncited_is_none": (F.size("cited") == 0) & (F.col("grounding") != "none"),
+        "missing_is_none": (F.size("missing") > 0) & (F.col("grounding") != "none"),
+        "strong_has_overlap": (F.col("grounding") == "strong") & (F.col("overlap") < cl.STRONG),
+        "ids_positive": F.exists("ids", lambda i: i < 1),
+    }
+    broken = graded.agg(F.count("*").alias("rows"), *(F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in checks.items()))
+    return broken.select("rows", F.expr("stack({}, {}) as (check, broken)".format(len(checks), ", ".join(f"'{n}', {n}" for n in checks))))

@@ -114,10 +114,10 @@ def sweep_grid(spark, sf):
     return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hit_at_5"), F.desc("mrr"), "w", "k")))
 
 
-@query(rf"WITH {v.CLAIMS} SELECT conv_id, turn, pos, list_transform(regexp_extract_all(text, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda x: x::INT)[1]::BIGINT AS first_id, len(regexp_extract_all(text, '\[(\d+(?:\s*,\s*\d+)*)\]', 1))::BIGINT AS n FROM claims")
+@query(rf"WITH {v.CLAIMS} SELECT conv_id, turn, pos, coalesce(list_transform(regexp_extract_all(text, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda x: x::INT)[1]::BIGINT, 0) AS first_id, len(regexp_extract_all(text, '\[(\d+(?:\s*,\s*\d+)*)\]', 1))::BIGINT AS n FROM claims")
 def citation_ids(spark, sf):
     ids = tx.citation_ids(F.col("text"))
-    return v.cited_claims(spark, sf).select("conv_id", "turn", "pos", F.try_element_at(ids, F.lit(1)).alias("first_id"), F.size(ids).alias("n"))
+    return v.cited_claims(spark, sf).select("conv_id", "turn", "pos", F.coalesce(F.try_element_at(ids, F.lit(1)), F.lit(0)).alias("first_id"), F.size(ids).alias("n"))
 
 
 def _answers(spark, sf):
