@@ -1,0 +1,266 @@
+"""Every operator and pipeline stage on awkward tables, against plain versions."""
+
+import hashlib
+import os
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from docquarry.llm import bpe, cross_entropy, fingerprints, language_id, near_duplicates, packing, quality, registry, runtime, substrings, surrogates, token_files
+from docquarry.llm.components import components
+
+SF = os.environ.get("DOCQUARRY_SF", "/root/testdata/sf0.001")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, Component_ID int, n_words string, __doc string"
+LONG = " ".join(f"long{i % 977} word{i % 13}" for i in range(30_000))
+PASSAGE = " ".join(f"passage{i}" for i in range(60))
+ROWS = [
+    (1, None, "en", None, None),
+    (2, "", None, "s", 0),
+    (3, " \n\t ", "en", "s", 4),
+    (4, "one", "en", "s", 3),
+    (5, PASSAGE + " and then something else entirely follows here", "en", "s", 1),
+    (6, "Before it. " + PASSAGE, "en", "s", 1),
+    (6, "Before it. " + PASSAGE, "en", "s", 1),
+    (None, PASSAGE + " tail", None, None, None),
+    (8, "Write to Ann.Lee@mail.example.org or +1 (212) 555-0147, card 4111 1111 1111 1111, from 10.1.2.3 now please thanks a lot.", "en", "s", 9),
+    (9, LONG, "en", "s", len(LONG)),
+    (10, "Frau Schmidt und Herr Müller trafen Frau Schmidt in der Stadt am Morgen sehr gern wieder und wieder einmal dort.", "de", "s", 2),
+    (11, LONG + " more", "en", "s", len(LONG)),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, "x", 7, "n", "d") for r in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.filter("false")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def text_of(rows):
+    return {r["doc_id"]: r["text"] or "" for r in rows.select("doc_id", "text").collect()}
+
+
+OPERATORS = {
+    "surrogates": lambda d: surrogates.replaced(d, "k", count="n_entities"),
+    "quality": quality.judged,
+    "groups": near_duplicates.groups,
+    "fingerprints": fingerprints.compared,
+    "fingerprint": fingerprints.fingerprint,
+    "bpe": lambda d: bpe.encode(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded"),
+    "cross_entropy": lambda d: cross_entropy.score(d, d.filter("lang = 'en'")),
+    "substrings": lambda d: substrings.removed(d),
+    "languages": lambda d: language_id.predict(d, language_id.learn(d)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_rows_give_a_row_each(odd, empty, name):
+    assert OPERATORS[name](odd).count() == len(ROWS)
+    assert OPERATORS[name](empty).count() == 0
+
+
+def test_stages_keep_the_columns(spark, odd, empty):
+    for table in (odd, empty):
+        for label, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == table.columns, label
+            assert out.count() <= table.count()
+        assert stage(spark, table, SF).count() == table.count()
+    assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_surrogates(spark, odd):
+    got = {r["doc_id"]: r for r in surrogates.replaced(odd, "k", count="n_entities").collect()}
+    a = got[8]["text"]
+    assert got[8]["n_entities"] == 4
+    for secret in ("Ann.Lee@mail.example.org", "555-0147", "4111 1111 1111 1111", "10.1.2.3"):
+        assert secret not in a
+    m = re.fullmatch(r"Write to ([A-Z][a-z]{2}\.[A-Z][a-z]{2})@([a-z]{4}\.[a-z]{7}\.org) or (\+1 \(\d{3}\) \d{3}-\d{4}), card (\d{4} \d{4} \d{4} \d{4}), from ([\d.]+) now please thanks a lot\.", a)
+    assert m, a
+    digits = [int(c) for c in m[4].replace(" ", "")][::-1]
+    assert sum(digits[::2]) + sum(d * 2 // 10 + d * 2 % 10 for d in digits[1::2]) == sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])
+    assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    names = re.fullmatch(r"Frau (\w+) und Herr (\w+) trafen Frau (\w+) in der Stadt .*", got[10]["text"])
+    assert names and names[1] == names[3] != names[2] and "Schmidt" not in got[10]["text"]
+    assert got[5]["text"] == ROWS[4][1] and got[1]["text"] is None
+    again = {r["doc_id"]: r["text"] for r in surrogates.replaced(odd, "k").collect()}
+    other = {r["doc_id"]: r["text"] for r in surrogates.replaced(odd, "another").collect()}
+    assert again[8] == a != other[8]
+
+
+def test_surrogates_stay_distinct_in_a_small_space(spark):
+    values = [f"Mr {chr(65 + i)}{chr(97 + j)}nor" for i in range(26) for j in range(26)]
+    got = surrogates.mapping(spark.createDataFrame([(v,) for v in values], "surface string"), "k").collect()
+    assert len({r["surrogate"] for r in got}) == len(values)
+    assert not {r["replacement"] for r in got} & set(values)
+
+
+def test_quality_keeps_the_rules(docs):
+    got = {r["doc_id"]: r for r in quality.judged(docs.repartition(5)).collect()}
+    for doc, text in text_of(docs).items():
+        r = got[doc]
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        assert r["n_words"] == len(w) and r["word_chars"] == sum(map(len, w))
+        assert r["base_failed"] == (len(w) < 10 or 100 * r["n_repeat_words"] > 20 * len(w))
+        assert not (r["base_failed"] and r["kept"])
+
+
+def brute_groups(texts, k, fold=True):
+    sets = {}
+    for d, t in texts.items():
+        w = (t.lower() if fold else t).split()
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {d: find(d) for d in ids}, sets
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_are_what_all_pairs_give(docs, k):
+    got = {r["doc_id"]: r for r in near_duplicates.groups(docs.repartition(3), near_duplicates.Settings(shingle=k)).collect()}
+    want, sets = brute_groups(text_of(docs), k)
+    assert {d: r["component_id"] for d, r in got.items()} == want
+    assert all(r["n_shingles"] == len(sets[d]) and r["kept"] == (d == want[d]) for d, r in got.items())
+
+
+def test_chains_are_linked_though_their_ends_differ(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(words[6 * i : 6 * i + 100]) for i in range(40)}
+    got = near_duplicates.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), near_duplicates.Settings(shingle=2)).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_fingerprints_of_the_next_document(docs):
+    texts = text_of(docs)
+    got = {r["doc_id"]: r for r in fingerprints.compared(docs.repartition(5)).collect()}
+    ids = sorted(texts, reverse=True)
+    for i, d in enumerate(ids):
+        t, after = texts[d], texts[ids[(i + 1) % len(ids)]]
+        half = len(t) // 2
+        assert got[d]["n_chars"] == len(t)
+        assert got[d]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+        assert 0 <= got[d]["near_next"] <= 1 and 0 <= got[d]["near_edited"] <= 1
+    by_text = defaultdict(set)
+    for d in ids:
+        by_text[texts[d]].add(got[d]["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+    assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.9
+
+
+def brute_removed(texts):
+    seen, out = set(), {}
+    for d in sorted(texts):
+        w = texts[d].split()
+        gone = set()
+        for i in range(len(w) - 19):
+            key = tuple(w[i : i + 20])
+            if key in seen:
+                gone.update(range(i, i + 20))
+            seen.add(key)
+        out[d] = len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()
+    return out
+
+
+def test_repeated_passages(spark, docs, odd):
+    ascii_only = docs.withColumn("text", F.regexp_replace("text", r"[  - 　\u0085\x1c-\x1f]", "_"))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.removed(ascii_only.select("doc_id", "text").repartition(6), digest=True).collect()}
+    assert got == brute_removed(text_of(ascii_only))
+    left = {r["doc_id"]: r["text"] for r in substrings.cleaned(odd).collect()}
+    assert left[5] == ROWS[4][1] and left[6] == "Before it." and left[None] == "tail" and left[1] is None
+
+
+def test_cross_entropy_prefers_the_target(spark):
+    rows = [(i, " ".join(f"{'red' if i % 2 else 'blue'}{(i * 7 + j) % 9}" for j in range(40))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in cross_entropy.score(docs, docs.filter("doc_id % 2 = 1 and doc_id < 20")).collect()}
+    assert max(got[i] for i in got if i % 2) < min(got[i] for i in got if i % 2 == 0)
+
+
+def test_languages_on_held_out_rows(spark):
+    got = registry.op10_language_filters(spark, SF)
+    lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    rows = got.filter("held_out").join(lang, "doc_id").collect()
+    assert rows and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
+    one = spark.createDataFrame([(1, "123 !", "en"), (2, None, "en"), (3, "the cat and the dog", "en"), (4, "le chat et le chien", "fr")], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(one, language_id.learn(one)).collect()}
+    assert out == {1: "und", 2: "und", 3: "en", 4: "fr"}
+
+
+def test_token_files_round_trip(spark, odd):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    out = runtime.shared_folder(spark)
+    token_files.write_tokens(odd.repartition(5), path, 2, out, parts=3)
+    rows = sorted(token_files.read_tokens(spark, out).collect(), key=lambda r: r["start"])
+    at = 0
+    for r, row in zip(rows, sorted(ROWS, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+        ids = tokenizer.encode(row[1] or "", add_special_tokens=False).ids + [2]
+        assert (r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) == (row[0], at, ids)
+        at += len(ids)
+    token_files.write_tokens(odd.filter("false"), path, 2, out + "-none")
+    assert token_files.read_tokens(spark, out + "-none").count() == 0
+
+
+def test_packing_is_whole_and_dense(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rows = packing.pack(docs.repartition(5), path).collect()
+    parts, fill = defaultdict(list), defaultdict(list)
+    for r in rows:
+        parts[r["doc_id"]].append(r)
+        fill[r["sequence_id"]].append(r)
+    for d, t in text_of(docs).items():
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        at = 0
+        for r in sorted(parts[d], key=lambda r: r["start"]):
+            piece = ids[at : at + r["length"]].tobytes()
+            assert r["start"] == at and r["ids"] == piece and r["ids_crc32"] == zlib.crc32(piece) and r["doc_tokens"] == len(ids)
+            at += r["length"]
+        assert at == len(ids)
+    total = 0
+    for many in fill.values():
+        at = 0
+        for r in sorted(many, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+        total += at
+    assert total / (1024 * len(fill)) > 0.95
+
+
+def test_pipeline_runs(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 0
