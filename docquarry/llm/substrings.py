@@ -32,53 +32,46 @@ GATHERED_BYTES, HASHES_A_TASK = 8_000_000, 2_000_000
 _ROW = "bucket long, hashes binary, place binary, docs binary, at binary"
 
 
-def _spans(positions: np.ndarray) -> bytes:
-    """Ascending positions as (start, end) runs."""
-    if not len(positions):
-        return b""
-    new = np.concatenate([[True], np.diff(positions) > 1])
-    begin = positions[new]
-    end = positions[np.concatenate([new[1:], [True]])] + 1
-    return np.stack([begin, end], 1).astype("<i4").tobytes()
-
-
-def _flags(spans: list[bytes] | None, n: int) -> np.ndarray:
-    """Which of n places lie in one of the runs."""
+def _flags(blob: bytes | None, n: int, longer: int = 0) -> np.ndarray:
+    """Which of n places lie in one of the runs, each so much longer."""
     edge = np.zeros(n + 1, np.int32)
-    for blob in spans or []:
+    if blob:
         runs = np.frombuffer(blob, "<i4").reshape(-1, 2)
         np.add.at(edge, runs[:, 0], 1)
-        np.add.at(edge, runs[:, 1], -1)
+        np.add.at(edge, np.minimum(runs[:, 1] + longer, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _by_doc(keys: np.ndarray, places: np.ndarray):
-    """(doc, runs) for pairs of documents and places."""
-    if not len(keys):
-        return
-    order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order]
-    edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-    for i, j in zip(edges[:-1], edges[1:], strict=True):
-        yield int(keys[i]), _spans(np.unique(places[i:j]))
+def _runs(docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents and places as runs: each run's document, and its (begin, end)."""
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    if len(docs):
+        fresh = np.concatenate([[True], (docs[1:] != docs[:-1]) | (places[1:] != places[:-1])])
+        docs, places = docs[fresh], places[fresh]
+    if not len(docs):
+        return docs, np.empty((0, 2), "<i4")
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (np.diff(places) > 1)])
+    return docs[new], np.stack([places[new], places[np.append(new[1:], True)] + 1], 1).astype("<i4")
 
 
 def _packed(hashes, docs, at, buckets, first_only):
     """Rows of _ROW for one batch's occurrences, which are in order of (doc, place).
 
     Of a hash's occurrences in the batch only the first is passed on to meet others'. The rest are repeats for sure and
-    go past as (doc, runs) rows, without hashes; unless first_only, so does the first. A set top bit of the place says
-    that others are known already."""
+    go past as runs, without hashes; unless first_only, so does the first."""
+    if not len(hashes):
+        return
     by = np.argsort(hashes, kind="stable")
     hashes, docs, at = hashes[by], docs[by], at[by]
     new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
     twice = np.zeros(len(hashes), bool)
     twice[:-1] |= ~new[1:]
     done = ~new if first_only else (~new | twice)
-    for doc, runs in _by_doc(docs[done], at[done]):
-        yield -1 - doc % buckets, None, None, np.int64(doc).tobytes(), runs
-    hashes, docs, at, many = hashes[new], docs[new], at[new].astype(np.uint32), twice[new]
-    at |= many.astype(np.uint32) << np.uint32(31)
+    if done.any():
+        own, runs = _runs(docs[done], at[done])
+        yield -1 - int(own[0]) % buckets, None, None, own.tobytes(), runs.tobytes()
+    hashes, docs, at = hashes[new], docs[new], at[new].astype(np.uint32)
     part = (hashes % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(part, kind="stable")
     hashes, docs, at, part = hashes[by], docs[by], at[by], part[by]
@@ -92,15 +85,16 @@ def _packed(hashes, docs, at, buckets, first_only):
 
 
 
-def _meet(first_only: bool):
-    """applyInArrow function of a bucket: (doc, runs) of the places whose hash occurs elsewhere; first_only: earlier."""
+def _meet(first_only: bool, buckets: int):
+    """applyInArrow function of a bucket: runs of the places whose hash occurs elsewhere (first_only: earlier), packed
+    by groups of documents."""
 
-    def run(table: pa.Table) -> pa.Table:
-        out_doc, out_runs, hashes, docs, at = [], [], [], [], []
+    def meet(table: pa.Table) -> pa.Table:
+        owners, runs, hashes, docs, at = [np.empty(0, np.int64)], [np.empty((0, 2), "<i4")], [], [], []
         for row in table.to_pylist():
             if row["hashes"] is None:
-                out_doc.append(int(np.frombuffer(row["docs"], np.int64)[0]))
-                out_runs.append(row["at"])
+                owners.append(np.frombuffer(row["docs"], np.int64))
+                runs.append(np.frombuffer(row["at"], "<i4").reshape(-1, 2))
             else:
                 raw = np.frombuffer(row["hashes"], np.uint8).reshape(len(row["at"]) // 4, -1)
                 wide = np.zeros((len(raw), 8), np.uint8)
@@ -109,26 +103,46 @@ def _meet(first_only: bool):
                 docs.append(np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["place"], np.uint16)])
                 at.append(np.frombuffer(row["at"], np.uint32))
         if hashes:
-            h, d, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(at)
-            many, p = p >> np.uint32(31), (p & np.uint32(0x7FFFFFFF)).astype(np.int64)
+            h, d, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(at).astype(np.int64)
             by = np.argsort(h, kind="stable")
             new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
-            alone = new & np.concatenate([new[1:], [True]])
-            by, many = by[~alone], many
-            if len(by):
-                by = by[np.lexsort((p[by], d[by], h[by]))]
-                h, d, p = h[by], d[by], p[by]
-                if first_only:
-                    new = np.concatenate([[True], h[1:] != h[:-1]])
-                    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                    later = (d > d[lead]) | (p > p[lead])
-                    d, p = d[later], p[later]
-                for doc, runs in _by_doc(d, p):
-                    out_doc.append(doc)
-                    out_runs.append(runs)
-        return pa.table({"doc": pa.array(out_doc, pa.int64()), "runs": pa.array(out_runs, pa.binary())})
-
-    return run
+            by = by[~(new & np.append(new[1:], True))]
+            by = by[np.lexsort((p[by], d[by], h[by]))]
+            h, d, p = h[by], d[by], p[by]
+            if first_only and len(h):
+                new = np.concatenate([[True], h[1:] != h[:-1]])
+                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                later = (d > d[lead]) | (p > p[lead])
+                d, p = d[later], p[later]
+            own, more = _runs(d, p)
+            owners.append(own)
+            runs.append(more)
+        owner, run = np.concatenate(owners), np.concatenate(runs)
+        group = owner % buckets
+        by = np.argsort(group, kind="stable")
+        owner, run, group = owner[by], run[by], group[by]
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+        ends = np.append(edges[1:], len(group))
+        spans = list(zip(edges.tolist(), ends.tolist(), strict=True)) if len(group) else []
+        return pa.table({"group": group[edges], "docs": pa.array([owner[i:j].tobytes() for i, j in spans], pa.binary()), "runs": pa.array([run[i:j].tobytes() for i, j in spans], pa.binary())})
+
+    return meet
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """applyInArrow function of a group of documents: one row of runs for each document."""
+    owner = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+    run = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in table.column("runs").to_pylist()])
+    by = np.argsort(owner, kind="stable")
+    owner, run = owner[by], run[by]
+    edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    ends = np.append(edges[1:], len(owner))
+    return pa.table({"doc": owner[edges], "runs": pa.array([run[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary())})
+
+
+def _by_document(rows: DataFrame, first_only: bool, buckets: int) -> DataFrame:
+    met = rows.groupBy("bucket").applyInArrow(_meet(first_only, buckets), "group long, docs binary, runs binary")
+    return met.groupBy("group").applyInArrow(_gather, "doc long, runs binary")
 
 
 class _Batcher:
@@ -172,7 +186,7 @@ def _anchors(source: DataFrame, buckets: int) -> DataFrame:
                     yield from gathered.rows()
         yield from gathered.rows()
 
-    return source.select("doc", "text").mapInArrow(run, _ROW).groupBy("bucket").applyInArrow(_meet(False), "doc long, runs binary")
+    return _by_document(source.select("doc", "text").mapInArrow(run, _ROW), False, buckets)
 
 
 def _windows(marked: DataFrame, buckets: int) -> DataFrame:
@@ -201,12 +215,12 @@ def _windows(marked: DataFrame, buckets: int) -> DataFrame:
                     yield from gathered.rows()
         yield from gathered.rows()
 
-    return marked.mapInArrow(run, _ROW).groupBy("bucket").applyInArrow(_meet(True), "doc long, runs binary")
+    return _by_document(marked.mapInArrow(run, _ROW), True, buckets)
 
 
-def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
+def removed(docs: DataFrame, digest: bool = False, prefix: str = "") -> DataFrame:
     """docs' rows with `n_words`, `n_removed` and what is left: the text without the words to go or, with digest, the
-    hash (sha256) of the kept words joined by spaces as `kept_sha256`.
+    hash (sha256) of the kept words joined by spaces as `kept_sha256`; the new names get the prefix.
 
     A word goes if it lies in a window of WINDOW words of its document that equals one that starts earlier: in a
     document with a smaller doc_id, or before it in the same. Windows are judged on the input. Null texts have no words
@@ -222,12 +236,12 @@ def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
     plain = source.select(F.col(doc).alias("doc"), F.col("text").cast("string").alias("text"))
     words = plain.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-words // (6 * HASHES_A_TASK)))
-    marks = runtime.written(_anchors(plain, buckets).groupBy("doc").agg(F.collect_list("runs").alias("marks")))
+    marks = runtime.written(_anchors(plain, buckets).withColumnRenamed("runs", "marks"))
     marked = plain.join(marks, "doc")
-    runs = runtime.written(_windows(marked, buckets).groupBy("doc").agg(F.collect_list("runs").alias("runs")))
+    runs = runtime.written(_windows(marked, buckets))
     name = runtime.fresh(source, "runs")
     joined = source.join(runs.select(F.col("doc").alias(doc), F.col("runs").alias(name)), doc, "left")
-    new = ["n_words", "n_removed", *(["kept_sha256"] if digest else [])]
+    new = [prefix + n for n in ("n_words", "n_removed", *(["kept_sha256"] if digest else []))]
     kept_names = [c for c in docs.columns if c.lower() not in new]
 
     def run(batches):
@@ -242,14 +256,7 @@ def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
                 for i in range(len(part)):
                     a, b = int(first[i]), int(first[i + 1])
                     n, mine = b - a, raw[offsets[i] : offsets[i + 1]]
-                    gone = np.zeros(n, bool)
-                    if gone_of[i] and n:
-                        edge = np.zeros(n + 1, np.int32)
-                        for blob in gone_of[i]:
-                            pairs = np.frombuffer(blob, "<i4").reshape(-1, 2)
-                            np.add.at(edge, pairs[:, 0], 1)
-                            np.add.at(edge, np.minimum(pairs[:, 1] + WINDOW - 1, n), -1)
-                        gone = np.cumsum(edge[:-1]) > 0
+                    gone = _flags(gone_of[i], n, WINDOW - 1)
                     count = int(gone.sum())
                     lost.append(count)
                     if digest:
@@ -275,14 +282,13 @@ def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     fields = [f for f in docs.schema.fields if f.name in kept_names]
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in fields]
-    fields += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), *([T.StructField("kept_sha256", T.StringType())] if digest else [])]
+    fields += [T.StructField(n, T.StringType() if n.endswith("sha256") else T.LongType()) for n in new]
     return joined.mapInArrow(run, T.StructType(fields))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed from text, and n_chars (if there is one) counted anew; same columns."""
-    source = docs
-    out = removed(source).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "n_removed")])
+    out = removed(docs, prefix="__repeats_")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c in out.columns])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
