@@ -6,15 +6,20 @@ space are handed to the encoder whole. A worker keeps the pieces it has met in a
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from docquarry.llm.runtime import utf8
 
 #: Distinct pieces that a worker remembers; the table starts anew beyond.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 
 _ODD = np.zeros(256, bool)
 _ODD[[i for i in range(32) if i != 10]] = True
@@ -38,8 +43,9 @@ def plain(data: np.ndarray, offsets: np.ndarray, single: bool) -> np.ndarray:
         full = offsets[:-1] < offsets[1:]
         odd[offsets[:-1][full]] |= white[offsets[:-1][full]]
         odd[offsets[1:][full] - 1] |= white[offsets[1:][full] - 1]
-    sums = np.concatenate([[0], np.cumsum(odd)])
-    return sums[offsets[1:]] == sums[offsets[:-1]]
+    out = np.ones(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = False
+    return out
 
 
 class PieceEncoder:
@@ -66,12 +72,14 @@ class PieceEncoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         found = list(map(self.known.get, pieces))
-        missing = list({p for p, ids in zip(pieces, found, strict=True) if ids is None})
-        if missing:
+        if None in found:
+            gaps = [i for i, ids in enumerate(found) if ids is None]
+            missing = list({pieces[i] for i in gaps})
             for at in range(0, len(missing), 4096):
                 some = missing[at : at + 4096]
                 self.known.update(zip(some, self.encode_pieces(some if self.words else [p if p[0] == "\n" else " " + p for p in some]), strict=True))
-            found = list(map(self.known.__getitem__, pieces))
+            for i in gaps:
+                found[i] = self.known[pieces[i]]
         out, begin = [], 0
         for i, end in enumerate(ends):
             ids = b"".join(found[begin:end])
@@ -83,19 +91,75 @@ class PieceEncoder:
         return out
 
 
-_library: dict[tuple[str, bool], PieceEncoder] = {}
+#: The split pattern of byte-level pre-tokenisers that bring none of their own.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Below this code point lower-casing, composition and character classes are the same in all libraries' tables.
+COMMON_LATIN = "\u0250"
 
 
-def library_encoder(path: str, words: bool) -> PieceEncoder:
-    """The tokenizers library's encoder for a file, one in each worker; special tokens' strings are ordinary text."""
-    if (path, words) not in _library:
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself where it is printable and
+    not a space, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
+class _WordModel:
+    """Encodes pieces word by word with the library's BPE model: its pipeline costs more than the merging itself.
+
+    Pieces with a character from COMMON_LATIN on, and files with another kind of pipeline, go through the pipeline."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.letters, self.words = self.tokenizer.model, _byte_letters(), {}
+        with open(path, encoding="utf-8") as f:
+            head = json.load(f)
+        kinds = lambda x, many: [y["type"] for y in x[many]] if x and x["type"] == "Sequence" else [x["type"]] if x else []
+        split, normal = head["pre_tokenizer"], head["normalizer"]
+        self.lower = kinds(normal, "normalizers") == ["NFC", "Replace", "Lowercase"]
+        pattern = None
+        if kinds(split, "pretokenizers") == ["ByteLevel"] and split["use_regex"] and not split["add_prefix_space"] and not normal:
+            pattern = BYTE_LEVEL_PATTERN
+        elif kinds(split, "pretokenizers") == ["Split", "ByteLevel"] and self.lower and split["pretokenizers"][0]["invert"] and not split["pretokenizers"][1]["add_prefix_space"]:
+            pattern = split["pretokenizers"][0]["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall if pattern and head["model"]["type"] == "BPE" else None
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) > REMEMBERED // 2:
+                self.words = {}
+            shown = word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(pieces)
+        rest = []
+        for i, piece in enumerate(pieces):
+            if self.find and (piece.isascii() or max(piece) < COMMON_LATIN):
+                if self.lower:
+                    piece = unicodedata.normalize("NFC", piece).lower()
+                out[i] = b"".join(map(self._word, self.find(piece)))
+            else:
+                rest.append(i)
+        if rest:
+            got = self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)
+            for i, e in zip(rest, got, strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+
+_library: dict[tuple[str, bool], PieceEncoder] = {}
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-        _library[path, words] = PieceEncoder(encode, words)
+def library_encoder(path: str, words: bool) -> PieceEncoder:
+    """The tokenizers library's encoder for a file, one in each worker; special tokens' strings are ordinary text."""
+    if (path, words) not in _library:
+        _library[path, words] = PieceEncoder(_WordModel(path), words)
     return _library[path, words]
