@@ -29,8 +29,9 @@ PATTERNS = [
     ("name", _NAME),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: What any entity has somewhere: most texts are done with after looking for this.
-HINT = rf"\d\d|@|\b(?:{_FEMALE}|{_MALE})\b|sk-|gh[pousr]_"
+#: What any entity has somewhere, so that every match of PATTERN holds one of HINT: texts without it are done with.
+#: Numbers of any kind have two digits side by side or with one separator between them; a hexadecimal secret may have none.
+HINT = rf"\d[ .-]?\d|@|\b(?:{_FEMALE}|{_MALE})\b|sk-|AKIA|gh[pousr]_|[0-9a-f]{{32}}|[0-9A-F]{{32}}"
 
 # Given names by gender and script, and syllables of family names by script.
 _GIVEN = {
