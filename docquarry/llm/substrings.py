@@ -29,6 +29,9 @@ ANCHOR_BYTES, WINDOW_BYTES = 6, 8
 #: Bytes of text whose occurrences a task gathers at once; occurrences that one task of the shuffle is meant to get.
 GATHERED_BYTES, HASHES_A_TASK = 8_000_000, 2_000_000
 
+#: The rank of a document without doc_id.
+LAST = (1 << 63) - 1
+
 _ROW = "bucket long, hashes binary, place binary, docs binary, at binary"
 
 
@@ -55,34 +58,48 @@ def _runs(docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return docs[new], np.stack([places[new], places[np.append(new[1:], True)] + 1], 1).astype("<i4")
 
 
-def _packed(hashes, docs, at, buckets, first_only):
-    """Rows of _ROW for one batch's occurrences, which are in order of (doc, place).
+def _within(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """What ranks rows of one doc_id: nothing, but rows without doc_id are documents of their own."""
+    return np.where(docs == LAST, keys, 0)
+
+
+def _later(new: np.ndarray, docs: np.ndarray, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which occurrences, in order of hash and rank, are of a later rank than their hash's first; new: those first ones."""
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    within = _within(docs, keys)
+    return (docs != docs[lead]) | (within != within[lead]) | (at != at[lead])
+
 
-    Of a hash's occurrences in the batch only the first is passed on to meet others'. The rest are repeats for sure and
-    go past as runs, without hashes; unless first_only, so does the first."""
+def _packed(hashes, docs, keys, at, buckets, first_only):
+    """Rows of _ROW for one batch's occurrences, which are distinct and in order of rank. keys: their rows' keys.
+
+    Of a hash's occurrences in the batch only the first (with those of the same rank, in other rows of its doc_id) is
+    passed on to meet others'. The rest are repeats for sure and go past as runs, without hashes; unless first_only, so
+    does the first."""
     if not len(hashes):
         return
     by = np.argsort(hashes, kind="stable")
-    hashes, docs, at = hashes[by], docs[by], at[by]
+    hashes, docs, keys, at = hashes[by], docs[by], keys[by], at[by]
     new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-    twice = np.zeros(len(hashes), bool)
-    twice[:-1] |= ~new[1:]
-    done = ~new if first_only else (~new | twice)
+    if first_only:
+        done = _later(new, docs, keys, at)
+        new = ~done
+    else:
+        done = ~new
+        done[:-1] |= ~new[1:]
     if done.any():
-        own, runs = _runs(docs[done], at[done])
+        own, runs = _runs(keys[done], at[done])
         yield -1 - int(own[0]) % buckets, None, None, own.tobytes(), runs.tobytes()
-    hashes, docs, at = hashes[new], docs[new], at[new].astype(np.uint32)
+    hashes, docs, keys, at = hashes[new], docs[new], keys[new], at[new].astype(np.uint32)
     part = (hashes % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(part, kind="stable")
-    hashes, docs, at, part = hashes[by], docs[by], at[by], part[by]
+    hashes, docs, keys, at, part = hashes[by], docs[by], keys[by], at[by], part[by]
     edges = np.searchsorted(part, np.arange(buckets + 1))
     for b in range(buckets):
         i, j = edges[b], edges[b + 1]
         if j > i:
-            mine, place = np.unique(docs[i:j], return_inverse=True)
-            yield b, (hashes[i:j] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WINDOW_BYTES if first_only else ANCHOR_BYTES].tobytes(), place.astype(np.uint16).tobytes(), mine.tobytes(), at[i:j].tobytes()
-
-
+            mine, some, place = np.unique(keys[i:j], return_index=True, return_inverse=True)
+            yield b, (hashes[i:j] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WINDOW_BYTES if first_only else ANCHOR_BYTES].tobytes(), place.astype(np.uint16).tobytes(), np.stack([docs[i:j][some], mine], 1).tobytes(), at[i:j].tobytes()
 
 
 def _meet(first_only: bool, buckets: int):
@@ -90,7 +107,7 @@ def _meet(first_only: bool, buckets: int):
     by groups of documents."""
 
     def meet(table: pa.Table) -> pa.Table:
-        owners, runs, hashes, docs, at = [np.empty(0, np.int64)], [np.empty((0, 2), "<i4")], [], [], []
+        owners, runs, hashes, docs, keys, at = [np.empty(0, np.int64)], [np.empty((0, 2), "<i4")], [], [], [], []
         for row in table.to_pylist():
             if row["hashes"] is None:
                 owners.append(np.frombuffer(row["docs"], np.int64))
@@ -100,21 +117,21 @@ def _meet(first_only: bool, buckets: int):
                 wide = np.zeros((len(raw), 8), np.uint8)
                 wide[:, : raw.shape[1]] = raw
                 hashes.append(wide.view("<u8").reshape(-1))
-                docs.append(np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["place"], np.uint16)])
+                both = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)[np.frombuffer(row["place"], np.uint16)]
+                docs.append(both[:, 0])
+                keys.append(both[:, 1])
                 at.append(np.frombuffer(row["at"], np.uint32))
         if hashes:
-            h, d, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(at).astype(np.int64)
+            h, d, k, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(keys), np.concatenate(at).astype(np.int64)
             by = np.argsort(h, kind="stable")
             new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
             by = by[~(new & np.append(new[1:], True))]
-            by = by[np.lexsort((p[by], d[by], h[by]))]
-            h, d, p = h[by], d[by], p[by]
+            by = by[np.lexsort((p[by], _within(d[by], k[by]), d[by], h[by]))]
+            h, d, k, p = h[by], d[by], k[by], p[by]
             if first_only and len(h):
-                new = np.concatenate([[True], h[1:] != h[:-1]])
-                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                later = (d > d[lead]) | (p > p[lead])
-                d, p = d[later], p[later]
-            own, more = _runs(d, p)
+                later = _later(np.concatenate([[True], h[1:] != h[:-1]]), d, k, p)
+                k, p = k[later], p[later]
+            own, more = _runs(k, p)
             owners.append(own)
             runs.append(more)
         owner, run = np.concatenate(owners), np.concatenate(runs)
@@ -137,22 +154,22 @@ def _gather(table: pa.Table) -> pa.Table:
     owner, run = owner[by], run[by]
     edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     ends = np.append(edges[1:], len(owner))
-    return pa.table({"doc": owner[edges], "runs": pa.array([run[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary())})
+    return pa.table({"key": owner[edges], "runs": pa.array([run[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary())})
 
 
 def _by_document(rows: DataFrame, first_only: bool, buckets: int) -> DataFrame:
     met = rows.groupBy("bucket").applyInArrow(_meet(first_only, buckets), "group long, docs binary, runs binary")
-    return met.groupBy("group").applyInArrow(_gather, "doc long, runs binary")
+    return met.groupBy("group").applyInArrow(_gather, "key long, runs binary")
 
 
 class _Batcher:
-    """Gathers (hash, doc, place) of slices until there is enough text, then packs them."""
+    """Gathers (hash, doc, key, place) of slices until there is enough text, then packs them."""
 
     def __init__(self, buckets: int, first_only: bool):
         self.buckets, self.first_only, self.parts, self.size, self.docs = buckets, first_only, [], 0, 0
 
-    def add(self, hashes, docs, at, size, n):
-        self.parts.append((hashes, docs, at))
+    def add(self, hashes, docs, keys, at, size, n):
+        self.parts.append((hashes, docs, keys, at))
         self.size += size
         self.docs += n
 
@@ -161,15 +178,17 @@ class _Batcher:
 
     def rows(self):
         if self.parts:
-            hashes, docs, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            hashes, docs, keys, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
             self.parts, self.size, self.docs = [], 0, 0
-            order = np.lexsort((at, docs))
-            for row in _packed(hashes[order], docs[order], at[order], self.buckets, self.first_only):
+            order = np.lexsort((keys, at, _within(docs, keys), docs))
+            again = (keys[order][1:] == keys[order][:-1]) & (at[order][1:] == at[order][:-1])
+            order = order[np.concatenate([[True], ~again])[: len(order)]]  # rows of one key have one text
+            for row in _packed(hashes[order], docs[order], keys[order], at[order], self.buckets, self.first_only):
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "hashes", "place", "docs", "at"])
 
 
 def _anchors(source: DataFrame, buckets: int) -> DataFrame:
-    """(doc, runs): the cover positions whose ANCHOR words occur at another cover position."""
+    """(key, runs): the cover positions whose ANCHOR words occur at another cover position."""
 
     def run(batches):
         gathered = _Batcher(buckets, first_only=False)
@@ -181,16 +200,16 @@ def _anchors(source: DataFrame, buckets: int) -> DataFrame:
                 own = runtime.owners(first)[: len(windows)]
                 place = np.arange(len(windows)) - first[own] if len(windows) else np.empty(0, np.int64)
                 keep = np.flatnonzero(runtime.inside(first, ANCHOR, len(windows)) & np.isin(np.arange(PERIOD), COVER)[place % PERIOD])
-                gathered.add(windows[keep], part.column("doc").to_numpy()[own[keep]], place[keep], len(data), len(part))
+                gathered.add(windows[keep], *(part.column(c).to_numpy()[own[keep]] for c in ("doc", "key")), place[keep], len(data), len(part))
                 if gathered.full():
                     yield from gathered.rows()
         yield from gathered.rows()
 
-    return _by_document(source.select("doc", "text").mapInArrow(run, _ROW), False, buckets)
+    return _by_document(source.select("doc", "key", "text").mapInArrow(run, _ROW), False, buckets)
 
 
 def _windows(marked: DataFrame, buckets: int) -> DataFrame:
-    """(doc, runs): starts of windows of WINDOW words that occur earlier. marked: (doc, text, marks), the anchors."""
+    """(key, runs): starts of windows of WINDOW words that occur earlier. marked: (doc, key, text, marks), the anchors."""
 
     def run(batches):
         gathered = _Batcher(buckets, first_only=True)
@@ -210,7 +229,7 @@ def _windows(marked: DataFrame, buckets: int) -> DataFrame:
                 has = sums[PERIOD : PERIOD + len(windows)] > sums[: len(windows)]
                 keep = np.flatnonzero(has & runtime.inside(first, WINDOW, len(windows)))
                 own = runtime.owners(first)[keep]
-                gathered.add(windows[keep], part.column("doc").to_numpy()[own], keep - first[own], len(data), len(part))
+                gathered.add(windows[keep], *(part.column(c).to_numpy()[own] for c in ("doc", "key")), keep - first[own], len(data), len(part))
                 if gathered.full():
                     yield from gathered.rows()
         yield from gathered.rows()
@@ -224,23 +243,26 @@ def removed(docs: DataFrame, digest: bool = False, prefix: str = "") -> DataFram
 
     A word goes if it lies in a window of WINDOW words of its document that equals one that starts earlier: in a
     document with a smaller doc_id, or before it in the same. Windows are judged on the input. Null texts have no words
-    (and stay null); a null doc_id is later than all others. Rows that repeat a doc_id: equal places are of one rank, so
-    none goes for the other's sake. Kept stretches of a text keep their white space; the gap of a removed stretch
+    (and stay null). Rows that repeat a doc_id: equal places are of one rank, so none goes for the other's sake. Rows
+    without doc_id are later than all others, and of different texts each a document of its own, in order of a hash of
+    the text; those of equal texts are one document. A row's words go by its own text's windows alone. Kept stretches of a text keep their white space; the gap of a removed stretch
     becomes the white space before what follows. An empty table gives an empty result; texts are read whole.
 
     Shuffled are the texts once, by document, beside hashes: a fixed share of the words, and those of repeats."""
     spark = docs.sparkSession
     runtime.ship(spark)
-    doc = runtime.fresh(docs, "doc")
-    source = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    plain = source.select(F.col(doc).alias("doc"), F.col("text").cast("string").alias("text"))
+    key = runtime.fresh(docs, "key")
+    rank, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.col("text").cast("string")
+    # of the row's values, not of its place in the table: it is the same in every scan
+    source = docs.withColumn(key, F.xxhash64(rank, text))
+    plain = source.select(rank.alias("doc"), F.col(key).alias("key"), text.alias("text"))
     words = plain.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-words // (6 * HASHES_A_TASK)))
     marks = runtime.written(_anchors(plain, buckets).withColumnRenamed("runs", "marks"))
-    marked = plain.join(marks, "doc")
+    marked = plain.join(marks, "key")
     runs = runtime.written(_windows(marked, buckets))
     name = runtime.fresh(source, "runs")
-    joined = source.join(runs.select(F.col("doc").alias(doc), F.col("runs").alias(name)), doc, "left")
+    joined = source.join(runs.select(F.col("key").alias(key), F.col("runs").alias(name)), key, "left")
     new = [prefix + n for n in ("n_words", "n_removed", *(["kept_sha256"] if digest else []))]
     kept_names = [c for c in docs.columns if c.lower() not in new]
 

@@ -274,3 +274,15 @@ def test_each_kind_of_entity_alone_in_a_text(spark):
         assert got[i]["n_entities"] == 1 and v not in got[i]["text"], v
     assert got[7]["text"].split()[1] == got[100]["text"].split()[1]
     assert got[101]["n_entities"] == 0 and got[101]["text"] == rows[-1][1]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_passages_of_rows_that_share_an_id(spark, parts):
+    other = " ".join(f"other{i}" for i in range(70))
+    rows = [(1, PASSAGE), (1, PASSAGE), (2, other + " " + PASSAGE), (2, PASSAGE + " end"), (None, "so " + other), (None, "a short one"), (None, " ".join(f"new{i}" for i in range(30))), (None, " ".join(f"new{i}" for i in range(30)) + " x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts) if parts > 1 else spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in substrings.removed(table).collect())
+    assert [t for d, t in left if d == 1] == [PASSAGE, PASSAGE]
+    assert [t for d, t in left if d == 2] == ["end", other]
+    # of the two texts of new words the one whose hash comes first keeps them
+    assert [t for d, t in left if d == 0] in ([*sorted(["a short one", "so", "", rows[7][1]])], [*sorted(["a short one", "so", "x", rows[6][1]])])
