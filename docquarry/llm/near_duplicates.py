@@ -4,10 +4,13 @@ A document's set of word shingles has SIDE left and SIDE right keys, each of ROW
 and a right key, so SIDE^2 tables of 2 * ROWS minhashes each cost only 2 * SIDE * ROWS minhash computations. Documents
 with the same set are one class from the start, and only classes' representatives are hashed. In each bucket of each
 table, members are paired with one centre; pairs are confirmed on full sets; confirmed links make components. Buckets in
-which several components remain get another centre and another round, until a round links nothing new.
+which several components remain get other centres and another round, until a round links nothing new. In the last round
+all pairs of different components that share a bucket are compared: so every pair that shares one is settled.
 
-A bucket is first gathered inside a task, where it is cut down to its centre, and only centres meet in the shuffle; so
-what is shuffled for a key is at most one row for each task, however large the bucket."""
+In rounds with centres a bucket is first gathered inside a task, where it is cut down to its centres, and only centres
+meet in the shuffle. After the first round pairs are compared by size and by odd sketches before they become candidates.
+An odd sketch has one bit for each class of shingles, whether the set has an odd number of them: two sketches differ in
+no more bits than the sets have shingles that only one has, so no link is lost."""
 
 from __future__ import annotations
 
@@ -77,6 +80,29 @@ def sketch(hashes: np.ndarray, first: np.ndarray, settings: Settings) -> np.ndar
     return runtime.mix(keys)
 
 
+#: Words of 64 bits in an odd sketch.
+ODD = 8
+
+
+def _marks(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(sets, ODD + 1): the odd sketch of each set, and its size."""
+    n = np.diff(first)
+    width = 64 * ODD
+    bits = (runtime.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(np.repeat(np.arange(len(n)), n) * width + bits, minlength=len(n) * width) & 1).astype(np.uint8)
+    words = np.packbits(odd.reshape(len(n), width), axis=1).view(np.uint64) if len(n) else np.empty((0, ODD), np.uint64)
+    return np.concatenate([words, n.astype(np.uint64)[:, None]], 1)
+
+
+def _may_link(marks: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (a, b) of rows of marks can be similar enough; those that can't surely aren't."""
+    n, m = marks[a, ODD].astype(np.int64), marks[b, ODD].astype(np.int64)
+    differ = np.zeros(len(a), np.int64)
+    for j in range(ODD):
+        differ += np.bitwise_count(marks[a, j] ^ marks[b, j])
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
 def _set_digest(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each set (sums of scrambled members: the order doesn't matter)."""
     with np.errstate(over="ignore"):
@@ -87,7 +113,7 @@ def _set_digest(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _digests(docs: DataFrame, settings: Settings) -> DataFrame:
-    """docs' doc_id with n_shingles, a 128-bit digest of the set, and the keys."""
+    """docs' doc_id with n_shingles, a 128-bit digest of the set, and the keys with the marks behind them."""
 
     def run(batches):
         for batch in batches:
@@ -99,7 +125,8 @@ def _digests(docs: DataFrame, settings: Settings) -> DataFrame:
                 keys = np.zeros((len(n), 2 * settings.side), np.uint64)
                 if len(full):
                     keys[full] = sketch(hashes, np.append(first[:-1][full], first[-1]), settings)
-                blob = [keys[i].tobytes() if n[i] else None for i in range(len(n))]
+                both = np.concatenate([keys, _marks(hashes, first)], 1)
+                blob = [both[i].tobytes() if n[i] else None for i in range(len(n))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(blob, pa.binary())], names=["doc_id", "n_shingles", "low", "high", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, low long, high long, keys binary")
@@ -110,7 +137,7 @@ LATER_CENTRES = 12
 #: Documents whose buckets a task gathers at once; keys that one task of the shuffle is meant to get.
 GATHERED, KEYS_A_TASK = 8_000, 1_500_000
 
-_PACKED = "bucket long, keys binary, place binary, docs binary, components binary"
+_PACKED = "bucket long, keys binary, place binary, docs binary, components binary, marks binary"
 
 
 def _paired(keys: np.ndarray, comps: np.ndarray, centres: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,15 +155,31 @@ def _paired(keys: np.ndarray, comps: np.ndarray, centres: int) -> tuple[np.ndarr
     return np.concatenate(members), np.concatenate(leads), place
 
 
-def _packed(sketched: DataFrame, settings: Settings, salt: int, buckets: int) -> DataFrame:
+def _all_paired(keys: np.ndarray, comps: np.ndarray, marks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys: all (later, earlier) places of one run, of different components, that may link."""
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    place = np.arange(len(keys)) - np.repeat(start, np.diff(np.append(start, len(keys))))
+    at, apart = np.flatnonzero(place > 0), 1
+    later, earlier = [at[:0]], [at[:0]]
+    while len(at):
+        some = at[comps[at] != comps[at - apart]]
+        some = some[_may_link(marks, some, some - apart, percent)]
+        later.append(some)
+        earlier.append(some - apart)
+        apart += 1
+        at = at[place[at] >= apart]
+    return np.concatenate(later), np.concatenate(earlier)
+
+
+def _packed(sketched: DataFrame, settings: Settings, salt: int, buckets: int, centres: int | None) -> DataFrame:
     """Table keys of (doc_id, keys, component) rows, gathered by task and packed by bucket.
 
     A row with keys: sorted keys, for each the place of its centre in docs. One without keys: pairs, in docs the members
-    and in components the centres."""
-    side, centres = settings.side, 1 if not salt else LATER_CENTRES
+    and in components the centres. Without centres all keys are passed on."""
+    side = settings.side
     table = runtime._stream(33, side * side)
 
-    def rows(doc, comp, keys):
+    def rows(doc, comp, keys, marks):
         if not len(doc):
             return
         with np.errstate(over="ignore"):
@@ -146,12 +189,15 @@ def _packed(sketched: DataFrame, settings: Settings, salt: int, buckets: int) ->
         owner = np.repeat(np.arange(len(doc), dtype=np.int32), side * side)
         by = np.argsort(grid, kind="stable")  # the documents are in order of rank: a run's first is its centre
         grid, owner = grid[by], owner[by]
-        member, centre, place = _paired(grid, comp[owner], centres)
-        heads = np.flatnonzero(place < centres)
-        pairs = np.unique(owner[member].astype(np.int64) * len(doc) + owner[centre])
-        if len(pairs):
-            yield -1 - int(doc[0]) % buckets, None, None, doc[pairs // len(doc)].tobytes(), doc[pairs % len(doc)].tobytes()
-        grid, owner = grid[heads], owner[heads]
+        if centres is not None:
+            member, centre, place = _paired(grid, comp[owner], centres)
+            heads = np.flatnonzero(place < centres)
+            pairs = np.unique(owner[member].astype(np.int64) * len(doc) + owner[centre])
+            if salt:
+                pairs = pairs[_may_link(marks, pairs // len(doc), pairs % len(doc), settings.percent)]
+            if len(pairs):
+                yield -1 - int(doc[0]) % buckets, None, None, doc[pairs // len(doc)].tobytes(), doc[pairs % len(doc)].tobytes(), None
+            grid, owner = grid[heads], owner[heads]
         part = (grid % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(part, kind="stable")
         grid, owner, part = grid[by], owner[by], part[by]
@@ -160,18 +206,18 @@ def _packed(sketched: DataFrame, settings: Settings, salt: int, buckets: int) ->
             i, j = edges[b], edges[b + 1]
             if j > i:
                 mine, place = np.unique(owner[i:j], return_inverse=True)
-                yield b, grid[i:j].tobytes(), place.astype(np.uint16).tobytes(), doc[mine].tobytes(), comp[mine].tobytes()
+                yield b, grid[i:j].tobytes(), place.astype(np.uint16).tobytes(), doc[mine].tobytes(), comp[mine].tobytes(), marks[mine].tobytes() if salt else None
 
     def run(batches):
         for batch in batches:
             doc = batch.column("doc_id").to_numpy()
             comp = batch.column("component").to_numpy()
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(-1, 2 * side)
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(-1, 2 * side + ODD + 1)
             for at in range(0, len(doc), GATHERED):
                 some = slice(at, at + GATHERED)
                 order = np.argsort(_rank(doc[some], salt), kind="stable")
-                for row in rows(doc[some][order], comp[some][order], keys[some][order]):
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "keys", "place", "docs", "components"])
+                for row in rows(doc[some][order], comp[some][order], keys[some, : 2 * side][order], keys[some, 2 * side :][order]):
+                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "keys", "place", "docs", "components", "marks"])
 
     return sketched.select("doc_id", "keys", "component").mapInArrow(run, _PACKED)
 
@@ -181,13 +227,12 @@ def _rank(doc: np.ndarray, salt: int) -> np.ndarray:
     return doc if not salt else runtime.mix(doc.astype(np.uint64) ^ runtime._stream(34, salt)[-1])
 
 
-def _candidates(sketched: DataFrame, settings: Settings, salt: int, buckets: int) -> DataFrame:
-    """Distinct pairs (a, b) of documents in different components that share a bucket of which b is a centre."""
-
-    centres_a_bucket = 1 if not salt else LATER_CENTRES
+def _candidates(sketched: DataFrame, settings: Settings, salt: int, buckets: int, centres_a_bucket: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of documents in different components that share a bucket of which b is a centre; without
+    centres, all such pairs in one order. After the first round without those that can't link."""
 
     def meet(table: pa.Table) -> pa.Table:
-        members, centres, keys, docs, comps = [], [], [], [], []
+        members, centres, keys, docs, comps, marks = [], [], [], [], [], []
         for row in table.to_pylist():
             if row["keys"] is None:
                 members.append(np.frombuffer(row["docs"], np.int64))
@@ -197,25 +242,34 @@ def _candidates(sketched: DataFrame, settings: Settings, salt: int, buckets: int
                 keys.append(np.frombuffer(row["keys"], np.uint64))
                 docs.append(np.frombuffer(row["docs"], np.int64)[place])
                 comps.append(np.frombuffer(row["components"], np.int64)[place])
-        if len(keys) > 1:
+                if salt:
+                    marks.append(np.frombuffer(row["marks"], np.uint64).reshape(-1, ODD + 1)[place])
+        if len(keys) > 1 or keys and centres_a_bucket is None:
             key, doc, comp = np.concatenate(keys), np.concatenate(docs), np.concatenate(comps)
             by = np.argsort(key, kind="stable")
             shared = np.zeros(len(key), bool)
             same = key[by][1:] == key[by][:-1]
             shared[1:] |= same
             shared[:-1] |= same
-            by = by[shared]  # the few keys that several tasks have
+            by = by[shared]  # the few keys that several tasks have (without centres: that several documents have)
             by = by[np.lexsort((_rank(doc[by], salt), key[by]))]
             key, doc, comp = key[by], doc[by], comp[by]
             if len(key):
-                member, centre, _ = _paired(key, comp, centres_a_bucket)
+                mark = np.concatenate(marks)[by] if salt else None
+                if centres_a_bucket is None:
+                    member, centre = _all_paired(key, comp, mark, settings.percent)
+                else:
+                    member, centre, _ = _paired(key, comp, centres_a_bucket)
+                    if salt:
+                        may = _may_link(mark, member, centre, settings.percent)
+                        member, centre = member[may], centre[may]
                 pairs = np.unique(np.stack([doc[member], doc[centre]], 1), axis=0)
                 members.append(pairs[:, 0])
                 centres.append(pairs[:, 1])
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return pa.table({"a": join(members), "b": join(centres)})
 
-    packed = _packed(sketched, settings, salt, buckets)
+    packed = _packed(sketched, settings, salt, buckets, centres_a_bucket)
     return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -274,31 +328,39 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     reps = linked.select("doc_id", "keys", "low", "high", "n_shingles").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "low", "high", "n_shingles"], "left_semi")
     reps = runtime.written(reps.groupBy("doc_id", "low", "high").agg(F.first("keys").alias("keys")).select("doc_id", "keys"))
     buckets = max(1, -(-reps.count() * settings.side**2 // KEYS_A_TASK))
-    edges, found, tested, known, salt = None, None, None, None, 0
+    edges, found, tested, known, met, salt, last = None, None, None, None, None, 0, False
     now = reps.withColumn("component", F.col("doc_id"))
-    unsettled = None
     while True:
-        pairs = _candidates(now, settings, salt, buckets)
+        pairs = _candidates(now, settings, salt, buckets, None if last else LATER_CENTRES if salt else 1)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = runtime.written(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         # later rounds see no document that the first round's pairs didn't have
         known = _sets(docs, pairs, settings) if known is None else known
+        met = pairs if met is None else met
         links = runtime.written(_confirmed(pairs, known, settings))
-        if links.isEmpty():
+        nothing = links.isEmpty()
+        if not nothing:
+            edges = links if edges is None else edges.unionByName(links)
+            found = runtime.written(components(edges))
+        if last:
             break
-        edges = links if edges is None else edges.unionByName(links)
-        found = runtime.written(components(edges))
-        salt += 1
-        # only components that met another one without a link can still be linked
-        of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias("c" + side))  # noqa: B023, E731
-        met = pairs.select("a", "b") if unsettled is None else unsettled.unionByName(pairs.select("a", "b"))
-        met = met.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).filter("x <> y")
-        unsettled = runtime.written(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        salt, last = salt + 1, nothing
+        # the first round's pairs lead from each of a bucket's documents to all others: while it has several components,
+        # each of them has a document in a pair with another component's
+        x, y = F.col("a"), F.col("b")
+        if found is not None:
+            of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias("c" + side))  # noqa: B023, E731
+            met_now, x, y = met.join(of("a"), "a", "left").join(of("b"), "b", "left"), F.coalesce("ca", "a"), F.coalesce("cb", "b")
+            placed = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        else:
+            met_now, placed = met, now
+        unsettled = runtime.written(met_now.select(x.alias("a"), y.alias("b")).filter("a <> b").distinct())
         open_ones = unsettled.select(F.col("a").alias("component")).unionAll(unsettled.select("b")).distinct()
-        placed = now.drop("component").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         now = runtime.written(placed.join(open_ones, "component", "left_semi").select("doc_id", "keys", "component"))
+        if now.isEmpty():
+            break
     out = digests.join(classes, ["low", "high", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     if found is not None:
         out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))

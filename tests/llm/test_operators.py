@@ -286,3 +286,14 @@ def test_repeated_passages_of_rows_that_share_an_id(spark, parts):
     assert [t for d, t in left if d == 2] == ["end", other]
     # of the two texts of new words the one whose hash comes first keeps them
     assert [t for d, t in left if d == 0] in ([*sorted(["a short one", "so", "", rows[7][1]])], [*sorted(["a short one", "so", "x", rows[6][1]])])
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_near_duplicates_behind_many_centres_that_link_to_nothing(spark, parts):
+    core = " ".join(f"c{i}" for i in range(200))
+    texts = {i: core + " " + " ".join(f"e{i}x{j}" for j in range(64)) for i in range(60)}
+    texts |= {100: core + " x", 101: core + " y"}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = near_duplicates.groups(table if parts == 1 else table.repartition(parts), near_duplicates.Settings(shingle=2, rows=1, side=2)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_groups(texts, 2)[0]
+    assert {r["component_id"] for r in got if r["doc_id"] >= 100} == {100}
