@@ -297,3 +297,14 @@ def test_near_duplicates_behind_many_centres_that_link_to_nothing(spark, parts):
     got = near_duplicates.groups(table if parts == 1 else table.repartition(parts), near_duplicates.Settings(shingle=2, rows=1, side=2)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_groups(texts, 2)[0]
     assert {r["component_id"] for r in got if r["doc_id"] >= 100} == {100}
+
+
+@pytest.mark.parametrize("percent", [10, 30])
+def test_much_junk_of_one_language_is_rejected(spark, percent):
+    draw = np.random.default_rng(5)
+    words = ["".join(draw.choice(list("aeioutnsrl"), 2 + i % 6)) for i in range(200)]
+    clean = [(i, " ".join(draw.choice(words, 80)), "en") for i in range(300)]
+    junk = [(1000 + i, " ".join("".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz0#.,"), 7)) for _ in range(60)), "en") for i in range(300 * percent // (100 - percent))]
+    got = quality.judged(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 1000)
+    assert np.mean([r["kept"] for r in got if r["doc_id"] < 1000]) > 0.95
