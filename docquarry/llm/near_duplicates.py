@@ -2,22 +2,24 @@
 
 A document's set of word shingles has SIDE left and SIDE right keys, each of ROWS minhashes. A table is a pair of a left
 and a right key, so SIDE^2 tables of 2 * ROWS minhashes each cost only 2 * SIDE * ROWS minhash computations. Documents
-with the same set are one class from the start, and only classes' representatives are hashed. In each bucket of each
-table, members are paired with one centre; pairs are confirmed on full sets; confirmed links make components. Buckets in
-which several components remain get other centres and another round, until a round links nothing new. In the last round
-all pairs of different components that share a bucket are compared: so every pair that shares one is settled.
+with the same set are one class from the start, and only one of each class is hashed.
 
-In rounds with centres a bucket is first gathered inside a task, where it is cut down to its centres, and only centres
-meet in the shuffle. After the first round pairs are compared by size and by odd sketches before they become candidates.
-An odd sketch has one bit for each class of shingles, whether the set has an odd number of them: two sketches differ in
-no more bits than the sets have shingles that only one has, so no link is lost."""
+First, in each bucket of each table, every member is paired with the bucket's first: a bucket is cut down to one member
+inside a task before it is shuffled, so no key has more rows than there are tasks. Pairs are confirmed on full sets and
+confirmed links make components. Then every pair of different components that shares a bucket is compared, so that each
+pair that shares one is settled; a crowded bucket is dealt out in blocks, of which each two meet
+in a task of their own. What is compared there are odd sketches, and only pairs that may be links become rows: an odd
+sketch has one bit for each class of shingles, whether the set has an odd number of them. Two sketches differ in no more
+bits than the sets have shingles that only one has, so no link is lost."""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,17 @@ from docquarry.llm.components import components
 
 @dataclass(frozen=True)
 class Settings:
-    """shingle: words in one; percent: least similarity (intersection over union) of a link; fold: A-Z count as a-z."""
+    """shingle: words in one; percent: least similarity (intersection over union) of a link; fold: A-Z count as a-z.
+
+    rows: minhashes of a key; side: keys of either side; crowded: members of a bucket from which on it is compared in
+    blocks of about so many."""
 
     shingle: int = 5
     percent: int = 80
     fold: bool = True
     rows: int = 3
     side: int = 14
+    crowded: int = 4096
 
     def missed(self, similarity: float) -> float:
         """The chance that no table has both of two documents of this similarity."""
@@ -80,219 +86,278 @@ def sketch(hashes: np.ndarray, first: np.ndarray, settings: Settings) -> np.ndar
     return runtime.mix(keys)
 
 
-#: Words of 64 bits in an odd sketch.
-ODD = 8
-
-
-def _marks(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(sets, ODD + 1): the odd sketch of each set, and its size."""
-    n = np.diff(first)
-    width = 64 * ODD
-    bits = (runtime.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(width)).astype(np.int64)
-    odd = (np.bincount(np.repeat(np.arange(len(n)), n) * width + bits, minlength=len(n) * width) & 1).astype(np.uint8)
-    words = np.packbits(odd.reshape(len(n), width), axis=1).view(np.uint64) if len(n) else np.empty((0, ODD), np.uint64)
-    return np.concatenate([words, n.astype(np.uint64)[:, None]], 1)
-
-
-def _may_link(marks: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs (a, b) of rows of marks can be similar enough; those that can't surely aren't."""
-    n, m = marks[a, ODD].astype(np.int64), marks[b, ODD].astype(np.int64)
-    differ = np.zeros(len(a), np.int64)
-    for j in range(ODD):
-        differ += np.bitwise_count(marks[a, j] ^ marks[b, j])
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
-
-
-def _set_digest(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set (sums of scrambled members: the order doesn't matter)."""
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(runtime.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-        more = np.concatenate([np.zeros(1, np.uint64), np.cumsum(runtime.mix(hashes + np.uint64(0x14057B7EF767814F)), dtype=np.uint64)])
-        low, high = sums[first[1:]] - sums[first[:-1]], more[first[1:]] - more[first[:-1]]
-        return low, high
+def _odd_sketch(hashes: np.ndarray) -> bytes:
+    """The odd sketch of a set: at least two bits for each member, a power of two and 512 or more."""
+    width = max(512, 1 << (2 * len(hashes) - 1).bit_length())
+    bits = (runtime.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class _Sketches:
+    """Sizes and odd sketches of sets, compared by pairs of their places."""
+
+    def __init__(self, blobs: list[bytes]):
+        """blobs: of each set its size as 8 bytes, then its odd sketch."""
+        data = np.frombuffer(b"".join(blobs), np.uint64)
+        ends = np.cumsum([len(x) // 8 for x in blobs], dtype=np.int64)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        self.size = data[begins].astype(np.int64) if len(blobs) else np.empty(0, np.int64)
+        self.words = ends - begins - 1
+        self.place = np.zeros(len(blobs), np.int64)
+        self.of_width = {}
+        for w in np.unique(self.words).tolist():
+            mine = np.flatnonzero(self.words == w)
+            self.place[mine] = np.arange(len(mine))
+            self.of_width[w] = data[begins[mine][:, None] + 1 + np.arange(w)]
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the pairs can be similar enough; those that can't surely aren't."""
+        n, m = self.size[a], self.size[b]
+        may = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        at = np.flatnonzero(may)
+        narrow = np.minimum(self.words[a[at]], self.words[b[at]])
+        for w in np.unique(narrow).tolist():
+            mine = at[narrow == w]
+            step = max(1, 4_000_000 // w)
+            for i in range(0, len(mine), step):
+                some = mine[i : i + step]
+                differ = np.bitwise_count(self._rows(a[some], w) ^ self._rows(b[some], w)).sum(1, dtype=np.int64)
+                may[some] = (100 + percent) * differ <= (100 - percent) * (n[some] + m[some])
+        return may
+
+    def _rows(self, which: np.ndarray, w: int) -> np.ndarray:
+        """Sketches folded to w words: the halves of a sketch, one on the other, are the sketch of half the width."""
+        out, own = np.empty((len(which), w), np.uint64), self.words[which]
+        for width in np.unique(own).tolist():
+            mine = own == width
+            rows = self.of_width[width][self.place[which[mine]]]
+            while rows.shape[1] > w:
+                rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+            out[mine] = rows
+        return out
 
 
 def _digests(docs: DataFrame, settings: Settings) -> DataFrame:
-    """docs' doc_id with n_shingles, a 128-bit digest of the set, and the keys with the marks behind them."""
+    """docs' doc_id with n_shingles, the 128-bit digest of the set, its keys, and its size and odd sketch."""
 
     def run(batches):
         for batch in batches:
             for part in runtime.steps(batch, "text"):
                 hashes, first = shingles(part.column("text"), settings)
-                low, high = _set_digest(hashes, first)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
-                keys = np.zeros((len(n), 2 * settings.side), np.uint64)
-                if len(full):
-                    keys[full] = sketch(hashes, np.append(first[:-1][full], first[-1]), settings)
-                both = np.concatenate([keys, _marks(hashes, first)], 1)
-                blob = [both[i].tobytes() if n[i] else None for i in range(len(n))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(blob, pa.binary())], names=["doc_id", "n_shingles", "low", "high", "keys"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, low long, high long, keys binary")
-
-
-#: Centres of a bucket in rounds after the first, which see few documents.
-LATER_CENTRES = 12
-#: Documents whose buckets a task gathers at once; keys that one task of the shuffle is meant to get.
-GATHERED, KEYS_A_TASK = 8_000, 1_500_000
-
-_PACKED = "bucket long, keys binary, place binary, docs binary, components binary, marks binary"
-
-
-def _paired(keys: np.ndarray, comps: np.ndarray, centres: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted keys: (member, centre) places where a member is in another component than one of the first `centres`
-    of its run, and each place's number within its run."""
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    begin = np.repeat(start, np.diff(np.append(start, len(keys))))
-    place = np.arange(len(keys)) - begin
-    members, leads = [], []
-    for j in range(centres):
-        at = np.flatnonzero(place > j)
-        at = at[comps[at] != comps[begin[at] + j]]
-        members.append(at)
-        leads.append(begin[at] + j)
-    return np.concatenate(members), np.concatenate(leads), place
-
-
-def _all_paired(keys: np.ndarray, comps: np.ndarray, marks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: all (later, earlier) places of one run, of different components, that may link."""
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    place = np.arange(len(keys)) - np.repeat(start, np.diff(np.append(start, len(keys))))
-    at, apart = np.flatnonzero(place > 0), 1
-    later, earlier = [at[:0]], [at[:0]]
-    while len(at):
-        some = at[comps[at] != comps[at - apart]]
-        some = some[_may_link(marks, some, some - apart, percent)]
-        later.append(some)
-        earlier.append(some - apart)
-        apart += 1
-        at = at[place[at] >= apart]
-    return np.concatenate(later), np.concatenate(earlier)
+                keys = sketch(hashes, np.append(first[:-1][full], first[-1]), settings) if len(full) else None
+                blobs, marks, digests = [None] * len(n), [None] * len(n), np.zeros((len(n), 2), np.int64)
+                for k, i in enumerate(full.tolist()):
+                    own = hashes[first[i] : first[i + 1]]
+                    blobs[i] = keys[k].tobytes()
+                    marks[i] = np.uint64(len(own)).tobytes() + _odd_sketch(own)
+                    digests[i] = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+                columns = [part.column("doc_id"), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "low", "high", "keys", "marks"])
 
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, low long, high long, keys binary, marks binary")
 
-def _packed(sketched: DataFrame, settings: Settings, salt: int, buckets: int, centres: int | None) -> DataFrame:
-    """Table keys of (doc_id, keys, component) rows, gathered by task and packed by bucket.
 
-    A row with keys: sorted keys, for each the place of its centre in docs. One without keys: pairs, in docs the members
-    and in components the centres. Without centres all keys are passed on."""
-    side = settings.side
-    table = runtime._stream(33, side * side)
+#: Nodes whose buckets a task gathers at once (a power of two); keys that one task of the shuffle is meant to get.
+GATHERED, KEYS_A_TASK = 1 << 13, 1_500_000
+#: Parts into which rows of one set are dealt before their class is found.
+SALTS = 64
+
+_PACKED = "bucket long, gather long, keys binary, place binary, counts binary, nodes binary, others binary, marks binary, sizes binary"
+_MET = "a long, b long, gather long, key long, blocks int"
+
 
-    def rows(doc, comp, keys, marks):
-        if not len(doc):
-            return
-        with np.errstate(over="ignore"):
-            left = np.repeat(keys[:, :side], side, axis=1)
-            right = np.tile(keys[:, side:], (1, side))
-            grid = runtime.mix(left * np.uint64(0x9E3779B97F4A7C15) + right + table).reshape(-1)
-        owner = np.repeat(np.arange(len(doc), dtype=np.int32), side * side)
-        by = np.argsort(grid, kind="stable")  # the documents are in order of rank: a run's first is its centre
+def _grid(keys: np.ndarray, side: int) -> np.ndarray:
+    """(nodes, side^2) table keys."""
+    table = runtime._stream(33, side * side)
+    with np.errstate(over="ignore"):
+        left = np.repeat(keys[:, :side], side, axis=1)
+        return runtime.mix(left * np.uint64(0x9E3779B97F4A7C15) + np.tile(keys[:, side:], (1, side)) + table)
+
+
+def _run_starts(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
+def _by_bucket(gather: int, keys: np.ndarray, owner: np.ndarray, nodes: np.ndarray, buckets: int, counts: np.ndarray | None = None, comps: np.ndarray | None = None, marks: list[bytes] | None = None):
+    """Rows of _PACKED: keys by bucket, with the places of their owners in nodes; counts belong to keys, components and
+    marks to nodes."""
+    part = (keys % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    keys, owner, part = keys[by], owner[by], part[by]
+    counts = counts[by].astype(np.uint16) if counts is not None else None
+    edges = np.searchsorted(part, np.arange(buckets + 1))
+    for b in range(buckets):
+        i, j = edges[b], edges[b + 1]
+        if j > i:
+            mine, place = np.unique(owner[i:j], return_inverse=True)
+            blobs = [marks[k] for k in mine.tolist()] if marks is not None else []
+            yield b, gather, keys[i:j].tobytes(), place.astype(np.uint16).tobytes(), None if counts is None else counts[i:j].tobytes(), nodes[mine].tobytes(), None if comps is None else comps[mine].tobytes(), b"".join(blobs), np.array([len(x) for x in blobs], np.uint32).tobytes()
+
+
+def _batch(row) -> pa.RecordBatch:
+    names = [x.split()[0] for x in _PACKED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[2:])], names=names)
+
+
+def _unpacked(table: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
+    """The keys of all rows and the places of their nodes, then the columns of kinds, one after the other."""
+    blobs = lambda name: [x for x in table.column(name).to_pylist() if x is not None]
+    whole = lambda name, kind: np.frombuffer(b"".join(blobs(name)), kind)
+    sizes = np.array([len(x) // 8 for x in blobs("nodes")], np.int64)
+    many = np.array([len(x) // 8 for x in blobs("keys")], np.int64)
+    place = whole("place", np.uint16).astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, many)
+    return [whole("keys", np.uint64), place, *(whole(name, kind) for name, kind in kinds.items()), many]
+
+
+def _stars(reps: DataFrame, settings: Settings, buckets: int) -> DataFrame:
+    """Rows of _MET. With a and b: of each bucket's members, each but the first is in a pair with an earlier one, such
+    that the pairs connect them all. With key: that the gather has members of a bucket that is to be compared in so many
+    blocks."""
+
+    def gathered(gather, nodes, keys):
+        by = np.argsort(nodes, kind="stable")  # a run's first is its smallest node
+        nodes, keys = nodes[by], keys[by]
+        grid = _grid(keys, settings.side).reshape(-1)
+        owner = np.repeat(np.arange(len(nodes)), settings.side**2)
+        by = np.argsort(grid, kind="stable")
         grid, owner = grid[by], owner[by]
-        if centres is not None:
-            member, centre, place = _paired(grid, comp[owner], centres)
-            heads = np.flatnonzero(place < centres)
-            pairs = np.unique(owner[member].astype(np.int64) * len(doc) + owner[centre])
-            if salt:
-                pairs = pairs[_may_link(marks, pairs // len(doc), pairs % len(doc), settings.percent)]
-            if len(pairs):
-                yield -1 - int(doc[0]) % buckets, None, None, doc[pairs // len(doc)].tobytes(), doc[pairs % len(doc)].tobytes(), None
-            grid, owner = grid[heads], owner[heads]
-        part = (grid % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        grid, owner, part = grid[by], owner[by], part[by]
-        edges = np.searchsorted(part, np.arange(buckets + 1))
-        for b in range(buckets):
-            i, j = edges[b], edges[b + 1]
-            if j > i:
-                mine, place = np.unique(owner[i:j], return_inverse=True)
-                yield b, grid[i:j].tobytes(), place.astype(np.uint16).tobytes(), doc[mine].tobytes(), comp[mine].tobytes(), marks[mine].tobytes() if salt else None
+        start = _run_starts(grid)
+        count = np.diff(np.append(start, len(grid)))
+        lead = np.repeat(owner[start], count)
+        later = np.flatnonzero(lead != owner)
+        pairs = np.unique(owner[later] * len(nodes) + lead[later])
+        if len(pairs):
+            yield -1 - gather % buckets, gather, None, None, None, nodes[pairs // len(nodes)].tobytes(), nodes[pairs % len(nodes)].tobytes(), None, None
+        yield from _by_bucket(gather, grid[start], owner[start], nodes, buckets, counts=count)
 
     def run(batches):
         for batch in batches:
-            doc = batch.column("doc_id").to_numpy()
-            comp = batch.column("component").to_numpy()
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(-1, 2 * side + ODD + 1)
-            for at in range(0, len(doc), GATHERED):
-                some = slice(at, at + GATHERED)
-                order = np.argsort(_rank(doc[some], salt), kind="stable")
-                for row in rows(doc[some][order], comp[some][order], keys[some, : 2 * side][order], keys[some, 2 * side :][order]):
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "keys", "place", "docs", "components", "marks"])
-
-    return sketched.select("doc_id", "keys", "component").mapInArrow(run, _PACKED)
+            gather, nodes = batch.column("gather").to_numpy(), batch.column("node").to_numpy()
+            edges = [*_run_starts(gather).tolist(), len(gather)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                keys = np.frombuffer(b"".join(batch.column("keys")[i:j].to_pylist()), np.uint64).reshape(j - i, -1)
+                for row in gathered(int(gather[i]), nodes[i:j], keys):
+                    yield _batch(row)
 
+    def meet(table: pa.Table) -> pa.Table:
+        plain = pc.is_null(table.column("keys"))
+        pairs = table.filter(plain)
+        a, b = ([np.frombuffer(x, np.int64) for x in pairs.column(c).to_pylist()] for c in ("nodes", "others"))
+        table = table.filter(pc.invert(plain))
+        keys, place, counts, nodes, many = _unpacked(table, {"counts": np.uint16, "nodes": np.int64})
+        member, gather = nodes[place], np.repeat(table.column("gather").to_numpy(), many)
+        by = np.lexsort((member, keys))
+        keys, member = keys[by], member[by]
+        start = _run_starts(keys)
+        length = np.diff(np.append(start, len(keys)))
+        lead = np.repeat(member[start], length)
+        later = np.flatnonzero(member != lead)
+        a, b = np.concatenate([*a, member[later]]), np.concatenate([*b, lead[later]])
+        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        total = np.repeat(np.add.reduceat(counts[by].astype(np.int64), start) if len(start) else length, length)
+        hot = np.flatnonzero(total > settings.crowded)
+        none, empty = pa.nulls(len(both), pa.int64()), pa.nulls(len(hot), pa.int64())
+        one = pa.table({"a": both[:, 0], "b": both[:, 1], "gather": none, "key": none, "blocks": pa.nulls(len(both), pa.int32())})
+        two = pa.table({"a": empty, "b": empty, "gather": gather[by][hot], "key": keys[hot].view(np.int64), "blocks": (-(-total[hot] // settings.crowded)).astype(np.int32)})
+        return pa.concat_tables([one, two])
+
+    return reps.select("node", "gather", "keys").mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(meet, _MET)
+
+
+def _in_blocks(grid: np.ndarray, owner: np.ndarray, nodes: np.ndarray, crowded: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and owners, where each key of crowded (ascending) is replaced by one key for each other block of its bucket:
+    a member has a block, and any two blocks share a key."""
+    if not len(crowded):
+        return grid, owner
+    at = np.minimum(np.searchsorted(crowded, grid), len(crowded) - 1)
+    many = crowded[at] == grid
+    keys, owners = [grid[~many]], [owner[~many]]
+    which, mine, n = grid[many], owner[many], blocks[at[many]].astype(np.uint64)
+    own = runtime.mix(nodes[mine].astype(np.uint64) ^ which) % n if len(n) else n
+    for j in range(int(n.max()) if len(n) else 0):
+        there = np.flatnonzero((own != j) & (n > j))
+        low, high = np.minimum(own[there], np.uint64(j)), np.maximum(own[there], np.uint64(j))
+        keys.append(runtime.mix(which[there] ^ runtime.mix((low << np.uint64(32)) | high)))
+        owners.append(mine[there])
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _all_paired(keys: np.ndarray, comps: np.ndarray, place: np.ndarray, sketches: _Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys: distinct (later, earlier) places of nodes of one run, of different components, that may link."""
+    start = _run_starts(keys)
+    nth = np.arange(len(keys)) - np.repeat(start, np.diff(np.append(start, len(keys))))
+    at, apart, out = np.flatnonzero(nth > 0), 1, []
+    n = len(sketches.size)
+    while len(at):
+        some = at[comps[place[at]] != comps[place[at - apart]]]
+        if len(some):
+            two = np.unique(place[some] * n + place[some - apart])
+            out.append(two[sketches.may_link(two // n, two % n, percent)])
+        apart += 1
+        at = at[nth[at] >= apart]
+    both = np.unique(np.concatenate([np.empty(0, np.int64), *out]))
+    return both // max(n, 1), both % max(n, 1)
 
-def _rank(doc: np.ndarray, salt: int) -> np.ndarray:
-    """Who is centre: the smallest document in the first round, in others one at random."""
-    return doc if not salt else runtime.mix(doc.astype(np.uint64) ^ runtime._stream(34, salt)[-1])
 
+def _settling(open_ones: DataFrame, crowded: DataFrame, settings: Settings, buckets: int) -> DataFrame:
+    """(a, b), a > b: all pairs of nodes of different components that share a bucket and may link."""
 
-def _candidates(sketched: DataFrame, settings: Settings, salt: int, buckets: int, centres_a_bucket: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of documents in different components that share a bucket of which b is a centre; without
-    centres, all such pairs in one order. After the first round without those that can't link."""
+    def dealt(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows:
+            nodes, comps = left.column("node").to_numpy(), left.column("component").to_numpy()
+            keys = np.frombuffer(b"".join(left.column("keys").to_pylist()), np.uint64).reshape(len(nodes), -1)
+            grid, owner = _grid(keys, settings.side).reshape(-1), np.repeat(np.arange(len(nodes)), settings.side**2)
+            hot, first = np.unique(right.column("key").to_numpy().view(np.uint64), return_index=True)
+            grid, owner = _in_blocks(grid, owner, nodes, hot, right.column("blocks").to_numpy()[first])
+            rows = [_batch(r) for r in _by_bucket(0, grid, owner, nodes, buckets, comps=comps, marks=left.column("marks").to_pylist())]
+        return pa.Table.from_batches(rows, _batch((0, 0, *[b""] * 7)).schema)
 
     def meet(table: pa.Table) -> pa.Table:
-        members, centres, keys, docs, comps, marks = [], [], [], [], [], []
-        for row in table.to_pylist():
-            if row["keys"] is None:
-                members.append(np.frombuffer(row["docs"], np.int64))
-                centres.append(np.frombuffer(row["components"], np.int64))
-            else:
-                place = np.frombuffer(row["place"], np.uint16)
-                keys.append(np.frombuffer(row["keys"], np.uint64))
-                docs.append(np.frombuffer(row["docs"], np.int64)[place])
-                comps.append(np.frombuffer(row["components"], np.int64)[place])
-                if salt:
-                    marks.append(np.frombuffer(row["marks"], np.uint64).reshape(-1, ODD + 1)[place])
-        if len(keys) > 1 or keys and centres_a_bucket is None:
-            key, doc, comp = np.concatenate(keys), np.concatenate(docs), np.concatenate(comps)
-            by = np.argsort(key, kind="stable")
-            shared = np.zeros(len(key), bool)
-            same = key[by][1:] == key[by][:-1]
-            shared[1:] |= same
-            shared[:-1] |= same
-            by = by[shared]  # the few keys that several tasks have (without centres: that several documents have)
-            by = by[np.lexsort((_rank(doc[by], salt), key[by]))]
-            key, doc, comp = key[by], doc[by], comp[by]
-            if len(key):
-                mark = np.concatenate(marks)[by] if salt else None
-                if centres_a_bucket is None:
-                    member, centre = _all_paired(key, comp, mark, settings.percent)
-                else:
-                    member, centre, _ = _paired(key, comp, centres_a_bucket)
-                    if salt:
-                        may = _may_link(mark, member, centre, settings.percent)
-                        member, centre = member[may], centre[may]
-                pairs = np.unique(np.stack([doc[member], doc[centre]], 1), axis=0)
-                members.append(pairs[:, 0])
-                centres.append(pairs[:, 1])
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"a": join(members), "b": join(centres)})
-
-    packed = _packed(sketched, settings, salt, buckets, centres_a_bucket)
+        keys, place, nodes, comps, sizes, _ = _unpacked(table, {"nodes": np.int64, "others": np.int64, "sizes": np.uint32})
+        blob = b"".join(table.column("marks").to_pylist())
+        ends = np.cumsum(sizes, dtype=np.int64)
+        # a node that several rows hold has one place
+        nodes, first, again = np.unique(nodes, return_index=True, return_inverse=True)
+        marks, comps, place = [blob[i:j] for i, j in zip((ends - sizes)[first].tolist(), ends[first].tolist(), strict=True)], comps[first], again[place]
+        by = np.lexsort((place, keys))
+        keys, place = keys[by], place[by]
+        # buckets of one component are settled
+        start = _run_starts(keys)
+        length, comp = np.diff(np.append(start, len(keys))), comps[place]
+        odd = np.add.reduceat((np.repeat(comp[start], length) != comp).astype(np.int64), start) if len(start) else length
+        apart = np.repeat(odd, length) > 0
+        a, b = _all_paired(keys[apart], comps, place[apart], _Sketches(marks), settings.percent)
+        return pa.table({"a": nodes[a], "b": nodes[b]})
+
+    packed = open_ones.select("gather", "node", "component", "keys", "marks").groupBy("gather").cogroup(crowded.groupBy("gather")).applyInArrow(dealt, _PACKED)
     return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, shingles) of the documents in pairs, a written table. The join is the same at every size, so that a
+def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
+    """(node, shingles) of the nodes in pairs, a written table. The join is the same at every size, so that a
     measurement on little data tells what more will take."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    wanted = runtime.written(reps.select("node", "doc_id", "low", "high").join(nodes, "node", "left_semi"))
 
     def sets(batches):
         for batch in batches:
             for part in runtime.steps(batch, "text"):
                 hashes, first = shingles(part.column("text"), settings)
                 blob = [hashes[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blob, pa.binary())], names=["doc_id", "shingles"])
+                both = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in blob), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(blob, pa.binary())], names=["doc_id", "low", "high", "shingles"])
 
-    found = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
-    return runtime.written(found)
+    found = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, low long, high long, shingles binary")
+    return runtime.written(found.join(wanted, ["doc_id", "low", "high"]).select("node", "shingles").dropDuplicates(["node"]))
 
 
 def _confirmed(pairs: DataFrame, known: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    left = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    left = pairs.select("a", "b").join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
     def check(batches):
         for batch in batches:
@@ -317,54 +382,48 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     component_id is the smallest doc_id that links reach, the document's own without any. kept: doc_id = component_id.
     Null or wordless texts have no shingles and no links. A null doc_id has no links either, a null component_id and is
-    kept. Rows that repeat a doc_id are one document, of whose texts any may make its links. An empty table gives an
-    empty result. Very long texts are hashed whole."""
+    kept. Rows that repeat a doc_id are one document with the links of all its texts. An empty table gives an empty
+    result. Very long texts are hashed whole. Two texts have the same set if its 128-bit digest is the same."""
     spark = docs.sparkSession
     runtime.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    digests = runtime.written(_digests(docs, settings))
-    linked = digests.filter("doc_id is not null and n_shingles > 0")
-    classes = linked.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = linked.select("doc_id", "keys", "low", "high", "n_shingles").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "low", "high", "n_shingles"], "left_semi")
-    reps = runtime.written(reps.groupBy("doc_id", "low", "high").agg(F.first("keys").alias("keys")).select("doc_id", "keys"))
-    buckets = max(1, -(-reps.count() * settings.side**2 // KEYS_A_TASK))
-    edges, found, tested, known, met, salt, last = None, None, None, None, None, 0, False
-    now = reps.withColumn("component", F.col("doc_id"))
-    while True:
-        pairs = _candidates(now, settings, salt, buckets, None if last else LATER_CENTRES if salt else 1)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = runtime.written(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # later rounds see no document that the first round's pairs didn't have
-        known = _sets(docs, pairs, settings) if known is None else known
-        met = pairs if met is None else met
-        links = runtime.written(_confirmed(pairs, known, settings))
-        nothing = links.isEmpty()
-        if not nothing:
-            edges = links if edges is None else edges.unionByName(links)
-            found = runtime.written(components(edges))
-        if last:
-            break
-        salt, last = salt + 1, nothing
-        # the first round's pairs lead from each of a bucket's documents to all others: while it has several components,
-        # each of them has a document in a pair with another component's
-        x, y = F.col("a"), F.col("b")
-        if found is not None:
-            of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias("c" + side))  # noqa: B023, E731
-            met_now, x, y = met.join(of("a"), "a", "left").join(of("b"), "b", "left"), F.coalesce("ca", "a"), F.coalesce("cb", "b")
-            placed = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        else:
-            met_now, placed = met, now
-        unsettled = runtime.written(met_now.select(x.alias("a"), y.alias("b")).filter("a <> b").distinct())
-        open_ones = unsettled.select(F.col("a").alias("component")).unionAll(unsettled.select("b")).distinct()
-        now = runtime.written(placed.join(open_ones, "component", "left_semi").select("doc_id", "keys", "component"))
-        if now.isEmpty():
-            break
-    out = digests.join(classes, ["low", "high", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    if found is not None:
-        out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True)).alias("kept"))
+    rows = _digests(docs, settings).withColumn("node", F.monotonically_increasing_id())
+    rows = runtime.written(rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")))
+    linked = rows.filter("doc_id is not null and n_shingles > 0")
+    # a set's rows are summed up in parts, so that a set with very many rows isn't gathered in one task
+    parts = runtime.written(linked.groupBy("low", "high", "salt").agg(F.min("node").alias("node"), F.min("doc_id").alias("least")))
+    classes = runtime.written(parts.groupBy("low", "high").agg(F.min("node").alias("node"), F.min("least").alias("least")))
+    reps = linked.join(classes.select("node"), "node", "left_semi").select("node", "doc_id", "low", "high", "keys", "marks")
+    reps = runtime.written(reps.withColumn("gather", F.shiftright(F.monotonically_increasing_id(), GATHERED.bit_length() - 1)))
+    buckets = lambda n: max(1, -(-n * settings.side**2 // KEYS_A_TASK))
+    met = runtime.written(_stars(reps, settings, buckets(classes.count())))
+    pairs = runtime.written(met.filter("a is not null").select("a", "b").distinct())
+    crowded = met.filter("key is not null").select("gather", "key", "blocks").distinct()
+    # the second pass sees no node that the first one's pairs didn't have
+    known = _sets(docs, pairs, reps, settings)
+    several = linked.groupBy("doc_id").agg(F.min("low").alias("x"), F.max("low").alias("y"), F.min("high").alias("v"), F.max("high").alias("w")).filter("x <> y or v <> w")
+    texts = linked.select("doc_id", "low", "high").join(several.select("doc_id"), "doc_id", "left_semi").join(classes, ["low", "high"]).select("doc_id", "node").distinct()
+    one_document = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b")
+    found = runtime.written(components(_confirmed(pairs, known, settings).unionByName(one_document)))
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias("c" + side))
+    placed = lambda df: df.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    # the first pass's pairs connect each bucket's members: while it has several components, each is in such a pair
+    apart = runtime.written(placed(pairs).filter("ca <> cb").select("ca", "cb").distinct())
+    open_ones = apart.select(F.col("ca").alias("component")).unionAll(apart.select("cb")).distinct()
+    in_component = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ones = runtime.written(in_component.join(open_ones, "component", "left_semi").select("node", "gather", "component", "keys", "marks"))
+    late = _settling(open_ones, crowded, settings, buckets(open_ones.count())).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    late = _confirmed(runtime.written(late), known, settings)
+    joined = runtime.written(components(placed(late).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    final = classes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    final = final.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")).drop("c")
+    final = runtime.written(final)
+    first = runtime.written(final.groupBy("component").agg(F.min("least").alias("component_id")))
+    parts = parts.select("low", "high", "salt").join(final.join(first, "component").select("low", "high", "component_id"), ["low", "high"])
+    out = rows.select("doc_id", "n_shingles", "low", "high", "salt").join(parts, ["low", "high", "salt"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
