@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Perplexities and tokenisers can't be had in SQL; tests/llm compares each stage with a plain version.
+#: Perplexities and tokenisers can't be had in SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
