@@ -131,7 +131,7 @@ class TextEncoder:
         self.matches: dict[str, bytes] = {}
         size = max(self.vocabulary.bytes_of) + 1
         self.table = [self.vocabulary.bytes_of.get(i, b"") for i in range(size)]
-        self.encode = PieceEncoder(self._pieces)
+        self.encode = PieceEncoder(self._piece, self._piece)
 
     def _match(self, text: str) -> bytes:
         ids = self.matches.get(text)
@@ -144,8 +144,8 @@ class TextEncoder:
             ids = self.matches[text] = np.array(tokens, "<u4").tobytes()
         return ids
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        return [b"".join(map(self._match, self.find(p))) for p in pieces]
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self._match, self.find(piece)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))

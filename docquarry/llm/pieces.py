@@ -18,8 +18,8 @@ import regex
 
 from docquarry.llm.runtime import utf8
 
-#: Distinct pieces that a worker remembers; the table starts anew beyond.
-REMEMBERED = 800_000
+#: Distinct pieces that a worker's table holds, of which there are two.
+REMEMBERED = 500_000
 
 _ODD = np.zeros(256, bool)
 _ODD[[i for i in range(32) if i != 10]] = True
@@ -48,46 +48,49 @@ def plain(data: np.ndarray, offsets: np.ndarray, single: bool) -> np.ndarray:
     return out
 
 
+class _Known(dict):
+    """What `make` gives for each key, remembered: when a table is full it becomes the old one, where what is asked for
+    again is found and kept; so common pieces stay and memory is bounded."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def settle(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
-    """encode_pieces: list of texts -> list of little-endian unsigned 32-bit ids; words: white space has no tokens."""
+    """piece: the little-endian unsigned 32-bit ids of one piece; whole: of one text; words: white space has no tokens;
+    special: strings that are tokens by themselves, texts with which are handed over whole."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], words: bool = False):
-        self.encode_pieces, self.words, self.known = encode_pieces, words, {}
+    def __init__(self, piece: Callable[[str], bytes], whole: Callable[[str], bytes], words: bool = False, special: tuple[str, ...] = ()):
+        self.whole, self.words, self.special = whole, words, special
+        self.known = _Known(piece if words else lambda p: piece(p if p[0] == "\n" else " " + p), REMEMBERED)
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (null: none)."""
         fit = plain(*utf8(texts), single=not self.words)
-        pieces: list[str] = []
-        ends: list[int] = []
-        rest: list[int] = []
+        find, out = self.known.__getitem__, []
         for i, text in enumerate(texts.to_pylist()):
-            if text and fit[i]:
-                if self.words:
-                    pieces += text.split()
-                else:
-                    pieces += ("\n" + text).replace("\n", " \n").split(" ")[1:]
-            elif text:
-                rest.append(i)
-            ends.append(len(pieces))
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            gaps = [i for i, ids in enumerate(found) if ids is None]
-            missing = list({pieces[i] for i in gaps})
-            for at in range(0, len(missing), 4096):
-                some = missing[at : at + 4096]
-                self.known.update(zip(some, self.encode_pieces(some if self.words else [p if p[0] == "\n" else " " + p for p in some]), strict=True))
-            for i in gaps:
-                found[i] = self.known[pieces[i]]
-        out, begin = [], 0
-        for i, end in enumerate(ends):
-            ids = b"".join(found[begin:end])
-            # the newline put before a text's first piece is one id
-            out.append(ids if self.words or begin == end else ids[4:])
-            begin = end
-        for i in rest:
-            out[i] = self.encode_pieces([texts[i].as_py()])[0]
+            if not text:
+                out.append(b"")
+            elif not fit[i] or any(s in text for s in self.special):
+                out.append(self.whole(text))
+            elif self.words:
+                out.append(b"".join(map(find, text.split())))
+            else:  # the newline put before a text's first piece is one id
+                out.append(b"".join(map(find, ("\n" + text).replace("\n", " \n").split(" ")[1:]))[4:])
+            if not i & 63:
+                self.known.settle()
         return out
 
 
@@ -115,8 +118,7 @@ class _WordModel:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.letters, self.words = self.tokenizer.model, _byte_letters(), {}
+        self.model, self.letters, self.words = self.tokenizer.model, _byte_letters(), _Known(self._word, REMEMBERED)
         with open(path, encoding="utf-8") as f:
             head = json.load(f)
         kinds = lambda x, many: [y["type"] for y in x[many]] if x and x["type"] == "Sequence" else [x["type"]] if x else []
@@ -127,39 +129,37 @@ class _WordModel:
             pattern = BYTE_LEVEL_PATTERN
         elif kinds(split, "pretokenizers") == ["Split", "ByteLevel"] and self.lower and split["pretokenizers"][0]["invert"] and not split["pretokenizers"][1]["add_prefix_space"]:
             pattern = split["pretokenizers"][0]["pattern"]["Regex"]
+        tokens = head["added_tokens"]
+        # a token that is looked for in normalised text, or that takes neighbours with it, can't be found by its string
+        odd = any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] for t in tokens)
+        self.special = ("",) if odd else tuple(t["content"] for t in tokens)
         self.find = regex.compile(pattern).findall if pattern and head["model"]["type"] == "BPE" else None
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > REMEMBERED // 2:
-                self.words = {}
-            shown = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
-
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(pieces)
-        rest = []
-        for i, piece in enumerate(pieces):
-            if self.find and (piece.isascii() or max(piece) < COMMON_LATIN):
-                if self.lower:
-                    piece = unicodedata.normalize("NFC", piece).lower()
-                out[i] = b"".join(map(self._word, self.find(piece)))
-            else:
-                rest.append(i)
-        if rest:
-            got = self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)
-            for i, e in zip(rest, got, strict=True):
-                out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
+        shown = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        if not self.find or not (piece.isascii() or max(piece) < COMMON_LATIN):
+            return self.whole(piece)
+        if self.lower:
+            piece = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).lower()
+            if piece.isascii() and piece.isalpha():  # one match of the pattern
+                return self._word(piece)
+        return b"".join(map(self.words.__getitem__, self.find(piece)))
+
+    def whole(self, text: str) -> bytes:
+        self.words.settle()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _library: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def library_encoder(path: str, words: bool) -> PieceEncoder:
-    """The tokenizers library's encoder for a file, one in each worker; special tokens' strings are ordinary text."""
+    """The tokenizers library's encoder for a file, one in each worker: the ids that its encode() gives without added
+    tokens. Strings of special tokens in a text are those tokens, as by the library's default."""
     if (path, words) not in _library:
-        _library[path, words] = PieceEncoder(_WordModel(path), words)
+        model = _WordModel(path)
+        _library[path, words] = PieceEncoder(model.piece, model.whole, words, model.special)
     return _library[path, words]
