@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,9 +40,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset (tests), below a local one."""
+    """A fresh folder below spark.checkpoint.dir. Where that is unset, a master in one process (as in tests) has a local
+    one; a cluster is an error, as its machines don't share theirs."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "docquarry-shared")
     path = f"{base.rstrip('/')}/docquarry-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
