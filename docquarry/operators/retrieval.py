@@ -5,6 +5,8 @@ are ordered, and ties go to the smaller chunk, so that ranks don't depend on the
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,31 +61,80 @@ def top(scored: DataFrame, k: int, *by: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, pad: bool = False) -> DataFrame:
-    """The k best chunks of each query. `allowed` (chunk_id) restricts results, not the statistics. pad: where fewer
-    have a positive score, chunks without a common token follow with 0, in order of id, before negative scores."""
-    scored = bm25_scores(chunks, queries)
-    ids = chunks.select("chunk_id")
+def ranked(scored: DataFrame, ids: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, pad: bool = False) -> DataFrame:
+    """The k best of scored (query_id, chunk_id, score). `allowed` (chunk_id) restricts results. pad: where fewer have a
+    positive score, chunks of ids without a score follow with 0, in order of id, before negative scores."""
     if allowed is not None:
         scored, ids = scored.join(allowed, "chunk_id", "left_semi"), ids.join(allowed, "chunk_id", "left_semi")
     if pad:
-        good = scored.filter("score > 0").groupBy("query_id").agg(F.count("*").alias("good"))
-        short = queries.select("query_id").join(good, "query_id", "left").filter(F.coalesce("good", F.lit(0)) < k).select("query_id")
-        zero = short.join(ids).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+        counts = scored.groupBy("query_id").agg(F.count("*").alias("all"), F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("good"))
+        none = F.lit(0).cast("long")
+        short = queries.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("all", none).alias("all"), F.coalesce("good", none).alias("good")).filter(F.col("good") < k)
+        # a query needs no more than its first k ids that have no score, so no more than k and those with one
+        first = ids.orderBy("chunk_id").limit(k + (short.agg(F.max("all").alias("n")).first()["n"] or 0))
+        zero = short.select("query_id").join(first).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
         scored = scored.unionByName(top(zero, k).drop("rank"))
     return top(scored, k)
 
 
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, pad: bool = False) -> DataFrame:
+    """The k best chunks of each query, of chunks that have no index (see operators.index for one that is kept)."""
+    return ranked(bm25_scores(chunks, queries), chunks.select("chunk_id"), queries, k, allowed, pad)
+
+
+#: Vectors in a block of either side.
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+
+
+def _blocks(rows: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
+    """Rows (ids, values): consecutive vectors of a task packed together, as little-endian 64-bit numbers."""
+
+    def pack(batches):
+        ids, vectors = [], []
+
+        def out():
+            values = np.array(vectors, "<f8")
+            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, "<i8").tobytes()]), pa.array([values.tobytes()])], names=[f"{prefix}_ids", f"{prefix}_values"])
+
+        for batch in batches:
+            for i, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                vectors.append(vector)
+                if len(ids) == size:
+                    yield out()
+                    ids, vectors = [], []
+        if ids:
+            yield out()
+
+    return rows.select(F.col(key).cast("long"), "embedding").mapInArrow(pack, f"{prefix}_ids binary, {prefix}_values binary")
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """The k vectors with the largest inner product: vectors (chunk_id, embedding), queries (query_id, embedding).
+    """The k vectors with the largest inner product: vectors (chunk_id, embedding), queries (query_id, embedding), both
+    with whole numbers as ids and vectors of one length.
 
-    The query set meets all vectors in blocks; each task keeps only its own k best before the shuffle."""
+    The query set meets all vectors in blocks, each a matrix product, and of each only a query's k best (by rounded
+    score, then id) go on; so what is shuffled are k rows for each query and block of vectors."""
     if allowed is not None:
         vectors = vectors.join(allowed, "chunk_id", "left_semi")
-    pairs = vectors.crossJoin(queries.select("query_id", F.col("embedding").alias("q")))
-    product = F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double"))
-    scored = pairs.select("query_id", "chunk_id", F.round(F.aggregate(product, F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
-    return top(scored, k)
+
+    def best(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, asked = np.frombuffer(row["v_ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                scores = np.round(np.frombuffer(row["q_values"], "<f8").reshape(len(asked), -1) @ np.frombuffer(row["v_values"], "<f8").reshape(len(ids), -1).T, 6)
+                most = min(k, len(ids))
+                least = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most]
+                query, place = np.nonzero(scores >= least[:, None])
+                score = scores[query, place]
+                order = np.lexsort((ids[place], -score, query))
+                query, place, score = query[order], place[order], score[order]
+                nth = np.arange(len(query)) - np.searchsorted(query, query)
+                query, place, score = (x[nth < most] for x in (query, place, score))
+                yield pa.RecordBatch.from_arrays([pa.array(asked[query]), pa.array(ids[place]), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+    pairs = _blocks(vectors, "chunk_id", VECTOR_BLOCK, "v").crossJoin(_blocks(queries, "query_id", QUERY_BLOCK, "q"))
+    return top(pairs.mapInArrow(best, "query_id long, chunk_id long, score double"), k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -133,3 +184,34 @@ def clustered(ranked: DataFrame, most: int = 6) -> DataFrame:
     sizes = sizes.withColumn("many", F.count("*").over(by_query)).withColumn("place", F.row_number().over(by_query.orderBy(F.desc("n"), "seen")))
     cluster = F.when((F.col("many") > most) & (F.col("place") >= most), "Other").otherwise(F.col("section"))
     return named.join(sizes.select("query_id", "section", cluster.alias("cluster")), ["query_id", "section"])
+
+
+#: Words of a passage that make an anchor.
+ANCHOR = 4
+
+
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): the documents (chunk_id, text) that hold a passage (query_id, text) as it is.
+
+    A passage in a text has its inner words there as words, side by side. So an anchor, the first ANCHOR of them (or as
+    many as there are) of largest hash, is looked up among the texts' runs of as many words, and only where it stands
+    the texts are compared. Passages without an inner word stand for themselves: they are looked for in every text."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+    inner = passages.select("query_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")).withColumn("w", F.expr("if(size(w) > 2, slice(w, 2, size(w) - 2), array())"))
+    inner = inner.withColumn("n", F.least(F.size("w"), F.lit(ANCHOR)))
+    anchors = inner.filter("n > 0").select("query_id", "passage", "n", F.array_max(runs(F.col("w"), F.col("n"))).alias("anchor"))
+    sizes = [r["n"] for r in anchors.select("n").distinct().collect()]  # at most ANCHOR
+    cut = docs.select("chunk_id", words(F.col("text")).alias("w"))
+    found = None
+    for n in sorted(sizes):
+        asked = anchors.filter(F.col("n") == n).select("query_id", "anchor")
+        each = cut.filter(F.size("w") >= n).select("chunk_id", F.explode(F.array_distinct(runs(F.col("w"), F.lit(n)))).alias("anchor"))
+        part = each.join(asked, "anchor").select("query_id", "chunk_id")
+        found = part if found is None else found.unionByName(part)
+    short = inner.filter("n = 0").select("query_id", "passage")
+    whole = docs.join(short, F.expr("contains(text, passage)")).select("query_id", "chunk_id")
+    if found is None:
+        return whole
+    held = found.distinct().join(passages.select("query_id", F.col("text").alias("passage")), "query_id").join(docs.select("chunk_id", "text"), "chunk_id")
+    return held.filter(F.expr("contains(text, passage)")).select("query_id", "chunk_id").unionByName(whole)

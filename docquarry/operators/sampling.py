@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators.evaluation import draw
+from docquarry.operators.order import first_by, placed
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, shares: dict[str, float], n: int, seed: int = 7) -> DataFrame:
@@ -16,14 +17,14 @@ def stratified(rows: DataFrame, stratum: str, key: str, shares: dict[str, float]
 
 
 def round_robin(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """turn and place in a reading that takes one row of each group at a time, groups in order."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    return rows.withColumn("turn", turn)
+    """turn, and place (from 0) in a reading that takes one row of each group at a time, groups in order."""
+    turned = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(key)))
+    return placed(turned, "turn", group)
 
 
 def split_papers(ids: DataFrame, key: str, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
     """(key, split): distinct ids in random order; the first round(n * val) are val, then test, the rest train."""
-    rows = ids.select(key).distinct().withColumn("place", F.row_number().over(Window.orderBy(draw(F.lit(seed), F.col(key)), key)))
+    rows = first_by(ids.select(key).distinct(), draw(F.lit(seed), F.col(key)), key)
     n = rows.agg(F.count("*").alias("n"))
     nv = F.least(F.bround(F.col("n") * val), F.col("n"))
     nt = F.least(F.bround(F.col("n") * test), F.col("n") - nv)

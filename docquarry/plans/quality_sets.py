@@ -93,33 +93,36 @@ def ngram_copy(spark, sf):
     return got.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment")).filter(F.col("shared") / F.col("n") >= 0.8)
 
 
-_BAGS = r"""cand AS (SELECT b.item_id AS left_id, d.doc_id AS right_id, b.text AS lt, d.text AS rt, d.lang = 'en' AS same_page FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20)),
-lb AS (SELECT left_id, t, count(*) AS l FROM (SELECT item_id AS left_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS t FROM benchmark) GROUP BY 1, 2),
-rb AS (SELECT right_id, t, count(*) AS r FROM (SELECT doc_id AS right_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS t FROM documents) GROUP BY 1, 2),
-ln AS (SELECT left_id, sum(l) AS nl FROM lb GROUP BY 1), rn AS (SELECT right_id, sum(r) AS nr FROM rb GROUP BY 1),
+_RUN = 6
+_BAG_RUNS = f"list_distinct(list_transform(range(1, greatest(len({{0}}) - {_RUN - 2}, 1)), lambda i: array_to_string({{0}}[i : i + {_RUN - 1}], ' ')))"
+_BAG_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+')"
+_BAGS = f"""lt AS (SELECT item_id AS left_id, {_BAG_TOKENS} AS w FROM benchmark), rt AS (SELECT doc_id AS right_id, {_BAG_TOKENS} AS w, lang = 'en' AS same_page FROM documents),
+cand AS (SELECT DISTINCT left_id, right_id, same_page FROM (SELECT left_id, unnest({_BAG_RUNS.format('w')}) AS g FROM lt) a JOIN (SELECT right_id, same_page, unnest({_BAG_RUNS.format('w')}) AS g FROM rt) b USING (g)),
+lb AS (SELECT left_id, t, count(*) AS l FROM (SELECT left_id, unnest(w) AS t FROM lt) GROUP BY 1, 2), rb AS (SELECT right_id, t, count(*) AS r FROM (SELECT right_id, unnest(w) AS t FROM rt) GROUP BY 1, 2),
 i AS (SELECT left_id, right_id, sum(least(l, r)) AS i FROM cand JOIN lb USING (left_id) JOIN rb USING (right_id, t) GROUP BY 1, 2),
-bags AS (SELECT left_id, right_id, same_page, round(coalesce(i, 0) / least(nl, nr), 6) AS containment, round(coalesce(i, 0) / (nl + nr - coalesce(i, 0)), 6) AS jaccard FROM cand JOIN ln USING (left_id) JOIN rn USING (right_id) LEFT JOIN i USING (left_id, right_id))"""
+bags AS (SELECT left_id, right_id, same_page, round(i / least(len(lt.w), len(rt.w)), 6) AS containment, round(i / (len(lt.w) + len(rt.w) - i), 6) AS jaccard FROM cand JOIN lt USING (left_id) JOIN (SELECT right_id, w FROM rt) rt USING (right_id) JOIN i USING (left_id, right_id))"""
 
 
-def _bag_pairs(spark, sf):
-    docs = v.corpus(spark, sf).select(F.col("chunk_id").alias("right_id"), F.col("text").alias("right_text"), "source", (F.col("lang") == "en").alias("same_page"))
-    items = v.questions(spark, sf).select(F.col("query_id").alias("left_id"), F.col("text").alias("left_text"), F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("source"))
-    return items.join(docs, "source")
+def _bags(spark, sf):
+    """Passages and documents as (id, text), and the rows of pairs that share a run of words, over all documents."""
+    docs = v.corpus(spark, sf).select(F.col("chunk_id").alias("right_id"), "text", (F.col("lang") == "en").alias("same_page"))
+    items = v.questions(spark, sf).select(F.col("query_id").alias("left_id"), "text")
+    return items, docs
 
 
 @query(f"WITH {_BAGS} SELECT left_id, right_id, containment, jaccard FROM bags")
 def bag_overlap(spark, sf):
-    return an.bag_overlap(_bag_pairs(spark, sf))
+    return an.bag_overlap(*_bags(spark, sf), run=_RUN)
 
 
 @query(f"""WITH {_BAGS}, g AS (SELECT *, max(same_page::INT) OVER (PARTITION BY left_id) AS any_same FROM bags WHERE containment >= 0.8),
 k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY containment DESC, jaccard DESC, right_id) AS place FROM g WHERE any_same = 0 OR same_page),
 m AS (SELECT left_id, count(*) AS n_matches, min(CASE WHEN place = 1 THEN right_id END) AS best FROM k GROUP BY 1)
-SELECT left_id, coalesce(n_matches, 0) AS n_matches, coalesce(best, -1) AS best, CASE WHEN n_matches IS NULL THEN 'failed' WHEN n_matches = 1 THEN 'confident' ELSE 'ambiguous' END AS status FROM (SELECT DISTINCT left_id FROM bags) LEFT JOIN m USING (left_id)""")
+SELECT left_id, coalesce(n_matches, 0) AS n_matches, coalesce(best, -1) AS best, CASE WHEN n_matches IS NULL THEN 'failed' WHEN n_matches = 1 THEN 'confident' ELSE 'ambiguous' END AS status FROM (SELECT item_id AS left_id FROM benchmark) LEFT JOIN m USING (left_id)""")
 def containment_remap(spark, sf):
-    pairs = _bag_pairs(spark, sf)
-    scored = an.bag_overlap(pairs).join(pairs.select("left_id", "right_id", "same_page"), ["left_id", "right_id"])
-    return an.remapped(scored).withColumn("best", F.coalesce("best", F.lit(-1)))
+    items, docs = _bags(spark, sf)
+    scored = an.bag_overlap(items, docs, run=_RUN).join(docs.select("right_id", F.coalesce("same_page", F.lit(False)).alias("same_page")), "right_id")
+    return an.remapped(scored, items.select("left_id")).withColumn("best", F.coalesce("best", F.lit(-1)))
 
 
 @query()
@@ -149,7 +152,7 @@ def stratified_sample(spark, sf):
     return sa.stratified(v.corpus(spark, sf).select(F.col("chunk_id").alias("doc_id"), "lang"), "lang", "doc_id", _SHARES, 100)
 
 
-@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents")
+@query("SELECT *, row_number() OVER (ORDER BY turn, source) - 1 AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents)")
 def round_robin(spark, sf):
     return sa.round_robin(v.table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as tx
 from docquarry.operators import claims as cl
 from docquarry.operators import evaluation as ev
+from docquarry.operators import order as od
 from docquarry.operators import retrieval as rt
 from docquarry.plans import views as v
 
@@ -36,7 +37,7 @@ metrics AS (SELECT query_id, query_label, {', '.join(f'round(h{k} / r, 6) AS rec
 
 def _vector_metrics(spark, sf):
     ranked = rt.dense(v.vectors(spark, sf), v.vector_queries(spark, sf), 20)
-    return ev.per_query(ev.judged_hits(ranked, v.same_label(spark, sf)))
+    return ev.per_query(v.with_hits(ranked, spark, sf))
 
 
 @query(f"WITH {_PER_QUERY} SELECT query_id, {', '.join(_METRICS)} FROM metrics")
@@ -90,6 +91,16 @@ def paired_counts(spark, sf):
     return got.agg(F.count("*").alias("n"), count(y > x).alias("improved"), count(y < x).alias("worse"), count(y == x).alias("same"))
 
 
+def _nearby(vectors, queries, k):
+    """(query_id, chunk_id, score): the k ids on either side of a query's own. Ids are dealt into the blocks of their
+    order (operators.order), and a query sees its own block and those beside it."""
+    placed = od.placed(vectors.select("chunk_id"), "chunk_id")
+    spot = placed.withColumn("cell", F.floor(F.col("place") / k))
+    own = queries.select("query_id").join(spot.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    around = own.select("query_id", F.explode(F.array(*(F.col("cell") + i for i in (-1, 0, 1)))).alias("cell"))
+    return around.join(spot.select("chunk_id", "cell"), "cell").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+
+
 @query(f"""WITH {v.DENSE}, alt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(chunk_id - query_id), chunk_id) AS rank2 FROM dots),
 both_lists AS (SELECT query_id, chunk_id, label, query_label, rank AS r, 0 AS l FROM near WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, label, query_label, rank2, 1 FROM alt WHERE rank2 <= 20),
 grid AS (SELECT w, k FROM (VALUES (0.5::DOUBLE), (0.7), (0.9)) a(w), (VALUES (10), (60)) b(k)),
@@ -101,14 +112,13 @@ SELECT w, k::BIGINT AS k, hit_at_5, mrr, row_number() OVER (ORDER BY hit_at_5 DE
 def sweep_grid(spark, sf):
     """Fusion weights and constants over a grid: the settings in order of hit rate, then reciprocal rank."""
     near = rt.dense(v.vectors(spark, sf), v.vector_queries(spark, sf), 20)
-    pairs = v.vectors(spark, sf).select("chunk_id").crossJoin(v.vector_queries(spark, sf).select("query_id"))
-    close = rt.top(pairs.withColumn("score", F.lit(0.0)), 20, F.abs(F.col("chunk_id") - F.col("query_id")), F.col("chunk_id"))
+    close = rt.top(_nearby(v.vectors(spark, sf), v.vector_queries(spark, sf), 20), 20, F.abs(F.col("chunk_id") - F.col("query_id")), F.col("chunk_id"))
     lists = near.select("query_id", "chunk_id", "rank", F.lit(0).alias("l")).unionByName(close.select("query_id", "chunk_id", "rank", F.lit(1).alias("l")))
     grid = spark.createDataFrame([(w, k) for w in (0.5, 0.7, 0.9) for k in (10, 60)], "w double, k long")
     weight = F.when(F.col("l") == 0, F.col("w")).otherwise(1 - F.col("w"))
     fused = lists.crossJoin(F.broadcast(grid)).groupBy("w", "k", "query_id", "chunk_id").agg(F.round(F.sum(weight / (F.col("k") + F.col("rank"))), 9).alias("s"))
     ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("w", "k", "query_id").orderBy(F.desc("s"), "chunk_id"))).filter("rank <= 20")
-    ranked = ranked.join(v.same_label(spark, sf).withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    ranked = v.with_hits(ranked, spark, sf)
     q = ranked.groupBy("w", "k", "query_id").agg(F.max(F.when(F.col("rank") <= 5, F.col("hit")).otherwise(0)).alias("h"), F.coalesce(1 / F.min(F.when(F.col("hit") == 1, F.col("rank"))), F.lit(0.0)).alias("rr"))
     m = q.groupBy("w", "k").agg(F.round(F.avg("h"), 6).alias("hit_at_5"), F.round(F.avg("rr"), 6).alias("mrr"))
     return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hit_at_5"), F.desc("mrr"), "w", "k")))
@@ -237,7 +247,7 @@ SELECT *, row_number() OVER (ORDER BY balanced_accuracy DESC, strong, weak) AS p
 def threshold_grid(spark, sf):
     """Thresholds over a grid on the even half of the conversations, best first; ties in the grid's order."""
     rows = _calibration(spark, sf)
-    ids = rows.select("conv_id").distinct().withColumn("half", (F.row_number().over(Window.orderBy("conv_id")) - 1) % 2)
+    ids = od.placed(rows.select("conv_id").distinct(), "conv_id").withColumn("half", F.col("place") % 2)
     grid = spark.createDataFrame([(s / 10, w / 10) for s in range(5, 10) for w in range(2, 7) if w < s], "strong double, weak double")
     rows = rows.join(ids.filter("half = 0"), "conv_id").crossJoin(F.broadcast(grid))
     m = ev.confusion(rows, F.col("overlap") >= F.col("strong"), F.col("status") == "SUPPORTED", "strong", "weak").select("strong", "weak", "tp", "fp", "fn", "tn", "balanced_accuracy")
@@ -259,9 +269,8 @@ round(count(*) FILTER (pos > neg) / greatest(1, count(*)), 6) AS ranked_share FR
 def judge_controls(spark, sf):
     """Each vector against one further on by ten (right) and by seven (wrong): whether the scores separate."""
     rows = v.vectors(spark, sf).select("chunk_id", "embedding")
-    # positions without a sort in one task: the count of each block, then the place within it
     n = rows.agg(F.count("*").alias("n"))
-    p = rows.withColumn("rn", F.row_number().over(Window.orderBy("chunk_id")) - 1).crossJoin(F.broadcast(n))
+    p = od.placed(rows, "chunk_id").withColumnRenamed("place", "rn").crossJoin(F.broadcast(n))  # one row
     at = lambda k, name: p.select(F.pmod(F.col("rn") - k, F.col("n")).alias("rn"), F.col("embedding").alias(name))
     dot = lambda name: F.aggregate(F.zip_with("embedding", name, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     got = p.join(at(10, "right"), "rn").join(at(7, "wrong"), "rn").select(dot("right").alias("pos"), dot("wrong").alias("neg"))

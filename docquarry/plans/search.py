@@ -30,8 +30,7 @@ def token_stats(spark, sf):
 
 @query(f"WITH {v.QUESTIONS}, {v.BM25} SELECT token, df, round(idf, 6) AS idf FROM terms")
 def bm25_term_stats(spark, sf):
-    docs = v.corpus(spark, sf)
-    return rt.term_statistics(rt.postings(docs), rt.corpus_statistics(docs)).select("token", "df", F.round("idf", 6).alias("idf"))
+    return v.lexical(spark, sf).terms.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 _TOP = "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {0}) WHERE rank <= {1}"
@@ -39,20 +38,18 @@ _TOP = "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER
 
 @query(f"WITH {v.QUESTIONS}, {v.BM25} {_TOP.format('scored', 20)}")
 def bm25_topk(spark, sf):
-    return rt.bm25(v.corpus(spark, sf), v.questions(spark, sf), 20)
+    return v.lexical(spark, sf).search(v.questions(spark, sf), 20)
 
 
 @query(f"""WITH {v.QUESTIONS}, {v.BM25}, padded AS (SELECT query_id, chunk_id, coalesce(score, 0) AS score FROM questions CROSS JOIN (SELECT chunk_id FROM corpus WHERE lang = 'es') LEFT JOIN scored USING (query_id, chunk_id))
 {_TOP.format('padded', 30)}""")
 def bm25_padded(spark, sf):
-    docs = v.corpus(spark, sf)
-    return rt.bm25(docs, v.questions(spark, sf), 30, docs.filter("lang = 'es'").select("chunk_id"), pad=True)
+    return v.lexical(spark, sf).search(v.questions(spark, sf), 30, v.corpus(spark, sf).filter("lang = 'es'").select("chunk_id"), pad=True)
 
 
 @query(f"WITH {v.QUESTIONS}, {v.BM25}, english AS (SELECT scored.* FROM scored JOIN corpus USING (chunk_id) WHERE lang = 'en') {_TOP.format('english', 20)}")
 def bm25_filtered(spark, sf):
-    docs = v.corpus(spark, sf)
-    return rt.bm25(docs, v.questions(spark, sf), 20, docs.filter("lang = 'en'").select("chunk_id"))
+    return v.lexical(spark, sf).search(v.questions(spark, sf), 20, v.corpus(spark, sf).filter("lang = 'en'").select("chunk_id"))
 
 
 @query(f"WITH {v.DENSE} SELECT query_id, chunk_id, score, rank FROM near WHERE rank <= 20")
@@ -68,8 +65,8 @@ def dense_filtered(spark, sf):
 
 def _shared_tokens(spark, sf):
     """A second ranking: distinct tokens in common with the query."""
-    each = lambda df, key: df.select(key, F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
-    pairs = each(v.corpus(spark, sf), "chunk_id").join(each(v.questions(spark, sf), "query_id"), "token")
+    asked = v.questions(spark, sf).select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
+    pairs = v.lexical(spark, sf).postings.join(asked, "token")
     return rt.top(pairs.groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score")), 20)
 
 
@@ -115,7 +112,7 @@ questions AS (SELECT id * 10000 + part AS query_id, text FROM parts)"""
 merged AS (SELECT query_id // 10000 AS query_id, chunk_id, max(score) AS score FROM best GROUP BY 1, 2) {_TOP.format('merged', 20)}""")
 def decompose_merge(spark, sf):
     parts = rt.decomposed(_double_questions(spark, sf)).select((F.col("query_id") * 10000 + F.col("part")).alias("query_id"), "text")
-    hits = rt.bm25(v.corpus(spark, sf), parts, 20)
+    hits = v.lexical(spark, sf).search(parts, 20)
     return rt.merged(hits.withColumn("query_id", F.floor(F.col("query_id") / 10000)), 20)
 
 
@@ -153,7 +150,7 @@ def highlight_sentence(spark, sf):
     """Of the first document that has a benchmark passage, the sentence that shares most words with it; first wins."""
     docs = v.corpus(spark, sf)
     items = v.questions(spark, sf)
-    holds = docs.join(items.withColumnRenamed("text", "passage"), F.expr("contains(text, passage)")).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+    holds = rt.containing(docs, items).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
     pairs = holds.join(items.withColumnRenamed("text", "passage"), "query_id").join(docs, "chunk_id")
     each = pairs.select("query_id", "chunk_id", tx.grounding_words(F.col("passage")).alias("w"), F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
     each = each.withColumn("overlap", F.size(F.array_intersect("w", tx.grounding_words(F.col("sentence"))))).filter("overlap > 0")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
+from docquarry.operators import index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
 
 
+def lexical(spark: SparkSession, sf_dir: str) -> index.LexicalIndex:
+    """The kept index of all documents."""
+    return index.kept(spark, f"{sf_dir}/documents.parquet", corpus(spark, sf_dir).select("chunk_id", "text"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -30,10 +36,16 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
 
 
-def same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevance: vectors of the query's label."""
-    asked = vector_queries(spark, sf_dir).select("query_id", F.col("query_label").alias("label"))
-    return vectors(spark, sf_dir).join(asked, "label").select("query_id", "chunk_id")
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance is to have the query's label: (query_id, label, num_relevant)."""
+    counts = vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("num_relevant"))
+    return vector_queries(spark, sf_dir).select("query_id", F.col("query_label").alias("label")).join(counts, "label")
+
+
+def with_hits(ranked: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked rows with hit and num_relevant: labels are compared on the rows that were found."""
+    own = vectors(spark, sf_dir).select("chunk_id", F.col("label").alias("chunk_label"))
+    return ranked.join(label_counts(spark, sf_dir), "query_id").join(own, "chunk_id").withColumn("hit", F.when(F.col("label") == F.col("chunk_label"), 1).otherwise(0)).drop("label", "chunk_label")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
