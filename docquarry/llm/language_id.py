@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-Each language's filter holds the n-grams that make up at least a fixed share of its text and aren't far commoner
-elsewhere. The filters stand side by side: a slot is a mask with one bit for each language, so that one probe of the
+A language contains an n-gram that makes up at least LEAST_SHARE of its text, and its filter holds all that it contains.
+The filters stand side by side: a slot is a mask with one bit for each language, so that one probe of the
 slots of an n-gram returns all languages containing it. For each language the n-grams that hit are counted, corrected
 for the false positives that its filter's fill makes, and the largest corrected share decides."""
 
@@ -11,16 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.llm import runtime, tally
 
-#: An n-gram belongs to a language from this share of the language's n-grams on, so to a filter belong so many at most.
+#: An n-gram belongs to a language from this share of the language's n-grams on, so a filter has 1 / LEAST_SHARE at most.
+#: What is rarer than that in all of a language's text is as likely a name, a quotation or a slip.
 LEAST_SHARE = 1 / 20_000
-#: ... unless its share there is below this part of its largest share in any language.
-LEAST_PART = 0.2
 PROBES = 4
 UNDETERMINED = "und"
 
@@ -94,27 +93,17 @@ def learn(train: DataFrame) -> LanguageFilters:
     What reaches the driver: the languages, and for each at most 1 / LEAST_SHARE n-grams."""
     train = train.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null")
     languages = sorted(r["lang"] for r in train.select("lang").distinct().collect())
-    number = {name: i for i, name in enumerate(languages)}
-    width = max(1, (len(languages) - 1).bit_length())
 
     def keys(part):
-        langs = part.column("lang").to_pylist()
         grams, first = ngrams(part.column("text").to_pylist())
-        marks = np.repeat(np.array([number[x] for x in langs], np.uint64), np.diff(first))
-        yield (grams << np.uint64(width)) | marks  # the hash's top bits make room for the language
-
-    counts = tally.counted(train, keys)
-    counts = counts.select((F.col("key").bitwiseAND((1 << width) - 1)).alias("language"), F.shiftright("key", width).alias("gram"), "n")
-    totals = counts.groupBy("language").agg(F.sum("n").alias("total"))  # one row for each language
-    share = counts.join(F.broadcast(totals), "language").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= LEAST_SHARE)
-    share = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") >= LEAST_PART * F.col("most"))
-    found = share.select("language", "gram").toArrow().to_pandas() if languages else None
-    members = [found.gram[found.language == i].to_numpy().astype(np.int64).view(np.uint64) if found is not None else np.empty(0, np.uint64) for i in range(len(languages))]
-    # shiftright is arithmetic: the same 64 - width low bits are compared at prediction
-    keep = np.uint64((1 << (64 - width)) - 1)
-    filters = LanguageFilters.build(languages, [m & keep for m in members])
-    filters.keep = keep
-    return filters
+        yield from tally.by_name(part.column("lang").to_pylist(), grams, first)
+
+    counts = runtime.written(tally.counted(train, keys))
+    totals = counts.groupBy("name").agg(F.sum("n").alias("total"))  # one row for each language
+    members = counts.join(F.broadcast(totals), "name").filter(F.col("n") >= LEAST_SHARE * F.col("total")).select("name", "key")
+    found = members.toArrow()
+    names, grams = found.column("name").combine_chunks().to_numpy(zero_copy_only=False), found.column("key").to_numpy().view(np.uint64)
+    return LanguageFilters.build(languages, [grams[names == x] for x in languages])
 
 
 def predict(df: DataFrame, filters: LanguageFilters, label: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -135,7 +124,7 @@ def predict(df: DataFrame, filters: LanguageFilters, label: str = "lang_pred", s
                 grams, first = ngrams(part.column("text").to_pylist())
                 n = np.diff(first)
                 if filters.languages:
-                    shares = filters.shares(grams & filters.keep, first)
+                    shares = filters.shares(grams, first)
                     best = shares.argmax(1)
                     total = shares.sum(1)
                     names = [filters.languages[b] if m else UNDETERMINED for b, m in zip(best.tolist(), n.tolist(), strict=True)]

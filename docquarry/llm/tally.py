@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.llm import runtime
 
 #: Distinct keys that a task holds before it hands on its sums.
-HELD = 1_000_000
+HELD = 2_000_000
 
 
 class Tally:
@@ -41,25 +41,41 @@ class Tally:
             keys, sums = keys[first], np.add.reduceat(sums, first)
         self.keys, self.sums, self.parts, self.waiting = keys, sums, [], 0
 
-    def taken(self) -> pa.RecordBatch:
+    def taken(self, name: str | None) -> pa.RecordBatch:
         self.merge()
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.sums)], names=["key", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array([name] * len(self.keys), pa.string()), pa.array(self.keys.view(np.int64)), pa.array(self.sums)], names=["name", "key", "n"])
         self.keys, self.sums = np.empty(0, np.uint64), np.empty(0, np.int64)
         return out
 
 
-def counted(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> DataFrame:
-    """(key, n): how often each key that keys_of gives for a slice of rows occurs in all of df (which has `text`)."""
+def counted(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[str, np.ndarray]]]) -> DataFrame:
+    """(name, key, n): how often each key occurs under a name in all of df (which has `text`). keys_of gives names and
+    keys of a slice of rows, in any order and as often as it likes."""
     runtime.ship(df.sparkSession)
 
     def run(batches):
-        tally = Tally()
+        tallies: dict[str, Tally] = {}
         for batch in batches:
             for part in runtime.steps(batch, "text"):
-                for keys in keys_of(part):
-                    tally.add(keys)
-                if len(tally.keys) > HELD:
-                    yield tally.taken()
-        yield tally.taken()
+                for name, keys in keys_of(part):
+                    tallies.setdefault(name, Tally()).add(keys)
+                if sum(len(t.keys) + t.waiting for t in tallies.values()) > HELD:
+                    for name, tally in tallies.items():
+                        yield tally.taken(name)
+                    tallies = {}
+        for name, tally in tallies.items():
+            yield tally.taken(name)
 
-    return df.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(run, "name string, key long, n long").groupBy("name", "key").agg(F.sum("n").alias("n"))
+
+
+def by_name(names: list[str | None], values: np.ndarray, first: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Each name with the values of the texts that have it; first: where each text's values begin."""
+    number: dict[str, int] = {}
+    marks = np.array([number.setdefault(n, len(number)) for n in names], np.int64)
+    if len(number) == 1:
+        yield names[0], values
+        return
+    own = np.repeat(marks, np.diff(first))
+    for name, i in number.items():
+        yield name, values[own == i]
