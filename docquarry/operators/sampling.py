@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.evaluation import draw
 from docquarry.operators.order import first_by, placed
+from docquarry.sources import storage
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, shares: dict[str, float], n: int, seed: int = 7) -> DataFrame:
@@ -57,3 +58,46 @@ def allocated(pools: DataFrame) -> DataFrame:
     fits = (F.col("pool") > 0) & (F.col("ratio") > 0)
     total = F.min(F.when(fits, F.col("pool") / F.col("ratio"))).over(Window.partitionBy(F.lit(1)))
     return pools.withColumn("count", F.when(fits, F.least(F.col("pool"), F.bround(total * F.col("ratio")))).otherwise(0).cast("long"))
+
+
+def proportional(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 33) -> DataFrame:
+    """Of each stratum max(1, round(n * its share of the rows)) rows (rounding half to even) in random order."""
+    total = rows.agg(F.count("*").alias("__all"))
+    quota = rows.groupBy(stratum).agg(F.count("*").alias("__own")).crossJoin(F.broadcast(total))  # one row
+    quota = quota.select(stratum, F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("__own") / F.col("__all"))).alias("__quota"))
+    dealt = rows.withColumn("__draw", draw(F.lit(seed), F.col(key)))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("__draw", key))
+    return dealt.withColumn("__place", place).join(quota, stratum).filter(F.col("__place") <= F.col("__quota")).drop("__draw", "__place", "__quota")
+
+
+_frozen: dict[tuple[str, str], str] = {}
+
+
+def frozen(sample: DataFrame, spark, name: str) -> DataFrame:
+    """A sample by name: written when it is first asked for, and read ever after, whatever `sample` would draw then."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _frozen:
+        path = storage.folder(spark, "sample")
+        sample.write.parquet(path)
+        _frozen[key] = path
+    return spark.read.schema(sample.schema).parquet(_frozen[key])
+
+
+def candidates(chunks: DataFrame, seed, papers: tuple[str, ...], questions: int) -> DataFrame:
+    """(document_id, kind, index): each paper for each kind in `papers`, and each chunk that `seed` takes for each
+    question index as `qa`."""
+    whole = chunks.select("document_id").distinct().select("document_id", F.explode(F.array(*map(F.lit, papers))).alias("kind"), F.lit(0).alias("index"))
+    asked = chunks.filter(seed).select("document_id", F.lit("qa").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(questions - 1))).alias("index"))
+    return whole.unionByName(asked)
+
+
+def pools(chunks: DataFrame, tasks: dict[str, tuple[str, list[str]]], group: int, least: int) -> DataFrame:
+    """(task, pool): how many examples each task can have, of the papers with a chunk in one of its sections: papers one
+    by one, pairs, or groups of so many with a last one of `least` at the least."""
+    rows = None
+    for task, (kind, sections) in tasks.items():
+        n = F.countDistinct("document_id")
+        pool = {"one": n, "pair": F.floor(n * (n - 1) / 2), "group": F.floor(n / group) + F.when(n % group >= least, 1).otherwise(0)}[kind]
+        part = chunks.filter(F.col("section").isin(sections)).agg(F.lit(task).alias("task"), pool.cast("long").alias("pool"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
