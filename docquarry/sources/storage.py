@@ -28,6 +28,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    if not fs.rename(place, target):
+        raise OSError(f"{path} couldn't be moved")
+    fs.deleteOnExit(target)
+
+
 def stamp(spark: SparkSession, path: str) -> str:
     """What tells a file or folder of files from its other states: names, sizes and times of all its files."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

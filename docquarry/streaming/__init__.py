@@ -9,23 +9,38 @@ from pyspark.sql import functions as F
 
 
 def append_new(spark: SparkSession, source: str, schema, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str, files: int = 4) -> None:
-    """Process the files that came since the last run in small batches and append the results. A batch that is run
-    again after a failure adds no key twice: keys that the output has are left out."""
+    """Process the files that came since the last run in batches of a few files and append the results.
+
+    A key that came before, in this run or an earlier one, is left out: the stream's state knows them, so a batch costs
+    what is in it, whatever was done before. A batch has a folder of its own below `out`, which a batch that is run again
+    after a failure writes anew."""
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = transform(batch)
-        try:
-            done = spark.read.parquet(out).select(key)
-            rows = rows.join(done, key, "left_anti")
-        except Exception as e:  # no output yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows.write.mode("append").parquet(out)
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+        transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).dropDuplicates([key])
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def index_new(spark: SparkSession, source: str, schema, index_path: str, checkpoint: str, files: int = 4) -> None:
+    """Put the chunks (chunk_id, text) of files that came since the last run into the index at index_path, which is
+    there; a batch is a part of its own, and replaces it if it is run again."""
+    from docquarry.operators.index import LexicalIndex
+
+    def put(batch: DataFrame, number: int) -> None:
+        LexicalIndex.load(spark, index_path).append(batch.select("chunk_id", "text"), number + 1)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).dropDuplicates(["chunk_id"])
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def micro_batches(rows: DataFrame, size: int, *by: str) -> DataFrame:
+    """rows with `batch`, from 0: so many rows each, in order of the columns `by`."""
+    from docquarry.operators.order import placed
+
+    return placed(rows, *by).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
+
+
 #: Document states, in the order in which one replaces another at the same time.
 STATES = ["uploaded", "parsing", "indexing", "scanned_needs_ocr", "failed", "indexed"]
 
@@ -36,3 +51,10 @@ def latest_states(changes: DataFrame) -> DataFrame:
     far = F.array_position(F.array(*map(F.lit, STATES)), F.col("status"))
     last = F.max(F.struct("at", far.alias("far"), "status")).alias("s")
     return changes.groupBy("document_id").agg(last).select("document_id", "s.status", "s.at")
+
+
+def worked(documents: DataFrame, fault, work_status: str = "indexed") -> DataFrame:
+    """(document_id, status, error) after work on uploaded documents: a fault (a Column, null without one) makes a
+    document failed, no matter how the others fare; one without a text layer needs OCR."""
+    status = F.when(fault.isNotNull(), "failed").when(F.col("scanned"), "scanned_needs_ocr").otherwise(work_status)
+    return documents.select("document_id", status.alias("status"), F.when(fault.isNotNull(), fault).alias("error"))
