@@ -88,3 +88,12 @@ def citation_ids(text: Column) -> Column:
 def without_markers(text: Column) -> Column:
     bare = F.regexp_replace(text, r"\[\d+(?:\s*,\s*\d+)*\]", "")
     return F.regexp_replace(bare, rf"(?i)^\s*(?:{LABELS})\s*:\s*", "")
+
+
+def inline(line: Column) -> Column:
+    """A line as pieces (kind, text): `bold` between double stars, `cite` for each number in a marker, `text` between."""
+    cut = F.split(F.regexp_replace(line, r"(\*\*.+?\*\*|\[\d+(?:\s*,\s*\d+)*\])", "\u001f$1\u001f"), "\u001f")
+    piece = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    cites = lambda x: F.transform(F.split(F.regexp_replace(x, r"[\[\]\s]", ""), ","), lambda n: piece("cite", n))
+    each = F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.when(x.rlike(r"^\*\*.+\*\*$"), F.array(piece("bold", F.regexp_replace(x, r"\*\*", "")))).when(x.rlike(r"^\[\d"), cites(x)).otherwise(F.array(piece("text", x))))
+    return F.flatten(each)

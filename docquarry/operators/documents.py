@@ -112,6 +112,55 @@ def pack_sentences(sentences: list[str], size: int = CHUNK_TOKENS, overlap: int
     return out
 
 
+def pack_topics(sentences: list[str], distances: list[float], threshold: float, size: int = TOPIC_TOKENS, overlap: int = OVERLAP) -> list[str]:
+    """Sentences in chunks that end where the distance to the next sentence is over the threshold, and before `size`
+    tokens are passed; either way the next chunk opens with the last sentences that fit `overlap`, if the next sentence
+    then fits too. A sentence longer than `size` is cut into so many words each."""
+    counts = [len(s.split()) for s in sentences]
+    out: list[list[int]] = []
+    now: list[int] = []
+
+    def tail() -> list[int]:
+        kept, room = [], overlap
+        for j in reversed(now):
+            if counts[j] > room:
+                break
+            room -= counts[j]
+            kept.insert(0, j)
+        return kept
+
+    for i, n in enumerate(counts):
+        if now and sum(counts[j] for j in now) + n > size:
+            out.append(now)
+            rest = tail()
+            now = rest if sum(counts[j] for j in rest) + n <= size else []
+        now = [*now, i]
+        if i < len(distances) and distances[i] > threshold:
+            out.append(now)
+            now = tail()
+    if now:
+        out.append(now)
+    cut = []
+    for chunk in out:
+        words = " ".join(sentences[j] for j in chunk).split()
+        cut += [" ".join(words[k : k + size]) for k in range(0, len(words), size)] if len(words) > size else [" ".join(sentences[j] for j in chunk)]
+    return cut
+
+
+def topic_chunks(documents: DataFrame, size: int = TOPIC_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+    """(document_id, chunk_no, text) of documents (document_id, sentences, distances, threshold), each packed by itself."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, sentences, distances, threshold in zip(*(batch[c] for c in ("document_id", "sentences", "distances", "threshold")), strict=True):
+                rows += [(doc, i, chunk) for i, chunk in enumerate(pack_topics(list(sentences), list(distances), threshold, size, overlap))]
+            yield pd.DataFrame(rows, columns=["document_id", "chunk_no", "text"])
+
+    kind = documents.schema["document_id"].dataType.simpleString()
+    return documents.select("document_id", "sentences", "distances", "threshold").mapInPandas(run, f"document_id {kind}, chunk_no long, text string")
+
+
 def chunks(pages: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """(document_id, chunk_no, text, token_count) of rows (document_id, text), each packed by itself in its task."""
 
@@ -208,7 +257,7 @@ def split_table(grid: Column, budget: int) -> Column:
     header = F.element_at(grid, 1)
 
     def step(acc: Column, r: Column) -> Column:
-        n = tx.token_count(F.array_join(r, " "))
+        n = tx.token_count(F.array_join(r, " | "))
         parts = acc["parts"]
         fresh = (F.size(parts) == 0) | (acc["n"] + n > budget)
         put = F.concat(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.concat(F.element_at(parts, -1), F.array(r))))
@@ -217,11 +266,79 @@ def split_table(grid: Column, budget: int) -> Column:
     return F.aggregate(F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(0))), start, step)["parts"]
 
 
+# How captions begin.
+CAPTION = r"^\s*(Table|TABLE|Tab\.|Figure|FIGURE|Fig\.)\s*(\d+|[IVX]+)\s*(?:[.:|]\s*\S|\s+[A-Z])"
+
+
 def caption(block: Column) -> Column:
-    """`Table n` or `Figure n` of a caption's text, else null."""
-    kind = F.lower(F.regexp_extract(block, r"(?i)^\s*(table|tab\.|figure|fig\.?)\s*(\d+|[ivx]+)\b", 1))
-    number = F.regexp_extract(block, r"(?i)^\s*(table|tab\.|figure|fig\.?)\s*(\d+|[ivx]+)\b", 2)
-    return F.when(kind != "", F.concat(F.when(kind.startswith("tab"), "Table ").otherwise("Figure "), number))
+    """`Table n` or `Figure n` of a caption's text, else null: a number, and behind it a mark and text, or a capital."""
+    kind = F.lower(F.regexp_extract(block, CAPTION, 1))
+    return F.when(kind != "", F.concat(F.when(kind.startswith("tab"), "Table ").otherwise("Figure "), F.regexp_extract(block, CAPTION, 2)))
+
+
+def sanitized(text: Column) -> Column:
+    """Without NUL; a string column holds no lone surrogates."""
+    return F.replace(text, F.lit("\0"), F.lit(""))
+
+
+def digit_share(grid: Column) -> Column:
+    """Which share of the cells with text has a digit; 0 without any."""
+    filled = F.filter(F.flatten(grid), lambda c: c != "")
+    return F.coalesce(F.try_divide(F.size(F.filter(filled, lambda c: c.rlike("[0-9]"))), F.size(filled)), F.lit(0.0))
+
+
+def table_chunks(tables: DataFrame, size: int = CHUNK_TOKENS, floor: int = 60) -> DataFrame:
+    """Chunks of tables (document_id, page_number, idx, section, caption, label, grid): the caption, or the label, and the
+    grid as Markdown. Rows that would be more than `size` tokens with them, or `floor`, go on in another part, under the
+    same caption and header."""
+    prefix = F.when(F.coalesce(F.col("caption"), F.lit("")) != "", F.col("caption")).otherwise(F.col("label"))
+    rows = tables.withColumn("prefix", prefix)
+    head = grid_to_markdown(F.array(F.element_at("grid", 1)))
+    budget = F.greatest(F.lit(size) - tx.token_count(F.col("prefix")) - tx.token_count(head), F.lit(floor))
+    alone = F.array(F.array(F.element_at("grid", 1)))
+    cut = rows.withColumn("budget", budget).withColumn("parts", split_table(F.col("grid"), F.col("budget"))).withColumn("parts", F.when(F.size("parts") == 0, alone).otherwise(F.col("parts")))
+    each = cut.select("document_id", "page_number", "idx", "section", "label", "prefix", F.posexplode("parts").alias("n", "part"))
+    place = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("idx", "n")) - 1
+    text = F.concat("prefix", F.lit("\n"), grid_to_markdown(F.col("part")))
+    return _with_ids(each.withColumn("place", place), "t").select("chunk_id", "document_id", "page_number", "section", text.alias("text"), tx.token_count(text).alias("token_count"), F.lit("table").alias("chunk_type"), "label")
+
+
+def figure_chunks(figures: DataFrame) -> DataFrame:
+    """Chunks of figures (document_id, page_number, idx, section, caption, label, figure_text): the caption, and the text
+    in the figure if there is any."""
+    text = F.concat("caption", F.when(F.coalesce("figure_text", F.lit("")) != "", F.concat(F.lit("\nText in the figure: "), "figure_text")).otherwise(""))
+    place = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("idx")) - 1
+    return _with_ids(figures.withColumn("place", place), "f").select("chunk_id", "document_id", "page_number", "section", text.alias("text"), tx.token_count(text).alias("token_count"), F.lit("figure").alias("chunk_type"), "label")
+
+
+def _with_ids(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.withColumn("chunk_id", F.concat(F.col("document_id").cast("string"), F.lit("_p"), F.col("page_number").cast("string"), F.lit(f"_{kind}"), F.col("place").cast("string")))
+
+
+def document_chunks(pages: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """The text chunks of pages (document_id, page_number, text): none reaches over a heading. Ids count on each page;
+    a chunk that is a list of references is in that section, whatever it stands under."""
+    runs = section_runs(pages)
+    packed = chunks(runs.select(F.struct("document_id", "page_number", "run", "section").alias("document_id"), "text"), size, overlap, least)
+    rows = packed.select("document_id.*", "chunk_no", "text", "token_count")
+    place = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("run", "chunk_no")) - 1
+    section = F.when(reference_score(F.col("text")) >= 1, "References").otherwise(F.col("section"))
+    return _with_ids(rows.withColumn("place", place), "c").select("chunk_id", "document_id", "page_number", section.alias("section"), "text", "token_count", F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("label"))
+
+
+def page_section(pages: DataFrame) -> DataFrame:
+    """pages (page_id, hint, text) with `section`: what the hint names, else the first heading, else Unknown."""
+    heads = F.filter(F.transform(F.split("text", r"\r?\n"), heading), lambda h: h.isNotNull())
+    return pages.withColumn("section", F.coalesce(heading(F.col("hint")), F.try_element_at(heads, F.lit(1)), F.lit("Unknown")))
+
+
+def transcribed(tables: DataFrame, cache: DataFrame) -> DataFrame:
+    """tables (page_number, idx, grid) with the grid of an accepted transcription (key p<page>_t<idx>, markdown, accepted)
+    in place of theirs, if it is a table."""
+    key = F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("_t"), F.col("idx").cast("string"))
+    rows = tables.withColumn("key", key).join(cache, "key", "left").withColumn("new", markdown_to_grid(F.col("markdown")))
+    good = F.col("accepted") & (F.size("new") >= 2) & (F.coalesce(F.array_max(F.transform("new", F.size)), F.lit(0)) >= 2)
+    return rows.withColumn("grid", F.when(F.coalesce(good, F.lit(False)), F.col("new")).otherwise(F.col("grid"))).drop("key", "markdown", "accepted", "new")
 
 
 def inside_fraction(inner: list[Column], outer: list[Column]) -> Column:
@@ -255,6 +372,33 @@ def title_of(text: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != ""), F.lit(1)), F.lit("Untitled"))
 
 
+# A preprint's stamp, what lines of addresses have, where the authors end, and how a name looks.
+WATERMARK = r"(?i)^arxiv:\s*\d{4}\.\d{4,5}"
+ADDRESS = "university institute department dept college hospital corp inc ltd laboratory lab school center centre faculty division group".split()
+AUTHORS_END = ["abstract", "introduction", "keywords", "index terms"]
+NAME_LINE = r"^[A-Z][\w.'-]*(\s+[A-Z][\w.'-]*){1,4}$"
+TITLE_LINES, AUTHOR_LINES, MOST_AUTHORS = 3, 25, 10
+
+
+def front_matter(lines: DataFrame) -> DataFrame:
+    """(document_id, title, authors) of the lines of first pages (document_id, line_no, size, text).
+
+    The title is the first three lines of the largest type (within half a point), without a preprint's stamp. Authors
+    are lines below it that look like a name, up to a heading, 25 lines and ten names."""
+    own = Window.partitionBy("document_id")
+    rows = lines.filter((F.trim("text") != "") & ~F.col("text").rlike(WATERMARK))
+    rows = rows.withColumn("n", F.row_number().over(own.orderBy("line_no"))).withColumn("large", F.col("size") >= F.max("size").over(own) - 0.5)
+    nth = F.sum(F.when(F.col("large"), 1).otherwise(0)).over(own.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("titled", F.col("large") & (nth <= TITLE_LINES)).withColumn("after", F.max(F.when(F.col("titled"), F.col("n"))).over(own))
+    low = F.regexp_replace(F.lower(F.trim("text")), ":+$", "")
+    below = (F.col("n") > F.col("after")) & (F.col("n") <= F.col("after") + AUTHOR_LINES)
+    rows = rows.withColumn("below", below).withColumn("end", F.max(F.when(F.col("below") & low.isin(AUTHORS_END), 1).otherwise(0)).over(own.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    named = F.col("below") & (F.col("end") == 0) & ~F.col("text").contains("@") & ~low.rlike("|".join(ADDRESS)) & ~F.col("text").rlike("[0-9]") & F.trim("text").rlike(NAME_LINE)
+    pick = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("n", F.trim("text").alias("t")))))
+    got = rows.groupBy("document_id").agg(pick(F.col("titled")).alias("t"), pick(named).alias("a"))
+    return got.select("document_id", F.array_join(F.transform("t", lambda x: x["t"]), " ").alias("title"), F.slice(F.transform("a", lambda x: x["t"]), 1, MOST_AUTHORS).alias("authors"))
+
+
 def authors_of(line: Column) -> Column:
     return F.filter(F.transform(F.split(line, r",|;|&| and "), F.trim), lambda x: x != "")
 
