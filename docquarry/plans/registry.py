@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.operators import documents, retrieval
-from docquarry.plans import answering, chunking, quality_sets, reports, scoring, search, storage, views
+from docquarry.plans import answering, chunking, quality_sets, reports, routes, scoring, search, storage, views
 
-_PLANS = (search, scoring, quality_sets, reports, answering, storage, chunking)
+_PLANS = (search, scoring, quality_sets, reports, answering, storage, chunking, routes)
 
 
 def flagship(spark, sf_dir):
