@@ -114,6 +114,54 @@ def embedder_comparison(spark, sf):
     return hits.groupBy("arm").agg(F.round(F.avg("h"), 6).alias("hit_at_5"))
 
 
+#: A chunk is right for a question if it is a vector with the label of the question's twin.
+_RIGHT = "rt AS (SELECT tw.query_id, d.vec_id AS chunk_id FROM tw JOIN embeddings q USING (vec_id) JOIN embeddings d ON d.label = q.label)"
+
+
+def _right(ranked, spark, sf):
+    n = v.table(spark, sf, "embeddings").agg(F.count("*").alias("n"))
+    labels = v.vectors(spark, sf).select("chunk_id", "label")
+    twins = v.questions(spark, sf).crossJoin(F.broadcast(n)).select("query_id", (F.col("query_id") * 20 % F.col("n")).alias("chunk_id"))
+    own = twins.join(labels, "chunk_id").select("query_id", F.col("label").alias("wanted"))
+    return ranked.join(own, "query_id").join(labels, "chunk_id", "left").withColumn("hit", F.when(F.col("label") == F.col("wanted"), 1).otherwise(0)).drop("label", "wanted")
+
+
+@query(f"""WITH {_TWO}, {_ONLY_FUSED}, {_RERANKED}, {_RIGHT}, arms AS (SELECT 'dense' AS arm, query_id, chunk_id, rank FROM dense UNION ALL SELECT 'bm25', query_id, chunk_id, rank FROM list_b UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM h UNION ALL SELECT 'hybrid+rerank', query_id, chunk_id, rank FROM re),
+q AS (SELECT arm, query_id, CASE WHEN query_id <= (SELECT median(item_id) FROM benchmark) THEN 'hard' ELSE 'easy' END AS half, 'kind' || (query_id % 3) AS kind, max(CASE WHEN a.rank <= 5 AND rt.chunk_id IS NOT NULL THEN 1 ELSE 0 END) AS h, coalesce(1 / min(CASE WHEN rt.chunk_id IS NOT NULL THEN a.rank END), 0) AS rr FROM arms a LEFT JOIN rt USING (query_id, chunk_id) WHERE a.rank <= 10 GROUP BY ALL)
+SELECT arm, g AS slice, count(*) AS n, round(avg(h), 6) AS hit_at_5, round(avg(rr), 6) AS mrr FROM (SELECT *, unnest(['all', half, kind]) AS g FROM q) GROUP BY 1, 2""")
+def arm_slices(spark, sf):
+    """All four strategies by kind of question and by half; a question is in several slices."""
+    rows = _right(four_arms(spark, sf), spark, sf).groupBy("arm", "query_id").agg(F.max(F.when((F.col("rank") <= 5) & (F.col("hit") == 1), 1).otherwise(0)).alias("h"), F.coalesce(1 / F.min(F.when(F.col("hit") == 1, F.col("rank"))), F.lit(0.0)).alias("rr"))
+    mid = v.questions(spark, sf).agg(F.median("query_id").alias("mid"))
+    half = F.when(F.col("query_id") <= F.col("mid"), "hard").otherwise("easy")
+    kind = F.concat(F.lit("kind"), (F.col("query_id") % 3).cast("string"))
+    each = rows.crossJoin(F.broadcast(mid)).withColumn("slice", F.explode(F.array(F.lit("all"), half, kind)))  # one row
+    return each.groupBy("arm", "slice").agg(F.count("*").alias("n"), F.round(F.avg("h"), 6).alias("hit_at_5"), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
+@query(f"""WITH {_TWO}, {_RIGHT}, grid AS (SELECT w, k FROM (VALUES (0.3::DOUBLE), (0.5), (0.7)) a(w), (VALUES (10), (60)) b(k)), both_lists AS (SELECT query_id, chunk_id, rank, 0 AS l FROM list_a UNION ALL SELECT query_id, chunk_id, rank, 1 FROM list_b),
+f AS (SELECT w, k, query_id, chunk_id, round(sum(CASE WHEN l = 0 THEN w ELSE 1 - w END / (k + rank)), 9) AS s FROM both_lists, grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY w, k, query_id ORDER BY s DESC, chunk_id) AS rank FROM f),
+q AS (SELECT w, k, query_id, (SELECT count(*) FROM benchmark b WHERE b.item_id < r.query_id) % 2 AS half, max(CASE WHEN r.rank <= 5 AND rt.chunk_id IS NOT NULL THEN 1 ELSE 0 END) AS h, coalesce(1 / min(CASE WHEN rt.chunk_id IS NOT NULL THEN r.rank END), 0) AS rr FROM r LEFT JOIN rt USING (query_id, chunk_id) GROUP BY ALL),
+m AS (SELECT w, k, half, round(avg(h), 6) AS hit_at_5, round(avg(rr), 6) AS mrr FROM q GROUP BY ALL), best AS (SELECT w, k FROM m WHERE half = 0 ORDER BY hit_at_5 DESC, mrr DESC, w, k LIMIT 1)
+SELECT w, k::BIGINT AS k, CASE half WHEN 0 THEN 'tune' ELSE 'held_out' END AS half, hit_at_5, mrr FROM m JOIN best USING (w, k)""")
+def sweep_halves(spark, sf):
+    """Fusion settings tried on every second question; the best is reported on both halves."""
+    from docquarry.operators import order as od
+
+    lists = _dense(spark, sf, 20).select("query_id", "chunk_id", "rank", F.lit(0).alias("l")).unionByName(_lexical(spark, sf, 20).select("query_id", "chunk_id", "rank", F.lit(1).alias("l")))
+    grid = spark.createDataFrame([(w, k) for w in (0.3, 0.5, 0.7) for k in (10, 60)], "w double, k long")
+    weight = F.when(F.col("l") == 0, F.col("w")).otherwise(1 - F.col("w"))
+    fused = lists.crossJoin(F.broadcast(grid)).groupBy("w", "k", "query_id", "chunk_id").agg(F.round(F.sum(weight / (F.col("k") + F.col("rank"))), 9).alias("s"))
+    from pyspark.sql import Window
+
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("w", "k", "query_id").orderBy(F.desc("s"), "chunk_id")))
+    halves = od.placed(v.questions(spark, sf).select("query_id"), "query_id").select("query_id", F.when(F.col("place") % 2 == 0, "tune").otherwise("held_out").alias("half"))
+    q = _right(ranked, spark, sf).groupBy("w", "k", "query_id").agg(F.max(F.when((F.col("rank") <= 5) & (F.col("hit") == 1), 1).otherwise(0)).alias("h"), F.coalesce(1 / F.min(F.when(F.col("hit") == 1, F.col("rank"))), F.lit(0.0)).alias("rr"))
+    m = q.join(halves, "query_id").groupBy("w", "k", "half").agg(F.round(F.avg("h"), 6).alias("hit_at_5"), F.round(F.avg("rr"), 6).alias("mrr"))
+    best = m.filter("half = 'tune'").orderBy(F.desc("hit_at_5"), F.desc("mrr"), "w", "k").limit(1).select("w", "k")
+    return m.join(F.broadcast(best), ["w", "k"])  # one row
+
+
 # Evidence, prompts and contexts ---------------------------------------------------------------------------------------
 
 _EVIDENCE = """ev AS (SELECT item_id AS query_id, n AS citation_id, 'Title ' || (item_id + n) AS document_title, n * 2 AS page_number, 'Results' AS section, left(text, 40 * n::INT) AS text FROM benchmark, range(1, 6) t(n))"""

@@ -238,17 +238,47 @@ def document_keys(spark, sf):
     return docs.select("doc_id", dc.document_key(F.col("text"), F.concat("source", F.lit(" ("), "lang", F.lit(")"))).alias("document_id"), dc.title_of(F.col("text")).alias("title"))
 
 
-@query()
-def response_invariants(spark, sf):
-    """Checks on the engine's own output, and how many rows break each: none should."""
-    found = scoring._cited_rows(spark, sf)
-    graded = cl.grounded(found)
-    checks = {
-        "score_in_range": (F.col("grounding_score") < 0) | (F.col("grounding_score") > 1),
-        "uncited_is_none": (F.size("cited") == 0) & (F.col("grounding") != "none"),
-        "missing_is_none": (F.size("missing") > 0) & (F.col("grounding") != "none"),
-        "strong_has_overlap": (F.col("grounding") == "strong") & (F.col("overlap") < cl.STRONG),
+def _checks() -> dict:
+    """What must not be in any graded claim or answer, by name."""
+    c, size = F.col, F.size
+    return {
+        "score_in_range": (c("grounding_score") < 0) | (c("grounding_score") > 1),
+        "overlap_in_range": (c("overlap") < 0) | (c("overlap") > 1),
+        "block_overlap_in_range": (c("min_cite_overlap") < 0) | (c("min_cite_overlap") > 1),
+        "score_null": c("grounding_score").isNull(),
+        "overlap_null": c("overlap").isNull(),
+        "label_known": ~c("grounding").isin("none", "weak", "strong"),
+        "uncited_is_none": (size("cited") == 0) & (c("grounding") != "none"),
+        "uncited_scores_nothing": (size("cited") == 0) & (c("grounding_score") != 0),
+        "missing_is_none": (size("missing") > 0) & (c("grounding") != "none"),
+        "missing_is_capped": (size("missing") > 0) & (c("grounding_score") > 0.3),
+        "strong_has_overlap": (c("grounding") == "strong") & (c("overlap") < cl.STRONG),
+        "weak_has_overlap": (c("grounding") == "weak") & (c("overlap") < cl.WEAK),
+        "strong_is_in_context": (c("grounding") == "strong") & ~c("context_ok"),
+        "strong_uses_each_block": (c("grounding") == "strong") & (c("min_cite_overlap") < cl.LEAST_BLOCK),
+        "none_without_overlap": (c("grounding") == "none") & (c("overlap") >= cl.STRONG) & (size("missing") == 0) & (size("cited") > 0) & c("context_ok") & (c("min_cite_overlap") >= cl.LEAST_BLOCK),
         "ids_positive": F.exists("ids", lambda i: i < 1),
+        "ids_distinct": size(F.array_distinct("ids")) != size("ids"),
+        "no_more_blocks_than_ids": size("cited") > size("ids"),
+        "blocks_have_text": F.exists("cited", lambda b: b.isNull()),
+        "text_there": F.trim("text") == "",
+        "context_known": c("context_ok").isNull(),
+        "missing_known": c("missing").isNull(),
+        "missing_are_numbers": F.exists("missing", lambda n: ~n.rlike(r"^\d+(\.\d+)?$")),
+        "missing_are_said": F.exists("missing", lambda n: ~c("text").contains(n)),
+        "missing_are_missing": F.exists("missing", lambda n: F.array_join("cited", " ").contains(n)),
+        "position_there": c("pos").isNull() | (c("pos") < 0),
     }
+
+
+_CHECKS = """score_in_range overlap_in_range block_overlap_in_range score_null overlap_null label_known uncited_is_none uncited_scores_nothing missing_is_none missing_is_capped strong_has_overlap weak_has_overlap strong_is_in_context strong_uses_each_block none_without_overlap ids_positive ids_distinct no_more_blocks_than_ids blocks_have_text text_there context_known missing_known missing_are_numbers missing_are_said missing_are_missing position_there""".split()
+
+
+@query(f"WITH {v.CLAIMS}, n AS (SELECT count(*) AS rows FROM claims) SELECT rows, unnest({_CHECKS}) AS \"check\", 0::BIGINT AS broken FROM n")
+def response_invariants(spark, sf):
+    """Checks on the engine's own output, and how many rows break each: none should."""
+    graded = cl.grounded(scoring._cited_rows(spark, sf))
+    checks = _checks()
+    assert list(checks) == _CHECKS
     broken = graded.agg(F.count("*").alias("rows"), *(F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in checks.items()))
     return broken.select("rows", F.expr("stack({}, {}) as (check, broken)".format(len(checks), ", ".join(f"'{n}', {n}" for n in checks))))

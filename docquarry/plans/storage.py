@@ -146,6 +146,29 @@ def atom_scan(spark, sf):
     return got.select("id", "title", "summary", "year", F.size("authors").alias("n_authors"))
 
 
+@query("""SELECT source AS name, n AS page_number, CASE WHEN source = 'src3' THEN NULL WHEN n = 2 THEN 'plain ' || source ELSE source || ' page ' || n END AS text, source = 'src3' OR n = 2 AS has_error FROM (SELECT DISTINCT source FROM documents) s, range(1, 4) t(n) WHERE source <> 'src3' OR n = 1""".replace("n AS page_number", "CASE WHEN source <> 'src3' THEN n END AS page_number"))
+def page_files(spark, sf):
+    """A folder of files read as pages: a page that can't be parsed falls back to plain text, a broken file stands alone,
+    and files of other kinds aren't read."""
+    path = storage.folder(spark, "files")
+    names = [r["source"] for r in v.table(spark, sf, "documents").select("source").distinct().collect()]  # a few sources
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in [*(f"{n}.doc" for n in names), "other.bin"]:
+        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+        out.write(bytearray(name.encode()))
+        out.close()
+
+    def parse(content: bytes):
+        name = content.decode().removesuffix(".doc")
+        if name == "src3":
+            raise ValueError("broken")
+        return [f" {name} page 1\0", ValueError("odd page"), f"{name} page 3 "]
+
+    got = so.read_pages(spark, path, parse, "*.doc", lambda content, page: "plain " + content.decode().removesuffix(".doc"))
+    name = F.regexp_replace(F.regexp_extract("document_id", r"[^/]+$", 0), r"\.doc$", "")
+    return got.select(name.alias("name"), "page_number", "text", F.col("parse_error").isNotNull().alias("has_error"))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'status' WHEN page_id % 3 = 0 THEN 'magic' WHEN strlen(html) + 4 > 2000 THEN 'size' ELSE 'ok' END AS outcome FROM pages")
 def download_guard(spark, sf):
     """Which downloads are taken: by status, first bytes and size."""
