@@ -22,7 +22,7 @@ def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(_docs(spark, sf_dir).select("doc_id", "text", "lang")).drop("text", "lang")
+    return quality.judged(_docs(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False).drop("lang")
 
 
 def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def op9_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as of high quality and not toxic."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return cross_entropy.score(docs, docs.join(good, "doc_id", "left_semi")).drop("text")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
+    return cross_entropy.score(docs, good)
 
 
 def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
