@@ -13,8 +13,12 @@ from docquarry.sources import storage
 def stratified(rows: DataFrame, stratum: str, key: str, shares: dict[str, float], n: int, seed: int = 7) -> DataFrame:
     """For each stratum max(1, round(n * share)) rows in random order (rounding half to even)."""
     quota = F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(max(1, round(n * v))))))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(F.lit(seed), F.col(key)), key))
-    return rows.withColumn("place", place).filter(F.col("place") <= F.coalesce(F.try_element_at(quota, F.col(stratum)), F.lit(0)))
+    most = max([0, *(max(1, round(n * v)) for v in shares.values())])
+    dealt = rows.withColumn("__draw", draw(F.lit(seed), F.col(key)))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("__draw", key))
+    # a limit that is known at planning is met in each task before the shuffle
+    first = dealt.withColumn("place", place).filter(F.col("place") <= most).drop("__draw")
+    return first.filter(F.col("place") <= F.coalesce(F.try_element_at(quota, F.col(stratum)), F.lit(0)))
 
 
 def round_robin(rows: DataFrame, group: str, key: str) -> DataFrame:
@@ -34,8 +38,10 @@ def split_papers(ids: DataFrame, key: str, val: float = 0.1, test: float = 0.1,
 
 def groups_of(rows: DataFrame, pool: str, key: str, size: int, least: int, most: int, seed: int = 42) -> DataFrame:
     """Fixed-size groups of a pool's rows in random order; a remainder below `least` and groups beyond `most` go."""
-    by = Window.partitionBy(pool)
-    placed = rows.withColumn("group_no", F.floor((F.row_number().over(by.orderBy(draw(F.lit(seed), F.col(key)), key)) - 1) / size))
+    dealt = rows.withColumn("__draw", draw(F.lit(seed), F.col(key)))
+    # rows of groups beyond `most` go before the shuffle
+    nth = dealt.withColumn("__nth", F.row_number().over(Window.partitionBy(pool).orderBy("__draw", key))).filter(F.col("__nth") <= size * most)
+    placed = nth.withColumn("group_no", F.floor((F.col("__nth") - 1) / size)).drop("__draw", "__nth")
     sized = placed.withColumn("group_size", F.count("*").over(Window.partitionBy(pool, "group_no")))
     return sized.filter((F.col("group_size") >= least) & (F.col("group_no") < most))
 
