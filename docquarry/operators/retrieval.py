@@ -106,12 +106,12 @@ def _blocks(rows: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
         if ids:
             yield out()
 
-    return rows.select(F.col(key).cast("long"), "embedding").mapInArrow(pack, f"{prefix}_ids binary, {prefix}_values binary")
+    return rows.filter(F.col("embedding").isNotNull()).select(F.col(key).cast("long"), "embedding").mapInArrow(pack, f"{prefix}_ids binary, {prefix}_values binary")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """The k vectors with the largest inner product: vectors (chunk_id, embedding), queries (query_id, embedding), both
-    with whole numbers as ids and vectors of one length.
+    with whole numbers as ids and vectors of one length; rows without a vector aren't found and find nothing.
 
     The query set meets all vectors in blocks, each a matrix product, and of each only a query's k best (by rounded
     score, then id) go on; so what is shuffled are k rows for each query and block of vectors."""

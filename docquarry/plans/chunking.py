@@ -159,8 +159,7 @@ UNION ALL SELECT doc_id, 8, 10.0, CASE WHEN doc_id % 5 = 0 THEN 'some words' ELS
 @query("SELECT doc_id, 'A Study of ' || source || CASE WHEN doc_id % 3 = 0 THEN ' in ' || lang ELSE '' END AS title, 'Ann B. Lee; Carl Orff' || CASE WHEN doc_id % 5 = 0 THEN '; Dan Late' ELSE '' END AS authors FROM documents")
 def title_authors(spark, sf):
     """First pages as lines with sizes of type: the title, and the names below it."""
-    v.table(spark, sf, "documents").createOrReplaceTempView("documents")
-    lines = spark.sql(_LINES).withColumnRenamed("doc_id", "document_id").withColumn("size", F.col("size").cast("double"))
+    lines = spark.sql(_LINES.replace("FROM documents", "FROM {docs}"), docs=v.table(spark, sf, "documents")).withColumnRenamed("doc_id", "document_id").withColumn("size", F.col("size").cast("double"))
     return dc.front_matter(lines).select(F.col("document_id").alias("doc_id"), "title", F.array_join("authors", "; ").alias("authors"))
 
 
