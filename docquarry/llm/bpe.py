@@ -181,7 +181,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                     columns.append(pa.array(list(map(encoder.decode, got)), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *new])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(n, T.BinaryType()) for n in new)]))
+    return kept.mapInArrow(runtime.relieved(run), T.StructType([*kept.schema.fields, *(T.StructField(n, T.BinaryType()) for n in new)]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -195,4 +195,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
             out = pa.array([encoder.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, decoded])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(decoded, T.BinaryType())]))
+    return kept.mapInArrow(runtime.relieved(run), T.StructType([*kept.schema.fields, T.StructField(decoded, T.BinaryType())]))

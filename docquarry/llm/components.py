@@ -13,8 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Star contraction: each round hangs every node's neighbours on its smallest neighbour, first the larger ones, then
     the smaller ones too; rounds follow until nothing changes, a few times the logarithm of the nodes. A node's
-    smallest neighbour is found by an aggregation that combines before the shuffle and joined back, so that a node with
-    very many neighbours isn't gathered in one place. Each round's edges are written to the shared folder."""
+    smallest neighbour is found by an aggregation that combines before the shuffle, and joined back: a node's edges, as
+    pairs of numbers, pass through one task of that join, but are never held there. Each round's edges are written to
+    the shared folder."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     now = runtime.written(edges)
     while True:
@@ -31,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         # done when each node hangs on one other, which hangs on none
         ends = after.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(after.select("b", F.lit(0), F.lit(1)))
         odd = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1")
+        runtime.dropped(now)
         now = after
         if odd.isEmpty():
             break

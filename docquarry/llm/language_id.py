@@ -133,7 +133,7 @@ def predict(df: DataFrame, filters: LanguageFilters, label: str = "lang_pred", s
                     names, scores = [UNDETERMINED] * len(n), np.zeros(len(n))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*part.schema.names, label, score])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return kept.mapInArrow(runtime.relieved(run), T.StructType([*kept.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def is_held_out(doc_id) -> F.Column:

@@ -156,11 +156,11 @@ def _digests(docs: DataFrame, settings: Settings) -> DataFrame:
                 columns = [part.column("doc_id"), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "low", "high", "keys", "marks"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, low long, high long, keys binary, marks binary")
+    return docs.mapInArrow(runtime.relieved(run), "doc_id long, n_shingles long, low long, high long, keys binary, marks binary")
 
 
 #: Nodes whose buckets a task gathers at once (a power of two); keys that one task of the shuffle is meant to get.
-GATHERED, KEYS_A_TASK = 1 << 13, 1_500_000
+GATHERED, KEYS_A_TASK = 1 << 12, 500_000
 #: Parts into which rows of one set are dealt before their class is found.
 SALTS = 64
 
@@ -180,10 +180,15 @@ def _run_starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
 
 
-def _by_bucket(gather: int, keys: np.ndarray, owner: np.ndarray, nodes: np.ndarray, buckets: int, counts: np.ndarray | None = None, comps: np.ndarray | None = None, marks: list[bytes] | None = None):
-    """Rows of _PACKED: keys by bucket, with the places of their owners in nodes; counts belong to keys, components and
-    marks to nodes."""
-    part = (keys % np.uint64(buckets)).astype(np.int64)
+def _parts(keys: np.ndarray, side: int, buckets: int) -> np.ndarray:
+    """(nodes, side^2) places in the shuffle of the table keys: tables of one left key go together, so that a pair that
+    shares several of them meets once."""
+    return np.repeat((runtime.mix(keys[:, :side]) % np.uint64(buckets)).astype(np.int64), side, axis=1)
+
+
+def _by_bucket(gather: int, keys: np.ndarray, part: np.ndarray, owner: np.ndarray, nodes: np.ndarray, buckets: int, counts: np.ndarray | None = None, comps: np.ndarray | None = None, marks: list[bytes] | None = None):
+    """Rows of _PACKED: keys by their part, with the places of their owners in nodes; counts belong to keys, components
+    and marks to nodes."""
     by = np.argsort(part, kind="stable")
     keys, owner, part = keys[by], owner[by], part[by]
     counts = counts[by].astype(np.uint16) if counts is not None else None
@@ -219,10 +224,10 @@ def _stars(reps: DataFrame, settings: Settings, buckets: int) -> DataFrame:
     def gathered(gather, nodes, keys):
         by = np.argsort(nodes, kind="stable")  # a run's first is its smallest node
         nodes, keys = nodes[by], keys[by]
-        grid = _grid(keys, settings.side).reshape(-1)
+        grid, part = _grid(keys, settings.side).reshape(-1), _parts(keys, settings.side, buckets).reshape(-1)
         owner = np.repeat(np.arange(len(nodes)), settings.side**2)
         by = np.argsort(grid, kind="stable")
-        grid, owner = grid[by], owner[by]
+        grid, part, owner = grid[by], part[by], owner[by]
         start = _run_starts(grid)
         count = np.diff(np.append(start, len(grid)))
         lead = np.repeat(owner[start], count)
@@ -230,7 +235,7 @@ def _stars(reps: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         pairs = np.unique(owner[later] * len(nodes) + lead[later])
         if len(pairs):
             yield -1 - gather % buckets, gather, None, None, None, nodes[pairs // len(nodes)].tobytes(), nodes[pairs % len(nodes)].tobytes(), None, None
-        yield from _by_bucket(gather, grid[start], owner[start], nodes, buckets, counts=count)
+        yield from _by_bucket(gather, grid[start], part[start], owner[start], nodes, buckets, counts=count)
 
     def run(batches):
         for batch in batches:
@@ -255,33 +260,38 @@ def _stars(reps: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         lead = np.repeat(member[start], length)
         later = np.flatnonzero(member != lead)
         a, b = np.concatenate([*a, member[later]]), np.concatenate([*b, lead[later]])
-        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        by_pair = np.lexsort((b, a))
+        a, b = a[by_pair], b[by_pair]
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b = a[fresh], b[fresh]
         total = np.repeat(np.add.reduceat(counts[by].astype(np.int64), start) if len(start) else length, length)
         hot = np.flatnonzero(total > settings.crowded)
-        none, empty = pa.nulls(len(both), pa.int64()), pa.nulls(len(hot), pa.int64())
-        one = pa.table({"a": both[:, 0], "b": both[:, 1], "gather": none, "key": none, "blocks": pa.nulls(len(both), pa.int32())})
+        none, empty = pa.nulls(len(a), pa.int64()), pa.nulls(len(hot), pa.int64())
+        one = pa.table({"a": a, "b": b, "gather": none, "key": none, "blocks": pa.nulls(len(a), pa.int32())})
         two = pa.table({"a": empty, "b": empty, "gather": gather[by][hot], "key": keys[hot].view(np.int64), "blocks": (-(-total[hot] // settings.crowded)).astype(np.int32)})
         return pa.concat_tables([one, two])
 
-    return reps.select("node", "gather", "keys").mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(meet, _MET)
+    return reps.select("node", "gather", "keys").mapInArrow(runtime.relieved(run), _PACKED).groupBy("bucket").applyInArrow(runtime.relieved(meet), _MET)
 
 
-def _in_blocks(grid: np.ndarray, owner: np.ndarray, nodes: np.ndarray, crowded: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and owners, where each key of crowded (ascending) is replaced by one key for each other block of its bucket:
-    a member has a block, and any two blocks share a key."""
+def _in_blocks(grid: np.ndarray, part: np.ndarray, owner: np.ndarray, nodes: np.ndarray, crowded: np.ndarray, blocks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, parts and owners, where each key of crowded (ascending) is replaced by one key for each other block of its
+    bucket: a member has a block, and any two blocks share a key."""
     if not len(crowded):
-        return grid, owner
+        return grid, part, owner
     at = np.minimum(np.searchsorted(crowded, grid), len(crowded) - 1)
     many = crowded[at] == grid
-    keys, owners = [grid[~many]], [owner[~many]]
+    keys, parts, owners = [grid[~many]], [part[~many]], [owner[~many]]
     which, mine, n = grid[many], owner[many], blocks[at[many]].astype(np.uint64)
     own = runtime.mix(nodes[mine].astype(np.uint64) ^ which) % n if len(n) else n
     for j in range(int(n.max()) if len(n) else 0):
         there = np.flatnonzero((own != j) & (n > j))
         low, high = np.minimum(own[there], np.uint64(j)), np.maximum(own[there], np.uint64(j))
         keys.append(runtime.mix(which[there] ^ runtime.mix((low << np.uint64(32)) | high)))
+        parts.append((keys[-1] % np.uint64(buckets)).astype(np.int64))
         owners.append(mine[there])
-    return np.concatenate(keys), np.concatenate(owners)
+    return np.concatenate(keys), np.concatenate(parts), np.concatenate(owners)
 
 
 def _all_paired(keys: np.ndarray, comps: np.ndarray, place: np.ndarray, sketches: _Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,10 +319,11 @@ def _settling(open_ones: DataFrame, crowded: DataFrame, settings: Settings, buck
         if left.num_rows:
             nodes, comps = left.column("node").to_numpy(), left.column("component").to_numpy()
             keys = np.frombuffer(b"".join(left.column("keys").to_pylist()), np.uint64).reshape(len(nodes), -1)
-            grid, owner = _grid(keys, settings.side).reshape(-1), np.repeat(np.arange(len(nodes)), settings.side**2)
+            grid, part = _grid(keys, settings.side).reshape(-1), _parts(keys, settings.side, buckets).reshape(-1)
+            owner = np.repeat(np.arange(len(nodes)), settings.side**2)
             hot, first = np.unique(right.column("key").to_numpy().view(np.uint64), return_index=True)
-            grid, owner = _in_blocks(grid, owner, nodes, hot, right.column("blocks").to_numpy()[first])
-            rows = [_batch(r) for r in _by_bucket(0, grid, owner, nodes, buckets, comps=comps, marks=left.column("marks").to_pylist())]
+            grid, part, owner = _in_blocks(grid, part, owner, nodes, hot, right.column("blocks").to_numpy()[first], buckets)
+            rows = [_batch(r) for r in _by_bucket(0, grid, part, owner, nodes, buckets, comps=comps, marks=left.column("marks").to_pylist())]
         return pa.Table.from_batches(rows, _batch((0, 0, *[b""] * 7)).schema)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -332,8 +343,8 @@ def _settling(open_ones: DataFrame, crowded: DataFrame, settings: Settings, buck
         a, b = _all_paired(keys[apart], comps, place[apart], _Sketches(marks), settings.percent)
         return pa.table({"a": nodes[a], "b": nodes[b]})
 
-    packed = open_ones.select("gather", "node", "component", "keys", "marks").groupBy("gather").cogroup(crowded.groupBy("gather")).applyInArrow(dealt, _PACKED)
-    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    packed = open_ones.select("gather", "node", "component", "keys", "marks").groupBy("gather").cogroup(crowded.groupBy("gather")).applyInArrow(runtime.relieved(dealt), _PACKED)
+    return packed.groupBy("bucket").applyInArrow(runtime.relieved(meet), "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
@@ -350,8 +361,10 @@ def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, settings: Settings
                 both = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in blob), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(blob, pa.binary())], names=["doc_id", "low", "high", "shingles"])
 
-    found = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, low long, high long, shingles binary")
-    return runtime.written(found.join(wanted, ["doc_id", "low", "high"]).select("node", "shingles").dropDuplicates(["node"]))
+    found = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(runtime.relieved(sets), "doc_id long, low long, high long, shingles binary")
+    out = runtime.written(found.join(wanted, ["doc_id", "low", "high"]).select("node", "shingles").dropDuplicates(["node"]))
+    runtime.dropped(wanted)
+    return out
 
 
 def _confirmed(pairs: DataFrame, known: DataFrame, settings: Settings) -> DataFrame:
@@ -374,7 +387,7 @@ def _confirmed(pairs: DataFrame, known: DataFrame, settings: Settings) -> DataFr
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(runtime.relieved(check), "a long, b long")
 
 
 def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -409,15 +422,19 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     placed = lambda df: df.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     # the first pass's pairs connect each bucket's members: while it has several components, each is in such a pair
     apart = runtime.written(placed(pairs).filter("ca <> cb").select("ca", "cb").distinct())
-    open_ones = apart.select(F.col("ca").alias("component")).unionAll(apart.select("cb")).distinct()
+    # written, as a component with very many nodes is then a skewed key that Spark can split
+    open_comps = runtime.written(apart.select(F.col("ca").alias("component")).unionAll(apart.select("cb")).distinct())
     in_component = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ones = runtime.written(in_component.join(open_ones, "component", "left_semi").select("node", "gather", "component", "keys", "marks"))
+    open_ones = runtime.written(in_component.join(open_comps, "component", "left_semi").select("node", "gather", "component", "keys", "marks"))
     late = _settling(open_ones, crowded, settings, buckets(open_ones.count())).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    late = _confirmed(runtime.written(late), known, settings)
-    joined = runtime.written(components(placed(late).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    late = runtime.written(late)
+    confirmed = _confirmed(late, known, settings)
+    joined = runtime.written(components(placed(confirmed).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
     final = classes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     final = final.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")).drop("c")
     final = runtime.written(final)
+    # what is left to be done reads none of these
+    runtime.dropped(reps, met, pairs, known, found, apart, open_comps, open_ones, late, joined, classes)
     first = runtime.written(final.groupBy("component").agg(F.min("least").alias("component_id")))
     parts = parts.select("low", "high", "salt").join(final.join(first, "component").select("low", "high", "component_id"), ["low", "high"])
     out = rows.select("doc_id", "n_shingles", "low", "high", "salt").join(parts, ["low", "high", "salt"], "left")

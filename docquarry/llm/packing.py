@@ -139,6 +139,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE, keep_ids
         return pa.Table.from_batches([_rows(packer.done)])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    first = runtime.written(source.mapInArrow(first_pass, _PIECES))
-    open_ones = first.filter("merge_group is not null").groupBy("merge_group").applyInArrow(merge, _PIECES)
+    first = runtime.written(source.mapInArrow(runtime.relieved(first_pass), _PIECES))
+    open_ones = first.filter("merge_group is not null").groupBy("merge_group").applyInArrow(runtime.relieved(merge), _PIECES)
     return first.filter("merge_group is null").unionByName(open_ones).drop("merge_group")

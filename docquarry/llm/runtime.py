@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import io
 import os
 import re
@@ -20,7 +23,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever they run."""
+    """Let Python workers import this package, wherever they run; and let unions be dealt anew where they are grouped: a
+    union of tables dealt alike would be taken for dealt by their key, whatever their tasks became as they ran."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -59,7 +64,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing still to be computed reads."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -75,6 +90,47 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+# Arrow's own pools keep what was freed; the machine's gets it back
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def release() -> None:
+    """Give memory that is no longer in use back to the machine: a worker lives on after its task."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def relieved(run):
+    """A function of a task's batches, or of a group's table, after which memory is given back."""
+    if inspect.isgeneratorfunction(run):
+
+        def over_batches(batches):
+            try:
+                yield from run(batches)
+            finally:
+                release()
+
+        return over_batches
+
+    def over_tables(*tables):
+        try:
+            return run(*tables)
+        finally:
+            release()
+
+    # Spark tells functions of a group's key and table from those of the table by their parameters
+    over_tables.__signature__ = inspect.signature(run)
+    return functools.wraps(run)(over_tables)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and the offsets of its values; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -148,7 +204,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
                 take = min(done, size - done)
                 have[done : done + take] = have[:take] * np.uint64(pow(base, done, 1 << 64))
                 done += take
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[:n]
 

@@ -27,7 +27,7 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of a hash that are shuffled, besides what its bucket says: anchors only say where to look.
 ANCHOR_BYTES, WINDOW_BYTES = 6, 8
 #: Bytes of text whose occurrences a task gathers at once; occurrences that one task of the shuffle is meant to get.
-GATHERED_BYTES, HASHES_A_TASK = 8_000_000, 2_000_000
+GATHERED_BYTES, HASHES_A_TASK = 6_000_000, 1_000_000
 
 #: The rank of a document without doc_id.
 LAST = (1 << 63) - 1
@@ -99,7 +99,7 @@ def _packed(hashes, docs, keys, at, buckets, first_only):
         i, j = edges[b], edges[b + 1]
         if j > i:
             mine, some, place = np.unique(keys[i:j], return_index=True, return_inverse=True)
-            yield b, (hashes[i:j] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WINDOW_BYTES if first_only else ANCHOR_BYTES].tobytes(), place.astype(np.uint16).tobytes(), np.stack([docs[i:j][some], mine], 1).tobytes(), at[i:j].tobytes()
+            yield b, (hashes[i:j] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WINDOW_BYTES if first_only else ANCHOR_BYTES].tobytes(), place.astype(np.uint16 if len(mine) <= 1 << 16 else np.uint32).tobytes(), np.stack([docs[i:j][some], mine], 1).tobytes(), at[i:j].tobytes()
 
 
 def _meet(first_only: bool, buckets: int):
@@ -117,10 +117,11 @@ def _meet(first_only: bool, buckets: int):
                 wide = np.zeros((len(raw), 8), np.uint8)
                 wide[:, : raw.shape[1]] = raw
                 hashes.append(wide.view("<u8").reshape(-1))
-                both = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)[np.frombuffer(row["place"], np.uint16)]
+                many = np.frombuffer(row["at"], np.uint32)
+                both = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)[np.frombuffer(row["place"], np.uint16 if len(row["place"]) == 2 * len(many) else np.uint32)]
                 docs.append(both[:, 0])
                 keys.append(both[:, 1])
-                at.append(np.frombuffer(row["at"], np.uint32))
+                at.append(many)
         if hashes:
             h, d, k, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(keys), np.concatenate(at).astype(np.int64)
             by = np.argsort(h, kind="stable")
@@ -158,8 +159,8 @@ def _gather(table: pa.Table) -> pa.Table:
 
 
 def _by_document(rows: DataFrame, first_only: bool, buckets: int) -> DataFrame:
-    met = rows.groupBy("bucket").applyInArrow(_meet(first_only, buckets), "group long, docs binary, runs binary")
-    return met.groupBy("group").applyInArrow(_gather, "key long, runs binary")
+    met = rows.groupBy("bucket").applyInArrow(runtime.relieved(_meet(first_only, buckets)), "group long, docs binary, runs binary")
+    return met.groupBy("group").applyInArrow(runtime.relieved(_gather), "key long, runs binary")
 
 
 class _Batcher:
@@ -205,7 +206,7 @@ def _anchors(source: DataFrame, buckets: int) -> DataFrame:
                     yield from gathered.rows()
         yield from gathered.rows()
 
-    return _by_document(source.select("doc", "key", "text").mapInArrow(run, _ROW), False, buckets)
+    return _by_document(source.select("doc", "key", "text").mapInArrow(runtime.relieved(run), _ROW), False, buckets)
 
 
 def _windows(marked: DataFrame, buckets: int) -> DataFrame:
@@ -234,7 +235,7 @@ def _windows(marked: DataFrame, buckets: int) -> DataFrame:
                     yield from gathered.rows()
         yield from gathered.rows()
 
-    return _by_document(marked.mapInArrow(run, _ROW), True, buckets)
+    return _by_document(marked.mapInArrow(runtime.relieved(run), _ROW), True, buckets)
 
 
 def removed(docs: DataFrame, digest: bool = False, prefix: str = "") -> DataFrame:
@@ -248,7 +249,8 @@ def removed(docs: DataFrame, digest: bool = False, prefix: str = "") -> DataFram
     the text; those of equal texts are one document. A row's words go by its own text's windows alone. Kept stretches of a text keep their white space; the gap of a removed stretch
     becomes the white space before what follows. An empty table gives an empty result; texts are read whole.
 
-    Shuffled are the texts once, by document, beside hashes: a fixed share of the words, and those of repeats."""
+    Texts are shuffled twice, to meet their anchors and then their repeats, beside hashes: a fixed share of the words,
+    and those of repeats. Windows are equal if their 64-bit hashes are."""
     spark = docs.sparkSession
     runtime.ship(spark)
     key = runtime.fresh(docs, "key")
@@ -261,6 +263,7 @@ def removed(docs: DataFrame, digest: bool = False, prefix: str = "") -> DataFram
     marks = runtime.written(_anchors(plain, buckets).withColumnRenamed("runs", "marks"))
     marked = plain.join(marks, "key")
     runs = runtime.written(_windows(marked, buckets))
+    runtime.dropped(marks)
     name = runtime.fresh(source, "runs")
     joined = source.join(runs.select(F.col("key").alias(key), F.col("runs").alias(name)), key, "left")
     new = [prefix + n for n in ("n_words", "n_removed", *(["kept_sha256"] if digest else []))]
@@ -305,7 +308,7 @@ def removed(docs: DataFrame, digest: bool = False, prefix: str = "") -> DataFram
     fields = [f for f in docs.schema.fields if f.name in kept_names]
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in fields]
     fields += [T.StructField(n, T.StringType() if n.endswith("sha256") else T.LongType()) for n in new]
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(runtime.relieved(run), T.StructType(fields))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

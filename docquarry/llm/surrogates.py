@@ -233,7 +233,8 @@ def mapping(surfaces: DataFrame, key: str) -> DataFrame:
             break
         again = F.col("attempt") + F.when(F.col("clash"), 1).otherwise(0)
         redrawn = F.when(F.col("clash"), draw(again)).otherwise(F.col("surrogate"))
-        drawn = runtime.written(checked.select("part", "canonical", again.alias("attempt"), redrawn.alias("surrogate")))
+        before, drawn = drawn, runtime.written(checked.select("part", "canonical", again.alias("attempt"), redrawn.alias("surrogate")))
+        runtime.dropped(before)
     else:
         raise RuntimeError("there are more distinct values of a shape than the shape has room for")
     whole = each.join(drawn.drop("attempt"), ["part", "canonical"]).groupBy("surface", "kind").agg(F.array_sort(F.collect_list(F.struct("i", "canonical", "surrogate"))).alias("p"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.llm import runtime
 
 #: Distinct keys that a task holds before it hands on its sums.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 class Tally:
@@ -66,7 +66,7 @@ def counted(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[st
         for name, tally in tallies.items():
             yield tally.taken(name)
 
-    return df.mapInArrow(run, "name string, key long, n long").groupBy("name", "key").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(runtime.relieved(run), "name string, key long, n long").groupBy("name", "key").agg(F.sum("n").alias("n"))
 
 
 def by_name(names: list[str | None], values: np.ndarray, first: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:

@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, out: str, parts: int |
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = source.repartitionByRange(parts or runtime.partitions(docs.sparkSession), "doc_id")
-    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, _FILE).write.parquet(out)
+    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(runtime.relieved(run), _FILE).write.parquet(out)
 
 
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
@@ -164,4 +164,4 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
                 cut = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(base + ends - lengths, pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "start", "ids"])
 
-    return table.mapInArrow(run, "doc_id long, start long, ids binary")
+    return table.mapInArrow(runtime.relieved(run), "doc_id long, start long, ids binary")

@@ -617,7 +617,8 @@ def test_much_junk_of_one_language_is_rejected(spark, percent):
 
 def test_near_duplicates_of_awkward_rows(odd):
     got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates.groups(odd).collect()), key=str)
-    long = len({tuple(LONG.split()[i : i + 5]) for i in range(len(LONG.split()) - 4)})
+    words = LONG.split()
+    long = len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
     want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 63, 5, True), (6, 58, 5, False), (6, 58, 5, False), (0, 57, None, True), (8, 15, 8, True), (9, long, 9, True), (10, 16, 10, True), (11, long + 1, 9, False)]
     assert got == sorted(want, key=str)
 
