@@ -82,14 +82,14 @@ def read_splits(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Result files in any depth, by name: those that hold one JSON object, read by the schema; others (lists, broken
+    """Result files in any depth, with their paths as `file`: those that hold one JSON object, read by the schema; others (lists, broken
     ones) are left out, and a folder that isn't there has none."""
     if not storage.exists(spark, path):
         return _none(spark, f"file string, {schema}")
     # binaryFile and not text: a file is one value
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
     text = F.trim(F.decode("content", "UTF-8"))
-    rows = files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), text.alias("t")).filter(F.col("t").startswith("{"))
+    rows = files.select(F.col("path").alias("file"), text.alias("t")).filter(F.col("t").startswith("{"))
     rows = rows.withColumn("r", F.from_json("t", f"{schema}, {CORRUPT}", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     return rows.filter(F.col("r._corrupt_record").isNull()).select("file", "r.*").drop("_corrupt_record")
 
