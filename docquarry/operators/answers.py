@@ -99,28 +99,3 @@ def checked(rows: DataFrame, min_sentences: int = 2) -> DataFrame:
     lines = F.filter(F.transform(F.split(answer, r"\r?\n"), F.trim), lambda x: x != "")
     reason = reason.when((F.size(lines) > 4) & (F.size(lines) > F.size(F.array_distinct(lines))), "repeated_lines").otherwise("ok")
     return out.withColumn("reason", reason).drop("__all", "__some", "__cited", "__looks")
-
-
-def bag_overlap(left: DataFrame, right: DataFrame, run: int = 6) -> DataFrame:
-    """Containment and Jaccard similarity of the token multisets of left (left_id, text) and right (right_id, text), for
-    the pairs that share a run of so many words; others are far below any threshold for a copy.
-
-    A text is cut up once, and only words of pairs that share a run meet."""
-    cut = lambda df, key: df.select(key, tx.all_of(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\w+").alias("w"))
-    sides = [(cut(left, "left_id"), "left_id"), (cut(right, "right_id"), "right_id")]
-    runs = [df.select(key, tx.ngrams(F.col("w"), run).alias("g")).select(key, F.explode("g").alias("g")) for df, key in sides]
-    pairs = runs[1].join(runs[0], "g").select("left_id", "right_id").distinct()
-    bags = [df.select(key, F.size("w").alias(f"n_{key}"), F.explode("w").alias("t")).groupBy(key, "t").agg(F.count("*").alias(f"c_{key}"), F.first(f"n_{key}").alias(f"n_{key}")) for df, key in sides]
-    met = pairs.join(bags[0], "left_id").join(bags[1], ["right_id", "t"])
-    got = met.groupBy("left_id", "right_id").agg(F.sum(F.least("c_left_id", "c_right_id")).alias("i"), F.first("n_left_id").alias("nl"), F.first("n_right_id").alias("nr"))
-    return got.select("left_id", "right_id", F.round(F.col("i") / F.least("nl", "nr"), 6).alias("containment"), F.round(F.col("i") / (F.col("nl") + F.col("nr") - F.col("i")), 6).alias("jaccard"))
-
-
-def remapped(scored: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
-    """For each left_id of items the matches at `least` or more, on its own page if any is there, best first, and a status: confident
-    with one, ambiguous with several, failed without."""
-    by = Window.partitionBy("left_id")
-    good = scored.filter(F.col("containment") >= least).withColumn("any_same", F.max(F.col("same_page").cast("int")).over(by))
-    good = good.filter((F.col("any_same") == 0) | F.col("same_page")).withColumn("place", F.row_number().over(by.orderBy(F.desc("containment"), F.desc("jaccard"), "right_id")))
-    kept = good.groupBy("left_id").agg(F.count("*").alias("n_matches"), F.min(F.when(F.col("place") == 1, F.col("right_id"))).alias("best"))
-    return items.select("left_id").join(kept, "left_id", "left").select("left_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "best", F.when(F.col("n_matches").isNull(), "failed").when(F.col("n_matches") == 1, "confident").otherwise("ambiguous").alias("status"))

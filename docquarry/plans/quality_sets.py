@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
 from docquarry.operators import answers as an
+from docquarry.operators import bags
 from docquarry.operators import catalogue as ca
 from docquarry.operators import claims as cl
 from docquarry.operators import documents as dc
 from docquarry.operators import sampling as sa
 from docquarry.plans import scoring
 from docquarry.plans import views as v
+from docquarry.sources import storage
 
 SQL: dict[str, str] = {}
 RUN: dict = {}
@@ -93,36 +95,58 @@ def ngram_copy(spark, sf):
     return got.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment")).filter(F.col("shared") / F.col("n") >= 0.8)
 
 
-_RUN = 6
-_BAG_RUNS = f"list_distinct(list_transform(range(1, greatest(len({{0}}) - {_RUN - 2}, 1)), lambda i: array_to_string({{0}}[i : i + {_RUN - 1}], ' ')))"
-_BAG_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+')"
-_BAGS = f"""lt AS (SELECT item_id AS left_id, {_BAG_TOKENS} AS w FROM benchmark), rt AS (SELECT doc_id AS right_id, {_BAG_TOKENS} AS w, lang = 'en' AS same_page FROM documents),
-cand AS (SELECT DISTINCT left_id, right_id, same_page FROM (SELECT left_id, unnest({_BAG_RUNS.format('w')}) AS g FROM lt) a JOIN (SELECT right_id, same_page, unnest({_BAG_RUNS.format('w')}) AS g FROM rt) b USING (g)),
-lb AS (SELECT left_id, t, count(*) AS l FROM (SELECT left_id, unnest(w) AS t FROM lt) GROUP BY 1, 2), rb AS (SELECT right_id, t, count(*) AS r FROM (SELECT right_id, unnest(w) AS t FROM rt) GROUP BY 1, 2),
-i AS (SELECT left_id, right_id, sum(least(l, r)) AS i FROM cand JOIN lb USING (left_id) JOIN rb USING (right_id, t) GROUP BY 1, 2),
-bags AS (SELECT left_id, right_id, same_page, round(i / least(len(lt.w), len(rt.w)), 6) AS containment, round(i / (len(lt.w) + len(rt.w) - i), 6) AS jaccard FROM cand JOIN lt USING (left_id) JOIN (SELECT right_id, w FROM rt) rt USING (right_id) JOIN i USING (left_id, right_id))"""
+_BAG_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+')"
 
 
-def _bags(spark, sf):
-    """Passages and documents as (id, text), and the rows of pairs that share a run of words, over all documents."""
-    docs = v.corpus(spark, sf).select(F.col("chunk_id").alias("right_id"), "text", (F.col("lang") == "en").alias("same_page"))
-    items = v.questions(spark, sf).select(F.col("query_id").alias("left_id"), "text")
-    return items, docs
+@query(f"""WITH lt AS (SELECT item_id AS left_id, {_BAG_TOKENS.format('text')} AS w FROM benchmark), rt AS (SELECT doc_id AS right_id, {_BAG_TOKENS.format('text')} AS w FROM documents),
+lb AS (SELECT left_id, t, any_value(n) AS n, count(*) AS c FROM (SELECT left_id, len(w) AS n, unnest(w) AS t FROM lt) GROUP BY 1, 2), rb AS (SELECT right_id, t, any_value(m) AS m, count(*) AS d FROM (SELECT right_id, len(w) AS m, unnest(w) AS t FROM rt) GROUP BY 1, 2),
+i AS (SELECT left_id, right_id, sum(least(c, d)) AS i, any_value(n) AS n, any_value(m) AS m FROM lb JOIN rb USING (t) GROUP BY 1, 2)
+SELECT left_id, right_id, round(i / least(n, m), 6) AS containment, round(i / (n + m - i), 6) AS jaccard FROM i WHERE i / least(n, m) >= 0.8""")
+def bag_overlap(spark, sf):
+    """Passages and documents of which one's words are in the other, at 0.8 or more, in any order."""
+    docs = v.corpus(spark, sf).select(F.col("chunk_id").alias("right_id"), "text")
+    found = bags.contained(v.questions(spark, sf).select(F.col("query_id").alias("left_id"), "text"), docs)
+    return found.select("left_id", "right_id", F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(f"WITH {_BAGS} SELECT left_id, right_id, containment, jaccard FROM bags")
-def bag_overlap(spark, sf):
-    return an.bag_overlap(*_bags(spark, sf), run=_RUN)
+#: Words in a chunk of the old and of the new edition of every document, and on a page.
+_OLD, _NEW, _PAGE = 40, 30, 200
+
+
+def _edition(docs, size: int):
+    """Texts cut into chunks of so many words: (doc_id, i, text)."""
+    cut = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w")).filter("size(w) > 0")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int")), lambda i: F.array_join(F.slice("w", i * size + 1, size), " "))
+    return cut.select("doc_id", F.posexplode(parts).alias("i", "text"))
+
+
+_CHUNKS = """SELECT doc_id, i, array_to_string(w[i * {0} + 1 : i * {0} + {0}], ' ') AS text FROM (SELECT doc_id, w, unnest(range((len(w) - 1) // {0} + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents) WHERE len(w) > 0)"""
 
 
-@query(f"""WITH {_BAGS}, g AS (SELECT *, max(same_page::INT) OVER (PARTITION BY left_id) AS any_same FROM bags WHERE containment >= 0.8),
-k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY containment DESC, jaccard DESC, right_id) AS place FROM g WHERE any_same = 0 OR same_page),
-m AS (SELECT left_id, count(*) AS n_matches, min(CASE WHEN place = 1 THEN right_id END) AS best FROM k GROUP BY 1)
-SELECT left_id, coalesce(n_matches, 0) AS n_matches, coalesce(best, -1) AS best, CASE WHEN n_matches IS NULL THEN 'failed' WHEN n_matches = 1 THEN 'confident' ELSE 'ambiguous' END AS status FROM (SELECT item_id AS left_id FROM benchmark) LEFT JOIN m USING (left_id)""")
+@query(f"""WITH old0 AS ({_CHUNKS.format(_OLD)}), new0 AS ({_CHUNKS.format(_NEW)}),
+old AS (SELECT doc_id * 100000 + i AS chunk_id, doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE i * {_OLD} // {_PAGE} END AS page, {_BAG_TOKENS.format('text')} AS a FROM old0),
+new AS (SELECT doc_id * 100000 + i AS chunk_id, CASE WHEN doc_id % 11 = 10 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN i * {_NEW} // {_PAGE} + 1000 ELSE i * {_NEW} // {_PAGE} END AS page, {_BAG_TOKENS.format('text')} AS b FROM new0),
+items AS (SELECT doc_id AS item_id, doc_id, CASE WHEN doc_id % 13 = 12 THEN -1 - doc_id ELSE max(chunk_id) - count(*) // 2 END AS chunk_id FROM old GROUP BY doc_id),
+asked AS (SELECT item_id, i.doc_id, page, a, EXISTS (SELECT 1 FROM new n WHERE n.doc_id = i.doc_id AND n.page IS NOT DISTINCT FROM old.page) AS own FROM items i JOIN old ON old.chunk_id = i.chunk_id),
+met AS (SELECT item_id, new.chunk_id, a, b FROM asked JOIN new ON new.doc_id = asked.doc_id AND (NOT own OR new.page IS NOT DISTINCT FROM asked.page)),
+ca AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(a) AS t FROM asked) GROUP BY 1, 2), cb AS (SELECT chunk_id, t, count(*) AS d FROM (SELECT chunk_id, unnest(b) AS t FROM new) GROUP BY 1, 2),
+common AS (SELECT item_id, chunk_id, sum(least(c, d)) AS k FROM (SELECT item_id, chunk_id FROM met) JOIN ca USING (item_id) JOIN cb USING (chunk_id, t) GROUP BY 1, 2),
+scored AS (SELECT item_id, chunk_id, coalesce(k / nullif(least(len(a), len(b)), 0), 0) AS c, coalesce(k / nullif(len(a) + len(b) - k, 0), 0) AS j FROM (SELECT met.*, coalesce(k, 0) AS k FROM met LEFT JOIN common USING (item_id, chunk_id))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, j DESC, chunk_id) AS place FROM scored),
+found AS (SELECT item_id, max(CASE WHEN place = 1 THEN chunk_id END) AS best, max(c) AS c, string_agg(chunk_id, ',' ORDER BY place) FILTER (WHERE c >= 0.8 OR place = 1) AS ids FROM ranked GROUP BY 1)
+SELECT item_id, items.chunk_id AS chunk_id_old, coalesce(best, items.chunk_id) AS chunk_id, coalesce(ids, '') AS chunk_ids, coalesce(round(c, 4), -1) AS remap_overlap, CASE WHEN c IS NULL THEN 'failed' WHEN c >= 0.8 THEN 'confident' ELSE 'ambiguous' END AS status FROM items LEFT JOIN found USING (item_id)""")
 def containment_remap(spark, sf):
-    items, docs = _bags(spark, sf)
-    scored = an.bag_overlap(items, docs, run=_RUN).join(docs.select("right_id", F.coalesce("same_page", F.lit(False)).alias("same_page")), "right_id")
-    return an.remapped(scored, items.select("left_id")).withColumn("best", F.coalesce("best", F.lit(-1)))
+    """A label on the middle chunk of each document, moved to a new edition that is cut and numbered otherwise."""
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    doc, at = F.col("doc_id"), lambda size: F.floor(F.col("i") * size / _PAGE)
+    old = storage.written(_edition(docs, _OLD).select("doc_id", (doc * 100000 + F.col("i")).alias("chunk_id"), F.when(doc % 7 != 0, at(_OLD)).alias("page_number"), "text"))
+    page = F.when(doc % 7 == 0, None).when(doc % 3 == 0, at(_NEW) + 1000).otherwise(at(_NEW))
+    name = F.when(doc % 11 == 10, -1 - doc).otherwise(doc)  # a document that the new edition has under another name
+    new = storage.written(_edition(docs, _NEW).select((doc * 100000 + F.col("i")).alias("chunk_id"), name.alias("document_id"), page.alias("page_number"), "text"))
+    middle = F.max("chunk_id") - F.floor(F.count("*") / 2)
+    items = old.groupBy("doc_id").agg(middle.alias("middle")).select(doc.alias("item_id"), doc.alias("document_id"), F.when(doc % 13 == 12, -1 - doc).otherwise(F.col("middle")).alias("chunk_id"))
+    got = bags.remapped(items, old, new)
+    return got.withColumn("chunk_ids", F.array_join(F.col("chunk_ids").cast("array<string>"), ",")).withColumn("remap_overlap", F.coalesce("remap_overlap", F.lit(-1.0)))
 
 
 @query()

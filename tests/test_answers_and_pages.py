@@ -1,6 +1,9 @@
 """Small cases of answering, audits, kept indexes, page layout and files, with results worked out by hand."""
 
+import itertools
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from docquarry import streaming as st
 from docquarry.operators import answering as aw
 from docquarry.operators import answers as an
 from docquarry.operators import audits as au
+from docquarry.operators import bags
 from docquarry.operators import catalogue as ca
 from docquarry.operators import documents as dc
 from docquarry.operators import geometry as ge
@@ -84,11 +88,60 @@ def test_places_in_order(spark):
     assert all(r["place"] == r["k"] + 1 for r in drawn)
 
 
-def test_bags_of_pairs_that_share_a_run(spark):
-    left = spark.createDataFrame([(1, "a b c d e f g"), (2, "x")], "left_id int, text string")
-    right = spark.createDataFrame([(1, "z a b c d e f a a"), (2, "a b c")], "right_id int, text string")
-    got = [tuple(r) for r in an.bag_overlap(left, right).collect()]
-    assert got == [(1, 1, round(6 / 7, 6), round(6 / 10, 6))]
+def _contained(spark, left, right, least=0.8):
+    table = lambda d, k: spark.createDataFrame(list(d.items()), f"{k} int, text string")
+    got = bags.contained(table(left, "left_id"), table(right, "right_id"), least).collect()
+    assert len({(r["left_id"], r["right_id"]) for r in got}) == len(got)
+    return {(r["left_id"], r["right_id"]): (round(r["containment"], 6), round(r["jaccard"], 6)) for r in got}
+
+
+def _all_pairs(left, right, least):
+    out = {}
+    for (i, a), (j, b) in itertools.product(left.items(), right.items()):
+        x, y = Counter(re.findall(r"\w+", (a or "").lower())), Counter(re.findall(r"\w+", (b or "").lower()))
+        common, n, m = sum((x & y).values()), sum(x.values()), sum(y.values())
+        if n and m and common / min(n, m) >= least:
+            out[i, j] = round(common / min(n, m), 6), round(common / (n + m - common), 6)
+    return out
+
+
+def test_bags_within_bags(spark):
+    assert _contained(spark, {1: "a b c d e f g", 2: "x"}, {1: "z a b c d e f a a", 2: "a b c"}) == {(1, 1): (round(6 / 7, 6), 0.6), (1, 2): (1.0, round(3 / 7, 6))}
+    assert _contained(spark, {1: "five words and no more"}, {2: "Five words, and no more!"}) == {(1, 2): (1.0, 1.0)}  # below six words
+    assert _contained(spark, {1: "a b c d e f g h"}, {2: "h g f e d c b a"}) == {(1, 2): (1.0, 1.0)}  # no run in common
+    assert _contained(spark, {1: None, 2: "", 3: "?!"}, {1: None, 2: "", 3: "a"}) == {}
+    assert _contained(spark, {1: "a a a a b"}, {2: "a b c", 3: "a a a a"}) == {(1, 3): (1.0, 0.8)}  # repeats count
+    assert _contained(spark, {}, {1: "a"}) == {} == _contained(spark, {1: "a"}, {})
+
+
+@pytest.mark.parametrize("sent", [bags.SENT, 0])
+@pytest.mark.parametrize("least", [0.8, 0.5, 1.0])
+def test_every_pair_of_bags_is_found(spark, monkeypatch, least, sent):
+    monkeypatch.setattr(bags, "SENT", sent)
+    draw = random.Random(int(least * 10))
+    text = lambda: " ".join("abcdefghijklmnop"[min(int(draw.expovariate(0.4)), 15)] for _ in range(draw.choice([0, 1, 2, 5, 10, 15, 30])))
+    left, right = {i: text() for i in range(60)}, {i: text() for i in range(80)}
+    assert _contained(spark, left, right, least) == _all_pairs(left, right, least)
+
+
+def test_labels_move_to_new_chunks(spark):
+    items = spark.createDataFrame([(1, 10, 1), (2, 11, 1), (3, 12, 1), (4, 99, 1), (5, 10, 7), (6, 13, 2), (7, 14, 2), (8, 15, 3)], "item_id int, chunk_id int, document_id int")
+    old = spark.createDataFrame([(10, 1, "a b c d e"), (11, 2, "f g h i j k"), (12, 9, "a b c d e"), (13, None, "m n o p"), (14, 5, "q"), (15, 1, "")], "chunk_id int, page_number int, text string")
+    new = spark.createDataFrame(
+        [(100, 1, 1, "e d c b a z"), (101, 1, 1, "a b c d"), (102, 1, 2, "f g x y z w"), (103, 1, 3, "a b c d e"), (104, 2, None, "m n o"), (105, 2, 4, "m n o p"), (106, 3, 1, "u"), (107, 3, 1, "v")],
+        "chunk_id int, document_id int, page_number int, text string",
+    )
+    got = {r["item_id"]: (r["chunk_id_old"], r["chunk_id"], r["chunk_ids"], r["remap_overlap"], r["status"]) for r in bags.remapped(items, old, new).collect()}
+    assert got == {
+        1: (10, 100, [100, 101], 1.0, "confident"),  # on its page only; a tie goes to the more alike
+        2: (11, 102, [102], 0.3333, "ambiguous"),  # on its page, though nothing there is close
+        3: (12, 103, [103, 100, 101], 1.0, "confident"),  # its page is gone: the whole document
+        4: (99, 99, [], None, "failed"),
+        5: (10, 10, [], None, "failed"),
+        6: (13, 104, [104], 1.0, "confident"),  # no page is a page
+        7: (14, 104, [104], 0.0, "ambiguous"),
+        8: (15, 106, [106], 0.0, "ambiguous"),
+    }
 
 
 def test_the_last_change_of_a_key_counts(spark):
