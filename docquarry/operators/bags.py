@@ -10,9 +10,6 @@ same words are found as well."""
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +18,8 @@ from docquarry.sources import storage
 
 #: Containment from which a chunk counts as the same.
 LEAST = 0.8
-#: Rows of words and ids up to which a table goes to all tasks, instead of being joined by a shuffle.
-SENT = 1_000_000
+#: Ids, or words, up to which a table goes to all tasks instead of being joined by a shuffle.
+SENT = 500_000
 
 
 def words(text: Column) -> Column:
@@ -30,13 +27,16 @@ def words(text: Column) -> Column:
     return tx.all_of(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\w+")
 
 
-def in_common(a: Column, b: Column) -> Column:
-    """How many words two arrays of words share, repeats counted. No built-in function takes repeats into account."""
+def with_repeats(rows: DataFrame, name: str, out: str) -> DataFrame:
+    """rows with `out`: the words of array `name` that stand there before, once for each further time."""
+    rows = rows.withColumn("__sorted", F.array_sort(name))  # a column of its own: in a lambda it would be sorted each time
+    return rows.withColumn(out, F.filter("__sorted", lambda x, i: (i > 0) & (F.get("__sorted", i - 1) == x))).drop("__sorted")
 
-    def shared(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([sum((Counter(x) & Counter(y)).values()) for x, y in zip(xs, ys)], dtype="int64")
 
-    return F.pandas_udf(shared, "long")(a, b)
+def in_common(a: str, b: str, more_a: str, more_b: str) -> Column:
+    """How many words two arrays share, repeats counted: distinct ones, and as often as both have them again."""
+    again = F.aggregate(F.array_intersect(more_a, more_b), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(more_a, lambda x: x == t)), F.size(F.filter(more_b, lambda x: x == t))))
+    return F.size(F.array_intersect(a, b)) + again
 
 
 def _scores(common: Column, n: Column, m: Column) -> list[Column]:
@@ -44,23 +44,21 @@ def _scores(common: Column, n: Column, m: Column) -> list[Column]:
     return [ratio(F.least(n, m)).alias("containment"), ratio(n + m - common).alias("jaccard")]
 
 
-def _sent(table: DataFrame) -> DataFrame:
+def _sent(kept: DataFrame, size: Column) -> DataFrame:
     """A written table, to be sent to all tasks if it is small enough."""
-    kept = storage.written(table)
-    return F.broadcast(kept) if kept.count() <= SENT else kept
+    return F.broadcast(kept) if (kept.agg(size.alias("n")).first()["n"] or 0) <= SENT else kept
 
 
 def contained(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
     """All pairs (left_id, right_id, containment, jaccard) of left (left_id, text) and right (right_id, text) of which one
     bag is contained in the other by `least` (above 0) or more. Ids are unique on each side.
 
-    Texts without a word, null among them, are in no pair. left is the side that is meant to be smaller: right is read
-    three times (how many texts have a word; which have a looked-up word; the words of those) and not shuffled while what
-    is looked for has at most SENT rows. Beyond, both are joined by word and by id, and a word or text with very many
-    rows is a skewed key, which Spark splits as it runs."""
+    Texts without a word, null among them, are in no pair. left is the side that is meant to be smaller: the words of
+    right are written once and read where needed, and not shuffled while what is looked for is within SENT. Beyond, both
+    are joined by word and by id, and a word or text with very many rows is a skewed key, which Spark splits as it runs."""
     cut = lambda df, key: df.select(key, words(F.col("text")).alias("w")).select(key, "w", F.size("w").alias("n")).filter("n > 0")
-    lefts, rights = cut(left, "left_id"), cut(right, "right_id")
-    often = rights.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    lefts, rights = storage.written(cut(left, "left_id")), storage.written(cut(right, "right_id"))
+    often = storage.written(rights.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count("*").alias("df")))
     need = F.greatest(F.ceil(F.col("n") * F.lit(least) - 1e-9), F.lit(1))  # the small number takes back what rounding adds
 
     def prefixes(side: DataFrame, key: str) -> DataFrame:
@@ -68,15 +66,15 @@ def contained(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFr
         counts = side.select(key, "n", F.explode("w").alias("t")).groupBy(key, "t").agg(F.count("*").alias("c"), F.first("n").alias("n"))
         earlier = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "t").rowsBetween(Window.unboundedPreceding, -1)
         placed = counts.join(often, "t", "left").withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
-        return placed.filter(F.col("before") < F.col("n") - need + 1).select("t", key, F.col("n").alias(f"n_{key}"))
+        return _sent(storage.written(placed.filter(F.col("before") < F.col("n") - need + 1).select("t", key, F.col("n").alias(f"n_{key}"))), F.count("*"))
 
     each = lambda side, key: side.select(key, F.col("n").alias(f"n_{key}"), F.explode(F.array_distinct("w")).alias("t"))
     longest = lefts.agg(F.max("n").alias("n")).first()["n"] or 0
-    larger_right = each(rights, "right_id").join(_sent(prefixes(lefts, "left_id")), "t").filter("n_left_id <= n_right_id")
-    larger_left = each(lefts, "left_id").join(_sent(prefixes(rights.filter(F.col("n") < longest), "right_id")), "t").filter("n_right_id < n_left_id")
-    pairs = storage.written(larger_right.select("left_id", "right_id").unionByName(larger_left.select("left_id", "right_id")).distinct())
-    asked = _sent(pairs.join(lefts.select("left_id", F.col("w").alias("a"), F.col("n").alias("n_left")), "left_id"))
-    met = rights.join(asked, "right_id").withColumn("common", in_common(F.col("a"), F.col("w")))
+    larger_right = each(rights, "right_id").join(prefixes(lefts, "left_id"), "t").filter("n_left_id <= n_right_id")
+    larger_left = each(lefts, "left_id").join(prefixes(rights.filter(F.col("n") < longest), "right_id"), "t").filter("n_right_id < n_left_id")
+    pairs = _sent(storage.written(larger_right.select("left_id", "right_id").unionByName(larger_left.select("left_id", "right_id")).distinct()), F.count("*"))
+    asked = _sent(with_repeats(lefts.select("left_id", F.col("w").alias("a"), F.col("n").alias("n_left")), "a", "more_a"), F.sum("n_left"))
+    met = with_repeats(rights.join(pairs, "right_id"), "w", "more_w").join(asked, "left_id").withColumn("common", in_common("a", "w", "more_a", "more_w"))
     return met.select("left_id", "right_id", *_scores(F.col("common"), F.col("n_left"), F.col("n"))).filter(F.col("containment") >= least)
 
 
@@ -90,16 +88,19 @@ def remapped(items: DataFrame, old: DataFrame, new: DataFrame, least: float = LE
     the best is among them, else `ambiguous`. An unknown chunk or a document without new chunks is `failed`: chunk_id
     stays and chunk_ids is empty.
 
-    A chunk meets those of its own page or document only, in one join by document, of which a row for each item and task
-    goes on; a document with very many chunks is a skewed key, which Spark splits as it runs."""
+    A chunk meets those of its own page or document only. Labels and their pages go to all tasks while they are within
+    SENT; beyond, new chunks are joined by document, and one with very many chunks is a skewed key, which Spark splits as
+    it runs. Of a label's pairs, a row for each task goes on."""
+    labels = storage.written(items.select("item_id", "chunk_id", "document_id"))
+    asked = storage.written(old.select("chunk_id", F.col("page_number").alias("page"), "text").join(_sent(labels, F.count("*")), "chunk_id"))
     pages = new.select("document_id", "page_number").distinct().withColumn("here", F.lit(True))
-    known = old.select("chunk_id", F.col("page_number").alias("page"), words(F.col("text")).alias("a"))
-    asked = items.select("item_id", "chunk_id", "document_id").join(known, "chunk_id")
     same = (asked["document_id"] == pages["document_id"]) & asked["page"].eqNullSafe(pages["page_number"])
-    asked = asked.join(pages, same, "left").select("item_id", asked["document_id"], "page", "a", F.coalesce("here", F.lit(False)).alias("own_page"))
-    there = new.select("document_id", "page_number", F.col("chunk_id").alias("right_id"), words(F.col("text")).alias("b"))
-    met = asked.join(there, "document_id").filter(~F.col("own_page") | F.col("page").eqNullSafe(F.col("page_number")))
-    met = met.withColumn("common", in_common(F.col("a"), F.col("b"))).select("item_id", "right_id", *_scores(F.col("common"), F.size("a"), F.size("b")))
+    scope = asked.join(pages, same, "left").select("item_id", asked["document_id"], "page", F.coalesce("here", F.lit(False)).alias("own_page"))
+    there = new.select("document_id", "page_number", F.col("chunk_id").alias("right_id"), F.col("text").alias("other"))
+    met = there.join(_sent(storage.written(scope), F.count("*")), "document_id").filter(~F.col("own_page") | F.col("page").eqNullSafe(F.col("page_number")))
+    met = met.select("item_id", "right_id", "other").join(asked.select("item_id", "text"), "item_id").select("item_id", "right_id", words(F.col("text")).alias("a"), words(F.col("other")).alias("b"))
+    met = with_repeats(with_repeats(met, "a", "more_a"), "b", "more_b").withColumn("common", in_common("a", "b", "more_a", "more_b"))
+    met = met.select("item_id", "right_id", *_scores(F.col("common"), F.size("a"), F.size("b")))
     order = F.struct((-F.col("containment")).alias("c"), (-F.col("jaccard")).alias("j"), "right_id")
     found = met.groupBy("item_id").agg(F.min(order).alias("best"), F.collect_list(F.when(F.col("containment") >= least, order)).alias("good"))
     good = F.transform(F.sort_array("good"), lambda x: x["right_id"])
