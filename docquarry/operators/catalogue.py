@@ -89,4 +89,4 @@ def published(index_path: str, papers: DataFrame, catalogue: DataFrame, spark) -
     """The catalogue with the papers registered, once their index is written whole; before that, as it is."""
     from docquarry.operators.index import LexicalIndex
 
-    return registered(papers, catalogue) if LexicalIndex.load(spark, index_path) else catalogue
+    return registered(papers, catalogue) if LexicalIndex.load(spark, index_path) is not None else catalogue

@@ -29,12 +29,18 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tx.tokens(F.col("text")))).alias("avgdl"))
 
 
+def floored(df: DataFrame, n: Column) -> DataFrame:
+    """(token, df, idf) of (token, df) among n chunks: Okapi idf, where a negative one becomes EPSILON times the mean over
+    the vocabulary."""
+    raw = df.select("token", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg((EPSILON * F.avg("raw")).alias("floor"))  # one row
+    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor")).alias("idf"))
+
+
 def term_statistics(post: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(token, df, idf): Okapi idf, where a negative one becomes EPSILON times the mean over the vocabulary."""
+    """(token, df, idf) of postings; corpus: one row with n."""
     df = post.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))  # one row
-    raw = df.select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor")).alias("idf"))
+    return floored(df, F.col("n"))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:

@@ -65,9 +65,7 @@ def dense_filtered(spark, sf):
 
 def _shared_tokens(spark, sf):
     """A second ranking: distinct tokens in common with the query."""
-    asked = v.questions(spark, sf).select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
-    pairs = v.lexical(spark, sf).postings.join(asked, "token")
-    return rt.top(pairs.groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score")), 20)
+    return v.lexical(spark, sf).shared(v.questions(spark, sf), 20)
 
 
 _LISTS = f"""{v.QUESTIONS}, {v.BM25}, list_a AS ({_TOP.format('scored', 20)}),

@@ -298,10 +298,10 @@ def stream_index(spark, sf):
     """An index that grows with the files that come."""
     src, mark, path = (storage.folder(spark, n) for n in ("stream-in", "stream-mark", "index"))
     chunks = _chunks(spark, sf)
-    index = ix.LexicalIndex.build(chunks.filter("chunk_id % 2 = 0"), path)
+    ix.LexicalIndex.build(chunks.filter("chunk_id % 2 = 0"), path)
     chunks.filter("chunk_id % 2 = 1").repartition(2).write.parquet(src)
     st.index_new(spark, src, chunks.schema, path, mark, files=1)
-    return index.search(v.questions(spark, sf), 10)
+    return ix.LexicalIndex.load(spark, path).search(v.questions(spark, sf), 10)
 
 
 @query("SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 16 AS batch FROM conversations")

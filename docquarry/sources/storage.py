@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
+import io
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for place, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(place, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    place = os.path.join(tempfile.mkdtemp(), "docquarry_engine.zip")
+    with open(place, "wb") as f:
+        f.write(packed.getvalue())
+    context.addPyFile(place)
+    _shipped.add(context.applicationId)
+
+
 def folder(spark: SparkSession, name: str = "") -> str:
     """A fresh folder below spark.checkpoint.dir. Where that is unset, a master in one process has a local one; a cluster
     is an error, as its machines don't share theirs. It goes when the session ends."""

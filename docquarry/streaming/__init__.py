@@ -24,13 +24,14 @@ def append_new(spark: SparkSession, source: str, schema, out: str, checkpoint: s
 
 def index_new(spark: SparkSession, source: str, schema, index_path: str, checkpoint: str, files: int = 4) -> None:
     """Put the chunks (chunk_id, text) of files that came since the last run into the index at index_path, which is
-    there; a batch is a part of its own, and replaces it if it is run again."""
+    there. A chunk that came before is replaced; of one that a batch has twice, one counts. A batch costs what is in it,
+    and one that is run again after a failure isn't put in again."""
     from docquarry.operators.index import LexicalIndex
 
     def put(batch: DataFrame, number: int) -> None:
-        LexicalIndex.load(spark, index_path).append(batch.select("chunk_id", "text"), number + 1)
+        LexicalIndex.load(spark, index_path).append(batch.select("chunk_id", "text").dropDuplicates(["chunk_id"]), number)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).dropDuplicates(["chunk_id"])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
