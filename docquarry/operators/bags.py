@@ -4,9 +4,9 @@ A text's bag holds each word as often as it stands there. What two bags have in
 is their containment.
 
 The join is a prefix filter. All words have one order, seldom ones first. If a larger bag shares t of a smaller bag's n
-words (with their repeats), it has at least one of the smaller's first n - t + 1 in that order; so only these are looked
-up. Pairs found are confirmed on whole bags. Nothing is asked of runs of words, so short texts and other orders of the
-same words are found as well."""
+words (with their repeats), it has at least m of the smaller's first n - t + m in that order, for any m up to t; so only
+these are looked up, and pairs that have fewer in common are left. The others are confirmed on whole bags. Nothing is
+asked of runs of words, so short texts and other orders of the same words are found as well."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ from docquarry.sources import storage
 LEAST = 0.8
 #: Ids, or words, up to which a table goes to all tasks instead of being joined by a shuffle.
 SENT = 500_000
+#: Words of a prefix that a pair must share: more make longer prefixes and fewer pairs to confirm.
+MET = 3
 
 
 def words(text: Column) -> Column:
@@ -59,23 +61,30 @@ def contained(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFr
     cut = lambda df, key: df.select(key, words(F.col("text")).alias("w")).select(key, "w", F.size("w").alias("n")).filter("n > 0")
     lefts, rights = storage.written(cut(left, "left_id")), storage.written(cut(right, "right_id"))
     often = storage.written(rights.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count("*").alias("df")))
-    need = F.greatest(F.ceil(F.col("n") * F.lit(least) - 1e-9), F.lit(1))  # the small number takes back what rounding adds
+    least_common = lambda n: F.greatest(F.ceil(n * F.lit(least) - 1e-9), F.lit(1))  # noqa: E731  the small number takes back what rounding adds
 
     def prefixes(side: DataFrame, key: str) -> DataFrame:
-        """(t, id, n of the id) of the words that a larger bag can't do without."""
+        """(t, id, n of the id, times, asked): the first words of each bag, how often they stand in its prefix, and how many
+        of those a larger bag must have."""
         counts = side.select(key, "n", F.explode("w").alias("t")).groupBy(key, "t").agg(F.count("*").alias("c"), F.first("n").alias("n"))
         earlier = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "t").rowsBetween(Window.unboundedPreceding, -1)
         placed = counts.join(often, "t", "left").withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
-        return _sent(storage.written(placed.filter(F.col("before") < F.col("n") - need + 1).select("t", key, F.col("n").alias(f"n_{key}"))), F.count("*"))
+        need = least_common(F.col("n"))
+        placed = placed.withColumn("asked", F.least(need, F.lit(MET))).withColumn("times", F.least("c", F.col("n") - need + F.col("asked") - F.col("before"))).filter("times > 0")
+        return _sent(storage.written(placed.select("t", key, F.col("n").alias(f"n_{key}"), "times", "asked")), F.count("*"))
+
+    def met(larger: DataFrame, key: str, smaller: DataFrame, other: str, sized: str) -> DataFrame:
+        each = larger.select(key, F.col("n").alias(f"n_{key}"), F.explode(F.array_distinct("w")).alias("t")).join(prefixes(smaller, other), "t").filter(sized)
+        return each.groupBy("left_id", "right_id").agg(F.sum("times").alias("times"), F.first("asked").alias("asked")).filter("times >= asked").select("left_id", "right_id")
 
-    each = lambda side, key: side.select(key, F.col("n").alias(f"n_{key}"), F.explode(F.array_distinct("w")).alias("t"))
     longest = lefts.agg(F.max("n").alias("n")).first()["n"] or 0
-    larger_right = each(rights, "right_id").join(prefixes(lefts, "left_id"), "t").filter("n_left_id <= n_right_id")
-    larger_left = each(lefts, "left_id").join(prefixes(rights.filter(F.col("n") < longest), "right_id"), "t").filter("n_right_id < n_left_id")
-    pairs = _sent(storage.written(larger_right.select("left_id", "right_id").unionByName(larger_left.select("left_id", "right_id")).distinct()), F.count("*"))
-    asked = _sent(with_repeats(lefts.select("left_id", F.col("w").alias("a"), F.col("n").alias("n_left")), "a", "more_a"), F.sum("n_left"))
-    met = with_repeats(rights.join(pairs, "right_id"), "w", "more_w").join(asked, "left_id").withColumn("common", in_common("a", "w", "more_a", "more_w"))
-    return met.select("left_id", "right_id", *_scores(F.col("common"), F.col("n_left"), F.col("n"))).filter(F.col("containment") >= least)
+    pairs = met(rights, "right_id", lefts, "left_id", "n_left_id <= n_right_id").unionByName(met(lefts, "left_id", rights.filter(F.col("n") < longest), "right_id", "n_right_id < n_left_id"))
+    asked = _sent(storage.written(with_repeats(lefts.select("left_id", F.col("w").alias("a"), F.col("n").alias("n_left")), "a", "more_a")), F.sum("n_left"))
+    both = rights.join(_sent(storage.written(pairs), F.count("*")), "right_id").join(asked, "left_id")
+    # distinct words in common, and at best all repeats of the left one: what can't do isn't sorted
+    both = both.filter(F.size(F.array_intersect("a", "w")) + F.size("more_a") >= least_common(F.least("n", "n_left")))
+    both = with_repeats(both, "w", "more_w").withColumn("common", in_common("a", "w", "more_a", "more_w"))
+    return both.select("left_id", "right_id", *_scores(F.col("common"), F.col("n_left"), F.col("n"))).filter(F.col("containment") >= least)
 
 
 def remapped(items: DataFrame, old: DataFrame, new: DataFrame, least: float = LEAST) -> DataFrame:
