@@ -21,7 +21,7 @@ LEAST = 0.8
 #: Ids, or words, up to which a table goes to all tasks instead of being joined by a shuffle.
 SENT = 500_000
 #: Words of a prefix that a pair must share: more make longer prefixes and fewer pairs to confirm.
-MET = 3
+MET = 5
 
 
 def words(text: Column) -> Column:
@@ -31,7 +31,7 @@ def words(text: Column) -> Column:
 
 def with_repeats(rows: DataFrame, name: str, out: str) -> DataFrame:
     """rows with `out`: the words of array `name` that stand there before, once for each further time."""
-    rows = rows.withColumn("__sorted", F.array_sort(name))  # a column of its own: in a lambda it would be sorted each time
+    rows = rows.withColumn("__sorted", F.sort_array(name))  # a column of its own: in a lambda it would be sorted each time
     return rows.withColumn(out, F.filter("__sorted", lambda x, i: (i > 0) & (F.get("__sorted", i - 1) == x))).drop("__sorted")
 
 
@@ -47,7 +47,7 @@ def _scores(common: Column, n: Column, m: Column) -> list[Column]:
 
 
 def _sent(kept: DataFrame, size: Column) -> DataFrame:
-    """A written table, to be sent to all tasks if it is small enough."""
+    """A table that is cheap to read, to be sent to all tasks if it is small enough."""
     return F.broadcast(kept) if (kept.agg(size.alias("n")).first()["n"] or 0) <= SENT else kept
 
 
@@ -63,28 +63,33 @@ def contained(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFr
     often = storage.written(rights.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count("*").alias("df")))
     least_common = lambda n: F.greatest(F.ceil(n * F.lit(least) - 1e-9), F.lit(1))  # noqa: E731  the small number takes back what rounding adds
 
+    def counted(side: DataFrame, key: str) -> DataFrame:
+        return side.select(key, "n", F.explode("w").alias("t")).groupBy(key, "t").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+
     def prefixes(side: DataFrame, key: str) -> DataFrame:
         """(t, id, n of the id, times, asked): the first words of each bag, how often they stand in its prefix, and how many
         of those a larger bag must have."""
-        counts = side.select(key, "n", F.explode("w").alias("t")).groupBy(key, "t").agg(F.count("*").alias("c"), F.first("n").alias("n"))
         earlier = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "t").rowsBetween(Window.unboundedPreceding, -1)
-        placed = counts.join(often, "t", "left").withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+        placed = counted(side, key).join(often, "t", "left").withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
         need = least_common(F.col("n"))
         placed = placed.withColumn("asked", F.least(need, F.lit(MET))).withColumn("times", F.least("c", F.col("n") - need + F.col("asked") - F.col("before"))).filter("times > 0")
         return _sent(storage.written(placed.select("t", key, F.col("n").alias(f"n_{key}"), "times", "asked")), F.count("*"))
 
     def met(larger: DataFrame, key: str, smaller: DataFrame, other: str, sized: str) -> DataFrame:
         each = larger.select(key, F.col("n").alias(f"n_{key}"), F.explode(F.array_distinct("w")).alias("t")).join(prefixes(smaller, other), "t").filter(sized)
-        return each.groupBy("left_id", "right_id").agg(F.sum("times").alias("times"), F.first("asked").alias("asked")).filter("times >= asked").select("left_id", "right_id")
+        pairs = each.groupBy("left_id", "right_id").agg(F.sum("times").alias("times"), F.first("asked").alias("asked"), F.first("n_left_id").alias("n"), F.first("n_right_id").alias("m"))
+        return pairs.filter("times >= asked").select("left_id", "right_id", "n", "m")
 
     longest = lefts.agg(F.max("n").alias("n")).first()["n"] or 0
     pairs = met(rights, "right_id", lefts, "left_id", "n_left_id <= n_right_id").unionByName(met(lefts, "left_id", rights.filter(F.col("n") < longest), "right_id", "n_right_id < n_left_id"))
-    asked = _sent(storage.written(with_repeats(lefts.select("left_id", F.col("w").alias("a"), F.col("n").alias("n_left")), "a", "more_a")), F.sum("n_left"))
-    both = rights.join(_sent(storage.written(pairs), F.count("*")), "right_id").join(asked, "left_id")
-    # distinct words in common, and at best all repeats of the left one: what can't do isn't sorted
-    both = both.filter(F.size(F.array_intersect("a", "w")) + F.size("more_a") >= least_common(F.least("n", "n_left")))
-    both = with_repeats(both, "w", "more_w").withColumn("common", in_common("a", "w", "more_a", "more_w"))
-    return both.select("left_id", "right_id", *_scores(F.col("common"), F.col("n_left"), F.col("n"))).filter(F.col("containment") >= least)
+    pairs = storage.written(pairs)
+    # a text's words are counted once for all it is compared with, and of those only what the other side has
+    asked = storage.written(counted(lefts, "left_id").select("left_id", "t", "c"))
+    there = rights.join(_sent(pairs.select("right_id").distinct(), F.count("*")), "right_id").select("right_id", F.explode("w").alias("t"))
+    there = there.join(_sent(asked.select("t").distinct(), F.count("*")), "t").groupBy("right_id", "t").agg(F.count("*").alias("d"))
+    both = pairs.join(_sent(asked, F.count("*")), "left_id").join(there, ["right_id", "t"])
+    both = both.groupBy("left_id", "right_id").agg(F.sum(F.least("c", "d")).alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return both.select("left_id", "right_id", *_scores(F.col("common"), F.col("n"), F.col("m"))).filter(F.col("containment") >= least)
 
 
 def remapped(items: DataFrame, old: DataFrame, new: DataFrame, least: float = LEAST) -> DataFrame:
@@ -100,13 +105,13 @@ def remapped(items: DataFrame, old: DataFrame, new: DataFrame, least: float = LE
     A chunk meets those of its own page or document only. Labels and their pages go to all tasks while they are within
     SENT; beyond, new chunks are joined by document, and one with very many chunks is a skewed key, which Spark splits as
     it runs. Of a label's pairs, a row for each task goes on."""
-    labels = storage.written(items.select("item_id", "chunk_id", "document_id"))
-    asked = storage.written(old.select("chunk_id", F.col("page_number").alias("page"), "text").join(_sent(labels, F.count("*")), "chunk_id"))
+    labels = _sent(items.select("item_id", "chunk_id", "document_id"), F.count("*"))
+    asked = storage.written(old.select("chunk_id", F.col("page_number").alias("page"), "text").join(labels, "chunk_id"))
     pages = new.select("document_id", "page_number").distinct().withColumn("here", F.lit(True))
     same = (asked["document_id"] == pages["document_id"]) & asked["page"].eqNullSafe(pages["page_number"])
     scope = asked.join(pages, same, "left").select("item_id", asked["document_id"], "page", F.coalesce("here", F.lit(False)).alias("own_page"))
     there = new.select("document_id", "page_number", F.col("chunk_id").alias("right_id"), F.col("text").alias("other"))
-    met = there.join(_sent(storage.written(scope), F.count("*")), "document_id").filter(~F.col("own_page") | F.col("page").eqNullSafe(F.col("page_number")))
+    met = there.join(_sent(scope, F.count("*")), "document_id").filter(~F.col("own_page") | F.col("page").eqNullSafe(F.col("page_number")))
     met = met.select("item_id", "right_id", "other").join(asked.select("item_id", "text"), "item_id").select("item_id", "right_id", words(F.col("text")).alias("a"), words(F.col("other")).alias("b"))
     met = with_repeats(with_repeats(met, "a", "more_a"), "b", "more_b").withColumn("common", in_common("a", "b", "more_a", "more_b"))
     met = met.select("item_id", "right_id", *_scores(F.col("common"), F.size("a"), F.size("b")))
