@@ -15,6 +15,8 @@ from docquarry.operators import documents as dc
 from docquarry.operators import evaluation as ev
 from docquarry.operators import index as ix
 from docquarry.operators import retrieval as rt
+from docquarry.operators.library import Library
+from docquarry.sources import storage
 
 MOST_PAPERS, EVIDENCE = 15, 8
 
@@ -31,14 +33,23 @@ def documents(catalogue: DataFrame) -> DataFrame:
     return ca.listed(catalogue)
 
 
-def delete(tables: dict[str, DataFrame], asked: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    return ca.delete_known(tables, "catalogue", asked, "document_id")
+def store(library: Library, files: DataFrame) -> Library:
+    """Files (name, content, uploaded_at) taken in: each is kept with its catalogue row, and waits to be indexed; a faulty
+    one has its row alone."""
+    rows = storage.written(upload(files).join(files.select(F.col("name").alias("title"), "content"), "title"))
+    rows = rows.select("*", F.col("title").alias("filename")).dropDuplicates(["document_id"])
+    kept = rows.filter("status = 'uploaded'").select("document_id", F.col("title").alias("name"), F.col("content").cast("binary").alias("content"))
+    return library.put(rows.drop("content", "error_message"), library.table("chunks").limit(0), kept)
 
 
-def index(chunks: DataFrame, papers: DataFrame, catalogue: DataFrame, path: str) -> tuple[ix.LexicalIndex, DataFrame]:
-    """The index of chunks (chunk_id, text), and the catalogue with the papers registered once it is whole."""
-    built = ix.LexicalIndex.build(chunks, path)
-    return built, ca.published(path, papers, catalogue, chunks.sparkSession)
+def index(library: Library, papers: DataFrame, chunks: DataFrame) -> Library:
+    """Papers with their chunks, in the index and in the catalogue at once."""
+    return library.put(papers, chunks)
+
+
+def delete(library: Library, asked: DataFrame) -> tuple[Library, DataFrame]:
+    """Documents gone from files, chunks, index and catalogue, and those that weren't there."""
+    return library.delete(asked)
 
 
 def evidence_for(ranked: DataFrame, chunks: DataFrame, catalogue: DataFrame, k: int = EVIDENCE) -> DataFrame:

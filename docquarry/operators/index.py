@@ -93,9 +93,14 @@ class LexicalIndex:
         """chunks: (chunk_id, text), each id once. Without rows the index is empty and finds nothing. What the folder had
         is no longer part of it."""
         index = cls(chunks.sparkSession, path)
-        index.state = {"segments": [], "deletes": [], "generation": index.state.get("generation", 0), "batch": None, "k1": float(k1), "b": float(b), "id": chunks.schema["chunk_id"].dataType.simpleString()}
+        index.state = cls.nothing(chunks.schema["chunk_id"].dataType.simpleString(), k1, b, index.state.get("generation", 0))
         return index._added(chunks)._committed()
 
+    @staticmethod
+    def nothing(id_type: str, k1: float = rt.K1, b: float = rt.B, generation: int = 0) -> dict:
+        """The state of an index without chunks."""
+        return {"segments": [], "deletes": [], "generation": generation, "batch": None, "k1": float(k1), "b": float(b), "id": id_type}
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex | None:
         """The last version of the index in a folder, with the weights it was built with; None where there is none."""
@@ -110,13 +115,22 @@ class LexicalIndex:
         batch: their number in a stream; one that is in already, or comes before one that is, is passed over."""
         if batch is not None and self.state["batch"] is not None and batch <= self.state["batch"]:
             return self
-        kept = storage.written(chunks.select("chunk_id", "text"))
-        out = self._copy(batch=batch if batch is not None else self.state["batch"])
-        return out._without(kept.select("chunk_id"))._added(kept)._merged()._committed()
+        out = self.changed(storage.written(chunks.select("chunk_id", "text")))
+        out.state["batch"] = batch if batch is not None else self.state["batch"]
+        return out._committed()
+
+    def changed(self, chunks: DataFrame | None = None, gone: DataFrame | None = None) -> LexicalIndex:
+        """The index without the chunks of gone (chunk_id) and then with others, not yet visible to readers: its state is
+        for the caller to commit, with what belongs to it."""
+        out = self._copy()
+        for ids in (gone, chunks):
+            if ids is not None:
+                out._without(ids.select("chunk_id").distinct())
+        return (out._added(chunks) if chunks is not None else out)._merged()
 
     def removed(self, gone: DataFrame) -> LexicalIndex:
         """The index without the chunks of gone (chunk_id): neither found nor counted. Unknown ids change nothing."""
-        return self._copy()._without(gone.select("chunk_id").distinct())._merged()._committed()
+        return self.changed(gone=gone)._committed()
 
     def without(self, gone: DataFrame, path: str) -> LexicalIndex:
         """A new index at `path` without the chunks of gone (chunk_id). It shares the segments of this one."""

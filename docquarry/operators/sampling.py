@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.evaluation import draw
 from docquarry.operators.order import first_by, placed
-from docquarry.sources import storage
+from docquarry.sources.versions import Conflict, Versions
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, shares: dict[str, float], n: int, seed: int = 7) -> DataFrame:
@@ -76,17 +76,19 @@ def proportional(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 33
     return dealt.withColumn("__place", place).join(quota, stratum).filter(F.col("__place") <= F.col("__quota")).drop("__draw", "__place", "__quota")
 
 
-_frozen: dict[tuple[str, str], str] = {}
-
-
-def frozen(sample: DataFrame, spark, name: str) -> DataFrame:
-    """A sample by name: written when it is first asked for, and read ever after, whatever `sample` would draw then."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _frozen:
-        path = storage.folder(spark, "sample")
-        sample.write.parquet(path)
-        _frozen[key] = path
-    return spark.read.schema(sample.schema).parquet(_frozen[key])
+def frozen(sample: DataFrame, path: str) -> DataFrame:
+    """The sample that a folder keeps: written when it is first asked for, and read ever after, in this session and in
+    others, whatever `sample` would draw then. Of two that ask first, one's is kept and both read that."""
+    spark = sample.sparkSession
+    store = Versions(spark, path)
+    if not store.latest()[0]:
+        part = store.new_part("sample")
+        sample.write.parquet(part)
+        try:
+            store.commit(0, {"sample": part})
+        except Conflict:
+            pass  # another was first
+    return spark.read.schema(sample.schema).parquet(store.latest()[1]["sample"])
 
 
 def candidates(chunks: DataFrame, seed, papers: tuple[str, ...], questions: int) -> DataFrame:

@@ -10,6 +10,7 @@ from docquarry.operators import reports as rp
 from docquarry.operators import sampling as sa
 from docquarry.plans import search
 from docquarry.plans import views as v
+from docquarry.sources import storage
 
 SQL: dict[str, str] = {}
 RUN: dict = {}
@@ -238,10 +239,13 @@ q AS (SELECT lang, greatest(1, round_even(40.0 * count(*) / any_value(all_rows),
 
 @query(f"""WITH {_FRESH} SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {v.DRAW.format("'33|' || doc_id::VARCHAR")}, doc_id) AS place FROM fresh) JOIN q USING (lang) WHERE place <= quota""")
 def frozen_sample(spark, sf):
-    """Questions that weren't used before, by type in proportion; drawn once, written, and the same ever after."""
+    """Questions that weren't used before, by type in proportion; drawn once, written, and the same ever after: what is
+    asked for later, of other rows and by another seed, is what was drawn first."""
     docs = v.table(spark, sf, "documents").select("doc_id", "lang")
     fresh = docs.join(v.table(spark, sf, "labels"), "doc_id", "left_anti")
-    return sa.frozen(sa.proportional(fresh, "lang", "doc_id", 40, seed=33), spark, f"{sf}#frozen")
+    path = storage.folder(spark, "frozen")
+    sa.frozen(sa.proportional(fresh, "lang", "doc_id", 40, seed=33), path)
+    return sa.frozen(sa.proportional(docs, "lang", "doc_id", 9, seed=1), path)
 
 
 @query(f"""WITH c AS (SELECT source, unnest(['summarize', 'limitations']) AS kind, 0 AS n FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT source, 'qa', unnest(range(0, 2)) FROM (SELECT source FROM documents WHERE n_chars >= 1500 AND lang <> 'es'))

@@ -8,6 +8,7 @@ from docquarry import api
 from docquarry import sources as so
 from docquarry.functions import text as tx
 from docquarry.operators import answering as aw
+from docquarry.operators.library import Library
 from docquarry.plans import answering, search
 from docquarry.plans import views as v
 from docquarry.sources import storage
@@ -120,7 +121,8 @@ def api_index(spark, sf):
     """Chunks indexed, papers registered, and what the service says of itself before and after."""
     chunks = _chunks(spark, sf)
     papers = chunks.select("document_id").distinct().select("document_id", F.lit("t").alias("title"), F.lit("f").alias("filename"), F.lit(1).alias("num_chunks"), F.lit("indexed").alias("status"), F.lit(1).alias("uploaded_at"))
-    none = papers.filter("false").select("document_id", "title", "num_chunks", "status", F.lit("").alias("error_message"), "uploaded_at")
-    built, catalogue = api.index(chunks.select("chunk_id", "text"), papers, none, storage.folder(spark, "index"))
-    before = api.health(None, none).select(F.col("status").alias("before"))
-    return api.health(built, catalogue).crossJoin(F.broadcast(before))
+    library = Library(spark, storage.folder(spark, "library"))
+    before = api.health(None, library.catalogue).select(F.col("status").alias("before"))
+    api.index(library, papers, chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "document_id", "text"))
+    now = Library(spark, library.path)
+    return api.health(now.index, now.catalogue).crossJoin(F.broadcast(before))

@@ -11,6 +11,7 @@ from docquarry import streaming as st
 from docquarry.functions import text as tx
 from docquarry.operators import catalogue as ca
 from docquarry.operators import index as ix
+from docquarry.operators import library as lb
 from docquarry.plans import search
 from docquarry.plans import views as v
 from docquarry.sources import settings, storage
@@ -271,13 +272,39 @@ def publish_order(spark, sf):
     return before.crossJoin(F.broadcast(ca.published(path, papers, none, spark).agg(F.count("*").alias("after"))))
 
 
-@query("""WITH a AS (SELECT 'src' || (item_id % 30) AS source FROM benchmark WHERE item_id % 4 = 0) SELECT DISTINCT source, CASE WHEN source IN (SELECT source FROM documents) THEN 'deleted' ELSE 'not_found' END AS outcome, (SELECT count(*) FROM documents WHERE source NOT IN (SELECT source FROM a)) AS left_over FROM a""")
+def _library(spark, sf):
+    """Sources as papers, and each document as a chunk of its source."""
+    docs = v.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    papers = docs.groupBy("document_id").agg(F.count("*").alias("num_chunks"))
+    papers = papers.select("document_id", F.concat(F.lit("T "), "document_id").alias("title"), F.lit("f").alias("filename"), "num_chunks", F.lit("indexed").alias("status"), F.lit(1).cast("long").alias("uploaded_at"))
+    return papers, docs
+
+
+@query("""WITH a AS (SELECT 'src' || (item_id % 30) AS source FROM benchmark WHERE item_id % 4 = 0), l AS (SELECT * FROM documents WHERE source NOT IN (SELECT source FROM a))
+SELECT DISTINCT source, CASE WHEN source IN (SELECT source FROM documents) THEN 'deleted' ELSE 'not_found' END AS outcome, (SELECT count(*) FROM l) AS left_over, (SELECT count(*) FROM l) AS indexed, (SELECT count(DISTINCT source) FROM l) AS listed FROM a""")
 def delete_outcomes(spark, sf):
-    """Documents asked to be deleted everywhere: what is left, and which weren't there."""
-    docs = v.table(spark, sf, "documents").select("doc_id", "source")
-    asked = v.table(spark, sf, "benchmark").filter("item_id % 4 = 0").select(F.concat(F.lit("src"), (F.col("item_id") % 30).cast("string")).alias("source"))
-    left, outcome = ca.delete_known({"catalogue": docs.select("source").distinct(), "chunks": docs}, "catalogue", asked, "source")
-    return outcome.crossJoin(F.broadcast(left["chunks"].agg(F.count("*").alias("left_over"))))
+    """Documents deleted from a stored library: which weren't there, and what catalogue, chunks and index have left."""
+    papers, chunks = _library(spark, sf)
+    library = lb.Library(spark, storage.folder(spark, "library")).put(papers, chunks)
+    asked = v.table(spark, sf, "benchmark").filter("item_id % 4 = 0").select(F.concat(F.lit("src"), (F.col("item_id") % 30).cast("string")).alias("document_id"))
+    _, outcome = library.delete(asked)
+    now = lb.Library(spark, library.path)
+    counts = now.table("chunks").agg(F.count("*").alias("left_over")).crossJoin(now.index.chunk_ids.agg(F.count("*").alias("indexed"))).crossJoin(now.catalogue.agg(F.count("*").alias("listed")))  # one row each
+    return outcome.withColumnRenamed("document_id", "source").crossJoin(F.broadcast(counts))
+
+
+@query(f"""WITH corpus AS (SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN source IN ('src1', 'src2') THEN 'replaced ' || left(coalesce(text, ''), 100) ELSE coalesce(text, '') END AS text FROM documents WHERE source NOT IN ('src3', 'src4') AND NOT (source = 'src2' AND doc_id % 2 = 0)),
+{v.QUESTIONS}, {v.BM25.split("," + chr(10), 1)[1]} {_TOP}""")
+def library_search(spark, sf):
+    """A library into which papers are put, two of them again with other chunks, and of which two are deleted: a search
+    finds what an index of the last chunks finds."""
+    papers, chunks = _library(spark, sf)
+    library = lb.Library(spark, storage.folder(spark, "library")).put(papers, chunks)
+    again = F.col("document_id").isin("src1", "src2")
+    other = chunks.filter(again & ~((F.col("document_id") == "src2") & (F.col("chunk_id").cast("long") % 2 == 0)))
+    library = library.put(papers.filter(again), other.withColumn("text", F.concat(F.lit("replaced "), F.substring("text", 1, 100))))
+    library.delete(spark.createDataFrame([("src3",), ("src4",)], "document_id string"))
+    return lb.Library(spark, library.path).index.search(v.questions(spark, sf), 10)
 
 
 # Streams --------------------------------------------------------------------------------------------------------------
