@@ -10,6 +10,7 @@ from docquarry.operators import bags
 from docquarry.operators import catalogue as ca
 from docquarry.operators import claims as cl
 from docquarry.operators import documents as dc
+from docquarry.operators import invariants as iv
 from docquarry.operators import sampling as sa
 from docquarry.plans import scoring
 from docquarry.plans import views as v
@@ -306,3 +307,89 @@ def response_invariants(spark, sf):
     assert list(checks) == _CHECKS
     broken = graded.agg(F.count("*").alias("rows"), *(F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in checks.items()))
     return broken.select("rows", F.expr("stack({}, {}) as (check, broken)".format(len(checks), ", ".join(f"'{n}', {n}" for n in checks))))
+
+
+def _responses(spark, sf):
+    """An answer for each conversation, made so that it breaks no rule: a block for each of its first turns, a claim for
+    each block and one that cites nothing."""
+    said = v.turns(spark, sf).filter("turn < 4").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    rows = said.select("conv_id", F.transform("t", lambda x: F.concat(F.lit("Turn "), x["turn"].cast("string"), F.lit(": "), x["text"])).alias("t")).withColumn("high", F.col("conv_id") % 2 == 1)
+    block = lambda x, i: F.struct((i + 1).alias("citation_id"), F.concat(F.lit("d"), F.col("conv_id").cast("string")).alias("document_id"), F.lit(1).alias("page_number"), x.alias("text"), F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("image_url"))
+    status = F.when(F.col("high"), "SUPPORTED").otherwise("NOT_VERIFIED")
+    claim = lambda i, ids, grounding: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("claim_id"), F.lit("A claim.").alias("text"), status.alias("status"), F.lit(grounding).alias("grounding"), ids.alias("citation_ids"))
+    rows = rows.select("conv_id", "high", F.transform("t", block).alias("evidence"), F.concat(F.transform("t", lambda x, i: claim(i, F.array(i + 1), "strong")), F.array(claim(F.lit(-1), F.array().cast("array<int>"), "none"))).alias("claims"))
+    n, m = F.size("claims"), F.size("evidence")
+    measured = F.when(F.col("high"), 1.0)
+    metrics = F.struct(n.alias("total_claims"), m.alias("total_citations"), F.lit(1).alias("flagged_claims"), F.when(F.col("high"), n).otherwise(0).alias("verified_claims"), (m / n).alias("citation_coverage"), measured.alias("citation_precision"), measured.alias("faithfulness"), (measured - 1).alias("unsupported_claim_rate"))
+    latency = F.struct(F.lit(1.0).alias("retrieval"), F.lit(5.0).alias("generation"), F.when(F.col("high"), 3.0).otherwise(0.0).alias("verification"), F.lit(9.0).alias("total"))
+    mode = F.when(F.col("high"), "high_faithfulness").otherwise("balanced")
+    documents = F.array(F.concat(F.lit("d"), F.col("conv_id").cast("string")))
+    return rows.select(F.col("conv_id").alias("query_id"), F.lit("An answer [1].").alias("answer"), mode.alias("mode"), mode.alias("asked_mode"), documents.alias("asked_documents"), m.alias("num_sources"), "evidence", "claims", metrics.alias("metrics"), latency.alias("latency"))
+
+
+def _first(name: str, **fields):
+    """The array with some fields of its first item set otherwise."""
+    return F.transform(name, lambda x, i: F.when(i == 0, _set(x, fields)).otherwise(x))
+
+
+def _set(x, fields: dict):
+    for k, value in fields.items():
+        x = x.withField(k, value)
+    return x
+
+
+#: What can be wrong with an answer: the column, its faulty value, and the rules that it then breaks.
+_FAULTS = [
+    ("answer", lambda: F.lit("  "), ["answer_empty"]),
+    ("answer", lambda: F.lit("So. The following statements from that answer are"), ["answer_echoes_prompt"]),
+    ("evidence", lambda: F.slice("evidence", 1, 0), ["evidence_missing", "num_sources", "claim_cites_unknown"]),
+    ("evidence", lambda: _first("evidence", citation_id=F.lit(7)), ["evidence_numbering", "claim_cites_unknown"]),
+    ("num_sources", lambda: F.col("num_sources") + 1, ["num_sources"]),
+    ("evidence", lambda: _first("evidence", page_number=F.lit(0)), ["evidence_incomplete"]),
+    ("evidence", lambda: _first("evidence", chunk_type=F.lit("sound")), ["evidence_kind"]),
+    ("evidence", lambda: _first("evidence", image_url=F.lit("x.png")), ["image_without_figure"]),
+    ("evidence", lambda: _first("evidence", document_id=F.lit("other")), ["evidence_outside_filter"]),
+    ("claims", lambda: _first("claims", claim_id=F.lit("c-1")), ["claim_id_twice"]),
+    ("claims", lambda: _first("claims", status=F.when(F.col("mode") == "balanced", F.lit("NOT_VERIFIED")).otherwise(F.lit("ODD"))), ["claim_status"]),
+    ("claims", lambda: _first("claims", citation_ids=F.array(F.lit(99))), ["claim_cites_unknown"]),
+    ("claims", lambda: _first("claims", text=F.lit("")), ["claim_empty"]),
+    ("claims", lambda: _first("claims", grounding=F.lit("solid")), ["claim_grounding"]),
+    ("claims", lambda: F.transform("claims", lambda x: x.withField("grounding", F.lit("weak"))), ["uncited_but_grounded", "flagged_claims"]),
+    ("metrics", lambda: F.col("metrics").withField("flagged_claims", F.lit(5)), ["flagged_claims"]),
+    ("metrics", lambda: F.col("metrics").withField("verified_claims", F.lit(-1)), ["verified_claims"]),
+    ("metrics", lambda: F.col("metrics").withField("citation_coverage", F.lit(1.5)), ["coverage_range", "coverage_recomputed"]),
+    ("metrics", lambda: F.col("metrics").withField("faithfulness", F.lit(1.2)), ["unmeasured_but_reported|metric_range"]),
+    ("metrics", lambda: F.col("metrics").withField("total_claims", F.lit(0)), ["total_claims"]),
+    ("metrics", lambda: F.col("metrics").withField("total_citations", F.lit(None)), ["total_citations"]),
+    ("metrics", lambda: F.col("metrics").withField("citation_coverage", F.lit(0.01)), ["coverage_recomputed"]),
+    ("latency", lambda: F.col("latency").withField("retrieval", F.lit(-1.0)), ["latency_negative"]),
+    ("latency", lambda: F.col("latency").withField("total", F.lit(2.0)), ["latency_total"]),
+    ("mode", lambda: F.lit("odd"), ["mode_echo"]),
+    ("latency", lambda: F.col("latency").withField("verification", F.when(F.col("mode") == "balanced", 2.0).otherwise(0.0)), ["verification_timed_without_being_asked|verification_untimed"]),
+    ("claims", lambda: F.transform("claims", lambda x: x.withField("status", F.when(F.col("mode") == "balanced", "SUPPORTED").otherwise("NOT_VERIFIED"))), ["verified_claims", "metric_range|unmeasured_but_reported", "verified_without_being_asked|claims_left_unverified"]),
+]
+_EVERY = len(_FAULTS) + 3
+
+
+def _told(high: bool) -> str:
+    """What each fault is told as, in SQL: of two names the first is for answers that aren't verified."""
+    names = [";".join(r.split("|")[-1 if high else 0] for r in rules) for _, _, rules in _FAULTS]
+    if not high:
+        names[10] = ""  # its status is changed to what it was
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT conv_id FROM conversations WHERE turn < 4)
+SELECT conv_id AS query_id, CASE WHEN conv_id % {_EVERY} >= {len(_FAULTS)} THEN '' WHEN conv_id % 2 = 1 THEN ({_told(True)})[conv_id % {_EVERY} + 1] ELSE ({_told(False)})[conv_id % {_EVERY} + 1] END AS problems FROM r""")
+def response_problems(spark, sf):
+    """Answers into which faults are put, and the rules that each is found to break."""
+    rows, fault = _responses(spark, sf), F.col("query_id") % _EVERY
+    for column in ("answer", "evidence", "num_sources", "claims", "metrics", "latency"):
+        value = F.col(column)
+        for i, (name, bad, _) in enumerate(_FAULTS):
+            if name == column:
+                value = F.when(fault == i, bad()).otherwise(value)
+        rows = rows.withColumn(column, value)
+    mode = next(i for i, f in enumerate(_FAULTS) if f[0] == "mode")
+    rows = rows.withColumn("mode", F.when(fault == mode, "odd").otherwise(F.col("mode")))
+    return iv.with_problems(rows).select("query_id", F.array_join("problems", ";").alias("problems"))
