@@ -280,7 +280,10 @@ def judge_controls(spark, sf):
 
 @query("""SELECT event_type AS mode, count(*) AS n, round(median(value), 6) AS median_ms, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1""")
 def latency_by_mode(spark, sf):
-    return v.table(spark, sf, "events").groupBy(F.col("event_type").alias("mode")).agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("median_ms"), F.round(F.avg("value"), 6).alias("mean_ms"))
+    rows = v.table(spark, sf, "events").select(F.col("event_type").alias("mode"), "value")
+    median = od.quantiles(rows, "mode", "value", 0.5).select(F.col("mode").alias("m"), F.round("quantile", 6).alias("median_ms"))
+    means = rows.groupBy("mode").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_ms"))
+    return means.join(median, F.col("mode").eqNullSafe(F.col("m")), "left").drop("m")
 
 
 @query(f"""WITH {v.STATUSES} SELECT coalesce(lang, 'all') AS lang, coalesce(status, 'all') AS status, count(*) AS n FROM statuses GROUP BY CUBE (lang, status)""")
