@@ -15,6 +15,7 @@ from docquarry.operators import library as lb
 from docquarry.plans import search
 from docquarry.plans import views as v
 from docquarry.sources import settings, storage
+from docquarry.streaming import lifecycle as lc
 
 SQL: dict[str, str] = {}
 RUN: dict = {}
@@ -347,6 +348,17 @@ def document_states(spark, sf):
     return st.latest_states(rows).select("document_id", "status")
 
 
+@query(f"""WITH e AS (SELECT user_id, ts, {_STATE} AS status FROM events) SELECT user_id AS document_id, arg_max(status, (ts, list_position(['uploaded', 'parsing', 'indexing', 'scanned_needs_ocr', 'failed', 'indexed'], status))) AS status FROM e GROUP BY 1""")
+def stream_states(spark, sf):
+    """Changes that come in two runs of a stream, not in order of time: what it holds is what all changes together give."""
+    src, out, mark = (storage.folder(spark, n) for n in ("stream-in", "stream-out", "stream-mark"))
+    rows = v.table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("document_id"), F.expr(_STATE).alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    for half in (0, 1):
+        rows.filter(F.col("event_id") % 2 == half).drop("event_id").repartition(2).write.mode("append").parquet(src)
+        lc.follow(spark, src, rows.drop("event_id").schema, out, mark, late="36500 days", stuck=10**15, files=8)
+    return lc.current(spark, out).select(F.col("document_id").cast("long").alias("document_id"), "status")
+
+
 @query("SELECT CASE WHEN text IS NULL THEN 'failed' WHEN n_chars < 200 THEN 'scanned_needs_ocr' WHEN doc_id % 50 = 7 THEN 'failed' ELSE 'indexed' END AS status, count(*) AS n FROM documents GROUP BY 1".replace("WHEN n_chars < 200 THEN 'scanned_needs_ocr' WHEN doc_id % 50 = 7 THEN 'failed'", "WHEN doc_id % 50 = 7 THEN 'failed' WHEN n_chars < 200 THEN 'scanned_needs_ocr'"))
 def failures_apart(spark, sf):
     """Documents worked on one by one: a failing one fails alone."""
