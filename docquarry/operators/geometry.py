@@ -73,6 +73,51 @@ def tables(grids: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.filter(dc.looks_tabular(F.col("grid"), F.col("block_id").isNotNull()))
 
 
+#: Gaps between words that part columns, of which the best grid's is taken; a gap between lines that ends a table.
+COLUMN_GAPS, LINE_GAP = (4.0, 9.0, 18.0), 20.0
+
+
+def text_grids(words: DataFrame, regions: DataFrame) -> DataFrame:
+    """(page, block_id, x0, y0, x1, y1, grid): the table that the words of a region make, where they look like one.
+
+    words: (page, word_id, x0, y0, x1, y1, text); regions: (page, block_id, x0, y0, x1, y1), see regions_below(). Words
+    whose heights overlap are a line; a gap of LINE_GAP ends the table. Words of all its lines whose widths overlap, or
+    are nearer than a gap, are a column; of the grids of several gaps the one with most cells is taken, then that of the
+    smallest gap."""
+    outer = regions.select("page", "block_id", *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    inside = words.join(outer, "page").filter((x >= F.col("r_x0")) & (x <= F.col("r_x1")) & (y >= F.col("r_y0")) & (y <= F.col("r_y1"))).select("page", "block_id", "word_id", "x0", "y0", "x1", "y1", "text")
+    down = Window.partitionBy("page", "block_id").orderBy("y0", "x0", "word_id")
+    reach = F.max("y1").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    rows = inside.withColumn("gap", F.col("y0") - reach)
+    rows = rows.withColumn("line", F.sum(F.when(F.col("gap") >= -1, 1).otherwise(0)).over(down)).withColumn("cut", F.sum(F.when(F.col("gap") > LINE_GAP, 1).otherwise(0)).over(down)).filter("cut = 0")
+    tried = rows.withColumn("apart", F.explode(F.array(*map(F.lit, COLUMN_GAPS))))
+    across = Window.partitionBy("page", "block_id", "apart").orderBy("x0", "x1", "word_id")
+    end = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    tried = tried.withColumn("fresh", F.when(F.col("x0") - end > F.col("apart"), 1).otherwise(0)).withColumn("column", F.sum("fresh").over(across))
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "word_id", "text"))), lambda w: w["text"]), " ")
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    cells = tried.groupBy("page", "block_id", "apart", "line", "column").agg(in_order.alias("cell"), *box)
+    grids = cells.groupBy("page", "block_id", "apart").agg(F.collect_list(F.struct("line", "column", "cell")).alias("cells"), F.max("line").alias("lines"), F.max("column").alias("columns"), *box)
+    at = lambda i, j: F.get(F.filter("cells", lambda e: (e["line"] == i) & (e["column"] == j)), F.lit(0))["cell"]
+    grid = F.transform(F.sequence(F.lit(0), "lines"), lambda i: F.transform(F.sequence(F.lit(0), "columns"), lambda j: F.coalesce(at(i, j), F.lit(""))))
+    made = grids.withColumn("grid", dc.clean_grid(grid)).filter(dc.looks_tabular(F.col("grid"), F.lit(True)))
+    size = F.size("grid") * F.size(F.element_at("grid", 1))
+    best = F.max_by(F.struct("x0", "y0", "x1", "y1", "grid"), F.struct(size, -F.col("apart")))
+    return made.groupBy("page", "block_id").agg(best.alias("b")).select("page", "block_id", "b.*")
+
+
+def all_tables(grids: DataFrame, blocks: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, grid_id, block_id, label, x0, y0, x1, y1, grid, how): tables with rules (`lines`), and for captions that have
+    none the words below them (`text`), whose grid_id is negative."""
+    ruled = tables(grids, blocks).withColumn("how", F.lit("lines"))
+    free = regions_below(blocks, pages).join(ruled.select("page", "block_id").filter("block_id is not null"), ["page", "block_id"], "left_anti")
+    labels = marked(blocks).select("page", "block_id", "label")
+    text = text_grids(words, free).join(labels, ["page", "block_id"]).withColumn("grid_id", -1 - F.col("block_id")).withColumn("how", F.lit("text"))
+    names = ["page", "grid_id", "block_id", "label", "x0", "y0", "x1", "y1", "grid", "how"]
+    return ruled.select(*names).unionByName(text.select(*names))
+
+
 def covered(blocks: DataFrame, boxes: DataFrame, least: float) -> DataFrame:
     """(page, block_id, box_id): blocks of which at least so much lies in a box (page, box_id, x0, y0, x1, y1)."""
     outer = boxes.select("page", "box_id", *(F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")))

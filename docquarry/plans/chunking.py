@@ -3,6 +3,7 @@ other modules that fold over sentences."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
@@ -261,6 +262,62 @@ def page_body(spark, sf):
     return got.select("page", F.md5("text").alias("text_md5"))
 
 
+# Layout of web pages: the title, the links as a table of three columns with a caption, and the paragraphs ---------------
+
+_LINK = r'<li><a href="[^"]*">([^<]*)</a></li>'
+
+
+def _page_layout(spark, sf):
+    """Boxes of each page's blocks and words as a browser might set them, one column wide: words are placed by their
+    number in a line or cell, lines below each other, and blocks apart by a gap."""
+    pages = v.table(spark, sf, "pages").select(F.col("page_id").alias("page"), "html")
+    parts = F.split(F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1), "<p>")
+    parts = F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", ""))), lambda x: x != "")
+    cut = pages.select("page", F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)).alias("links"), parts.alias("parts"))
+    block = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    made = F.concat(F.array(block("caption", F.lit("Table 1. Links"))), F.transform("links", lambda x: block("cell", x)), F.transform("parts", lambda x: block("prose", x)))
+    rows = cut.select("page", F.posexplode(made).alias("block_id", "b")).select("page", "block_id", "b.*").withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    link = F.col("block_id") - 1
+    height = F.when(F.col("kind") != "cell", 12.0 * F.greatest(F.ceil(F.size("words") / 12), F.lit(1)) + 28).when(link % 3 == 2, 14.0).otherwise(0.0)
+    above = F.coalesce(F.sum(height).over(Window.partitionBy("page").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    # a last row of fewer links ends where a full one does
+    short = F.max(F.when(F.col("kind") == "cell", F.col("block_id"))).over(Window.partitionBy("page"))
+    rows = rows.withColumn("above", above).withColumn("last", short)
+    moved = F.when((F.col("kind") == "prose"), F.when(F.col("last") % 3 != 0, 44.0).otherwise(30.0)).otherwise(0.0)
+    rows = rows.withColumn("y0", 40 + F.col("above") + moved).withColumn("x0", F.when(F.col("kind") == "cell", 60.0 + link % 3 * 170).otherwise(40.0))
+    placed = rows.select("page", "block_id", "y0", F.col("x0").alias("left"), F.posexplode("words").alias("i", "text"))
+    placed = placed.select("page", (F.col("block_id") * 1000000 + F.col("i")).alias("word_id"), "block_id", (F.col("left") + F.col("i") % 12 * 43).alias("x0"), (F.col("y0") + F.floor(F.col("i") / 12) * 12).alias("y0"), F.col("text"))
+    words = placed.withColumn("x1", F.col("x0") + F.least(F.length("text") * 5, F.lit(40))).withColumn("y1", F.col("y0") + 10)
+    boxes = words.groupBy("page", "block_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    blocks = boxes.join(rows.select("page", "block_id", "text"), ["page", "block_id"])
+    sizes = blocks.groupBy("page").agg((F.max("y1") + 60).alias("bottom")).select("page", F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(600.0).alias("right"), "bottom")
+    return blocks, words.drop("block_id"), sizes
+
+
+_LINKS = rf"links AS (SELECT page_id AS page, regexp_extract_all(html, '{_LINK}', 1) AS l FROM pages)"
+
+
+def _no_grids(spark):
+    return spark.createDataFrame([], "page long, grid_id int, x0 double, y0 double, x1 double, y1 double, grid array<array<string>>")
+
+
+@query(f"""WITH {_LINKS} SELECT page, i // 3 AS row_no, i % 3 AS column_no, CASE WHEN i < len(l) THEN trim(l[i + 1]) ELSE '' END AS cell FROM (SELECT page, l, unnest(range(((len(l) + 2) // 3) * 3)) AS i FROM links WHERE len(l) >= 4)""")
+def word_tables(spark, sf):
+    """Tables without rules on web pages, made of the boxes of their words."""
+    blocks, words, pages = _page_layout(spark, sf)
+    found = ge.all_tables(_no_grids(spark), blocks, words, pages).select("page", F.posexplode("grid").alias("row_no", "cells"))
+    return found.select("page", "row_no", F.posexplode("cells").alias("column_no", "cell"))
+
+
+@query(r"""WITH parts AS (SELECT page_id AS page, list_filter(list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>'), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: x <> '') AS p FROM pages)
+SELECT page, md5(trim(array_to_string(list_transform(p, lambda x: rtrim(x)), chr(10)))) AS text_md5 FROM parts""")
+def page_text(spark, sf):
+    """Web pages without their tables and captions."""
+    blocks, words, pages = _page_layout(spark, sf)
+    none = spark.createDataFrame([], "page long, block_id int, x0 double, y0 double, x1 double, y1 double")
+    return ge.body(blocks, ge.all_tables(_no_grids(spark), blocks, words, pages), none).select("page", F.md5("text").alias("text_md5"))
+
+
 # SQL of claims, answer filters and pools ------------------------------------------------------------------------------
 
 _SAID = f"""{v.CLAIMS}, ans AS (SELECT conv_id, turn, string_agg(text, chr(10) ORDER BY pos) AS answer FROM claims GROUP BY 1, 2), evs AS (SELECT conv_id, list(citation_id ORDER BY citation_id) AS ids, map_from_entries(list((citation_id, text))) AS ev FROM evidence GROUP BY 1), said_all AS (SELECT * FROM ans JOIN evs USING (conv_id))"""
