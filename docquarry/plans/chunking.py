@@ -12,8 +12,10 @@ from docquarry.operators import answers as an
 from docquarry.operators import claims as cl
 from docquarry.operators import documents as dc
 from docquarry.operators import geometry as ge
+from docquarry.operators import ingest as ig
 from docquarry.plans import answering, quality_sets, scoring
 from docquarry.plans import views as v
+from docquarry.sources.settings import Settings
 
 SQL: dict[str, str] = {}
 RUN: dict = {}
@@ -83,6 +85,26 @@ def chunk_assembly(spark, sf):
 _TOPIC = 40
 
 
+_TITLE = f"trim(({list(quality_sets._HEADINGS)!r})[(document_id * 3) % 9 + 1])".replace('"', "'")
+
+
+@query(f"""WITH RECURSIVE runs AS ({_PAGES}), units AS (SELECT {{'d': document_id, 'p': page_number, 'r': run, 's': section}} AS key, text FROM runs), {_packed('units', 120, 30, 20)},
+placed AS (SELECT key, text, row_number() OVER (PARTITION BY key.d, key.p ORDER BY key.r, idx) - 1 AS place FROM packed),
+made AS (SELECT key.d || '_p' || key.p || '_c' || place AS chunk_id, key.d AS document_id, CASE WHEN {_reference_score('text')} >= 1 THEN 'References' ELSE key.s END AS section, md5(text) AS text_md5 FROM placed),
+papers AS (SELECT doc_id // 3 AS document_id, count(*) AS num_pages, avg(length(({list(quality_sets._HEADINGS)!r})[doc_id % 9 + 1] || chr(10) || coalesce(text, ''))) >= 50 AS good FROM documents GROUP BY 1)
+SELECT p.document_id, CASE WHEN good THEN num_pages ELSE 0 END AS num_pages, CASE WHEN good THEN 'indexed' ELSE 'scanned_needs_ocr' END AS status, CASE WHEN good THEN {_TITLE.replace('document_id', 'p.document_id')} ELSE 'file' || p.document_id END AS title, coalesce(chunk_id, '') AS chunk_id, coalesce(section, '') AS section, coalesce(text_md5, '') AS text_md5
+FROM papers p LEFT JOIN made m ON m.document_id = p.document_id AND good""")
+def processed_papers(spark, sf):
+    """Documents processed in one call: title, pages, state and chunks, by sizes that settings give."""
+    pages = _pages(spark, sf)
+    d = F.col("document_id")
+    documents = pages.select(d).distinct().select(d, F.concat(F.lit("file"), d.cast("string"), F.lit(".pdf")).alias("filename"), F.lit("upload").alias("source"), F.lit(None).cast("timestamp").alias("uploaded_at"))
+    found = ig.processed(documents, pages, settings=Settings.load("chunk_size: 120\noverlap: 30\nmin_tokens: 20", {}))
+    rows = found.select(d.cast("long").alias("document_id"), "num_pages", "status", "title", F.explode_outer("chunks").alias("c"))
+    none = F.lit("")
+    return rows.select("document_id", "num_pages", "status", "title", F.coalesce("c.chunk_id", none).alias("chunk_id"), F.coalesce("c.section", none).alias("section"), F.coalesce(F.md5("c.text"), none).alias("text_md5"))
+
+
 @query(f"""WITH RECURSIVE sent AS (SELECT key, s, n, list_transform(range(0, len(n) + 1), lambda j: coalesce(list_sum(n[1:j]), 0)) AS c, [(length(x) * 37 % 100) / 100.0 FOR x IN s[1:len(s) - 1]]::DOUBLE[] AS d FROM (SELECT key, s, [len({_WORDS.format('x')}) FOR x IN s] AS n FROM (SELECT doc_id AS key, {v.SENTENCES.format("coalesce(text, '')")} AS s FROM documents))),
 pk AS (SELECT key, 1 AS i, 1 AS a, 0 AS k, 0 AS x FROM sent WHERE len(s) > 0 UNION ALL
   SELECT key, i + 1, CASE WHEN b <= i AND c[i + 2] - c[b] > {_TOPIC} THEN CASE WHEN c[i + 2] - c[t] <= {_TOPIC} THEN t ELSE i + 1 END ELSE b END, k + cut + (b <= i AND c[i + 2] - c[b] > {_TOPIC})::INT, CASE WHEN cut = 1 AND b <= i AND c[i + 2] - c[b] > {_TOPIC} THEN b ELSE 0 END

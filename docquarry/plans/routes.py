@@ -100,12 +100,13 @@ def api_conflicts(spark, sf):
     return api.conflicts(_questions(spark, sf), _evidence(spark, sf)).select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
-@query("SELECT true AS evaluated, 'b' AS variant, 0.25::DOUBLE AS mrr")
+@query("SELECT true AS evaluated, 'toxic' AS variant, round(avg(quality), 6) AS mrr FROM labels")
 def api_evaluation(spark, sf):
-    """Two result files: the first known value, the last variant."""
+    """Two result files of evaluations: the first known value, the last variant."""
     path = storage.folder(spark, "results")
-    so.write_result(spark.createDataFrame([("a", None)], "variant string, mrr double"), path + "/a", "2024-01-01")
-    so.write_result(spark.createDataFrame([("b", 0.25)], "variant string, mrr double"), path + "/b", "2024-01-02")
+    labels = v.table(spark, sf, "labels")
+    so.write_result(labels.agg(F.lit("quality").alias("variant"), F.round(F.avg("quality"), 6).alias("mrr")), path + "/a", "2024-01-01")
+    so.write_result(labels.agg(F.lit("toxic").alias("variant"), F.round(F.avg("toxic"), 6).alias("mrr")), path + "/b", "2024-01-02")
     return api.evaluation(spark, path, "variant string, mrr double", ["mrr"], ["variant"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import functions as F
@@ -217,12 +218,23 @@ def split_finalize(spark, sf):
     return count(before, "before").unionByName(count(path, "now"))
 
 
-@query("SELECT * FROM (VALUES ('chunk_size', '300'), ('overlap', '50'), ('k1', '1.2'), ('rrf_k', '60'), ('model', 'small')) t(name, value)")
+_DEFAULTS = "[" + ", ".join(f"{{'name': '{f.name}', 'value': '{f.default}'}}" for f in dataclasses.fields(settings.Settings) if f.name != "extra") + "]"
+
+
+@query(f"""WITH s AS (SELECT source, count(*) AS n, min(lang) AS lang FROM documents GROUP BY 1), base AS (SELECT source, unnest({_DEFAULTS}) AS d FROM s),
+own AS (SELECT source, 'chunk_size' AS name, n::VARCHAR AS value FROM s UNION ALL SELECT source, 'overlap', '50' FROM s UNION ALL SELECT source, 'model', lang FROM s),
+over AS (SELECT source, 'overlap' AS name, (n % 7)::VARCHAR AS value FROM s WHERE n % 2 = 0 UNION ALL SELECT source, 'k1', '1.2' FROM s WHERE n % 2 = 1),
+names AS (SELECT source, d.name AS name FROM base UNION SELECT source, name FROM own UNION SELECT source, name FROM over)
+SELECT n.source AS deployment, n.name, coalesce(o.value, w.value, b.d.value) AS value FROM names n LEFT JOIN over o USING (source, name) LEFT JOIN own w USING (source, name) LEFT JOIN base b ON b.source = n.source AND b.d.name = n.name""")
 def settings_effective(spark, sf):
-    """A file's values, those of the environment over them, and defaults."""
-    got = settings.Settings.load("# file\nchunk_size: 500\noverlap=50\nk1: '1.2' # weight\nmodel: small\n", {"DOCQUARRY_CHUNK_SIZE": "300", "OTHER": "1"})
-    rows = [(n, str(getattr(got, n))) for n in ("chunk_size", "overlap", "k1", "rrf_k")] + list(got.extra.items())
-    return spark.createDataFrame(rows, "name string, value string")
+    """A deployment for each source: its file's values, those of its environment over them, and defaults."""
+    rows = v.table(spark, sf, "documents").groupBy(F.col("source").alias("deployment")).agg(F.count("*").alias("n"), F.min("lang").alias("lang"))
+    n = F.col("n").cast("string")
+    text = F.concat(F.lit("# file\nchunk_size: "), n, F.lit(" # a size\n\nOverlap = 50\nmodel: '"), F.col("lang"), F.lit("'\nno value here\n"))
+    even = F.col("n") % 2 == 0
+    name, value = F.when(even, "DOCQUARRY_OVERLAP").otherwise("DOCQUARRY_K1"), F.when(even, (F.col("n") % 7).cast("string")).otherwise("1.2")
+    environments = rows.select("deployment", name.alias("name"), value.alias("value")).unionByName(rows.select("deployment", F.lit("OTHER").alias("name"), n.alias("value")))
+    return settings.effective(rows.select("deployment", text.alias("text")), environments)
 
 
 # Catalogue ------------------------------------------------------------------------------------------------------------

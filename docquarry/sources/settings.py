@@ -6,6 +6,9 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def parsed(text: str) -> dict[str, str]:
     """Lines `NAME=value` or `name: value`; # begins a comment, quotes around a value go."""
@@ -46,3 +49,18 @@ class Settings:
         kinds = {f.name: type(f.default) for f in fields(cls) if f.name != "extra"}
         known = {k: kinds[k](v) for k, v in values.items() if k in kinds}
         return cls(**known, extra={k: v for k, v in values.items() if k not in kinds})
+
+
+def effective(files: DataFrame, environments: DataFrame, prefix: str = "DOCQUARRY_") -> DataFrame:
+    """(deployment, name, value): the settings of many deployments. files: (deployment, text), environments: (deployment,
+    name, value). A deployment has all fields of Settings, each as its environment says, or else its file, or else by
+    default; and what else either names."""
+    line = F.trim(F.element_at(F.split("line", " #"), 1))
+    cut = files.select("deployment", F.explode(F.split("text", r"\r?\n")).alias("line")).select("deployment", line.alias("line")).filter(~F.col("line").startswith("#"))
+    pair = cut.select("deployment", F.regexp_extract("line", r"^([^=:]+)[=:](.*)$", 1).alias("n"), F.regexp_extract("line", r"^([^=:]+)[=:](.*)$", 2).alias("v")).filter("n <> ''")
+    own = pair.select("deployment", F.lower(F.trim("n")).alias("name"), F.regexp_replace(F.trim("v"), "^['\"]+|['\"]+$", "").alias("value"), F.lit(1).alias("rank"))
+    over = environments.filter(F.col("name").startswith(prefix)).select("deployment", F.lower(F.substr("name", F.lit(len(prefix) + 1))).alias("name"), "value", F.lit(2).alias("rank"))
+    base = F.explode(F.array(*(F.struct(F.lit(f.name).alias("name"), F.lit(str(f.default)).alias("value")) for f in fields(Settings) if f.name != "extra")))
+    default = files.select("deployment").distinct().select("deployment", base.alias("s")).select("deployment", "s.name", "s.value", F.lit(0).alias("rank"))
+    rows = default.unionByName(own).unionByName(over)
+    return rows.groupBy("deployment", "name").agg(F.max_by("value", "rank").alias("value"))

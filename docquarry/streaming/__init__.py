@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_new(spark: SparkSession, source: str, schema, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str, files: int = 4) -> None:
+def append_new(spark: SparkSession, source: str, schema, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str, files: int = 4, at: str | None = None, within: str = "30 days") -> None:
     """Process the files that came since the last run in batches of a few files and append the results.
 
     A key that came before, in this run or an earlier one, is left out: the stream's state knows them, so a batch costs
-    what is in it, whatever was done before. A batch has a folder of its own below `out`, which a batch that is run again
-    after a failure writes anew."""
+    what is in it, whatever was done before. With `at`, a column of times, a key is known for `within` after its time and
+    then forgotten, so the state has a bound; rows that are later than that are left out. A batch has a folder of its own
+    below `out`, which a batch that is run again after a failure writes anew."""
 
     def put(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).dropDuplicates([key])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    stream = stream.withWatermark(at, within).dropDuplicatesWithinWatermark([key]) if at else stream.dropDuplicates([key])
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
