@@ -38,6 +38,8 @@ from docquarry.sources.versions import Versions
 
 #: Chunks in a block (a power of two), and blocks that a generation may number.
 BLOCK, GENERATION = 4096, 1 << 40
+#: Tokens that a task sorts at once.
+SORTED = 1_500_000
 #: Bytes of a row group of postings, the least that a search reads.
 ROW_GROUP = 8 << 20
 #: Values that a scan is given to look for; beyond, tables are joined.
@@ -159,14 +161,18 @@ class LexicalIndex:
         blocks.write.parquet(f"{part}/blocks")
 
         def gather(batches):
-            held, size = [], 0
+            held, size, tokens = [], 0, 0
             for batch in batches:
-                held.append(batch)
-                size += len(batch)
-                if size >= BLOCK:
-                    yield _gathered(pa.Table.from_batches(held))
-                    held, size = [], 0
-            if size:
+                upto, at = np.cumsum(batch.column("dl").to_numpy(), dtype=np.int64), 0
+                while at < len(batch):
+                    before = upto[at - 1] if at else 0
+                    to = max(at + 1, min(at + BLOCK - size, int(np.searchsorted(upto, before + SORTED - tokens, "right"))))
+                    held.append(batch.slice(at, to - at))
+                    size, tokens, at = size + to - at, tokens + int(upto[to - 1] - before), to
+                    if size >= BLOCK or tokens >= SORTED or at < len(batch):
+                        yield _gathered(pa.Table.from_batches(held))
+                        held, size, tokens = [], 0, 0
+            if held:
                 yield _gathered(pa.Table.from_batches(held))
 
         rows = docs.filter("dl > 0").select("block", "nth", "dl", "words").mapInArrow(gather, _POSTINGS)
