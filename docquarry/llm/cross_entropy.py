@@ -98,11 +98,10 @@ class _Counted:
     def asked(self, buckets: int, chosen: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """Bucket, keys, and their counts in all texts and in the chosen ones: the buckets are ranges of keys."""
         near = self.counted(chosen)
-        edges = np.searchsorted(self.keys, (np.arange(1, buckets) * ((1 << BITS) // buckets)).astype(np.uint64)) if buckets > 1 else []
-        edges = [0, *np.asarray(edges, np.int64).tolist(), len(self.keys)]
-        for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
-            if j > i:
-                yield b, _packed(self.keys[i:j]), _narrow(self.counts[i:j]), _narrow(near[i:j])
+        part = np.minimum(self.keys // np.uint64((1 << BITS) // buckets), np.uint64(buckets - 1))
+        edges = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)).tolist() if len(part) else []
+        for i, j in zip(edges, edges[1:], strict=False):
+            yield int(part[i]), _packed(self.keys[i:j]), _narrow(self.counts[i:j]), _narrow(near[i:j])
 
     def means(self, counts: np.ndarray, share: np.ndarray, strength: float) -> np.ndarray:
         """Mean loss of each text, given the counts of all keys in their order and the words' own probabilities."""

@@ -186,19 +186,17 @@ def _parts(keys: np.ndarray, side: int, buckets: int) -> np.ndarray:
     return np.repeat((runtime.mix(keys[:, :side]) % np.uint64(buckets)).astype(np.int64), side, axis=1)
 
 
-def _by_bucket(gather: int, keys: np.ndarray, part: np.ndarray, owner: np.ndarray, nodes: np.ndarray, buckets: int, counts: np.ndarray | None = None, comps: np.ndarray | None = None, marks: list[bytes] | None = None):
+def _by_bucket(gather: int, keys: np.ndarray, part: np.ndarray, owner: np.ndarray, nodes: np.ndarray, counts: np.ndarray | None = None, comps: np.ndarray | None = None, marks: list[bytes] | None = None):
     """Rows of _PACKED: keys by their part, with the places of their owners in nodes; counts belong to keys, components
     and marks to nodes."""
     by = np.argsort(part, kind="stable")
     keys, owner, part = keys[by], owner[by], part[by]
     counts = counts[by].astype(np.uint16) if counts is not None else None
-    edges = np.searchsorted(part, np.arange(buckets + 1))
-    for b in range(buckets):
-        i, j = edges[b], edges[b + 1]
-        if j > i:
-            mine, place = np.unique(owner[i:j], return_inverse=True)
-            blobs = [marks[k] for k in mine.tolist()] if marks is not None else []
-            yield b, gather, keys[i:j].tobytes(), place.astype(np.uint16).tobytes(), None if counts is None else counts[i:j].tobytes(), nodes[mine].tobytes(), None if comps is None else comps[mine].tobytes(), b"".join(blobs), np.array([len(x) for x in blobs], np.uint32).tobytes()
+    edges = np.append(_run_starts(part), len(part)).tolist()
+    for i, j in zip(edges, edges[1:], strict=False):
+        mine, place = np.unique(owner[i:j], return_inverse=True)
+        blobs = [marks[k] for k in mine.tolist()] if marks is not None else []
+        yield int(part[i]), gather, keys[i:j].tobytes(), place.astype(np.uint16).tobytes(), None if counts is None else counts[i:j].tobytes(), nodes[mine].tobytes(), None if comps is None else comps[mine].tobytes(), b"".join(blobs), np.array([len(x) for x in blobs], np.uint32).tobytes()
 
 
 def _batch(row) -> pa.RecordBatch:
@@ -235,7 +233,7 @@ def _stars(reps: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         pairs = np.unique(owner[later] * len(nodes) + lead[later])
         if len(pairs):
             yield -1 - gather % buckets, gather, None, None, None, nodes[pairs // len(nodes)].tobytes(), nodes[pairs % len(nodes)].tobytes(), None, None
-        yield from _by_bucket(gather, grid[start], part[start], owner[start], nodes, buckets, counts=count)
+        yield from _by_bucket(gather, grid[start], part[start], owner[start], nodes, counts=count)
 
     def run(batches):
         for batch in batches:
@@ -323,7 +321,7 @@ def _settling(open_ones: DataFrame, crowded: DataFrame, settings: Settings, buck
             owner = np.repeat(np.arange(len(nodes)), settings.side**2)
             hot, first = np.unique(right.column("key").to_numpy().view(np.uint64), return_index=True)
             grid, part, owner = _in_blocks(grid, part, owner, nodes, hot, right.column("blocks").to_numpy()[first], buckets)
-            rows = [_batch(r) for r in _by_bucket(0, grid, part, owner, nodes, buckets, comps=comps, marks=left.column("marks").to_pylist())]
+            rows = [_batch(r) for r in _by_bucket(0, grid, part, owner, nodes, comps=comps, marks=left.column("marks").to_pylist())]
         return pa.Table.from_batches(rows, _batch((0, 0, *[b""] * 7)).schema)
 
     def meet(table: pa.Table) -> pa.Table:

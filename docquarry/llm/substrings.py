@@ -28,6 +28,9 @@ ANCHOR = WINDOW - PERIOD + 1
 ANCHOR_BYTES, WINDOW_BYTES = 6, 8
 #: Bytes of text whose occurrences a task gathers at once; occurrences that one task of the shuffle is meant to get.
 GATHERED_BYTES, HASHES_A_TASK = 6_000_000, 1_000_000
+#: Buckets into which what is gathered is dealt at once. Where more are needed, each of so many is gathered again, from
+#: all tasks, and dealt once more: a row has the occurrences of many texts, however large the corpus is.
+WIDE, REGATHERED = 1024, 2_000_000
 
 #: The rank of a document without doc_id.
 LAST = (1 << 63) - 1
@@ -94,15 +97,93 @@ def _packed(hashes, docs, keys, at, buckets, first_only):
     part = (hashes % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(part, kind="stable")
     hashes, docs, keys, at, part = hashes[by], docs[by], keys[by], at[by], part[by]
-    edges = np.searchsorted(part, np.arange(buckets + 1))
-    for b in range(buckets):
-        i, j = edges[b], edges[b + 1]
-        if j > i:
-            mine, some, place = np.unique(keys[i:j], return_index=True, return_inverse=True)
-            yield b, (hashes[i:j] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WINDOW_BYTES if first_only else ANCHOR_BYTES].tobytes(), place.astype(np.uint16 if len(mine) <= 1 << 16 else np.uint32).tobytes(), np.stack([docs[i:j][some], mine], 1).tobytes(), at[i:j].tobytes()
+    edges = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)) if len(part) else np.zeros(1, np.int64)
+    for i, j in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+        mine, some, place = np.unique(keys[i:j], return_index=True, return_inverse=True)
+        yield int(part[i]), (hashes[i:j] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WINDOW_BYTES if first_only else ANCHOR_BYTES].tobytes(), place.astype(np.uint16 if len(mine) <= 1 << 16 else np.uint32).tobytes(), np.stack([docs[i:j][some], mine], 1).tobytes(), at[i:j].tobytes()
 
 
-def _meet(first_only: bool, buckets: int):
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (without what the bucket says), documents, keys and places of a row of _ROW that has hashes."""
+    many = np.frombuffer(row["at"], np.uint32)
+    raw = np.frombuffer(row["hashes"], np.uint8).reshape(len(many), -1)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, : raw.shape[1]] = raw
+    both = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)[np.frombuffer(row["place"], np.uint16 if len(row["place"]) == 2 * len(many) else np.uint32)]
+    return wide.view("<u8").reshape(-1), both[:, 0], both[:, 1], many
+
+
+def _distinct(hashes: np.ndarray, docs: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Occurrences in order of rank, each once: rows of one key have one text."""
+    order = np.lexsort((keys, at, _within(docs, keys), docs))
+    again = (keys[order][1:] == keys[order][:-1]) & (at[order][1:] == at[order][:-1])
+    order = order[np.concatenate([[True], ~again])[: len(order)]]
+    return hashes[order], docs[order], keys[order], at[order]
+
+
+def _row(row: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "hashes", "place", "docs", "at"])
+
+
+def _again(first_only: bool, wide: int, fine: int):
+    """mapInArrow function of rows of _ROW in order of bucket: each of `wide` buckets gathered and dealt to `fine` ones."""
+
+    def run(batches):
+        bucket, held, size = None, [], 0
+
+        def dealt():
+            if held:
+                # the same hash in several rows is met here already
+                for b, *rest in _packed(*_distinct(*(np.concatenate(x) for x in zip(*held, strict=True))), fine, first_only):
+                    yield _row((bucket + wide * b if b >= 0 else -1 - (bucket + wide * (-1 - b)), *rest))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["hashes"] is None:
+                    own = int(np.frombuffer(row["docs"], np.int64)[0])
+                    yield _row((-1 - own % (wide * fine), None, None, row["docs"], row["at"]))
+                    continue
+                if row["bucket"] != bucket or size >= REGATHERED:
+                    yield from dealt()
+                    bucket, held, size = row["bucket"], [], 0
+                hashes, docs, keys, at = _opened(row)
+                held.append((hashes, docs, keys, at.astype(np.int64)))
+                size += len(hashes)
+        yield from dealt()
+
+    return run
+
+
+def _runs_again(wide: int, fine: int):
+    """mapInArrow function of rows (group, docs, runs) in order of group: each of `wide` groups of documents gathered and
+    dealt to `fine` ones."""
+
+    def run(batches):
+        group, held, size = None, [], 0
+
+        def dealt():
+            if held:
+                owner, runs = (np.concatenate(x) for x in zip(*held, strict=True))
+                part = owner // wide % fine
+                by = np.argsort(part, kind="stable")
+                owner, runs, part = owner[by], runs[by], part[by]
+                edges = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)).tolist()
+                for i, j in zip(edges, edges[1:], strict=False):
+                    yield pa.RecordBatch.from_arrays([pa.array([group + wide * int(part[i])]), pa.array([owner[i:j].tobytes()], pa.binary()), pa.array([runs[i:j].tobytes()], pa.binary())], names=["group", "docs", "runs"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["group"] != group or size >= REGATHERED:
+                    yield from dealt()
+                    group, held, size = row["group"], [], 0
+                held.append((np.frombuffer(row["docs"], np.int64), np.frombuffer(row["runs"], "<i4").reshape(-1, 2)))
+                size += len(held[-1][0])
+        yield from dealt()
+
+    return run
+
+
+def _meet(first_only: bool, groups: int):
     """applyInArrow function of a bucket: runs of the places whose hash occurs elsewhere (first_only: earlier), packed
     by groups of documents."""
 
@@ -113,15 +194,8 @@ def _meet(first_only: bool, buckets: int):
                 owners.append(np.frombuffer(row["docs"], np.int64))
                 runs.append(np.frombuffer(row["at"], "<i4").reshape(-1, 2))
             else:
-                raw = np.frombuffer(row["hashes"], np.uint8).reshape(len(row["at"]) // 4, -1)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, : raw.shape[1]] = raw
-                hashes.append(wide.view("<u8").reshape(-1))
-                many = np.frombuffer(row["at"], np.uint32)
-                both = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)[np.frombuffer(row["place"], np.uint16 if len(row["place"]) == 2 * len(many) else np.uint32)]
-                docs.append(both[:, 0])
-                keys.append(both[:, 1])
-                at.append(many)
+                for x, into in zip(_opened(row), (hashes, docs, keys, at), strict=True):
+                    into.append(x)
         if hashes:
             h, d, k, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(keys), np.concatenate(at).astype(np.int64)
             by = np.argsort(h, kind="stable")
@@ -136,7 +210,7 @@ def _meet(first_only: bool, buckets: int):
             owners.append(own)
             runs.append(more)
         owner, run = np.concatenate(owners), np.concatenate(runs)
-        group = owner % buckets
+        group = owner % groups
         by = np.argsort(group, kind="stable")
         owner, run, group = owner[by], run[by], group[by]
         edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
@@ -158,8 +232,13 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"key": owner[edges], "runs": pa.array([run[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary())})
 
 
-def _by_document(rows: DataFrame, first_only: bool, buckets: int) -> DataFrame:
-    met = rows.groupBy("bucket").applyInArrow(runtime.relieved(_meet(first_only, buckets)), "group long, docs binary, runs binary")
+def _by_document(rows: DataFrame, first_only: bool, wide: int, fine: int) -> DataFrame:
+    """(key, runs) of rows of _ROW in `wide` buckets, each of which becomes `fine` ones."""
+    if fine > 1:
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(runtime.relieved(_again(first_only, wide, fine)), _ROW)
+    met = rows.groupBy("bucket").applyInArrow(runtime.relieved(_meet(first_only, wide)), "group long, docs binary, runs binary")
+    if fine > 1:
+        met = met.repartition("group").sortWithinPartitions("group").mapInArrow(runtime.relieved(_runs_again(wide, fine)), "group long, docs binary, runs binary")
     return met.groupBy("group").applyInArrow(runtime.relieved(_gather), "key long, runs binary")
 
 
@@ -181,18 +260,15 @@ class _Batcher:
         if self.parts:
             hashes, docs, keys, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
             self.parts, self.size, self.docs = [], 0, 0
-            order = np.lexsort((keys, at, _within(docs, keys), docs))
-            again = (keys[order][1:] == keys[order][:-1]) & (at[order][1:] == at[order][:-1])
-            order = order[np.concatenate([[True], ~again])[: len(order)]]  # rows of one key have one text
-            for row in _packed(hashes[order], docs[order], keys[order], at[order], self.buckets, self.first_only):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "hashes", "place", "docs", "at"])
+            for row in _packed(*_distinct(hashes, docs, keys, at), self.buckets, self.first_only):
+                yield _row(row)
 
 
-def _anchors(source: DataFrame, buckets: int) -> DataFrame:
+def _anchors(source: DataFrame, wide: int, fine: int) -> DataFrame:
     """(key, runs): the cover positions whose ANCHOR words occur at another cover position."""
 
     def run(batches):
-        gathered = _Batcher(buckets, first_only=False)
+        gathered = _Batcher(wide, first_only=False)
         for batch in batches:
             for part in runtime.steps(batch, "text"):
                 data, offsets = runtime.utf8(part.column("text"))
@@ -206,14 +282,14 @@ def _anchors(source: DataFrame, buckets: int) -> DataFrame:
                     yield from gathered.rows()
         yield from gathered.rows()
 
-    return _by_document(source.select("doc", "key", "text").mapInArrow(runtime.relieved(run), _ROW), False, buckets)
+    return _by_document(source.select("doc", "key", "text").mapInArrow(runtime.relieved(run), _ROW), False, wide, fine)
 
 
-def _windows(marked: DataFrame, buckets: int) -> DataFrame:
+def _windows(marked: DataFrame, wide: int, fine: int) -> DataFrame:
     """(key, runs): starts of windows of WINDOW words that occur earlier. marked: (doc, key, text, marks), the anchors."""
 
     def run(batches):
-        gathered = _Batcher(buckets, first_only=True)
+        gathered = _Batcher(wide, first_only=True)
         for batch in batches:
             for part in runtime.steps(batch, "text"):
                 data, offsets = runtime.utf8(part.column("text"))
@@ -235,7 +311,7 @@ def _windows(marked: DataFrame, buckets: int) -> DataFrame:
                     yield from gathered.rows()
         yield from gathered.rows()
 
-    return _by_document(marked.mapInArrow(runtime.relieved(run), _ROW), True, buckets)
+    return _by_document(marked.mapInArrow(runtime.relieved(run), _ROW), True, wide, fine)
 
 
 def removed(docs: DataFrame, digest: bool = False, prefix: str = "") -> DataFrame:
@@ -260,9 +336,10 @@ def removed(docs: DataFrame, digest: bool = False, prefix: str = "") -> DataFram
     plain = source.select(rank.alias("doc"), F.col(key).alias("key"), text.alias("text"))
     words = plain.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-words // (6 * HASHES_A_TASK)))
-    marks = runtime.written(_anchors(plain, buckets).withColumnRenamed("runs", "marks"))
+    wide, fine = min(buckets, WIDE), -(-buckets // WIDE)
+    marks = runtime.written(_anchors(plain, wide, fine).withColumnRenamed("runs", "marks"))
     marked = plain.join(marks, "key")
-    runs = runtime.written(_windows(marked, buckets))
+    runs = runtime.written(_windows(marked, wide, fine))
     runtime.dropped(marks)
     name = runtime.fresh(source, "runs")
     joined = source.join(runs.select(F.col("key").alias(key), F.col("runs").alias(name)), key, "left")
