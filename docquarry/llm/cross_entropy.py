@@ -11,7 +11,10 @@ All counts are exact and none is dropped; what is counted grows with the corpus,
 are dealt into gathers of some megabytes. The distinct words and bigrams of a gather go to their buckets as arrays of
 sorted hashes, where the counts of all gathers are summed up, and each gather gets back the sums for what it asked.
 However common a word is, a gather has one entry for it. Texts are shuffled once: asking and scoring read the same
-exchange."""
+exchange.
+
+A gather asks WIDE buckets at most. Where counts need more, what some gathers ask a bucket is merged, each key once, and
+asked of finer ones together, and the sums go back to them the same way: no row gets smaller as the corpus grows."""
 
 from __future__ import annotations
 
@@ -30,6 +33,8 @@ from docquarry.llm import runtime
 STRENGTH = 20.0
 #: Characters of text to a gather, and to a bucket of counts.
 GATHER_CHARS, BUCKET_CHARS = 12_000_000, 8_000_000
+#: Buckets that a gather asks, and gathers whose questions to a bucket are merged where there are finer ones.
+WIDE, MERGED = 1024, 1024
 #: Bits of a hash of a word or bigram, the lowest of which says which it is.
 BITS = 56
 #: What the text's end counts as; before a text's first word stands its start.
@@ -120,6 +125,7 @@ class _Counted:
 
 
 _ASKED = "bucket long, gather long, keys binary, far binary, near binary"
+_ANSWERED = "bucket long, gather long, far binary, near binary"
 _ASKED_NAMES = [x.split()[0] for x in _ASKED.split(", ")]
 _ASKED_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
@@ -148,6 +154,50 @@ def _meet(table: pa.Table) -> pa.Table:
     return _table(rows, _ASKED_NAMES, _ASKED_TYPES).drop_columns(["keys"])
 
 
+def _together(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of each row, all of them once, and the places of the rows' keys among those."""
+    sizes = [len(_wide(x)) for x in table.column("far").to_pylist()]
+    keys = [_unpacked(x, n) for x, n in zip(table.column("keys").to_pylist(), sizes, strict=True)]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return keys, distinct, place
+
+
+def _finer(asked: DataFrame, wide: int, fine: int, gathers: int) -> DataFrame:
+    """Answers (bucket, gather, far, near) to asked, a written table of questions to `wide` buckets, through `fine` times
+    as many."""
+    parts = max(1, -(-gathers // MERGED))
+    low, step = (1 << BITS) // wide, (1 << BITS) // (wide * fine)
+    asked = asked.withColumn("merged", F.col("bucket") * parts + F.col("gather") % parts)
+
+    def merge(table: pa.Table) -> pa.Table:
+        _, distinct, place = _together(table)
+        sums = [np.zeros(len(distinct), np.int64) for _ in range(2)]
+        for total, name in zip(sums, ("far", "near"), strict=True):
+            np.add.at(total, place, np.concatenate([_wide(x) for x in table.column(name).to_pylist()]))
+        bucket, merged = table.column("bucket")[0].as_py(), table.column("merged")[0].as_py()
+        part = np.minimum((distinct - np.uint64(bucket * low)) // np.uint64(step), np.uint64(fine - 1)).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)).tolist()
+        rows = [(bucket * fine + int(part[i]), merged, _packed(distinct[i:j]), _narrow(sums[0][i:j]), _narrow(sums[1][i:j])) for i, j in zip(edges, edges[1:], strict=False)]
+        return _table(rows, _ASKED_NAMES, _ASKED_TYPES)
+
+    def share(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows:
+            keys, _, place = _together(left)
+            got = sorted(zip(right.column("bucket").to_pylist(), right.column("far").to_pylist(), right.column("near").to_pylist(), strict=True))
+            far, near = (np.concatenate([_wide(a[i]) for a in got]) for i in (1, 2))
+            at = 0
+            for bucket, gather, mine in zip(left.column("bucket").to_pylist(), left.column("gather").to_pylist(), keys, strict=True):
+                own = place[at : at + len(mine)]
+                rows.append((bucket, gather, None, _narrow(far[own]), _narrow(near[own])))
+                at += len(mine)
+        return _table(rows, _ASKED_NAMES, _ASKED_TYPES).drop_columns(["keys"])
+
+    merged = asked.groupBy("merged").applyInArrow(runtime.relieved(merge), _ASKED)
+    answers = merged.groupBy("bucket").applyInArrow(runtime.relieved(_meet), _ANSWERED)
+    return asked.groupBy("merged").cogroup(answers.withColumnRenamed("gather", "merged").groupBy("merged")).applyInArrow(runtime.relieved(share), _ANSWERED)
+
+
 def _sizes(docs: DataFrame, key: str) -> DataFrame:
     """Of each row its key, bytes of text, and events (words and an end)."""
 
@@ -185,6 +235,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", strength: flo
     total = sizes.agg(F.sum("bytes").alias("n"), F.sum("events").alias("far"), F.sum(F.when(F.col("good"), F.col("events"))).alias("near")).first()
     chars, far_events, near_events = (total[c] or 0 for c in ("n", "far", "near"))
     buckets = max(1, -(-chars // BUCKET_CHARS))
+    wide, fine = min(buckets, WIDE), -(-buckets // WIDE)
     # some for each task, if there is text enough
     gathers = max(1, -(-chars // GATHER_CHARS), min(runtime.partitions(spark), chars // (GATHER_CHARS // 10)))
     dealt_by = lambda c: F.pmod(F.xxhash64(c), F.lit(gathers))
@@ -198,7 +249,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", strength: flo
             return _table([], _ASKED_NAMES, _ASKED_TYPES)
         found = _Counted(left.column("text"))
         chosen = pc.fill_null(pc.is_in(left.column(mark), right.column("key").combine_chunks()), False).to_numpy()
-        return _table([(b, left.column("gather")[0].as_py(), *rest) for b, *rest in found.asked(buckets, chosen)], _ASKED_NAMES, _ASKED_TYPES)
+        return _table([(b, left.column("gather")[0].as_py(), *rest) for b, *rest in found.asked(wide, chosen)], _ASKED_NAMES, _ASKED_TYPES)
 
     def losses(left: pa.Table, right: pa.Table) -> pa.Table:
         found = _Counted(left.column("text"))
@@ -211,7 +262,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", strength: flo
         return pa.table([*(left.column(f.name) for f in fields), *columns], names=[*(f.name for f in fields), *new])
 
     asked = dealt.groupBy("gather").cogroup(good.groupBy("gather")).applyInArrow(runtime.relieved(asking), _ASKED)
-    answers = asked.groupBy("bucket").applyInArrow(runtime.relieved(_meet), "bucket long, gather long, far binary, near binary")
+    answers = asked.groupBy("bucket").applyInArrow(runtime.relieved(_meet), _ANSWERED) if fine == 1 else _finer(runtime.written(asked), wide, fine, gathers)
     more = [T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in new[1:])]
     out = dealt.groupBy("gather").cogroup(answers.groupBy("gather")).applyInArrow(runtime.relieved(losses), T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), *more]))
     return out.toDF(*names, *new)

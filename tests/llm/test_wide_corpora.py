@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from docquarry.llm import substrings
+from docquarry.llm import cross_entropy, substrings
 
 PASSAGE = " ".join(f"word{i}" for i in range(45))
 
@@ -31,3 +31,19 @@ def test_rows_of_a_gather_dont_grow_with_the_corpus():
     docs = np.sort(draw.integers(0, 100, n))
     made = list(substrings._packed(hashes, docs, docs, np.arange(n), substrings.WIDE, False))
     assert len(made) <= substrings.WIDE + 1
+
+
+def test_scores_are_the_same_through_finer_buckets(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "a b c"), (9_999, ""), (9_998, None), (9_997, "the the the")], "doc_id long, text string"))
+    good = docs.filter("doc_id % 3 = 0").select("doc_id")
+    scores = lambda: sorted((tuple(r) for r in cross_entropy.score(docs, good).select("doc_id", "n_words", "target_loss", "background_loss", "score").collect()), key=repr)
+    monkeypatch.setattr(cross_entropy, "GATHER_CHARS", 20_000)
+    want = scores()
+    for wide, merged in ((2, 1), (3, 4), (5, 1000)):
+        monkeypatch.setattr(cross_entropy, "BUCKET_CHARS", 5_000)
+        monkeypatch.setattr(cross_entropy, "WIDE", wide)
+        monkeypatch.setattr(cross_entropy, "MERGED", merged)
+        got = scores()
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert all(a == b or abs(a - b) < 1e-12 for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
