@@ -161,10 +161,13 @@ def _digests(docs: DataFrame, settings: Settings) -> DataFrame:
 
 #: Nodes whose buckets a task gathers at once (a power of two); keys that one task of the shuffle is meant to get.
 GATHERED, KEYS_A_TASK = 1 << 12, 500_000
+#: Buckets into which a gather's keys are dealt at once. Where more are needed, each of so many is gathered again, up to so
+#: many nodes and keys (places have 16 bits), and dealt once more: no row gets smaller as the corpus grows.
+WIDE, NODES_AGAIN, KEYS_AGAIN = 1024, 60_000, 1_000_000
 #: Parts into which rows of one set are dealt before their class is found.
 SALTS = 64
 
-_PACKED = "bucket long, gather long, keys binary, place binary, counts binary, nodes binary, others binary, marks binary, sizes binary"
+_PACKED = "bucket long, gather long, keys binary, place binary, counts binary, nodes binary, others binary, marks binary, sizes binary, subs binary, gathers binary"
 _MET = "a long, b long, gather long, key long, blocks int"
 
 
@@ -186,17 +189,81 @@ def _parts(keys: np.ndarray, side: int, buckets: int) -> np.ndarray:
     return np.repeat((runtime.mix(keys[:, :side]) % np.uint64(buckets)).astype(np.int64), side, axis=1)
 
 
-def _by_bucket(gather: int, keys: np.ndarray, part: np.ndarray, owner: np.ndarray, nodes: np.ndarray, counts: np.ndarray | None = None, comps: np.ndarray | None = None, marks: list[bytes] | None = None):
-    """Rows of _PACKED: keys by their part, with the places of their owners in nodes; counts belong to keys, components
-    and marks to nodes."""
+def _dealt(buckets: int) -> tuple[int, int]:
+    """How many buckets a gather deals to, and how many each of those becomes."""
+    return min(buckets, WIDE), -(-buckets // WIDE)
+
+
+def _by_bucket(gather: int | None, keys: np.ndarray, part: np.ndarray, owner: np.ndarray, nodes: np.ndarray, counts: np.ndarray | None = None, comps: np.ndarray | None = None, marks: list[bytes] | None = None, subs: np.ndarray | None = None, gathers: np.ndarray | None = None):
+    """Rows of _PACKED: keys by their part, with the places of their owners in nodes; counts and subs belong to keys,
+    components, marks and gathers to nodes."""
     by = np.argsort(part, kind="stable")
     keys, owner, part = keys[by], owner[by], part[by]
     counts = counts[by].astype(np.uint16) if counts is not None else None
+    subs = subs[by].astype(np.uint32) if subs is not None else None
     edges = np.append(_run_starts(part), len(part)).tolist()
     for i, j in zip(edges, edges[1:], strict=False):
         mine, place = np.unique(owner[i:j], return_inverse=True)
         blobs = [marks[k] for k in mine.tolist()] if marks is not None else []
-        yield int(part[i]), gather, keys[i:j].tobytes(), place.astype(np.uint16).tobytes(), None if counts is None else counts[i:j].tobytes(), nodes[mine].tobytes(), None if comps is None else comps[mine].tobytes(), b"".join(blobs), np.array([len(x) for x in blobs], np.uint32).tobytes()
+        of = lambda x: None if x is None else x[i:j].tobytes()  # noqa: E731, B023
+        own = lambda x: None if x is None else x[mine].tobytes()  # noqa: E731, B023
+        yield int(part[i]), gather, keys[i:j].tobytes(), place.astype(np.uint16).tobytes(), of(counts), nodes[mine].tobytes(), own(comps), b"".join(blobs), np.array([len(x) for x in blobs], np.uint32).tobytes(), of(subs), own(gathers)
+
+
+def _first_dealing(gather: int, keys: np.ndarray, part: np.ndarray, owner: np.ndarray, nodes: np.ndarray, wide: int, fine: int, **more):
+    """_by_bucket for the first dealing of a gather: part is the last bucket."""
+    yield from _by_bucket(gather, keys, part % wide, owner, nodes, subs=part // wide if fine > 1 else None, **more)
+
+
+def _again(wide: int):
+    """mapInArrow function of rows of _PACKED in order of bucket: each bucket gathered from many gathers, and dealt to those
+    that its keys' subs name."""
+
+    def run(batches):
+        bucket, held, nodes, keys = None, [], 0, 0
+
+        def dealt():
+            if not held:
+                return
+            whole = lambda name, kind: None if held[0][name] is None else np.frombuffer(b"".join(r[name] for r in held), kind)
+            sizes, many = np.array([len(r["nodes"]) // 8 for r in held]), np.array([len(r["keys"]) // 8 for r in held])
+            owner = whole("place", np.uint16).astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, many)
+            subs = whole("subs", np.uint32).astype(np.int64)
+            marks = None
+            if held[0]["sizes"]:
+                blob, ends = b"".join(r["marks"] for r in held), np.cumsum(whole("sizes", np.uint32), dtype=np.int64)
+                marks = [blob[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+            gathers = np.repeat(np.array([r["gather"] for r in held], np.int64), sizes)
+            for row in _by_bucket(None, whole("keys", np.uint64), bucket + wide * subs, owner, whole("nodes", np.int64), whole("counts", np.uint16), whole("others", np.int64), marks, gathers=gathers):
+                yield _batch(row)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["keys"] is None:
+                    yield _batch(tuple(row[n] for n in batch.schema.names))
+                    continue
+                if row["bucket"] != bucket or nodes + len(row["nodes"]) // 8 > NODES_AGAIN or keys >= KEYS_AGAIN:
+                    yield from dealt()
+                    bucket, held, nodes, keys = row["bucket"], [], 0, 0
+                held.append(row)
+                nodes, keys = nodes + len(row["nodes"]) // 8, keys + len(row["keys"]) // 8
+        yield from dealt()
+
+    return run
+
+
+def _in_buckets(packed: DataFrame, buckets: int) -> DataFrame:
+    """Rows of _PACKED of a first dealing, in their last buckets."""
+    wide, fine = _dealt(buckets)
+    if fine == 1:
+        return packed
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(runtime.relieved(_again(wide)), _PACKED)
+
+
+def _gathers_of(table: pa.Table) -> np.ndarray:
+    """The gather of each node of rows of _PACKED."""
+    own = zip(table.column("gather").to_pylist(), table.column("gathers").to_pylist(), table.column("nodes").to_pylist(), strict=True)
+    return np.concatenate([np.empty(0, np.int64), *(np.frombuffer(many, np.int64) if many is not None else np.full(len(nodes) // 8, one, np.int64) for one, many, nodes in own)])
 
 
 def _batch(row) -> pa.RecordBatch:
@@ -219,6 +286,9 @@ def _stars(reps: DataFrame, settings: Settings, buckets: int) -> DataFrame:
     that the pairs connect them all. With key: that the gather has members of a bucket that is to be compared in so many
     blocks."""
 
+    wide, fine = _dealt(buckets)
+    buckets = wide * fine
+
     def gathered(gather, nodes, keys):
         by = np.argsort(nodes, kind="stable")  # a run's first is its smallest node
         nodes, keys = nodes[by], keys[by]
@@ -232,8 +302,8 @@ def _stars(reps: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         later = np.flatnonzero(lead != owner)
         pairs = np.unique(owner[later] * len(nodes) + lead[later])
         if len(pairs):
-            yield -1 - gather % buckets, gather, None, None, None, nodes[pairs // len(nodes)].tobytes(), nodes[pairs % len(nodes)].tobytes(), None, None
-        yield from _by_bucket(gather, grid[start], part[start], owner[start], nodes, counts=count)
+            yield -1 - gather % buckets, gather, None, None, None, nodes[pairs // len(nodes)].tobytes(), nodes[pairs % len(nodes)].tobytes(), None, None, None, None
+        yield from _first_dealing(gather, grid[start], part[start], owner[start], nodes, wide, fine, counts=count)
 
     def run(batches):
         for batch in batches:
@@ -250,7 +320,7 @@ def _stars(reps: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         a, b = ([np.frombuffer(x, np.int64) for x in pairs.column(c).to_pylist()] for c in ("nodes", "others"))
         table = table.filter(pc.invert(plain))
         keys, place, counts, nodes, many = _unpacked(table, {"counts": np.uint16, "nodes": np.int64})
-        member, gather = nodes[place], np.repeat(table.column("gather").to_numpy(), many)
+        member, gather = nodes[place], _gathers_of(table)[place]
         by = np.lexsort((member, keys))
         keys, member = keys[by], member[by]
         start = _run_starts(keys)
@@ -270,7 +340,8 @@ def _stars(reps: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         two = pa.table({"a": empty, "b": empty, "gather": gather[by][hot], "key": keys[hot].view(np.int64), "blocks": (-(-total[hot] // settings.crowded)).astype(np.int32)})
         return pa.concat_tables([one, two])
 
-    return reps.select("node", "gather", "keys").mapInArrow(runtime.relieved(run), _PACKED).groupBy("bucket").applyInArrow(runtime.relieved(meet), _MET)
+    packed = _in_buckets(reps.select("node", "gather", "keys").mapInArrow(runtime.relieved(run), _PACKED), buckets)
+    return packed.groupBy("bucket").applyInArrow(runtime.relieved(meet), _MET)
 
 
 def _in_blocks(grid: np.ndarray, part: np.ndarray, owner: np.ndarray, nodes: np.ndarray, crowded: np.ndarray, blocks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,6 +382,8 @@ def _all_paired(keys: np.ndarray, comps: np.ndarray, place: np.ndarray, sketches
 
 def _settling(open_ones: DataFrame, crowded: DataFrame, settings: Settings, buckets: int) -> DataFrame:
     """(a, b), a > b: all pairs of nodes of different components that share a bucket and may link."""
+    wide, fine = _dealt(buckets)
+    buckets = wide * fine
 
     def dealt(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -321,8 +394,8 @@ def _settling(open_ones: DataFrame, crowded: DataFrame, settings: Settings, buck
             owner = np.repeat(np.arange(len(nodes)), settings.side**2)
             hot, first = np.unique(right.column("key").to_numpy().view(np.uint64), return_index=True)
             grid, part, owner = _in_blocks(grid, part, owner, nodes, hot, right.column("blocks").to_numpy()[first], buckets)
-            rows = [_batch(r) for r in _by_bucket(0, grid, part, owner, nodes, comps=comps, marks=left.column("marks").to_pylist())]
-        return pa.Table.from_batches(rows, _batch((0, 0, *[b""] * 7)).schema)
+            rows = [_batch(r) for r in _first_dealing(0, grid, part, owner, nodes, wide, fine, comps=comps, marks=left.column("marks").to_pylist())]
+        return pa.Table.from_batches(rows, _batch((0, 0, *[b""] * 9)).schema)
 
     def meet(table: pa.Table) -> pa.Table:
         keys, place, nodes, comps, sizes, _ = _unpacked(table, {"nodes": np.int64, "others": np.int64, "sizes": np.uint32})
@@ -342,7 +415,7 @@ def _settling(open_ones: DataFrame, crowded: DataFrame, settings: Settings, buck
         return pa.table({"a": nodes[a], "b": nodes[b]})
 
     packed = open_ones.select("gather", "node", "component", "keys", "marks").groupBy("gather").cogroup(crowded.groupBy("gather")).applyInArrow(runtime.relieved(dealt), _PACKED)
-    return packed.groupBy("bucket").applyInArrow(runtime.relieved(meet), "a long, b long").distinct()
+    return _in_buckets(packed, buckets).groupBy("bucket").applyInArrow(runtime.relieved(meet), "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from docquarry.llm import cross_entropy, substrings
+from docquarry.llm import cross_entropy, near_duplicates, substrings
 
 PASSAGE = " ".join(f"word{i}" for i in range(45))
 
@@ -47,3 +47,22 @@ def test_scores_are_the_same_through_finer_buckets(spark, monkeypatch):
         got = scores()
         assert [r[:2] for r in got] == [r[:2] for r in want]
         assert all(a == b or abs(a - b) < 1e-12 for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
+
+
+def test_groups_are_the_same_when_dealt_twice(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    base = [f"term{i}" for i in range(60)]
+    more = [(5_000 + i, " ".join(base[: i % 7] + ["other"] * (i % 2) + base[i % 7 :])) for i in range(40)] + [(6_000, None), (6_001, "one"), (None, " ".join(base))]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    groups = lambda settings: sorted((tuple(r) for r in near_duplicates.groups(docs, settings).collect()), key=repr)
+    for settings in (near_duplicates.Settings(shingle=2), near_duplicates.Settings(crowded=8)):
+        monkeypatch.undo()
+        want = groups(settings)
+        assert sum(not r[3] for r in want) > 20
+        monkeypatch.setattr(near_duplicates, "GATHERED", 1 << 5)
+        monkeypatch.setattr(near_duplicates, "KEYS_A_TASK", 3_000)
+        for wide, nodes, keys in ((2, 60_000, 1_000_000), (5, 64, 500)):
+            monkeypatch.setattr(near_duplicates, "WIDE", wide)
+            monkeypatch.setattr(near_duplicates, "NODES_AGAIN", nodes)
+            monkeypatch.setattr(near_duplicates, "KEYS_AGAIN", keys)
+            assert groups(settings) == want
