@@ -117,7 +117,9 @@ class LexicalIndex:
         batch: their number in a stream; one that is in already, or comes before one that is, is passed over."""
         if batch is not None and self.state["batch"] is not None and batch <= self.state["batch"]:
             return self
-        out = self.changed(storage.written(chunks.select("chunk_id", "text")))
+        kept = storage.written(chunks.select("chunk_id", "text"))
+        out = self.changed(kept)
+        storage.dropped(kept)
         out.state["batch"] = batch if batch is not None else self.state["batch"]
         return out._committed()
 
@@ -188,6 +190,7 @@ class LexicalIndex:
         kept = storage.written(rows)
         kept.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{part}/postings")
         kept.groupBy("token").agg(F.sum("n").alias("df")).write.parquet(f"{part}/terms")
+        storage.dropped(kept)
 
     def _without(self, ids: DataFrame) -> LexicalIndex:
         """Take distinct ids out: where they were goes to `dead`, what they counted for is taken off."""
@@ -203,6 +206,7 @@ class LexicalIndex:
             hit.groupBy("block").agg(F.collect_list("nth").alias("places")).write.parquet(f"{part}/dead")
             hit.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg((-F.count("*")).alias("df")).write.parquet(f"{part}/terms")
             self.state["deletes"].append({"part": part, "n": -n["n"], "tokens": -n["tokens"]})
+        storage.dropped(hit)
         return self
 
     def _merged(self) -> LexicalIndex:

@@ -17,10 +17,16 @@ from docquarry.sources import storage
 from docquarry.sources.versions import Versions
 
 CATALOGUE = "document_id string, title string, num_chunks long, status string, error_message string, uploaded_at long"
+#: Documents of a change up to which their ids go to all tasks, so that texts aren't shuffled.
+SENT = 500_000
 #: Tables whose rows belong to a document each, and the columns they must have.
 TABLES = {"files": "document_id string, name string, content binary", "chunks": "chunk_id string, document_id string, text string"}
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 class Library:
     """A library as one of its versions has it. Changes give the library of the next version."""
 
@@ -49,7 +55,7 @@ class Library:
         rows = self.spark.read.option("mergeSchema", True).parquet(*parts)
         if not self.state["outdated"]:
             return rows
-        old = self.spark.read.parquet(*self.state["outdated"]).groupBy(F.col("document_id").alias("__id")).agg(F.max("before").alias("__before"))
+        old = _sent(self.spark.read.parquet(*self.state["outdated"]).groupBy(F.col("document_id").alias("__id")).agg(F.max("before").alias("__before")))
         return rows.join(old, (F.col("document_id") == F.col("__id")) & (F.col("generation") < F.col("__before")), "left_anti")
 
     @property
@@ -66,14 +72,15 @@ class Library:
         count. files: (document_id, name, content)."""
         papers = storage.written(papers)
         ready = papers.filter("status = 'indexed'").select("document_id")
-        chunks = storage.written(chunks.join(ready, "document_id", "left_semi"))
+        chunks = storage.written(chunks.join(_sent(ready), "document_id", "left_semi"))
         state, generation = self._outdating(papers.select("document_id"))
         for name, rows in (("chunks", chunks), ("files", files)):
             if rows is not None:
                 state[name] = [*state[name], self._part(name, rows.withColumn("generation", F.lit(generation)))]
         state["catalogue"] = self._part("catalogue", ca.registered(papers, self.catalogue))
-        gone = self.table("chunks").join(papers.select("document_id"), "document_id", "left_semi")
+        gone = self.table("chunks").join(_sent(papers.select("document_id")), "document_id", "left_semi")
         state["index"] = self.index.changed(chunks.select("chunk_id", "text"), gone).state
+        storage.dropped(papers, chunks)
         return self._committed(state)
 
     def delete(self, asked: DataFrame) -> tuple[Library, DataFrame]:
@@ -86,7 +93,7 @@ class Library:
             return self, outcome
         state, _ = self._outdating(gone)
         state["catalogue"] = self._part("catalogue", ca.delete(self.catalogue, gone, "document_id"))
-        state["index"] = self.index.changed(gone=self.table("chunks").join(gone, "document_id", "left_semi")).state
+        state["index"] = self.index.changed(gone=self.table("chunks").join(_sent(gone), "document_id", "left_semi")).state
         return self._committed(state), outcome
 
     def _part(self, name: str, rows: DataFrame) -> str:

@@ -79,4 +79,13 @@ def written(df: DataFrame, name: str = "") -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing still to be computed reads."""
+    for table in tables:
+        place = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

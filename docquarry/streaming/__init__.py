@@ -31,7 +31,10 @@ def index_new(spark: SparkSession, source: str, schema, index_path: str, checkpo
     from docquarry.operators.index import LexicalIndex
 
     def put(batch: DataFrame, number: int) -> None:
-        LexicalIndex.load(spark, index_path).append(batch.select("chunk_id", "text").dropDuplicates(["chunk_id"]), number)
+        chunks = batch.select("chunk_id", "text")
+        if chunks.groupBy("chunk_id").count().filter("count > 1").head(1):  # ids alone are looked at; texts move only if they must
+            chunks = chunks.dropDuplicates(["chunk_id"])
+        LexicalIndex.load(spark, index_path).append(chunks, number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
