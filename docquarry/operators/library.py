@@ -71,16 +71,16 @@ class Library:
         time of its first upload. chunks: (chunk_id, document_id, text, ...), of which those of papers that are indexed
         count. files: (document_id, name, content)."""
         papers = storage.written(papers)
-        ready = papers.filter("status = 'indexed'").select("document_id")
-        chunks = storage.written(chunks.join(_sent(ready), "document_id", "left_semi"))
+        ready = _sent(papers.filter("status = 'indexed'").select("document_id"))
         state, generation = self._outdating(papers.select("document_id"))
-        for name, rows in (("chunks", chunks), ("files", files)):
-            if rows is not None:
-                state[name] = [*state[name], self._part(name, rows.withColumn("generation", F.lit(generation)))]
+        kept = {"chunks": chunks.join(ready, "document_id", "left_semi"), **({"files": files} if files is not None else {})}
+        for name, rows in kept.items():
+            state[name] = [*state[name], self._part(name, rows.withColumn("generation", F.lit(generation)))]
         state["catalogue"] = self._part("catalogue", ca.registered(papers, self.catalogue))
         gone = self.table("chunks").join(_sent(papers.select("document_id")), "document_id", "left_semi")
-        state["index"] = self.index.changed(chunks.select("chunk_id", "text"), gone).state
-        storage.dropped(papers, chunks)
+        # the index is made of what the library keeps
+        state["index"] = self.index.changed(self.spark.read.parquet(state["chunks"][-1]).select("chunk_id", "text"), gone).state
+        storage.dropped(papers)
         return self._committed(state)
 
     def delete(self, asked: DataFrame) -> tuple[Library, DataFrame]:
