@@ -88,8 +88,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | Non
     return ranked(bm25_scores(chunks, queries), chunks.select("chunk_id"), queries, k, allowed, pad)
 
 
-#: Vectors in a block of either side.
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+#: Vectors in a block of either side; queries up to which their blocks go to all tasks.
+VECTOR_BLOCK, QUERY_BLOCK, SENT = 8192, 512, 8192
 
 
 def _blocks(rows: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
@@ -139,7 +139,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | N
                 query, place, score = (x[nth < most] for x in (query, place, score))
                 yield pa.RecordBatch.from_arrays([pa.array(asked[query]), pa.array(ids[place]), pa.array(score)], names=["query_id", "chunk_id", "score"])
 
-    pairs = _blocks(vectors, "chunk_id", VECTOR_BLOCK, "v").crossJoin(_blocks(queries, "query_id", QUERY_BLOCK, "q"))
+    many = queries.count()
+    asked = _blocks(queries.coalesce(-(-many // SENT)) if many else queries, "query_id", QUERY_BLOCK, "q")
+    pairs = _blocks(vectors, "chunk_id", VECTOR_BLOCK, "v").crossJoin(F.broadcast(asked) if many <= SENT else asked)
     return top(pairs.mapInArrow(best, "query_id long, chunk_id long, score double"), k)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
 from docquarry.operators import answering as aw
+from docquarry.operators import clients as cs
 from docquarry.operators import audits as au
 from docquarry.operators import retrieval as rt
 from docquarry.plans import search
@@ -470,6 +471,34 @@ def transcription_check(spark, sf):
     return v.table(spark, sf, "nation").select("n_nationkey", got["accepted"].alias("accepted"), F.size(got["invented"]).alias("n_invented"))
 
 
+class _Echo:
+    """A stand-in for a model: it says the first words of a prompt, is busy when first asked some, and fails at others."""
+
+    name = "echo"
+
+    def available(self) -> bool:
+        return True
+
+    def generate(self, prompt: str) -> tuple[str, int]:
+        words = prompt.split()
+        if len(words) % 5 == 0:
+            raise ValueError("too round")
+        if len(words) % 2 == 0 and prompt not in self.__dict__:
+            self.__dict__[prompt] = True
+            raise cs.Busy("later")
+        return " ".join(words[:6]) + " ", min(len(words), 6)
+
+
+@query(r"""WITH q AS (SELECT item_id, regexp_extract_all(text, '[^\s]+') AS w FROM benchmark)
+SELECT item_id, CASE WHEN len(w) % 5 = 0 THEN 'none' ELSE array_to_string(w[1:6], ' ') END AS answer, CASE WHEN len(w) % 5 = 0 THEN 'fallback' ELSE 'echo' END AS model, CASE WHEN len(w) % 5 = 0 THEN 0 ELSE least(len(w), 6) END AS eval_count,
+CASE WHEN len(w) % 2 = 0 AND len(w) % 5 <> 0 THEN 2 ELSE 1 END AS attempts, len(w) % 5 = 0 AS failed FROM q""")
+def model_answers(spark, sf):
+    """Prompts answered by a client in tasks: busy times, failures, a fallback and what it took."""
+    rows = v.questions(spark, sf).select(F.col("query_id").alias("item_id"), F.col("text").alias("prompt"))
+    got = cs.generated(rows, _Echo(), fallback=F.lit("none"), pause=0.0)
+    return got.select("item_id", "answer", "model", "eval_count", "attempts", F.col("error").isNotNull().alias("failed"))
+
+
 @query(rf"""WITH q AS (SELECT item_id, text, {v.GROUNDING_WORDS.format('text')} AS w FROM benchmark), e AS (SELECT item_id AS id, unnest(range(0, len(s))) AS i, unnest(s) AS sentence FROM (SELECT item_id, {v.SENTENCES.format("text")} AS s FROM benchmark)),
 o AS (SELECT q.item_id, i, sentence, len(list_intersect(w, {v.GROUNDING_WORDS.format('sentence')})) AS n FROM q JOIN e ON e.id = q.item_id)
 SELECT item_id, regexp_replace(sentence, '[.!?]+$', '') || ' [1].' AS answer FROM o QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, i) = 1""")
