@@ -39,7 +39,7 @@ def normalized(answer: Column) -> Column:
 
 def content_sentences(answer: Column) -> Column:
     """Sentences of six words or more; citations after a sentence's end belong to it."""
-    lines = F.filter(F.transform(F.split(answer, r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(answer, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, LIST_PREFIX, ""), LABEL_PREFIX, ""))
 
     def joined(line: Column) -> Column:
@@ -96,6 +96,6 @@ def checked(rows: DataFrame, min_sentences: int = 2) -> DataFrame:
         words = tx.training_words(F.regexp_replace(F.array_join("__some", " "), CITE, ""))
         new = F.coalesce(F.try_divide(F.size(F.array_except(words, tx.training_words(F.col("question")))), F.size(words)), F.lit(0.0))
         reason = reason.when(F.col("question").isNotNull() & (new < NOVELTY), "restates_question")
-    lines = F.filter(F.transform(F.split(answer, r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(answer, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     reason = reason.when((F.size(lines) > 4) & (F.size(lines) > F.size(F.array_distinct(lines))), "repeated_lines").otherwise("ok")
     return out.withColumn("reason", reason).drop("__all", "__some", "__cited", "__looks")

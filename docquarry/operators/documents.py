@@ -224,7 +224,7 @@ def grid_to_markdown(grid: Column) -> Column:
 
 def markdown_to_grid(markdown: Column) -> Column:
     """Rows of lines that begin with a bar, without rules; cells are cut at every bar."""
-    lines = F.filter(F.transform(F.split(markdown, r"\r?\n"), F.trim), lambda x: x.startswith("|"))
+    lines = F.filter(F.transform(F.split(markdown, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.startswith("|"))
     rows = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|"))))
     return clean_grid(F.filter(rows, lambda r: F.exists(r, lambda c: (c != "") & ~c.rlike(r"^:?-{2,}:?$"))))
 
@@ -369,7 +369,7 @@ def document_key(content: Column, name: Column) -> Column:
 
 def title_of(text: Column) -> Column:
     """The first line with text."""
-    return F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != ""), F.lit(1)), F.lit("Untitled"))
+    return F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit("Untitled"))
 
 
 # A preprint's stamp, what lines of addresses have, where the authors end, and how a name looks.
@@ -400,7 +400,7 @@ def front_matter(lines: DataFrame) -> DataFrame:
 
 
 def authors_of(line: Column) -> Column:
-    return F.filter(F.transform(F.split(line, r",|;|&| and "), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(line, r",|;|&| and "), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def year_of(text: Column, created: Column | None = None) -> Column:

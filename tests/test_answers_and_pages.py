@@ -260,6 +260,13 @@ def test_tables_are_split_under_their_header(spark):
     assert [r["chunk_id"] for r in got] == ["d_p1_t0", "d_p1_t1"] and all(r["text"].startswith("Table 1\n| a | b |") for r in got)
 
 
+def test_lines_lose_their_spaces_and_no_digits(spark):
+    """Trimming by name took a line's number for what was to be trimmed."""
+    assert one(spark, dc.title_of(F.lit("  \n 4072490 \nmore"))) == "4072490"
+    assert one(spark, dc.title_of(F.lit("0 of 5550"))) == "0 of 5550"
+    assert one(spark, dc.markdown_to_grid(F.lit("  | a | b |\n | --- | --- |\n | 1 | 2 |"))) == [["a", "b"], ["1", "2"]]
+
+
 def test_topics_end_chunks(spark):
     assert dc.pack_topics(["a b", "c d", "e f"], [0.1, 0.9], 0.5, size=10, overlap=0) == ["a b c d", "e f"]
     assert dc.pack_topics(["a b c d e"], [], 0.5, size=2, overlap=0) == ["a b", "c d", "e"]
