@@ -8,8 +8,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquarry.functions import text as tx
 
@@ -251,19 +253,41 @@ def table_cell(grid: Column, row: Column, column: Column) -> Column:
     return F.when((at > 0) & (value != ""), value)
 
 
-def split_table(grid: Column, budget: int) -> Column:
-    """Body rows dealt to parts of at most `budget` tokens each, in order; each part repeats the header."""
-    start = F.struct(F.array().cast("array<array<array<string>>>").alias("parts"), F.lit(0).alias("n"))
-    header = F.element_at(grid, 1)
+def split_tables(tables: DataFrame) -> DataFrame:
+    """tables (grid, budget, and others) as parts (the others, n, part): body rows dealt to parts of at most `budget`
+    tokens each, in order; each part repeats the header, and a table without rows is one part. A row is in one part
+    only and isn't copied for others, so the work is that of the rows, however long the table is."""
+    others = [c for c in tables.columns if c not in ("grid", "budget")]
+    body = F.slice("grid", 2, F.greatest(F.size("grid") - 1, F.lit(0)))
+    counted = tables.select(*others, "grid", "budget", F.transform(body, lambda r: tx.token_count(F.array_join(r, " | "))).alias("counts"))
 
-    def step(acc: Column, r: Column) -> Column:
-        n = tx.token_count(F.array_join(r, " | "))
-        parts = acc["parts"]
-        fresh = (F.size(parts) == 0) | (acc["n"] + n > budget)
-        put = F.concat(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.concat(F.element_at(parts, -1), F.array(r))))
-        return F.struct(F.when(fresh, F.concat(parts, F.array(F.array(header, r)))).otherwise(put).alias("parts"), F.when(fresh, n).otherwise(acc["n"] + n).alias("n"))
-
-    return F.aggregate(F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(0))), start, step)["parts"]
+    def run(batches):
+        for batch in batches:
+            grids, rows = batch.column("grid"), batch.column("grid").values
+            owner, place, chosen, ends = [], [], [], [0]
+            for t, (counts, budget) in enumerate(zip(batch.column("counts").to_pylist(), batch.column("budget").to_pylist(), strict=True)):
+                if counts is None:
+                    continue
+                header = grids.offsets[t].as_py()
+                n, held = 0, None
+                for i, size in enumerate([0, *counts]):
+                    if held is None or (i > 1 and held + size > budget):
+                        if held is not None:
+                            ends.append(len(chosen))
+                        owner.append(t)
+                        place.append(n)
+                        chosen.append(header)
+                        n, held = n + 1, 0
+                    if i:
+                        chosen.append(header + i)
+                        held += size
+                ends.append(len(chosen))
+            parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows.take(pa.array(chosen, pa.int64())))
+            kept = [batch.column(c).take(pa.array(owner, pa.int64())) for c in others]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(place, pa.int32()), parts], names=[*others, "n", "part"])
+
+    fields = [*(counted.schema[c] for c in others), T.StructField("n", T.IntegerType()), T.StructField("part", counted.schema["grid"].dataType)]
+    return counted.mapInArrow(run, T.StructType(fields))
 
 
 # How captions begin.
@@ -295,9 +319,7 @@ def table_chunks(tables: DataFrame, size: int = CHUNK_TOKENS, floor: int = 60) -
     rows = tables.withColumn("prefix", prefix)
     head = grid_to_markdown(F.array(F.element_at("grid", 1)))
     budget = F.greatest(F.lit(size) - tx.token_count(F.col("prefix")) - tx.token_count(head), F.lit(floor))
-    alone = F.array(F.array(F.element_at("grid", 1)))
-    cut = rows.withColumn("budget", budget).withColumn("parts", split_table(F.col("grid"), F.col("budget"))).withColumn("parts", F.when(F.size("parts") == 0, alone).otherwise(F.col("parts")))
-    each = cut.select("document_id", "page_number", "idx", "section", "label", "prefix", F.posexplode("parts").alias("n", "part"))
+    each = split_tables(rows.select("document_id", "page_number", "idx", "section", "label", "prefix", "grid", budget.alias("budget")))
     place = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("idx", "n")) - 1
     text = F.concat("prefix", F.lit("\n"), grid_to_markdown(F.col("part")))
     return _with_ids(each.withColumn("place", place), "t").select("chunk_id", "document_id", "page_number", "section", text.alias("text"), tx.token_count(text).alias("token_count"), F.lit("table").alias("chunk_type"), "label")

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -267,6 +268,18 @@ def test_lines_lose_their_spaces_and_no_digits(spark):
     assert one(spark, dc.markdown_to_grid(F.lit("  | a | b |\n | --- | --- |\n | 1 | 2 |"))) == [["a", "b"], ["1", "2"]]
 
 
+def test_a_long_table_is_split_in_time_of_its_rows(spark):
+    """20,000 rows took minutes while each row copied the parts before it."""
+    grid = F.concat(F.array(F.array(F.lit("a"), F.lit("b"))), F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.array(i.cast("string"), F.lit("x"))))
+    table = spark.range(1).select(F.lit("d").alias("document_id"), F.lit(1).alias("page_number"), F.lit(0).alias("idx"), F.lit("S").alias("section"), F.lit("").alias("caption"), F.lit("Table 1").alias("label"), grid.alias("grid"))
+    began = time.monotonic()
+    got = dc.table_chunks(table, size=20).select("text").collect()
+    assert time.monotonic() - began < 20
+    rows = [line for r in got for line in r["text"].split("\n")[3:]]
+    assert len(got) == 1000 and len(rows) == len(set(rows)) == 20_000
+    assert dc.table_chunks(table.withColumn("grid", F.slice("grid", 1, 1))).count() == 1 and dc.table_chunks(table.withColumn("grid", F.expr("cast(null as array<array<string>>)"))).count() == 0
+
+
 def test_topics_end_chunks(spark):
     assert dc.pack_topics(["a b", "c d", "e f"], [0.1, 0.9], 0.5, size=10, overlap=0) == ["a b c d", "e f"]
     assert dc.pack_topics(["a b c d e"], [], 0.5, size=2, overlap=0) == ["a b", "c d", "e"]
