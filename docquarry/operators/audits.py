@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
 from docquarry.operators import documents as dc
+from docquarry.sources import storage
 
 # Limits and patterns of the checks.
 SKIPPED_SECTIONS = ["References", "Abstract", "Acknowledgements", "Acknowledgments", "Unknown"]
@@ -93,6 +94,46 @@ def cell_check(question: Column, answer: Column, markdown: Column) -> Column:
     return F.when((F.size(axes) == 2) & at(1, 2).isNotNull(), F.struct(has(at(1, 2)).alias("match"), at(1, 2).alias("cell"), (~has(at(1, 2)) & has(at(2, 1))).alias("transposed")))
 
 
+def _all_in(some: str, all_: str) -> Column:
+    return F.size(F.array_except(some, all_)) == 0
+
+
+def _numbers_held(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id, chunk_id, held, rows), written: which of the numbers asked of their document chunks hold, as any part
+    of their text, and how many equal rows do. Chunks that hold none are left out.
+
+    A number stands within a stretch of digits and single points. So what is looked up are the parts of such stretches,
+    of lengths that are asked for, and never pairs of a label and a chunk."""
+    wanted = storage.written(asked.select("document_id", F.explode("asked").alias("number")).distinct())
+    lengths = F.array(*(F.lit(r["n"]) for r in wanted.select(F.length("number").alias("n")).distinct().collect()) or [F.lit(0)])
+    stretches = F.array_distinct(tx.all_of(F.col("text"), r"\d+(?:\.\d+)*"))
+    rows = chunks.filter("chunk_id is not null and text is not null").select("document_id", "chunk_id", F.xxhash64("text").alias("copy"), stretches.alias("s"), lengths.alias("lengths"))
+    parts = F.flatten(F.transform("s", lambda s: F.flatten(F.transform(F.filter("lengths", lambda n: (n > 0) & (n <= F.length(s))), lambda n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, n))))))
+    rows = rows.filter(F.size("s") > 0).select("document_id", "chunk_id", "copy", F.explode(F.array_distinct(parts)).alias("number"))
+    met = rows.join(wanted, ["document_id", "number"]).groupBy("document_id", "chunk_id", "copy").agg(F.collect_list("number").alias("all"))
+    # equal rows: each has a number once
+    met = met.withColumn("held", F.array_sort(F.array_distinct("all")))
+    out = storage.written(met.select("document_id", "chunk_id", "held", (F.size("all") / F.size("held")).cast("long").alias("rows")))
+    storage.dropped(wanted)
+    return out
+
+
+def _holders(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(document_id, asked, holders): in how many rows of a document each asked set of numbers is held whole.
+
+    A single number is counted. Of several the one that fewest hold is looked up, and those who hold it are compared; what
+    holds the same is one row."""
+    alike = held.groupBy("document_id", "held").agg(F.sum("rows").alias("rows"))
+    each = alike.select("document_id", "held", "rows", F.explode("held").alias("number"))
+    counts = each.groupBy("document_id", "number").agg(F.sum("rows").alias("n"))
+    sets = asked.select("document_id", "asked").distinct()
+    single = sets.filter(F.size("asked") == 1).withColumn("number", F.col("asked")[0]).join(counts, ["document_id", "number"]).select("document_id", "asked", F.col("n").alias("holders"))
+    several = sets.filter(F.size("asked") > 1).select("document_id", "asked", F.explode("asked").alias("number")).join(counts, ["document_id", "number"])
+    several = several.groupBy("document_id", "asked").agg(F.min_by("number", F.struct("n", "number")).alias("number"), F.count("*").alias("known")).filter(F.col("known") == F.size("asked")).drop("known")
+    several = several.join(each, ["document_id", "number"]).filter(_all_in("asked", "held")).groupBy("document_id", "asked").agg(F.sum("rows").alias("holders"))
+    return single.unionByName(several)
+
+
 def audited(items: DataFrame, chunks: DataFrame, spare: DataFrame | None = None) -> DataFrame:
     """items (qid, type, question, reference_answer, chunk_id, document_id) with missing numbers, term_grounding,
     question_answerable, ambiguity, verdict and badness.
@@ -105,9 +146,12 @@ def audited(items: DataFrame, chunks: DataFrame, spare: DataFrame | None = None)
         first = first.join(spare.select("chunk_id", F.col("text").alias("__b")), "chunk_id", "left")
     source = F.coalesce("__a", "__b") if spare is not None else F.col("__a")
     rows = first.withColumn("source", source).withColumn("numbers", tx.all_of(F.col("reference_answer"), tx.NUMBER))
-    others = chunks.select("document_id", F.col("chunk_id").alias("__other"), F.col("text").alias("__text"))
-    fits = rows.filter(F.size("numbers") > 0).select("qid", "document_id", "chunk_id", "numbers").join(others, "document_id").filter("chunk_id <> __other")
-    fits = fits.filter(F.forall("numbers", lambda n: F.col("__text").contains(n))).groupBy("qid").agg(F.count("*").alias("ambiguity"))
+    asked = rows.filter(F.size("numbers") > 0).select("qid", "document_id", "chunk_id", F.array_sort(F.array_distinct("numbers")).alias("asked"))
+    held = _numbers_held(asked, chunks)
+    # of the chunks with all numbers, those that aren't the label's own
+    own = asked.select("document_id", "chunk_id", "asked").distinct().join(held, ["document_id", "chunk_id"]).filter(_all_in("asked", "held")).groupBy("document_id", "chunk_id", "asked").agg(F.sum("rows").alias("own"))
+    fits = asked.filter("chunk_id is not null").join(_holders(asked, held), ["document_id", "asked"]).join(own, ["document_id", "chunk_id", "asked"], "left")
+    fits = fits.groupBy("qid").agg(F.sum(F.col("holders") - F.coalesce("own", F.lit(0))).alias("ambiguity"))
     rows = rows.join(fits, "qid", "left").withColumn("ambiguity", F.coalesce("ambiguity", F.lit(0)))
     there, text = F.col("source").isNotNull(), F.coalesce("source", F.lit(""))
     own = words_of(text)

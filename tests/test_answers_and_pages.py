@@ -193,6 +193,29 @@ def test_audits(spark):
     assert got["a"]["ambiguity"] == 1 and got["a"]["badness"] == 11 and got["b"]["missing"] == ["99"] and got["d"]["badness"] == 1000
 
 
+def test_ambiguity_is_counted_without_pairs(spark):
+    """Numbers that stand within others, several at once, repeated rows and ids, and no row for a label and a chunk."""
+    random.seed(3)
+    texts = ["12 and 3.5", "112.35", "3.5.12", "12", "no digits", None, "3 5 12.", "1.2.3.5"]
+    chunks = [(random.choice(["c1", "c2", "c3", "c4", None]), random.choice("de"), random.choice(texts)) for _ in range(60)]
+    items = [(f"q{i % 25}", "text", "q", random.choice(["12", "3.5 and 12", "2.3", "5 5", "77", "none", "12 3 5 1"]), random.choice(["c1", "c2", "zz", None]), random.choice(["d", "e", None])) for i in range(30)]
+    frames = spark.createDataFrame(items, "qid string, type string, question string, reference_answer string, chunk_id string, document_id string"), spark.createDataFrame(chunks, "chunk_id string, document_id string, text string")
+    want = Counter()
+    for q, _, _, answer, c, d in items:
+        numbers = re.findall(r"\d+(?:\.\d+)?", answer)
+        fits = sum(x is not None and c is not None and x != c and y == d and t is not None and all(n in t for n in numbers) for x, y, t in chunks) if numbers else 0
+        want[q] += fits * max(1, sum(x == c for x, _, _ in chunks if c is not None))  # a label meets each row of its chunk
+    got = au.audited(*frames)
+    assert {r["qid"]: r["ambiguity"] for r in got.collect()} == {q: want[q] for q, *_ in items}
+    # pairs would be 4 million rows; joins by document alone have gone
+    n = F.col("id").cast("string")
+    many = spark.range(2000).select(n.alias("chunk_id"), F.lit("d").alias("document_id"), F.concat(F.lit("value 77 of "), n).alias("text"))
+    asks = spark.range(2000).select(n.alias("qid"), F.lit("text").alias("type"), F.lit("q").alias("question"), F.lit("77").alias("reference_answer"), n.alias("chunk_id"), F.lit("d").alias("document_id"))
+    big = au.audited(asks, many)
+    assert big.agg(F.sum("ambiguity")).first()[0] == 2000 * 1999
+    assert not re.search(r"Join\w* \[document_id#\d+L?\], ", big._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("reply,want", [('{"verdict": "ok"}', "ok"), ('```json\n{"verdict": "ok"}\n```', "ok"), ('So: {"verdict": "ok"}!', "ok"), ('{"verdict": "odd"}', None), ("none", None), ("{", None)])
 def test_judge_replies(spark, reply, want):
     got = one(spark, au.parsed_verdict(F.lit(reply), ["ok"]))
