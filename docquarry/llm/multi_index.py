@@ -194,7 +194,7 @@ class MultiIndex:
         spark = rows.sparkSession
         runtime.ship(spark)
         source = _counting(rows, key, vector)
-        drawn = source.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()
+        drawn = _sample(source, sample)
         if not drawn:
             return cls(None, None, 0)
         sizes = [len(r["v"]) for r in drawn]
@@ -274,13 +274,27 @@ class MultiIndex:
 
         blocks = source.repartition(max(1, min(runtime.partitions(spark), -(-source.count() // QUERY_BLOCK)))).mapInArrow(runtime.relieved(coded), "q_ids binary, q_rows binary, q_norms binary, q_codes binary, q_bounds binary")
         asked = runtime.written(blocks).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(self.cells - 1))))
-        found = self.blocks.join(asked, "cell").mapInArrow(runtime.relieved(best), schema)
+        # dealt by cell: the queries of all cells together are many times their table, so they must not go to all tasks
+        found = self.blocks.join(asked.hint("merge"), "cell").mapInArrow(runtime.relieved(best), schema)
         # a query's rows meet once: both an id's best row and the ranks are made where they are
         found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _sample(source: DataFrame, most: int) -> list:
+    """The rows with the smallest hash of their id, at most so many. Each task tells the driver hashes only; the rows
+    within the last of them are put in order by a task, and no more than are asked for reach the driver."""
+    h = F.xxhash64("id")
+    last = source.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return []
+    first = runtime.written(source.filter(h <= last).orderBy(h, "id", "v").limit(most))
+    drawn = first.orderBy(h, "id", "v").collect()
+    runtime.dropped(first)
+    return drawn
+
+
 def _counting(rows: DataFrame, key: str, vector: str) -> DataFrame:
     source = rows.select(F.col(key).cast("long").alias("id"), vectors.as_doubles(vector).alias("v")).filter("id is not null")
     return source.filter(vectors.usable(F.col("v"))).filter(F.exists("v", lambda x: x != 0))

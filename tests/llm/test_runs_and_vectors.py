@@ -220,6 +220,18 @@ def test_equal_vectors_are_ranked_by_id(spark):
 # Product codes ---------------------------------------------------------------------------------------------------------
 
 
+def test_multi_index_sends_no_queries_by_cell_to_all_tasks(spark):
+    """Queries were copied for each cell and then broadcast, through the driver; the sample came from each task whole."""
+    vecs = spark.read.parquet(f"{SF}/embeddings.parquet")
+    found = multi_index.MultiIndex.build(vecs).search(vecs.filter("vec_id % 50 = 0"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    table = spark.createDataFrame([(i % 40, [float(i % 7), 1.0]) for i in range(200)], "id long, v array<double>")
+    every = sorted(table.selectExpr("xxhash64(id) h", "id", "v").collect())
+    assert [(r["id"], r["v"]) for r in multi_index._sample(table, 33)] == [(r["id"], r["v"]) for r in every[:33]]
+    assert multi_index._sample(table.filter("id < 0"), 33) == []
+
+
 @pytest.mark.parametrize("width", [1, 4, 7])
 def test_annuli_find_the_nearest_entry_and_the_smaller_number_of_a_tie(width):
     random = np.random.default_rng(width)
