@@ -7,16 +7,18 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.functions import text as tx
+from docquarry.llm import runtime
 
 CHUNK_TOKENS, OVERLAP, LEAST, TOPIC_TOKENS = 400, 60, 40, 220
 SCANNED_CHARS = 50
+#: Characters of chunks that a task makes before it hands them on.
+PACKED_BYTES = 2_000_000
 
 # Section names and the headings that open them.
 SECTIONS = {
@@ -152,31 +154,50 @@ def pack_topics(sentences: list[str], distances: list[float], threshold: float,
 def topic_chunks(documents: DataFrame, size: int = TOPIC_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """(document_id, chunk_no, text) of documents (document_id, sentences, distances, threshold), each packed by itself."""
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, sentences, distances, threshold in zip(*(batch[c] for c in ("document_id", "sentences", "distances", "threshold")), strict=True):
-                rows += [(doc, i, chunk) for i, chunk in enumerate(pack_topics(list(sentences), list(distances), threshold, size, overlap))]
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_no", "text"])
+    def packed(sentences: list[str], distances: list[float], threshold: float) -> list[tuple]:
+        return [(i, chunk) for i, chunk in enumerate(pack_topics(sentences, distances, threshold, size, overlap))]
 
-    kind = documents.schema["document_id"].dataType.simpleString()
-    return documents.select("document_id", "sentences", "distances", "threshold").mapInPandas(run, f"document_id {kind}, chunk_no long, text string")
+    return _packed(documents.select("document_id", "sentences", "distances", "threshold"), packed, {"chunk_no": pa.int64(), "text": pa.string()}, "chunk_no long, text string")
 
 
 def chunks(pages: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """(document_id, chunk_no, text, token_count) of rows (document_id, text), each packed by itself in its task."""
 
+    def packed(text: str | None) -> list[tuple]:
+        found = [s.strip() for s in _BREAK.split((text or "").strip())]
+        return [(i, chunk, len(chunk.split())) for i, chunk in enumerate(pack_sentences([s for s in found if s], size, overlap, least))]
+
+    return _packed(pages.select("document_id", "text"), packed, {"chunk_no": pa.int64(), "text": pa.string(), "token_count": pa.int64()}, "chunk_no long, text string, token_count long")
+
+
+def _packed(documents: DataFrame, packed, made: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """document_id with the rows that `packed` makes of a document's other columns.
+
+    Documents are read one by one from the batch, and rows are handed on whenever they hold PACKED_BYTES: a task holds
+    a batch, one document and so much of what was made, and no Python objects of all of them. Memory is given back after."""
+    kind = documents.schema["document_id"].dataType.simpleString()
+
     def run(batches):
+        def out(batch, owner, rows):
+            values = zip(*rows, strict=True) if rows else [[] for _ in made]
+            ids = batch.column("document_id").take(pa.array(owner, pa.int64()))
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(list(v), t) for v, t in zip(values, made.values(), strict=True))], names=["document_id", *made])
+
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["document_id"], batch["text"], strict=True):
-                found = [s.strip() for s in _BREAK.split((text or "").strip())]
-                for i, chunk in enumerate(pack_sentences([s for s in found if s], size, overlap, least)):
-                    rows.append((doc, i, chunk, len(chunk.split())))
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_no", "text", "token_count"])
-
-    kind = pages.schema["document_id"].dataType.simpleString()
-    return pages.select("document_id", "text").mapInPandas(run, f"document_id {kind}, chunk_no long, text string, token_count long")
+            owner, rows, held = [], [], 0
+            others = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "document_id"]
+            for i in range(len(batch)):
+                for row in packed(*(c[i].as_py() for c in others)):
+                    owner.append(i)
+                    rows.append(row)
+                    held += len(row[1])
+                    if held >= PACKED_BYTES:
+                        yield out(batch, owner, rows)
+                        owner, rows, held = [], [], 0
+            if rows:
+                yield out(batch, owner, rows)
+
+    return documents.mapInArrow(runtime.relieved(run), f"document_id {kind}, {schema}")
 
 
 def hard_split(text: Column, size: int) -> Column:

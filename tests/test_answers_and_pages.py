@@ -303,6 +303,16 @@ def test_a_long_table_is_split_in_time_of_its_rows(spark):
     assert dc.table_chunks(table.withColumn("grid", F.slice("grid", 1, 1))).count() == 1 and dc.table_chunks(table.withColumn("grid", F.expr("cast(null as array<array<string>>)"))).count() == 0
 
 
+def test_chunks_are_handed_on_before_a_batch_is_done(spark, monkeypatch):
+    """A batch's documents were all packed, as Python objects, before any row went on."""
+    texts = ["One two three. Four five six. Seven.", "", None, "Word. " * 30]
+    pages = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string").coalesce(1)
+    want = sorted((i, n, c, len(c.split())) for i, t in enumerate(texts) for n, c in enumerate(dc.pack_sentences([x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", (t or "").strip()) if x], 4, 1, 1)))
+    for most in (dc.PACKED_BYTES, 1, 30):
+        monkeypatch.setattr(dc, "PACKED_BYTES", most)
+        assert sorted(map(tuple, dc.chunks(pages, 4, 1, 1).collect())) == want
+
+
 def test_topics_end_chunks(spark):
     assert dc.pack_topics(["a b", "c d", "e f"], [0.1, 0.9], 0.5, size=10, overlap=0) == ["a b c d", "e f"]
     assert dc.pack_topics(["a b c d e"], [], 0.5, size=2, overlap=0) == ["a b", "c d", "e"]
