@@ -48,15 +48,15 @@ class Tally:
         return out
 
 
-def counted(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[str, np.ndarray]]]) -> DataFrame:
+def counted(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[str, np.ndarray]]], step: int = runtime.STEP_BYTES) -> DataFrame:
     """(name, key, n): how often each key occurs under a name in all of df (which has `text`). keys_of gives names and
-    keys of a slice of rows, in any order and as often as it likes."""
+    keys of a slice of rows of about `step` bytes of text, in any order and as often as it likes."""
     runtime.ship(df.sparkSession)
 
     def run(batches):
         tallies: dict[str, Tally] = {}
         for batch in batches:
-            for part in runtime.steps(batch, "text"):
+            for part in runtime.steps(batch, "text", step):
                 for name, keys in keys_of(part):
                     tallies.setdefault(name, Tally()).add(keys)
                 if sum(len(t.keys) + t.waiting for t in tallies.values()) > HELD:

@@ -172,6 +172,28 @@ def test_perplexity_is_that_of_plain_counters(spark, monkeypatch):
         assert model.log_prob(lang or "", other)[0] == pytest.approx(math.log(p(unseen)), rel=1e-4)
 
 
+@pytest.mark.parametrize("held", [0, 60, 1_000_000])
+def test_perplexity_leaves_no_rare_ngram_out(spark, monkeypatch, held):
+    """Whatever share an n-gram has, and whether tasks hold it or it is looked up."""
+    monkeypatch.setattr(quality, "LEAST_SHARE", 1 / 100)
+    monkeypatch.setattr(quality, "HELD", held, raising=False)
+    draw = np.random.default_rng(3)
+    rows = [(i, "".join(draw.choice(list("abcd e\U0001f600"), int(draw.integers(0, 200)))), "x" if i % 3 else None) for i in range(60)]
+    rows += [(100, rows[1][1], "x"), (101, None, "x"), (102, rows[1][1], None)]
+    want = {}
+    for lang in ("x", None):
+        mine = [(i, t) for i, t, own in rows if own == lang and t is not None]
+        want |= dict(zip((i for i, _ in mine), plain_perplexities([t.replace("\U0001f600", chr(0xF000)) for _, t in mine])[0]))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("__held", F.lit("own"))
+    for keep_text in (True, False):
+        judged = quality.judged(table.repartition(3), keep_text=keep_text)
+        assert judged.columns[: 3 + keep_text] == [c for c in table.columns if keep_text or c != "text"]
+        got = {r["doc_id"]: r for r in judged.collect()}
+        assert len(got) == len(rows) and got[101]["log_perplexity"] is None
+        for i, w in want.items():
+            assert got[i]["log_perplexity"] == pytest.approx(w, rel=1e-5)
+
+
 def test_pruned_models_are_still_distributions(spark, monkeypatch):
     monkeypatch.setattr(quality, "LEAST_SHARE", 1 / 300)
     draw = np.random.default_rng(2)
