@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,20 @@ def test_entry_and_registry(spark, sf_dir):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_no_row_holds_a_block_of_queries_and_of_vectors(spark, monkeypatch):
+    """Rows that hold both are batched by number, so a task's memory grew with the tables."""
+    monkeypatch.setattr(rt, "SENT", 5)
+    monkeypatch.setattr(rt, "VECTOR_BLOCK", 20)
+    draw = np.random.default_rng(4)
+    values = draw.integers(-3, 4, (150, 6)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(values)] + [(200, None)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    queries = vectors.filter("chunk_id % 9 = 0 or chunk_id = 200").withColumnRenamed("chunk_id", "query_id")
+    got = rt.dense(vectors, queries, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    want = {(q, c, float(s), n + 1) for q in range(0, 150, 9) for n, (s, c) in enumerate(sorted(((values[c] @ values[q], c) for c in range(150)), key=lambda x: (-x[0], x[1]))[:4])}
+    assert {(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in got.collect()} == want
+    assert rt.dense(vectors, queries.limit(0), 4).count() == 0
