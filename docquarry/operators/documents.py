@@ -228,14 +228,20 @@ def is_scanned(pages: DataFrame, documents: DataFrame) -> DataFrame:
 # Tables: grids are array<array<string>>, the header first. ----------------------------------------------------------
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def clean_grid(grid: Column) -> Column:
     """Cells with single spaces; rows and columns without any text dropped; short rows filled up."""
     cells = F.transform(grid, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
-    rows = F.filter(cells, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    rows = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    keep = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), lambda i: F.when(F.exists(rows, lambda r: F.try_element_at(r, i) != ""), i)), lambda i: i.isNotNull())
-    return F.transform(rows, lambda r: F.transform(keep, lambda i: F.element_at(r, i)))
+    width = lambda rows: F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
+    full = lambda rows: once(width(rows), lambda n: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), n - F.size(r)))))
+    columns = lambda rows: F.sequence(F.lit(1), F.greatest(width(rows), F.lit(1)))
+    keep = lambda rows: F.filter(columns(rows), lambda i: F.exists(rows, lambda r: F.try_element_at(r, i) != ""))
+    kept = lambda rows: once(keep(rows), lambda at: F.transform(rows, lambda r: F.transform(at, lambda i: F.element_at(r, i))))
+    return once(F.filter(cells, lambda r: F.exists(r, lambda c: c != "")), lambda rows: once(full(rows), kept))
 
 
 def grid_to_markdown(grid: Column) -> Column:
@@ -255,14 +261,16 @@ def markdown_to_grid(markdown: Column) -> Column:
 def looks_tabular(grid: Column, captioned: Column) -> Column:
     """Two rows and columns or more, at most 14 columns, short and mostly filled cells; without a caption three rows
     and 40 % of the cells with digits."""
-    cells = F.flatten(grid)
-    filled = F.filter(cells, lambda c: c != "")
-    share = lambda test: F.coalesce(F.try_divide(F.size(F.filter(filled, test)), F.size(filled)), F.lit(0.0))
-    prose = share(lambda c: tx.token_count(c) >= 6)
-    digits = share(lambda c: c.rlike("[0-9]"))
-    width = F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0))
-    good = (F.size(grid) >= 2) & (width >= 2) & (F.size(filled) > 0) & (F.size(F.element_at(grid, 1)) <= 14) & (prose < 0.2) & (1 - F.size(filled) / F.greatest(F.size(cells), F.lit(1)) < 0.6)
-    return F.coalesce(good & (captioned | ((F.size(grid) >= 3) & (digits >= 0.4))), F.lit(False))
+    share = lambda filled, test: F.coalesce(F.try_divide(F.size(F.filter(filled, test)), F.size(filled)), F.lit(0.0))
+    prose = lambda filled: share(filled, lambda c: tx.token_count(c) >= 6)
+    digits = lambda filled: share(filled, lambda c: c.rlike("[0-9]"))
+
+    def looks(grid: Column, cells: Column, filled: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0))
+        good = (F.size(grid) >= 2) & (width >= 2) & (F.size(filled) > 0) & (F.size(F.element_at(grid, 1)) <= 14) & (prose(filled) < 0.2) & (1 - F.size(filled) / F.greatest(F.size(cells), F.lit(1)) < 0.6)
+        return F.coalesce(good & (captioned | ((F.size(grid) >= 3) & (digits(filled) >= 0.4))), F.lit(False))
+
+    return once(grid, lambda g: once(F.flatten(g), lambda cells: once(F.filter(cells, lambda c: c != ""), lambda filled: looks(g, cells, filled))))
 
 
 def table_cell(grid: Column, row: Column, column: Column) -> Column:

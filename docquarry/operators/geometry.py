@@ -98,13 +98,16 @@ def text_grids(words: DataFrame, regions: DataFrame) -> DataFrame:
     in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "word_id", "text"))), lambda w: w["text"]), " ")
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     cells = tried.groupBy("page", "block_id", "apart", "line", "column").agg(in_order.alias("cell"), *box)
-    grids = cells.groupBy("page", "block_id", "apart").agg(F.collect_list(F.struct("line", "column", "cell")).alias("cells"), F.max("line").alias("lines"), F.max("column").alias("columns"), *box)
-    at = lambda i, j: F.get(F.filter("cells", lambda e: (e["line"] == i) & (e["column"] == j)), F.lit(0))["cell"]
-    grid = F.transform(F.sequence(F.lit(0), "lines"), lambda i: F.transform(F.sequence(F.lit(0), "columns"), lambda j: F.coalesce(at(i, j), F.lit(""))))
-    made = grids.withColumn("grid", dc.clean_grid(grid)).filter(dc.looks_tabular(F.col("grid"), F.lit(True)))
-    size = F.size("grid") * F.size(F.element_at("grid", 1))
-    best = F.max_by(F.struct("x0", "y0", "x1", "y1", "grid"), F.struct(size, -F.col("apart")))
-    return made.groupBy("page", "block_id").agg(best.alias("b")).select("page", "block_id", "b.*")
+    # cells are put into their lines first: each is looked for in its own line, not among all cells
+    lines = cells.groupBy("page", "block_id", "apart", "line").agg(F.collect_list(F.struct("column", "cell")).alias("cells"), F.max("column").alias("columns"), *box)
+    grids = lines.groupBy("page", "block_id", "apart").agg(F.array_sort(F.collect_list(F.struct("line", "cells"))).alias("lines"), F.max("columns").alias("columns"), *box)
+    by_column = F.transform("lines", lambda row: F.map_from_entries(row["cells"]))
+    grid = F.transform(by_column, lambda row: F.transform(F.sequence(F.lit(0).cast("long"), "columns"), lambda j: F.coalesce(F.try_element_at(row, j), F.lit(""))))
+    # without a filter, for which Spark would make each grid anew: what doesn't look like a table has no size
+    made = grids.withColumn("grid", dc.clean_grid(grid)).withColumn("tabular", dc.looks_tabular(F.col("grid"), F.lit(True)))
+    size = F.when(F.col("tabular"), F.struct(F.size("grid") * F.size(F.try_element_at("grid", F.lit(1))), -F.col("apart")))
+    best = F.max_by(F.struct("x0", "y0", "x1", "y1", "grid"), size)
+    return made.groupBy("page", "block_id").agg(best.alias("b")).filter("b is not null").select("page", "block_id", "b.*")
 
 
 def all_tables(grids: DataFrame, blocks: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:

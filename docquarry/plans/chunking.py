@@ -15,6 +15,7 @@ from docquarry.operators import geometry as ge
 from docquarry.operators import ingest as ig
 from docquarry.plans import answering, quality_sets, scoring
 from docquarry.plans import views as v
+from docquarry.sources import storage
 from docquarry.sources.settings import Settings
 
 SQL: dict[str, str] = {}
@@ -291,7 +292,8 @@ _LINK = r'<li><a href="[^"]*">([^<]*)</a></li>'
 
 def _page_layout(spark, sf):
     """Boxes of each page's blocks and words as a browser might set them, one column wide: words are placed by their
-    number in a line or cell, lines below each other, and blocks apart by a gap."""
+    number in a line or cell, lines below each other, and blocks apart by a gap. Blocks are written, as what is made of
+    them reads them several times; words are dealt out of them anew."""
     pages = v.table(spark, sf, "pages").select(F.col("page_id").alias("page"), "html")
     parts = F.split(F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1), "<p>")
     parts = F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", ""))), lambda x: x != "")
@@ -307,11 +309,12 @@ def _page_layout(spark, sf):
     rows = rows.withColumn("above", above).withColumn("last", short)
     moved = F.when((F.col("kind") == "prose"), F.when(F.col("last") % 3 != 0, 44.0).otherwise(30.0)).otherwise(0.0)
     rows = rows.withColumn("y0", 40 + F.col("above") + moved).withColumn("x0", F.when(F.col("kind") == "cell", 60.0 + link % 3 * 170).otherwise(40.0))
+    rows = storage.written(rows.select("page", "block_id", "y0", "x0", "text", "words"))
     placed = rows.select("page", "block_id", "y0", F.col("x0").alias("left"), F.posexplode("words").alias("i", "text"))
     placed = placed.select("page", (F.col("block_id") * 1000000 + F.col("i")).alias("word_id"), "block_id", (F.col("left") + F.col("i") % 12 * 43).alias("x0"), (F.col("y0") + F.floor(F.col("i") / 12) * 12).alias("y0"), F.col("text"))
     words = placed.withColumn("x1", F.col("x0") + F.least(F.length("text") * 5, F.lit(40))).withColumn("y1", F.col("y0") + 10)
     boxes = words.groupBy("page", "block_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    blocks = boxes.join(rows.select("page", "block_id", "text"), ["page", "block_id"])
+    blocks = storage.written(boxes.join(rows.select("page", "block_id", "text"), ["page", "block_id"]))
     sizes = blocks.groupBy("page").agg((F.max("y1") + 60).alias("bottom")).select("page", F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(600.0).alias("right"), "bottom")
     return blocks, words.drop("block_id"), sizes
 

@@ -353,3 +353,14 @@ def test_files(spark, tmp_path):
     entry = "<feed><entry><id>http://x/abs/2401.1v2</id><title> A\n B </title><summary>s</summary><published>2024-01-02</published><author><name>N</name></author></entry></feed>"
     got = one(spark, so.atom_entries(F.lit(entry)))[0]
     assert tuple(got) == ("2401.1", "A B", "s", 2024, ["N"])
+
+
+def test_a_long_table_of_words_is_made_in_time_that_grows_with_its_cells(spark):
+    lines, columns = 120, 12
+    rows = [(1, i * columns + j, 40.0 + 45 * j, 50.0 + 14 * i, 60.0 + 45 * j, 60.0 + 14 * i, f"w{i}.{j}") for i in range(lines) for j in range(columns) if (i + j) % 7]
+    words = spark.createDataFrame(rows, "page long, word_id long, x0 double, y0 double, x1 double, y1 double, text string")
+    region = spark.createDataFrame([(1, 0, 0.0, 40.0, 600.0, 5000.0)], "page long, block_id int, x0 double, y0 double, x1 double, y1 double")
+    began = time.time()
+    got = ge.text_grids(words, region).collect()
+    assert [r["grid"] for r in got] == [[[f"w{i}.{j}" if (i + j) % 7 else "" for j in range(columns)] for i in range(lines)]]
+    assert time.time() - began < 20
