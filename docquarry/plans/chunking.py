@@ -340,7 +340,8 @@ def page_text(spark, sf):
     """Web pages without their tables and captions."""
     blocks, words, pages = _page_layout(spark, sf)
     none = spark.createDataFrame([], "page long, block_id int, x0 double, y0 double, x1 double, y1 double")
-    return ge.body(blocks, ge.all_tables(_no_grids(spark), blocks, words, pages), none).select("page", F.md5("text").alias("text_md5"))
+    found = storage.written(ge.all_tables(_no_grids(spark), blocks, words, pages))
+    return ge.body(blocks, found, none).select("page", F.md5("text").alias("text_md5"))
 
 
 # SQL of claims, answer filters and pools ------------------------------------------------------------------------------
