@@ -146,3 +146,13 @@ def test_blocks_that_cant_count_are_skipped():
         want = sorted((-round(s[q][i], 6), ids[i]) for ids, s in all_rows for i in range(6) if s[q][i] > 0)[:2]
         assert ranking.best[q] == want
     assert ranking.skipped > 0
+
+
+def test_tokens_are_kept_as_a_line_and_taken_off_again(spark, tmp_path):
+    """An array of tokens is several times as large as their text, also while it is put in order."""
+    rows = [(5, "B a, a"), (3, ""), (4, "..."), (1, None), (2, "İstanbul a-1 K")]
+    index = ix.LexicalIndex.build(spark.createDataFrame(rows, "chunk_id long, text string"), str(tmp_path / "index"))
+    docs = {r["chunk_id"]: (r["dl"], r["words"]) for r in index._table("docs").collect()}
+    assert docs == {1: (0, ""), 2: (5, "i stanbul a 1 k"), 3: (0, ""), 4: (0, ""), 5: (3, "b a a")}
+    left = index.removed(spark.createDataFrame([(5,), (3,), (4,)], "chunk_id long"))
+    assert {r["token"]: r["df"] for r in left.terms.collect()} == {"i": 1, "stanbul": 1, "a": 1, "1": 1, "k": 1}
