@@ -202,3 +202,21 @@ def test_no_row_holds_a_block_of_queries_and_of_vectors(spark, monkeypatch):
     want = {(q, c, float(s), n + 1) for q in range(0, 150, 9) for n, (s, c) in enumerate(sorted(((values[c] @ values[q], c) for c in range(150)), key=lambda x: (-x[0], x[1]))[:4])}
     assert {(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in got.collect()} == want
     assert rt.dense(vectors, queries.limit(0), 4).count() == 0
+
+
+def test_few_ranked_rows_go_to_the_texts(spark):
+    """Texts aren't shuffled to be joined with what was found of them."""
+    from docquarry import api
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = spark.createDataFrame([(1, 7, 1.0, 1), (1, 8, 0.5, 2)], "query_id long, chunk_id long, score double, rank int")
+        chunks = spark.createDataFrame([(7, "a", 0, "s", "x"), (8, "b", 1, "s", "y"), (9, "b", 2, "s", "z")], "chunk_id long, document_id string, page_number int, section string, text string")
+        joined = chunks.join(rt.sent(ranked), "chunk_id")
+        assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+        titles = spark.createDataFrame([("a", "A")], "document_id string, title string")
+        got = api.evidence_for(ranked, chunks, titles)
+        assert sorted((r["chunk_id"], r["citation_id"], r["document_title"], r["text"]) for r in got.collect()) == [(7, 1, "A", "x"), (8, 2, "b", "y")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
