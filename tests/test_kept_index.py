@@ -156,3 +156,32 @@ def test_tokens_are_kept_as_a_line_and_taken_off_again(spark, tmp_path):
     assert docs == {1: (0, ""), 2: (5, "i stanbul a 1 k"), 3: (0, ""), 4: (0, ""), 5: (3, "b a a")}
     left = index.removed(spark.createDataFrame([(5,), (3,), (4,)], "chunk_id long"))
     assert {r["token"]: r["df"] for r in left.terms.collect()} == {"i": 1, "stanbul": 1, "a": 1, "1": 1, "k": 1}
+
+
+def test_an_append_moves_no_texts(spark, tmp_path, asked, monkeypatch):
+    """Chunks are computed once and written with the segment; those known before are found by id."""
+    monkeypatch.setattr(ix, "PUSHED", 0)
+    have = texts(range(30), 21)
+    index, seen = ix.LexicalIndex.build(table(spark, have), f"file://{tmp_path}/i"), []
+    written = ix.storage.written
+    monkeypatch.setattr(ix.storage, "written", lambda df, *name: (seen.append(df), written(df, *name))[1])
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(len(batch))
+            yield batch
+
+    more = texts(range(20, 40), 22)
+    index = index.append(table(spark, more).mapInPandas(counted, "chunk_id int, text string"))
+    assert computed.value == len(more)
+    assert seen and not any({"text", "words"} & set(df.columns) for df in seen)
+    same(index, spark, have | more, asked)
+
+
+def test_counts_of_all_widths_are_kept_as_bytes(spark, tmp_path):
+    have = {1: "fish " * 300 + "ham", 2: "egg " * 70_000 + "fish", 3: "hat", 4: ""}
+    index = ix.LexicalIndex.build(table(spark, have), f"file://{tmp_path}/i")
+    widths = {r["token"]: len(r["tfs"]) // r["n"] for r in index._table("postings").filter("token in ('egg', 'hat')").collect()}
+    assert widths == {"egg": 4, "hat": 1}
+    same(index, spark, have, spark.createDataFrame([(1, "fish"), (2, "egg hat"), (3, "ham")], "query_id int, text string"))
