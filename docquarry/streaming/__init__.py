@@ -34,12 +34,20 @@ def index_new(spark: SparkSession, source: str, schema, index_path: str, checkpo
         chunks = batch.select("chunk_id", "text")
         if chunks.groupBy("chunk_id").count().filter("count > 1").head(1):  # ids alone are looked at; texts move only if they must
             chunks = chunks.dropDuplicates(["chunk_id"])
+        else:
+            chunks = spread(chunks, "chunk_id")
         LexicalIndex.load(spark, index_path).append(chunks, number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of files dealt to all tasks by a key, if few tasks would have them: large parts of files aren't cut by a scan."""
+    busy = rows.select(F.spark_partition_id().alias("task")).distinct().count()  # no column is read
+    return rows.repartition(key) if busy < rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def micro_batches(rows: DataFrame, size: int, *by: str) -> DataFrame:
     """rows with `batch`, from 0: so many rows each, in order of the columns `by`."""
     from docquarry.operators.order import placed

@@ -185,3 +185,17 @@ def test_counts_of_all_widths_are_kept_as_bytes(spark, tmp_path):
     widths = {r["token"]: len(r["tfs"]) // r["n"] for r in index._table("postings").filter("token in ('egg', 'hat')").collect()}
     assert widths == {"egg": 4, "hat": 1}
     same(index, spark, have, spark.createDataFrame([(1, "fish"), (2, "egg hat"), (3, "ham")], "query_id int, text string"))
+
+
+def test_a_large_file_of_a_stream_is_dealt_to_all_tasks(spark, tmp_path):
+    from docquarry import streaming as st
+
+    path = f"file://{tmp_path}/one"
+    table(spark, texts(range(200), 23)).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    dealt = st.spread(one, "chunk_id")
+    if spark.sparkContext.defaultParallelism > 1:
+        assert "REPARTITION_BY_COL" in dealt._jdf.queryExecution().executedPlan().toString()
+    many = one.repartition(4 * spark.sparkContext.defaultParallelism)
+    assert st.spread(many, "chunk_id") is many
+    assert sorted(dealt.collect()) == sorted(one.collect())
