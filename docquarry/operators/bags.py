@@ -10,10 +10,16 @@ asked of runs of words, so short texts and other orders of the same words are fo
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docquarry.functions import text as tx
+from docquarry.llm import runtime
 from docquarry.sources import storage
 
 #: Containment from which a chunk counts as the same.
@@ -22,6 +28,8 @@ LEAST = 0.8
 SENT = 500_000
 #: Words of a prefix that a pair must share: more make longer prefixes and fewer pairs to confirm.
 MET = 5
+#: Runs of words of all passages up to which they go to all tasks.
+RUNS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -92,6 +100,70 @@ def contained(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFr
     return both.select("left_id", "right_id", *_scores(F.col("common"), F.col("n"), F.col("m"))).filter(F.col("containment") >= least)
 
 
+def runs_shared(docs: DataFrame, passages: DataFrame, n: int) -> DataFrame:
+    """(query_id, chunk_id, shared, n) of documents (chunk_id, text) and passages (query_id, text) that share distinct runs
+    of n tokens: how many, and how many the passage has. Ids are unique on each side.
+
+    Up to RUNS, the passages' runs go to all tasks, and of documents only the runs among them become rows. Beyond, both are
+    joined by run."""
+    # tokens and runs are columns of their own: an expression inside a lambda or above an explode is evaluated each time
+    cut = lambda df, key: df.select(key, tx.tokens(F.col("text")).alias("t")).select(key, tx.ngrams(F.col("t"), n).alias("g")).select(key, "g", F.size("g").alias("n")).select(key, "n", F.explode("g").alias("gram"))
+    asked = cut(passages, "query_id")
+    few = asked.limit(RUNS + 1).collect()
+    if len(few) > RUNS:
+        each = cut(docs, "chunk_id").drop("n")
+    else:
+        grams = sorted({r["gram"] for r in few})
+        number = {g: i for i, g in enumerate(grams)}
+        schema = T.StructType([passages.schema["query_id"], T.StructField("n", T.IntegerType()), T.StructField("gram", T.LongType())])
+        asked = F.broadcast(docs.sparkSession.createDataFrame([(r["query_id"], r["n"], number[r["gram"]]) for r in few], schema))
+        each = _runs_among(docs, grams, n)
+    return each.join(asked, "gram").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+
+
+def _runs_among(docs: DataFrame, grams: list[str], n: int) -> DataFrame:
+    """(chunk_id, gram): distinct runs of n tokens of documents that are among grams, by their number there."""
+    storage.ship(docs.sparkSession)
+    cut = [g.split(" ") for g in grams]
+    vocabulary = sorted({t for g in cut for t in g})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    # a run of j tokens is known by that of j - 1 and the last one: of each length the pairs, in order, and their numbers
+    steps, known = [], np.array([place[g[0]] for g in cut], np.int64)
+    for j in range(1, n):
+        pairs = known * len(vocabulary) + np.array([place[g[j]] for g in cut], np.int64)
+        found, known = np.unique(pairs, return_inverse=True)
+        steps.append(found)
+    final = np.zeros(len(grams), np.int64)
+    final[known] = np.arange(len(grams))
+    schema = T.StructType([docs.schema["chunk_id"], T.StructField("gram", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        words = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            for part in runtime.steps(batch, "line"):
+                lists = pc.split_pattern(part.column("line"), " ")
+                sizes = np.asarray(lists.value_lengths().fill_null(0))
+                codes = pc.index_in(lists.flatten(), words).fill_null(-1).to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                at = np.flatnonzero(codes[: max(len(codes) - n + 1, 0)] >= 0)
+                at = at[owner[at] == owner[at + n - 1]]
+                state = codes[at]
+                for j, found in enumerate(steps, 1):
+                    key = state * len(words) + codes[at + j]
+                    to = np.minimum(np.searchsorted(found, key), len(found) - 1)
+                    good = (found[to] == key) & (codes[at + j] >= 0)
+                    at, state = at[good], to[good]
+                both = np.unique(owner[at] * len(final) + final[state])
+                if len(both):
+                    doc, gram = np.divmod(both, len(final))
+                    yield pa.RecordBatch.from_arrays([part.column("chunk_id").take(pa.array(doc)).cast(arrow.field(0).type), pa.array(gram)], schema=arrow)
+
+    if not grams:
+        return docs.sparkSession.createDataFrame([], schema)
+    return docs.filter("text is not null").select("chunk_id", tx.token_line(F.col("text")).alias("line")).mapInArrow(runtime.relieved(run), schema)
+
+
 def remapped(items: DataFrame, old: DataFrame, new: DataFrame, least: float = LEAST) -> DataFrame:
     """Where labels on old chunks point among new ones: (item_id, chunk_id_old, chunk_id, chunk_ids, remap_overlap, status).
 

@@ -88,11 +88,7 @@ d AS (SELECT chunk_id, unnest({_GRAMS.format('t')}) AS gram FROM (SELECT chunk_i
 SELECT item_id, chunk_id AS doc_id, count(*) AS shared, round(count(*) / any_value(n), 6) AS containment FROM q JOIN d USING (gram) GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.8""")
 def ngram_copy(spark, sf):
     """Passages whose 5-grams a document has, at 0.8 or more."""
-    # tokens and grams are columns of their own: an expression inside a lambda or above an explode is evaluated each time
-    grams = lambda df, key: df.select(key, tx.tokens(F.col("text")).alias("t")).select(key, tx.ngrams(F.col("t"), 5).alias("g")).select(key, "g", F.size("g").alias("n")).select(key, "n", F.explode("g").alias("gram"))
-    q = grams(v.questions(spark, sf), "query_id")
-    d = grams(v.corpus(spark, sf), "chunk_id").drop("n")
-    got = d.join(q, "gram").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    got = bags.runs_shared(v.corpus(spark, sf).select("chunk_id", "text"), v.questions(spark, sf), 5)
     return got.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment")).filter(F.col("shared") / F.col("n") >= 0.8)
 
 
