@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +14,8 @@ from docquarry.streaming import STATES
 #: States in which nothing more is due.
 DONE = ("indexed", "failed", "scanned_needs_ocr")
 SCHEMA = "document_id string, status string, at timestamp, error string"
+#: What the processor gives out; times are microseconds, which need no conversion by row.
+GIVEN = "document_id string, status string, us long, error string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,38 +31,39 @@ class Lifecycle(StatefulProcessor):
         self.handle = handle
         self.latest = handle.getValueState("latest", "status string, at long, rank int, due long")
 
-    def _put(self, key: tuple, status: str, at: int, rank: int, error: str | None) -> pd.DataFrame:
-        old = self.latest.get() if self.latest.exists() else None
-        if old is not None and old[3] is not None:
-            self.handle.deleteTimer(old[3])
+    def _put(self, key: tuple, old: tuple | None, status: str, at: int, rank: int, error: str | None) -> Row:
         due = at // 1000 + (self.keep if status in DONE else self.stuck)
-        self.handle.registerTimer(due)
+        if old is None or old[3] != due:
+            if old is not None and old[3] is not None:
+                self.handle.deleteTimer(old[3])
+            self.handle.registerTimer(due)
         self.latest.update((status, at, rank, due))
-        return pd.DataFrame({"document_id": [key[0]], "status": [status], "at": [pd.Timestamp(at * 1000)], "error": [error]})
+        return Row(document_id=key[0], status=status, us=at, error=error)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # rows and not pandas: most documents have few changes, and a frame for each costs more than all the rest
         best = None
-        for part in rows:
-            part = part[part["at"].notna() & part["rank"].notna()]
-            if len(part):
-                last = part.sort_values(["at", "rank"]).iloc[-1]
-                found = (int(pd.Timestamp(last["at"]).value // 1000), int(last["rank"]), last["status"])
-                best = found if best is None or found[:2] > best[:2] else best
-        old = self.latest.get() if self.latest.exists() else None
-        if best is not None and (old is None or best[:2] > (old[1], old[2])):
-            yield self._put(key, best[2], best[0], best[1], None)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.latest.exists():
+        for row in rows:
+            if row.us is not None and row.rank is not None and (best is None or (row.us, row.rank) > best[:2]):
+                best = (row.us, row.rank, row.status)
+        if best is None:
             return
-        status, at, rank, due = self.latest.get()
+        old = self.latest.get()
+        if old is None or best[:2] > (old[1], old[2]):
+            yield self._put(key, old, best[2], best[0], best[1], None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        old = self.latest.get()
+        if old is None:
+            return
+        status, at, rank, due = old
         if due != expiredTimerInfo.getExpiryTimeInMs():
             return
         if status in DONE:
             self.latest.clear()
         else:
-            # failed at the time when it was due: later changes still count
-            yield self._put(key, "failed", due * 1000, STATES.index("failed"), f"stuck in {status}")
+            # failed at the time when it was due: later changes still count; this timer is spent
+            yield self._put(key, None, "failed", due * 1000, STATES.index("failed"), f"stuck in {status}")
 
     def close(self) -> None:
         pass
@@ -76,11 +78,11 @@ def follow(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("status")) - 1
     changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    changes = changes.filter("document_id is not null").select(F.col("document_id").cast("string"), "status", "at", F.when(rank >= 0, rank).cast("int").alias("rank")).withWatermark("at", late)
-    states = changes.groupBy("document_id").transformWithStateInPandas(Lifecycle(stuck, keep), SCHEMA, "Append", "EventTime")
+    changes = changes.filter("document_id is not null").select(F.col("document_id").cast("string"), "status", "at", F.unix_micros("at").alias("us"), F.when(rank >= 0, rank).cast("int").alias("rank")).withWatermark("at", late)
+    states = changes.groupBy("document_id").transformWithState(Lifecycle(stuck, keep), GIVEN, "Append", "EventTime")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
+        batch.select("document_id", "status", F.timestamp_micros("us").alias("at"), "error", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{out}/part={number}")
 
     try:
         states.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -45,3 +45,35 @@ def test_what_hangs_fails_and_what_is_done_is_forgotten(spark, tmp_path):
     put(spark, src, ("slow", "indexed", 70))
     run()
     assert states()["slow"] == ("indexed", None)
+
+
+def test_a_change_asks_the_store_no_more_than_it_must():
+    """Each call goes to the store and back: one to read, one to write, and timers only where one is due at another time."""
+    from pyspark.sql import Row
+
+    calls, held = [], {}
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            def call(*x):
+                calls.append(name)
+                if name == "update":
+                    held["v"] = x[0]
+                return held.get("v")
+
+            return call
+
+    row = lambda us, status: Row(us=us, rank=st.STATES.index(status) if status in st.STATES else None, status=status)
+    doing = lc.Lifecycle(1000, 1000)
+    doing.init(Handle())
+    run = lambda *rows: [tuple(r) for r in doing.handleInputRows(("a",), iter(rows), None)]
+    assert run(row(5, "parsing"), row(7, "odd"), row(None, "indexed"), row(5, "uploaded")) == [("a", "parsing", 5, None)]
+    assert calls == ["get", "registerTimer", "update"]
+    calls.clear()
+    assert run(row(6, "indexing"), row(6, "parsing")) == [("a", "indexing", 6, None)] and calls == ["get", "update"]
+    calls.clear()
+    assert run(row(6, "parsing")) == [] == run(row(9, "odd")) and calls == ["get"]
+    assert run(row(9000, "failed")) == [("a", "failed", 9000, None)] and "deleteTimer" in calls
