@@ -175,16 +175,20 @@ def remapped(items: DataFrame, old: DataFrame, new: DataFrame, least: float = LE
     stays and chunk_ids is empty.
 
     A chunk meets those of its own page or document only. Labels and their pages go to all tasks while they are within
-    SENT; beyond, new chunks are joined by document, and one with very many chunks is a skewed key, which Spark splits as
-    it runs. Of a label's pairs, a row for each task goes on."""
-    labels = _sent(items.select("item_id", "chunk_id", "document_id"), F.count("*"))
+    SENT; beyond, new chunks are joined by document with labels and their texts, once, and one with very many chunks is a
+    skewed key, which Spark splits as it runs. Of a label's pairs, a row for each task goes on."""
+    labels = items.select("item_id", "chunk_id", "document_id")
+    few = labels.count() <= SENT
+    labels = F.broadcast(labels) if few else labels
     asked = storage.written(old.select("chunk_id", F.col("page_number").alias("page"), "text").join(labels, "chunk_id"))
     pages = new.select("document_id", "page_number").distinct().withColumn("here", F.lit(True))
     same = (asked["document_id"] == pages["document_id"]) & asked["page"].eqNullSafe(pages["page_number"])
-    scope = asked.join(pages, same, "left").select("item_id", asked["document_id"], "page", F.coalesce("here", F.lit(False)).alias("own_page"))
+    scope = asked.join(pages, same, "left").select("item_id", asked["document_id"], "page", F.coalesce("here", F.lit(False)).alias("own_page"), *(() if few else ("text",)))
     there = new.select("document_id", "page_number", F.col("chunk_id").alias("right_id"), F.col("text").alias("other"))
-    met = there.join(_sent(scope, F.count("*")), "document_id").filter(~F.col("own_page") | F.col("page").eqNullSafe(F.col("page_number")))
-    met = met.select("item_id", "right_id", "other").join(asked.select("item_id", "text"), "item_id").select("item_id", "right_id", words(F.col("text")).alias("a"), words(F.col("other")).alias("b"))
+    met = there.join(F.broadcast(scope) if few else scope, "document_id").filter(~F.col("own_page") | F.col("page").eqNullSafe(F.col("page_number")))
+    # many labels bring their texts along, so that what they meet isn't shuffled again
+    met = met.select("item_id", "right_id", "other").join(asked.select("item_id", "text"), "item_id") if few else met
+    met = met.select("item_id", "right_id", words(F.col("text")).alias("a"), words(F.col("other")).alias("b"))
     met = with_repeats(with_repeats(met, "a", "more_a"), "b", "more_b").withColumn("common", in_common("a", "b", "more_a", "more_b"))
     met = met.select("item_id", "right_id", *_scores(F.col("common"), F.size("a"), F.size("b")))
     order = F.struct((-F.col("containment")).alias("c"), (-F.col("jaccard")).alias("j"), "right_id")
